@@ -36,17 +36,20 @@ def range_layout(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
-    """1-based number of every row in `order`, which must be total for reruns to agree."""
+def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "position",
+                      total: str | None = None) -> DataFrame:
+    """1-based number of every row in `order`, which must be total for reruns to agree; with `total`, also the
+    number of rows, which the slices already know."""
     laid = range_layout(df, order)
     before = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = laid.groupBy(_SLICE).agg(F.count("*").alias("_n")).select(
-        _SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+        _SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(everything).alias("_total")
     )
     # Broadcast bound: one row per range partition.
-    return laid.join(F.broadcast(starts), _SLICE).select(
-        *df.columns, (F.col("_start") + F.col(_OFFSET) + 1).alias(name)
-    )
+    numbered = laid.join(F.broadcast(starts), _SLICE)
+    extra = [F.col("_total").alias(total)] if total else []
+    return numbered.select(*df.columns, (F.col("_start") + F.col(_OFFSET) + 1).alias(name), *extra)
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -140,29 +143,21 @@ def spearman(df: DataFrame, left: str, right: str, name: str = "spearman") -> Da
 
 def top_fraction(df: DataFrame, score: str, tie: str, fraction: float, name: str = "in_top") -> DataFrame:
     """Marks the ceil(fraction x rows) highest scores; ties go to the smaller `tie` value."""
-    numbered = global_row_number(df, [F.col(score).desc(), F.col(tie).asc()], "_position")
-    size = F.broadcast(df.agg(F.count("*").alias("_size")).withColumn("_all", F.lit(0)))  # a single row
-    return (
-        numbered.withColumn("_all", F.lit(0)).join(size, "_all")
-        .withColumn(name, F.col("_position") <= F.ceil(F.lit(fraction) * F.col("_size")))
-        .drop("_position", "_all", "_size")
-    )
+    numbered = global_row_number(df, [F.col(score).desc(), F.col(tie).asc()], "_position", "_size")
+    taken = F.ceil(F.lit(fraction).cast("decimal(8,6)") * F.col("_size"))
+    return numbered.withColumn(name, F.col("_position") <= taken).drop("_position", "_size")
 
 
 def share_tiers(df: DataFrame, score: str, tie: str, high: float, medium: float,
                 name: str = "tier") -> DataFrame:
     """high / medium / low by rank: the top ceil(high x n), then up to ceil((high + medium) x n)."""
-    numbered = global_row_number(df, [F.col(score).desc(), F.col(tie).asc()], "_position")
-    size = F.broadcast(df.agg(F.count("*").alias("_size")).withColumn("_all", F.lit(0)))  # a single row
+    numbered = global_row_number(df, [F.col(score).desc(), F.col(tie).asc()], "_position", "_size")
     # decimal arithmetic, so that 0.2 + 0.3 is one half and ceil() cannot step over it
     cut_high = F.ceil(F.lit(high).cast("decimal(6,4)") * F.col("_size"))
     cut_medium = F.ceil((F.lit(high).cast("decimal(6,4)") + F.lit(medium).cast("decimal(6,4)")) * F.col("_size"))
     place = F.col("_position")
-    return (
-        numbered.withColumn("_all", F.lit(0)).join(size, "_all")
-        .withColumn(name, F.when(place <= cut_high, "high").when(place <= cut_medium, "medium").otherwise("low"))
-        .drop("_position", "_all", "_size")
-    )
+    tier = F.when(place <= cut_high, "high").when(place <= cut_medium, "medium").otherwise("low")
+    return numbered.withColumn(name, tier).drop("_position", "_size")
 
 
 def tier_thresholds(tiered: DataFrame, score: str, tier: str = "tier") -> DataFrame:
