@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import ranked_groups
 from tidemark.operators.ordering import global_row_number
+from tidemark.session import cut_lineage
 from tidemark.operators.snapshots import AGE, SNAPSHOT, around, between_ages, future, history, sum_if, within
 
 WINDOWS = (30, 90, 180)
@@ -154,12 +155,9 @@ def persistence(rows: DataFrame) -> DataFrame:
     """How often the top past category is the top future one, against independent tops."""
     known = rows.where(F.col("cust_txn_count_90d") > 0)
     # ties: the more popular, then the earlier name
-    names = known.select("category").distinct().agg(F.array_sort(F.collect_set("category")).alias("_names"))  # the vocabulary
-    placed = known.withColumn("_all", F.lit(0)).join(F.broadcast(names.withColumn("_all", F.lit(0))), "_all")
-    late = -F.array_position("_names", F.col("category"))
-    top = lambda c: F.max_by("category", F.struct(F.col(c), F.coalesce("global_count_share_90d", F.lit(-1.0)), late))
-    tops = placed.groupBy(*GROUP).agg(top("txn_count_90d").alias("past"), top("fut_txn_count").alias("ahead"))
-    pairs = tops.groupBy("past", "ahead").agg(F.count("*").alias("n"))  # at most categories squared rows
+    top = lambda c: F.min_by("category", F.struct(-F.col(c), -F.coalesce("global_count_share_90d", F.lit(-1.0)), F.col("category")))
+    tops = known.groupBy(*GROUP).agg(top("txn_count_90d").alias("past"), top("fut_txn_count").alias("ahead"))
+    pairs = cut_lineage(tops.groupBy("past", "ahead").agg(F.count("*").alias("n")))  # at most categories squared rows, read three times
     margin = lambda c: pairs.groupBy(F.col(c).alias("category")).agg(F.sum("n").alias(f"n_{c}"))
     total = pairs.agg(F.sum("n").alias("groups"), F.sum(F.when(F.col("past") == F.col("ahead"), F.col("n"))).alias("same"), F.lit(0).alias("_all"))
     product = margin("past").join(margin("ahead"), "category").agg(

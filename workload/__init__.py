@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "scoring")
+MODULES = ("quality", "scoring", "ranking", "gold")
 
 
 def load_all():
