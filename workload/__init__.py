@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "scoring", "ranking", "gold")
+MODULES = ("quality", "scoring", "ranking", "gold", "messages")
 
 
 def load_all():
