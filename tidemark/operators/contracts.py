@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config.model import Catalog, TableSpec
 from tidemark.functions.calendar import business_day
 from tidemark.operators.lookups import attach
+from tidemark.operators.reports import table_counts
 
 # The kinds of contract check, also used as flag and report names.
 KINDS = ("required_missing", "not_allowed", "out_of_range", "outside_dataset", "date_order", "not_unique")
@@ -89,6 +90,11 @@ def add_contract_flags(df: DataFrame, spec: TableSpec, catalog: Catalog) -> Data
     return marked.withColumns(flags).drop(*[repeats_column(c) for c in spec.unique]) if flags else df
 
 
+def full_counts(df: DataFrame, spec: TableSpec, catalog: Catalog) -> DataFrame:
+    """Flags, imputations, filled columns and contract checks of a built table, counted in one pass."""
+    return table_counts(mark_repeats(df, spec.unique), spec, compile_checks(spec, catalog))
+
+
 def failing_counts(df: DataFrame, spec: TableSpec, catalog: Catalog) -> DataFrame:
     """One row: failing rows per `<kind>:<column>`, in a single pass."""
     checks = compile_checks(spec, catalog)

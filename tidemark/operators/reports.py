@@ -38,9 +38,9 @@ def percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(part * F.lit(100.0), whole), 3), F.lit(0.0))
 
 
-def table_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """One row with everything the rule report needs: rows, invalid rows, a count per flag, per imputation
-    and per filled source column. One pass."""
+def table_counts(df: DataFrame, spec: TableSpec, checks: Sequence = ()) -> DataFrame:
+    """One row with everything the rule report needs: rows, invalid rows, a count per flag, per imputation, per
+    filled source column and per contract check. One pass."""
     imputed = [c for c in df.columns if c.endswith(IMPUTED)]
     present = [c for c in spec.source_columns if c in df.columns]
     return df.agg(
@@ -49,30 +49,25 @@ def table_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
         *[F.count_if(F.col(c)).alias(f"flag:{c.removeprefix('dq_invalid_')}") for c in flag_columns(df)],
         *[F.count_if(F.col(c)).alias(f"imputed:{c.removesuffix(IMPUTED)}") for c in imputed],
         *[F.count(F.col(c)).alias(f"filled:{c}") for c in present],
+        *[F.count_if(k.broken).alias(f"check:{k.kind}:{k.column}") for k in checks],
     )
 
 
-def rule_report(counts: DataFrame, contract_counts: DataFrame | None, table: str) -> DataFrame:
+def rule_report(counts: DataFrame, table: str) -> DataFrame:
     """A row per flag, per imputed column, per contract check, and per source column that is empty in every
     row (all_null:<column>)."""
     rows = []
     for name in counts.columns:
         value = F.col(f"`{name}`")
         kind, _, rest = name.partition(":")
-        if kind == "flag":
-            rows.append(F.struct(F.lit(rest).alias("rule"), value.alias("failing_rows"), F.lit(True).alias("shown")))
-        elif kind == "imputed":
-            rows.append(F.struct(F.lit(name).alias("rule"), value.alias("failing_rows"), F.lit(True).alias("shown")))
+        if kind in ("flag", "check", "imputed"):
+            rule = name if kind == "imputed" else rest
+            rows.append(F.struct(F.lit(rule).alias("rule"), value.alias("failing_rows"), F.lit(True).alias("shown")))
         elif kind == "filled":
             empty = (value == 0) & (F.col("rows") > 0)
             rows.append(F.struct(F.lit(f"all_null:{rest}").alias("rule"), F.col("rows").alias("failing_rows"),
                                  empty.alias("shown")))
     out = counts.select("rows", F.inline(F.array(*rows))).where("shown").drop("shown")
-    if contract_counts is not None:
-        checks = [c for c in contract_counts.columns if c != "rows"]
-        if checks:
-            pairs = [F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").alias("failing_rows")) for c in checks]
-            out = out.unionByName(contract_counts.select("rows", F.inline(F.array(*pairs))))
     return out.select(F.lit(table).alias("table"), "rule", "failing_rows", "rows",
                       percent(F.col("failing_rows"), F.col("rows")).alias("failing_pct"))
 

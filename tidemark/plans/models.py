@@ -46,7 +46,7 @@ def linear_probe(inputs: Sequence[str] = tuple(FEATURES), label: str = TARGET) -
         SQLTransformer(statement=f"SELECT *, {logs} FROM __THIS__"),
         VectorAssembler(inputCols=[f"_log_{c}" for c in inputs], outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_inputs", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="_inputs", labelCol=label, maxIter=200, regParam=0.0)])
+        LogisticRegression(featuresCol="_inputs", labelCol=label, maxIter=200, tol=1e-4)])
 
 
 def click_probe(with_channel: bool, numbers: Sequence[str] = ("past_delivered", "past_click_rate", "past_open_rate"),

@@ -112,8 +112,7 @@ def run_silver(spark: SparkSession, root: str, tables: Iterable[str] | None = No
 
         written = read(name)
         found["duplicates"].append(duplicate_report(written, name))
-        found["rules"].append(reports.rule_report(reports.table_counts(written, spec),
-                                                  contracts.failing_counts(written, spec, catalog), name))
+        found["rules"].append(reports.rule_report(contracts.full_counts(written, spec, catalog), name))
         if spec.references:
             found["foreign_keys"].append(references.reference_report(written, spec, read))
         found["contracts"].append(contracts.findings(written, spec, catalog))

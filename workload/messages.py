@@ -14,7 +14,12 @@ from tidemark.plans import runs
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.streaming import jobs
 from workload.registry import query
-from workload.tables import read
+from workload.tables import read, spread
+
+def texts(spark, sf_dir):
+    """Whole documents. Text work is heavy per row, so a table of fewer splits than cores is spread first."""
+    return spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+
 
 RUN = r"(?:(S/|R\$|US\$|\$|€|\b(?:USD|PEN|BRL|EUR|COP|CLP|MXN))\s?)?(\d(?:[ .-]?\d){7,})"
 LONG_SQL = f"""list_filter(list_zip(regexp_extract_all(text, '{RUN}', 1), regexp_extract_all(text, '{RUN}', 2)),
@@ -24,26 +29,25 @@ LONG_SQL = f"""list_filter(list_zip(regexp_extract_all(text, '{RUN}', 1), regexp
 @query(f"SELECT doc_id, len({LONG_SQL}) AS numbers FROM documents")
 def long_numbers_in_documents(spark, sf_dir):
     """P01, over whole texts."""
-    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(text.long_numbers(F.col("text"))).alias("numbers"))
+    return texts(spark, sf_dir).select("doc_id", F.size(text.long_numbers(F.col("text"))).alias("numbers"))
 
 
 @query()
 def redacted_conversations(spark, sf_dir):
     """P02, over whole texts: only texts that name a secret reach Python."""
-    c = read(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", "role", text.redact(F.col("text")).alias("text"))
+    return text.redact(read(spark, sf_dir, "conversations"), "text")
 
 
 @query()
 def redacted_documents(spark, sf_dir):
     """P02, over whole documents."""
-    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.redact(F.col("text")).alias("text"))
+    return text.redact(texts(spark, sf_dir), "text")
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g')) AS plain FROM documents""")
 def normalized_documents(spark, sf_dir):
     """C09, over whole texts."""
-    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", normalized(F.col("text")).alias("plain"))
+    return texts(spark, sf_dir).select("doc_id", normalized(F.col("text")).alias("plain"))
 
 
 # Messages composed from orders: what a customer might write about one, in two languages.
@@ -84,7 +88,7 @@ PT_SQL, ES_SQL = _language_sql("message", text.PT_WORDS, text.ES_WORDS, text.PT_
 def messages(spark, sf_dir):
     which = (F.col("o_orderkey") % 10 + 1).cast("int")
     pick = lambda i: F.element_at(F.array(*[F.lit(t[i]) for t in TEMPLATES]), which)
-    o = read(spark, sf_dir, "orders", "o_orderkey")
+    o = spread(read(spark, sf_dir, "orders", "o_orderkey"))
     return o.select("o_orderkey", F.concat(pick(0), F.col("o_orderkey").cast("string")).alias("message"), pick(1).alias("expected"))
 
 
@@ -112,14 +116,14 @@ DPT_SQL, DES_SQL = _language_sql("text", text.REPLY_PT_WORDS, text.REPLY_ES_WORD
 @query(f"""SELECT doc_id, CASE WHEN {DES_SQL} > {DPT_SQL} THEN 'es' WHEN {DPT_SQL} > {DES_SQL} THEN 'pt' ELSE 'unknown' END AS language FROM documents""")
 def document_languages(spark, sf_dir):
     """P05, over whole texts: Spanish, Portuguese or unknown."""
-    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.reply_language(F.col("text")).alias("language"))
+    return texts(spark, sf_dir).select("doc_id", text.reply_language(F.col("text")).alias("language"))
 
 
 @query("""SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12,2))::VARCHAR AS loose FROM orders WHERE o_orderkey % 3 = 0
     UNION ALL SELECT o_orderkey, '' FROM orders WHERE o_orderkey % 3 <> 0""")
 def ungrounded_figures(spark, sf_dir):
     """Replies quote an order's price with either decimal mark; a third of the sources hold another one."""
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
+    o = spread(read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"))
     price = F.format_string("%.2f", "o_totalprice")
     reply = F.concat(F.lit("Tu pedido suma "), F.when(F.col("o_orderkey") % 2 == 0, price).otherwise(price), F.lit(" en total"))
     source = F.when(F.col("o_orderkey") % 3 == 0, F.lit("total 1.000.000,55")).otherwise(F.concat(F.lit("total "), F.translate(price, ".", ",")))
@@ -130,7 +134,7 @@ def ungrounded_figures(spark, sf_dir):
     OR regexp_matches(strip_accents(lower(text)), '\b(riesgo|risco|probabilidad|probabilidade|puntaje|pontuacao|score|modelo|churn|abandono|inactividad|inatividade|predic|previs)')) AS complies FROM documents""")
 def reply_compliance(spark, sf_dir):
     """Documents as replies to a source without figures."""
-    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.complies(F.col("text"), F.lit("sin cifras")).alias("complies"))
+    return texts(spark, sf_dir).select("doc_id", text.complies(F.col("text"), F.lit("sin cifras")).alias("complies"))
 
 
 # ---- Evaluation runs: labels as expected answers, two rules over the documents as two runs ----

@@ -339,9 +339,8 @@ def model_rows(spark, sf_dir):
 def linear_probe_quality(spark, sf_dir):
     """The linear probe on all and on transaction features, beside the rules."""
     train, valid = model_rows(spark, sf_dir)
-    scored = models.predict(models.linear_probe().fit(train), valid, "probe_all")
+    scored = models.predict(models.linear_probe().fit(train), models.rule_scores(valid), "probe_all")
     scored = models.predict(models.linear_probe(models.TRANSACTIONAL).fit(train), scored, "probe_txn")
-    scored = models.rule_scores(scored)
     names = {"probe, all features": "probe_all", "probe, transactions": "probe_txn", "majority": "rule_majority",
              "recency": "rule_recency", "frequency": "rule_frequency", "ranks": "rule_ranks"}
     return models.compare_scores(scored, names, feat.TARGET)
