@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config.model import TableSpec
+from tidemark.config.model import SQL_TYPES, TableSpec
 
 # Texts that mean "no value", spellings to unify, texts that mean true.
 NULL_WORDS = ["", "nan", "NaN", "None", "null", "NULL", "N/A"]
@@ -44,6 +44,8 @@ def typed(text: Column, kind: str) -> Column:
         return text.try_cast("double")
     if kind == "bool":  # null stays null, any other text is false
         return F.lower(text).isin(*TRUE_WORDS)
+    if kind in ("long", "timestamp_ntz"):
+        return text.try_cast(SQL_TYPES[kind])
     return text
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "scoring", "ranking", "gold", "messages")
+MODULES = ("quality", "lake", "gold", "scoring", "ranking", "messages")
 
 
 def load_all():

@@ -12,7 +12,6 @@ from workload.tables import CATALOG, CUSTOMER, LABELS, LINEITEM, ORDERS, PART, S
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_REST = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-LINE_ORDER = [F.col("l_shipdate").desc(), *[F.col(c).desc() for c in LINE_REST]]
 LINE_COLUMNS = LINEITEM.source_columns
 LINE_ORDER_SQL = "l_shipdate DESC, " + ", ".join(f"{c} DESC" for c in LINE_REST)
 LINE_ALL_SQL = ", ".join(LINE_COLUMNS)
@@ -29,7 +28,8 @@ KEPT_SQL = f"""
 
 
 def kept_lines(spark, sf_dir):
-    return dedup.keep_latest(read(spark, sf_dir, "lineitem"), LINE_KEY, LINE_ORDER, LINE_COLUMNS)
+    newest = [F.col("l_shipdate").desc(), *[F.col(c).desc() for c in LINE_REST]]  # total, so the SQL twin agrees
+    return dedup.keep_latest(read(spark, sf_dir, "lineitem"), LINE_KEY, newest, LINE_COLUMNS)
 
 
 @query(f"WITH {KEPT_SQL} SELECT {LINE_ALL_SQL}, dq_copies, dq_versions FROM kept")
