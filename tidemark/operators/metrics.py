@@ -64,7 +64,7 @@ def top_quality(df: DataFrame, score: str, label: str, tie: str, fractions: Sequ
     """Recall, precision and lift among the highest scores, for several fractions, from one numbering."""
     order = [F.col(score).desc(), F.col(tie).asc()]
     numbered = global_row_number(df.select(score, label, tie), order, "_position", "_rows")
-    taken = lambda f: F.ceil(F.lit(f).cast("decimal(8,6)") * F.col("_rows"))
+    taken = lambda f: F.ceil(F.lit(f).cast("decimal(8,6)") * F.col("_rows")).cast("bigint")
     hits = [F.count_if((F.col("_position") <= taken(f)) & (F.col(label) == 1)).alias(f"_hits_{i}") for i, f in enumerate(fractions)]
     counted = numbered.groupBy("_rows").agg(F.count_if(F.col(label) == 1).alias("_positives"), *hits)
     rows = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), taken(f).alias("taken"), F.col(f"_hits_{i}").alias("hits"))
