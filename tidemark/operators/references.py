@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,20 +18,25 @@ ORPHAN_WARN_PCT = 1.0
 ORPHAN_FAIL_PCT = 5.0
 
 
-def orphan_flag(df: DataFrame, ref: Reference, parent_keys: DataFrame, name: str | None = None) -> DataFrame:
-    """dq_invalid_orphan_<parent>: the key matches no parent row. A null is an orphan only where the
-    reference is not optional. `parent_keys` holds each parent key once."""
-    found = parent_keys.select(F.col(ref.parent_column).alias("_key"), F.lit(True).alias("_hit"))
-    joined = attach(df, found, {ref.column: "_key"}, {"_found": "_hit"})
+def orphan_flag(df: DataFrame, ref: Reference, parent: DataFrame, name: str | None = None,
+                carry: Mapping[str, str] | None = None) -> DataFrame:
+    """dq_invalid_orphan_<parent>: the key matches no parent row. A null is an orphan only where the reference is
+    not optional. `parent` holds each key once; `carry` (new column -> parent column) brings values along in the
+    same join, for checks that compare the row with its parent."""
+    carry = dict(carry or {})
+    known = parent.select(F.col(ref.parent_column).alias("_key"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_take_{n}") for n, c in carry.items()])
+    joined = attach(df, known, {ref.column: "_key"}, {"_found": "_hit", **{n: f"_take_{n}" for n in carry}})
     value = F.col(ref.column)
     orphan = F.when(value.isNull(), F.lit(not ref.optional)).otherwise(F.col("_found").isNull())
     return joined.withColumn(name or f"dq_invalid_orphan_{ref.parent}", orphan).drop("_found")
 
 
-def add_orphan_flags(df: DataFrame, spec: TableSpec, read: Reader) -> DataFrame:
+def add_orphan_flags(df: DataFrame, spec: TableSpec, read: Reader, carry: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """One join per reference; `carry` maps a parent table to the columns wanted from it."""
     for ref in spec.references:
         if not ref.known_broken:
-            df = orphan_flag(df, ref, read(ref.parent).where(F.col(ref.parent_column).isNotNull()))
+            parent = read(ref.parent).where(F.col(ref.parent_column).isNotNull())
+            df = orphan_flag(df, ref, parent, carry=(carry or {}).get(ref.parent))
     return df
 
 
@@ -110,16 +115,15 @@ def orphan_gate(report: DataFrame) -> list[str]:
     return [f"Orphans above {ORPHAN_FAIL_PCT}% in {', '.join(names)}"] if names else []
 
 
-def fill_from_parent(df: DataFrame, parent: DataFrame, on: dict[str, str], value: str, column: str,
-                     word: str) -> DataFrame:
-    """Replaces the whole word `word` in a text with the parent's `value`; null when there is none. Changed
-    rows are marked in <column>_imputed."""
-    joined = attach(df, parent, on, {"_value": value})
+def fill_word(df: DataFrame, column: str, word: str, value: Column) -> DataFrame:
+    """Replaces the whole word `word` in a text with `value`; the text is null when there is none. Changed rows are
+    marked in <column>_imputed."""
     pattern = rf"\b{word}\b"
     broken = F.col(column).rlike(pattern)
-    replaced = F.regexp_replace(F.col(column), F.lit(pattern), F.col("_value"))
-    return (
-        joined.withColumn(f"{column}_imputed", broken & F.col("_value").isNotNull())
-        .withColumn(column, F.when(broken, replaced).otherwise(F.col(column)))
-        .drop("_value")
-    )
+    replaced = F.regexp_replace(F.col(column), F.lit(pattern), value)
+    return df.withColumns({f"{column}_imputed": broken & value.isNotNull(), column: F.when(broken, replaced).otherwise(F.col(column))})
+
+
+def fill_from_parent(df: DataFrame, parent: DataFrame, on: dict[str, str], value: str, column: str, word: str) -> DataFrame:
+    """fill_word with a value of the parent row."""
+    return fill_word(attach(df, parent, on, {"_value": value}), column, word, F.col("_value")).drop("_value")

@@ -15,7 +15,6 @@ from tidemark.operators import contracts, references, reports
 from tidemark.operators.arrivals import add_arrival_lag, arrival_report, session_start, volume_report
 from tidemark.operators.dedup import duplicate_report, keep_latest, latest_order
 from tidemark.operators.flags import fold_validity
-from tidemark.operators.lookups import attach
 from tidemark.operators.rates import gap_gate
 from tidemark.plans.table_rules import apply_rules
 from tidemark.sources.readers import read_bronze, read_table
@@ -33,39 +32,40 @@ def deduplicated(raw: DataFrame, spec: TableSpec, catalog: Catalog = BANK) -> Da
                        [F.col("_source_file").desc()])
 
 
-def cross_table(df: DataFrame, table: str, read, transactions: DataFrame | None) -> DataFrame:
-    """Rows that contradict the row they point to, and values filled from it."""
+# What a row needs from the row it points to: table -> parent -> new column -> parent column. The values come with
+# the orphan check's join, so a parent is joined once.
+CARRIED = {
+    "transactions": {"products": {"_owner": "customer_id", "_opened": "opening_date"}},
+    "call_transcripts": {"call_center_interactions": {"_caller": "customer_id", "_anchor": "interaction_date"}},
+    "satisfaction_surveys": {"call_center_interactions": {"_caller": "customer_id", "_anchor": "interaction_date"}},
+    "campaign_sends": {"marketing_campaigns": {"_promoted": "promoted_product"}},
+}
+
+
+def cross_table(df: DataFrame, table: str, transactions: DataFrame | None) -> DataFrame:
+    """Rows that contradict the row they point to, and values filled from it. A missing parent leaves the flags
+    null: the orphan flag already says so."""
     if table == "products" and transactions is not None:
         return references.last_child_mismatch(df, transactions, "product_id", "transaction_date",
                                               "last_transaction_date", "dq_invalid_last_txn_mismatch")
     if table == "transactions":
-        opened = F.to_date("transaction_date") < F.col("_opened")
-        return references.contradicts_parent(
-            df, read("products").where("product_id IS NOT NULL"), {"product_id": "product_id"},
-            {"_owner": "customer_id", "_opened": "opening_date"},
-            {"dq_invalid_product_owner_mismatch": F.col("customer_id") != F.col("_owner"),
-             "dq_invalid_before_product_opening": opened})
+        return df.withColumns({
+            "dq_invalid_product_owner_mismatch": F.col("customer_id") != F.col("_owner"),
+            "dq_invalid_before_product_opening": F.to_date("transaction_date") < F.col("_opened")}).drop("_owner", "_opened")
     if table in ("call_transcripts", "satisfaction_surveys"):
-        return references.contradicts_parent(
-            df, read("call_center_interactions").where("interaction_id IS NOT NULL"),
-            {"interaction_id": "interaction_id"}, {"_caller": "customer_id"},
-            {"dq_invalid_interaction_customer_mismatch": F.col("customer_id") != F.col("_caller")})
+        return df.withColumn("dq_invalid_interaction_customer_mismatch", F.col("customer_id") != F.col("_caller")).drop("_caller")
     if table == "campaign_sends":
-        campaigns = read("marketing_campaigns").where("campaign_id IS NOT NULL")
-        return references.fill_from_parent(df, campaigns, {"campaign_id": "campaign_id"}, "promoted_product", "subject", "nan")
+        return references.fill_word(df, "subject", "nan", F.col("_promoted")).drop("_promoted")
     return df
 
 
-def arrival_lag(df: DataFrame, spec: TableSpec, catalog: Catalog, read) -> DataFrame:
+def arrival_lag(df: DataFrame, spec: TableSpec, catalog: Catalog) -> DataFrame:
     """Lag from the business day of the row's anchor: its own event, its session's first, or its parent's."""
     if "process_date" not in spec.types or not (spec.event_time or spec.lag_anchor):
         return df
     starts_at = spec.day_start
-    if spec.lag_anchor == "parent":
-        parent = catalog["call_center_interactions"]
-        starts_at = parent.day_start
-        held = read(parent.name).where(F.col(parent.key[0]).isNotNull())
-        df = attach(df, held, {"interaction_id": parent.key[0]}, {"_anchor": parent.event_time})
+    if spec.lag_anchor == "parent":  # the anchor came with the reference
+        starts_at = catalog["call_center_interactions"].day_start
     elif spec.lag_anchor == "session":
         df = session_start(df, "session_id", spec.event_time, "_anchor")
     else:
@@ -77,9 +77,9 @@ def build_table(kept: DataFrame, spec: TableSpec, catalog: Catalog, read, transa
     """Deduplicated rows with every rule's flag, imputations, lag and validity."""
     df = apply_rules(kept, spec.name)
     df = contracts.add_contract_flags(df, spec, catalog)
-    df = references.add_orphan_flags(df, spec, read)
-    df = cross_table(df, spec.name, read, transactions)
-    df = arrival_lag(df, spec, catalog, read)
+    df = references.add_orphan_flags(df, spec, read, CARRIED.get(spec.name))
+    df = cross_table(df, spec.name, transactions)
+    df = arrival_lag(df, spec, catalog)
     return fold_validity(df).withColumn("_processed_at", F.current_timestamp())
 
 

@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tidemark.plans import features as feat
+from tidemark.session import cut_lineage
 from workload.tables import PRIORITIES, read
 
 CUTOFFS = (date(1997, 1, 1), date(1998, 1, 1), date(1999, 1, 1), date(2000, 1, 1))
@@ -71,8 +72,11 @@ def lines(spark, sf_dir):
 
 
 def sends(spark, sf_dir):
+    return sends_of(lines(spark, sf_dir))
+
+
+def sends_of(rows):
     """A line is a send on its order's day; it is opened when shipped, and clicked when returned then."""
-    rows = lines(spark, sf_dir)
     return rows.select(
         "customer_id", F.col("sent").alias("send_date"), F.col("flag").alias("send_channel"), F.col("delivered").alias("was_delivered"),
         (F.col("flag") != "N").alias("was_opened"), (F.col("flag") == "R").alias("was_clicked"),
@@ -80,12 +84,12 @@ def sends(spark, sf_dir):
 
 
 def snapshots(spark, sf_dir, cutoffs=CUTOFFS, labels=True):
-    rows = lines(spark, sf_dir)
+    rows = cut_lineage(lines(spark, sf_dir))  # five tables are seen in this join: it is made once
     digital = rows.groupBy("customer_id", F.col("shipped").alias("day")).agg(
         F.count("*").alias("events"), F.count_if(F.col("num") == 1).alias("logins"))
     return feat.customer_snapshots(
         activity(spark, sf_dir), feat.declined_attempts(transactions(spark, sf_dir), ("orphan_customers",)), customers(spark, sf_dir),
-        rows.where("num = 2").select("customer_id", F.col("shipped").alias("opening_date")), sends(spark, sf_dir),
+        rows.where("num = 2").select("customer_id", F.col("shipped").alias("opening_date")), sends_of(rows),
         rows.where("num = 3").select("customer_id", F.col("shipped").alias("interaction_date")),
         rows.where("num = 4").select("customer_id", F.col("shipped").alias("creation_date")), digital, cutoffs, labels)
 

@@ -12,6 +12,7 @@ from tidemark.operators import arrivals, rates
 from tidemark.operators.lookups import latest_before, map_value
 from tidemark.operators.ordering import exact_quantiles
 from tidemark.plans import gold, serving, table_rules, zone
+from tidemark.session import cut_lineage
 from tidemark.sources import sinks
 from tidemark.sources.readers import read_columns
 from workload import bankview as bank
@@ -106,7 +107,11 @@ def transactions(spark, sf_dir):
 
 
 def products(spark, sf_dir):
-    li = bank.lines(spark, sf_dir).where("num <= 2")
+    return products_of(bank.lines(spark, sf_dir))
+
+
+def products_of(rows):
+    li = rows.where("num <= 2")
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("l_partkey") % 8 + 1).cast("int"))
     return li.select(
         "customer_id", kind.alias("product_type"), F.when(F.col("delivered"), "Active").otherwise("Closed").alias("product_status"),
@@ -167,11 +172,11 @@ SPENDS = [f"spend_usd_{c.lower()}" for c in gold.SPEND_CATEGORIES]
     FROM home LEFT JOIN sp USING (cid) LEFT JOIN cost USING (cid) LEFT JOIN pr USING (cid) LEFT JOIN con USING (cid) LEFT JOIN com USING (cid) LEFT JOIN sur USING (cid) LEFT JOIN sen USING (cid)""")
 def customer_feature_table(spark, sf_dir):
     """One row per customer from nine aggregates."""
-    li = bank.lines(spark, sf_dir)
+    li = cut_lineage(bank.lines(spark, sf_dir))  # five tables are seen in this join: it is made once
     reason = F.when(F.col("flag") == "A", "Producto").otherwise("Other")
     contacts = li.where("num = 3").select("customer_id", reason.alias("contact_reason"), (F.col("flag") == "R").alias("was_escalated"), F.col("sent").alias("interaction_date"))
     surveys = li.where("num = 5").select("customer_id", F.when(F.col("flag") != "N", "CSAT").otherwise("NPS").alias("survey_type"), (F.col("l_partkey") % 5 + 1).alias("main_score"))
-    out = gold.customer_features(customers(spark, sf_dir), products(spark, sf_dir), transactions(spark, sf_dir), fx_at_end(spark, sf_dir), contacts,
+    out = gold.customer_features(customers(spark, sf_dir), products_of(li), transactions(spark, sf_dir), fx_at_end(spark, sf_dir), contacts,
                                  li.where("num = 4"), surveys, li, AS_OF)
     money = ["txn_amount_usd_90d", *SPENDS, "fx_cost_usd_90d"]
     plain = ["n_active_products", *HAS, "has_linked_app", "txn_count_90d", "n_categories_90d", "foreign_txn_count_90d", "n_contacts", "n_product_contacts",

@@ -341,3 +341,17 @@ def configuration_changes(spark, sf_dir):
     a = side(p.where("p_partkey % 9 <> 1"), F.col("p_size"))
     b = side(p.where("p_partkey % 11 <> 1"), F.col("p_size") + (F.col("p_partkey") % 3 == 0).cast("int"))
     return runs.config_changes(a, b).select("path", "change", "old", "new")
+
+
+@query("""SELECT o_custkey AS customer_id, o_orderkey AS complaint_id, CAST(o_orderdate AS DATE) AS creation_date, o_orderstatus AS status, o_orderpriority AS bk_priority FROM orders""")
+def complaint_table(spark, sf_dir):
+    """Complaints cut to listed columns; a column the source gains is reported and not copied."""
+    o, none = read(spark, sf_dir, "orders"), F.lit(None).cast("string")
+    rows = o.select(F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("complaint_id"), F.to_date("o_orderdate").alias("creation_date"), F.col("o_orderstatus").alias("status"),
+                    F.col("o_orderpriority").alias("priority"), *[none.alias(c) for c in (
+                        "case_type", "category", "subcategory", "reception_channel", "description", "claimed_amount", "currency", "first_response_date", "resolution_date", "closing_date",
+                        "resolution_days", "resolution", "compensation_granted", "affected_product_id", "assigned_agent_id", "sla_breached", "internal_note")])
+    out = zone.customer_complaints(rows)
+    if readers.classify_columns(rows, [c.removeprefix("bk_") for c in out.columns]) != ["internal_note"]:
+        raise ValueError("an unlisted column was copied")
+    return out.select("customer_id", "complaint_id", "creation_date", "status", "bk_priority")

@@ -12,6 +12,7 @@ from tidemark.operators import metrics
 from tidemark.plans import conversations as conv
 from tidemark.plans import runs
 from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources.readers import read_run as runs_reader
 from tidemark.streaming import jobs
 from workload.registry import query
 from workload.tables import read, spread
@@ -393,3 +394,16 @@ def streamed_first_arrivals(spark, sf_dir):
     folder = _work_folder(spark)
     jobs.run_available(jobs.first_arrivals(event_stream(spark, sf_dir).select("event_id", "ts"), ["event_id"], "ts", "1 day"), f"{folder}/out", f"{folder}/progress")
     return spark.read.parquet(f"{folder}/out").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""SELECT lang AS suite, count(*) AS cases, count(*) FILTER (WHERE quality = 1) AS passed FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
+def scanned_run(spark, sf_dir):
+    """A10: a run written as JSON lines with a header row, scanned back; the header is not a case."""
+    d = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents", "doc_id", "lang"), "doc_id")
+    cases = d.select(F.to_json(F.struct(F.col("lang").alias("suite"), F.col("doc_id").cast("string").alias("case_id"), (F.col("quality") == 1).alias("passed"),
+                                        F.lit("1").alias("expected"), F.col("quality").cast("string").alias("actual"), F.array(F.lit("t")).alias("tags"))).alias("value"))
+    header = spark.range(1).select(F.lit('{"run": {"created_at": "2026-01-01", "live": false}, "config": {"a": {"b": 1}}}').alias("value"))
+    path = f"{_work_folder(spark)}/run"
+    header.unionByName(cases).write.text(path)
+    found = runs_reader(spark, path)[1]
+    return found.groupBy("suite").agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"))

@@ -63,7 +63,9 @@ def line_sources(spark, sf_dir):
 def checked_lines(spark, sf_dir):
     kept = kept_lines(spark, sf_dir)
     flagged = contracts.add_contract_flags(kept, LINEITEM, CATALOG)
-    flagged = references.add_orphan_flags(flagged, LINEITEM, line_sources(spark, sf_dir))
+    parent = line_sources(spark, sf_dir)
+    flagged = references.add_orphan_flags(flagged, LINEITEM, parent, {"part": {"_size": "p_size"}})
+    flagged = flagged.withColumn("dq_invalid_part_contradicts", F.col("l_quantity") < F.col("_size")).drop("_size")
     orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
     flagged = references.contradicts_parent(
         flagged, orders, {"l_orderkey": "o_orderkey"}, {"_ordered": "o_orderdate"},
@@ -80,7 +82,7 @@ CHECKED_SQL = f"""WITH {KEPT_SQL},
                         OR l_extendedprice < 1000, false) AS out_of_range,
                coalesce(NOT (CAST(l_shipdate AS DATE) BETWEEN DATE '1995-06-01' AND DATE '2001-06-01'), false) AS outside_dataset,
                (l_quantity IS NULL OR l_extendedprice IS NULL OR l_shipdate IS NULL) AS required_missing,
-               (p.o_orderkey IS NULL) AS orphan_orders, (a.p_partkey IS NULL) AS orphan_part,
+               (p.o_orderkey IS NULL) AS orphan_orders, (a.p_partkey IS NULL) AS orphan_part, coalesce(l_quantity < a.p_size, false) AS part_contradicts,
                (l_suppkey IS NOT NULL AND s.s_suppkey IS NULL) AS orphan_supplier,
                coalesce(CAST(l_shipdate AS DATE) < CAST(o.o_orderdate AS DATE), false) AS before_order
         FROM kept k
@@ -92,7 +94,7 @@ REASONS_SQL = """concat_ws(',', CASE WHEN required_missing THEN 'required_missin
     CASE WHEN out_of_range THEN 'out_of_range' END, CASE WHEN not_allowed THEN 'not_allowed' END,
     CASE WHEN outside_dataset THEN 'outside_dataset' END,
     CASE WHEN orphan_orders THEN 'orphan_orders' END, CASE WHEN orphan_part THEN 'orphan_part' END,
-    CASE WHEN orphan_supplier THEN 'orphan_supplier' END, CASE WHEN before_order THEN 'before_order' END)"""
+    CASE WHEN orphan_supplier THEN 'orphan_supplier' END, CASE WHEN part_contradicts THEN 'part_contradicts' END, CASE WHEN before_order THEN 'before_order' END)"""
 
 
 @query(f"""{CHECKED_SQL} SELECT l_orderkey, l_linenumber, dq_copies, dq_versions, {REASONS_SQL} AS dq_reasons,
@@ -104,7 +106,7 @@ def flag_lines(spark, sf_dir):
 
 
 RULE_COLUMNS = ["required_missing", "not_allowed", "out_of_range", "outside_dataset", "orphan_orders", "orphan_part",
-                "orphan_supplier", "before_order"]
+                "orphan_supplier", "part_contradicts", "before_order"]
 RULE_SQL = "\n UNION ALL ".join(
     f"SELECT '{c}' AS rule, count(*) FILTER (WHERE {c}) AS failing_rows, count(*) AS \"rows\" FROM checked" for c in RULE_COLUMNS)
 CHECK_SQL = {

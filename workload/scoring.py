@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import metrics, ordering
 from tidemark.plans import features as feat
 from tidemark.plans import models, scoring, serving
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, ensure_checkpoint_dir
 from tidemark.sources.readers import digital_daily
 from workload import bankview as bank
 from workload.registry import query
@@ -305,7 +306,7 @@ for _k in range(12):
     l AS (SELECT b, 1 AS side, s AS v, y, w FROM w WHERE w > 0 UNION ALL SELECT b, 2, recency::DOUBLE, y, w FROM w WHERE w > 0),
     g AS (SELECT b, side, v, sum(w * y) AS p, sum(w * (1 - y)) AS n FROM l GROUP BY ALL),
     r AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS fp FROM g WINDOW o AS (PARTITION BY b, side ORDER BY v DESC)),
-    q AS (SELECT b, side, sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)) AS roc, sum(p * tp / (tp + fp)) / sum(p) AS pr FROM r GROUP BY ALL),
+    q AS (SELECT b, side, sum(n * (tp - p / 2.0)) / nullif(sum(p) * sum(n), 0) AS roc, sum(p * tp / (tp + fp)) / nullif(sum(p), 0) AS pr FROM r GROUP BY ALL),
     x AS (SELECT b, max(pr) FILTER (WHERE side = 1) - max(pr) FILTER (WHERE side = 2) AS pr_auc_gain, max(roc) FILTER (WHERE side = 1) - max(roc) FILTER (WHERE side = 2) AS roc_auc_gain FROM q GROUP BY 1)
     SELECT {', '.join(f"round(avg({c}), 6) AS {c}_mean, round(quantile_cont({c}, 0.025), 6) AS {c}_low, round(quantile_cont({c}, 0.975), 6) AS {c}_high" for c in ('pr_auc_gain', 'roc_auc_gain'))} FROM x""")
 def paired_bootstrap(spark, sf_dir):
@@ -382,3 +383,24 @@ def ablation_without_products(spark, sf_dir):
     """L20, L23."""
     train, valid = model_rows(spark, sf_dir)
     return models.ablation(train, valid, ["products_opened"])
+
+
+@query(f"""{bank.SNAPSHOTS_SQL} SELECT customer_id, snapshot_date, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in PLAIN)} FROM rows_""")
+def model_matrix(spark, sf_dir):
+    """The inputs as doubles."""
+    return feat.model_matrix(bank.snapshots(spark, sf_dir)).select("customer_id", "snapshot_date", *PLAIN)
+
+
+@query(f"""{bank.SNAPSHOTS_SQL} SELECT snapshot_date, count(*) AS customers, true AS reproduced FROM rows_ GROUP BY 1""")
+def replicated_model(spark, sf_dir):
+    """A saved model reproduces its predictions, and the metrics of a second fit stay within the tolerance."""
+    rows = cut_lineage(bank.snapshots(spark, sf_dir))
+    train, valid = rows.where(F.col("snapshot_date").isin(*bank.TRAIN)), rows.where(F.col("snapshot_date").isin(*bank.VALID))
+    inputs = ("days_since_last_txn", "txn_count_90d")
+    model = models.linear_probe(inputs).fit(train)
+    gap = models.reload_difference(model, f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}", valid, ["customer_id", "snapshot_date"])
+    reported, again = (models.compare_scores(models.predict(m, valid), {"probe": "score"}, feat.TARGET).first() for m in (model, models.linear_probe(inputs).fit(train)))
+    pick = lambda r: {k: r[k] for k in ("pr_auc", "roc_auc") if r[k] is not None}
+    metrics.within_tolerance(pick(again), pick(reported))
+    counts = rows.groupBy("snapshot_date").agg(F.count("*").alias("customers"))
+    return counts.withColumn("reproduced", F.lit(gap < 1e-12))
