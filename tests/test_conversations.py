@@ -99,12 +99,15 @@ def test_streamed_keep_latest_over_several_batches(spark, turns, tmp_path):
     folder = str(tmp_path / "in")
     write_files(spark, turns, folder, 3)
     stream = spark.readStream.schema(LAYOUT).option("maxFilesPerTrigger", 1).parquet(folder).select("user", "id", "ts")
-    merge = jobs.merge_latest(spark, str(tmp_path / "table"), ["user"], [F.col("ts").desc(), F.col("id").desc()])
-    jobs.run_batches(stream, merge, str(tmp_path / "progress"))
+    newest, table = [F.col("ts").desc(), F.col("id").desc()], str(tmp_path / "table")
+    jobs.run_batches(stream, jobs.store_latest(table, ["user"], newest), str(tmp_path / "progress"))
     want = {}
     for i, user, ts, *_ in sorted(turns, key=lambda r: (r[2], r[0])):
         want[user] = i
-    assert {r.user: r.id for r in jobs.current_version(spark, str(tmp_path / "table")).collect()} == want
+    assert {r.user: r.id for r in jobs.latest_rows(spark, table, ["user"], newest).collect()} == want
+    jobs.compact(spark, table, str(tmp_path / "compacted"), ["user"], newest)
+    assert {r.user: r.id for r in jobs.latest_rows(spark, str(tmp_path / "compacted"), ["user"], newest).collect()} == want
+    assert spark.read.parquet(str(tmp_path / "compacted")).count() == len(want)
 
 
 def test_streamed_delivery_is_flagged(spark, lake, tmp_path):

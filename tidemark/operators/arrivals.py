@@ -89,7 +89,7 @@ def volume_report(raw: DataFrame, silver_rows: DataFrame, table: str, start: str
     day = file_day(F.col("_source_file"))
     elsewhere = F.lit(False)
     if processed and processed in raw.columns:
-        elsewhere = F.try_to_date(F.trim(F.col(processed))) != day
+        elsewhere = F.try_to_date(F.trim(F.col(processed).cast("string"))) != day
     per_day = raw.select(day.alias("day"), elsewhere.alias("_elsewhere")).groupBy("day").agg(
         F.count("*").alias("n"), F.count_if(F.col("_elsewhere")).alias("elsewhere"))
     dated = per_day.where(F.col("day").isNotNull())

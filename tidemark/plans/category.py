@@ -51,10 +51,10 @@ def category_features(per_day: DataFrame, cutoffs: Sequence[date], categories: S
         *[F.sum(f"txn_count_{w}d").alias(f"cust_txn_count_{w}d") for w in WINDOWS],
         F.min("days_since_last_txn").alias("cust_days_since_last_txn"),
         F.count_if(F.col("txn_count_180d") > 0).alias("cust_n_categories_180d"))
-    popular = popularity(per_day, cutoffs)
+    popular = popularity(per_day, cutoffs).where(F.col("category").isin(*categories))
     joined = (
         grid.join(per_category, [*GROUP, "category"], "left").join(customer, GROUP, "left")
-        # one row per snapshot and category
+        # at most one row per snapshot and configured category
         .join(F.broadcast(popular), [SNAPSHOT, "category"], "left"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))

@@ -27,7 +27,10 @@ class QualityGateError(RuntimeError):
 
 def deduplicated(raw: DataFrame, spec: TableSpec, catalog: Catalog = BANK) -> DataFrame:
     """Typed rows, one per key. Compared after cleaning, so two spellings of nothing are not a conflict."""
-    typed = clean(raw, spec)
+    return newest_rows(clean(raw, spec), spec, catalog)
+
+
+def newest_rows(typed: DataFrame, spec: TableSpec, catalog: Catalog = BANK) -> DataFrame:
     return keep_latest(typed, spec.key, latest_order(spec, typed.columns, catalog.end), spec.source_columns,
                        [F.col("_source_file").desc()])
 
@@ -87,27 +90,36 @@ def run_silver(spark: SparkSession, root: str, tables: Iterable[str] | None = No
                database: str = "") -> None:
     """Builds the tables parents first. Every report is written before a gate may fail the run.
 
-    Products are checked against their transactions, which in turn point to products. Only the deduplicated
-    transactions matter for that, so they are staged once and read by both; nothing is built twice.
+    A delivery is parsed once, into typed Parquet; deduplication and the volume report then read only the columns
+    they need from that. Products are checked against their transactions, which in turn point to products: only
+    the deduplicated transactions matter for that, so they are stored once and read by both.
     """
     order = catalog.build_order(tables)
     read = lambda name: read_table(spark, root, "silver", name)
-    staged = None
+
+    def delivered(name: str) -> DataFrame:
+        rewrite(clean(read_bronze(spark, root, catalog[name]), catalog[name]), f"{root}/staging/delivered/{name}/")
+        return read_table(spark, root, "staging/delivered", name)
+
+    typed: dict[str, DataFrame] = {}
+    traded = None
     if "products" in order and "transactions" in catalog.tables:
         if "transactions" in order:
-            rewrite(deduplicated(read_bronze(spark, root, catalog["transactions"]), catalog["transactions"], catalog),
-                    f"{root}/staging/transactions/")
-            staged = read_table(spark, root, "staging", "transactions")
+            typed["transactions"] = delivered("transactions")
+            rewrite(newest_rows(typed["transactions"], catalog["transactions"], catalog), f"{root}/staging/newest/transactions/")
+            traded = read_table(spark, root, "staging/newest", "transactions")
         else:
-            staged = read("transactions")
+            traded = read("transactions")
 
     found: dict[str, list[DataFrame]] = {n: [] for n in ("duplicates", "rules", "foreign_keys", "contracts", "arrivals", "volumes")}
     failures: list[str] = []
     for name in order:
         spec = catalog[name]
-        raw = read_bronze(spark, root, spec)
-        kept = staged if name == "transactions" and staged is not None else deduplicated(raw, spec, catalog)
-        built = build_table(kept, spec, catalog, read, staged if name == "products" else None)
+        raw = typed.get(name)
+        if raw is None:
+            raw = delivered(name)
+        kept = traded if name == "transactions" and traded is not None else newest_rows(raw, spec, catalog)
+        built = build_table(kept, spec, catalog, read, traded if name == "products" else None)
         rewrite(built, f"{root}/silver/{name}/", spec.partition_by or None, f"{database}.{name}" if database else None)
 
         written = read(name)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.config.model import Catalog, TableSpec
 from tidemark.functions.cleaning import clean
 from tidemark.operators.contracts import FLAG, compile_checks
-from tidemark.operators.dedup import any_null, content_hash
+from tidemark.operators.dedup import any_null
 from tidemark.operators.flags import fold_validity
 from tidemark.operators.ordering import latest_per_key
 from tidemark.plans.conversations import FAILURES_BEFORE_HANDOFF, IDLE_MINUTES, SESSION_DAYS, metric_columns
@@ -117,39 +117,24 @@ def ingest(stream: DataFrame, spec: TableSpec, catalog: Catalog) -> DataFrame:
     return row_flags(clean(stream, spec), spec, catalog)
 
 
-def merge_latest(spark: SparkSession, path: str, key: list[str], order: list) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that keeps one row per key. Each batch writes a new version of the table in a folder of
-    its own, made from the version before it, so a replayed batch or a lost executor cannot damage what readers use."""
+def store_latest(path: str, key: list[str], order: list) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer for a table with one row per key. A batch writes only its own newest rows, into a folder
+    named after the batch, so its cost does not grow with the table, and a replayed batch replaces itself."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        incoming = batch
-        if number > 0 and _exists(session, f"{path}/version={number - 1}"):
-            incoming = session.read.parquet(f"{path}/version={number - 1}").unionByName(batch)
-        latest_per_key(incoming, key, [*order, content_hash(batch.columns).desc()]).write.mode("overwrite").parquet(f"{path}/version={number}")
+    def store(batch: DataFrame, number: int) -> None:
+        latest_per_key(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return merge
+    return store
 
 
-def current_version(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version written by merge_latest; version folders are listed, not the data."""
-    numbers = [int(p.split("version=")[1]) for p in _folders(spark, path) if "version=" in p and _exists(spark, f"{p}/_SUCCESS")]
-    return spark.read.parquet(f"{path}/version={max(numbers)}")
+def latest_rows(spark: SparkSession, path: str, key: list[str], order: list) -> DataFrame:
+    """The table as of now: the newest row per key over the stored batches."""
+    return latest_per_key(spark.read.parquet(path).drop("batch"), key, order)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where, fs = _fs(spark, path)
-    return fs.exists(where)
-
-
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    where, fs = _fs(spark, path)
-    return [s.getPath().toString() for s in fs.listStatus(where)]
+def compact(spark: SparkSession, path: str, target: str, key: list[str], order: list) -> None:
+    """Writes the newest rows as the first batch of a new folder, from which the stream goes on."""
+    latest_rows(spark, path, key, order).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
 def run_available(df: DataFrame, target: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

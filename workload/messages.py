@@ -369,11 +369,12 @@ def streamed_failure_streaks(spark, sf_dir):
 
 @query("""SELECT user_id, max({'t': ts, 'e': event_id}).e AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY 1""")
 def streamed_keep_latest(spark, sf_dir):
-    """Each batch merged into a table with one row per key."""
+    """Each batch stores its newest rows; a read gives one row per key."""
     folder = _work_folder(spark)
     stream = event_stream(spark, sf_dir).where("user_id IS NOT NULL").select("user_id", "event_id", "ts")
-    jobs.run_batches(stream, jobs.merge_latest(spark, f"{folder}/table", ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]), f"{folder}/progress")
-    return jobs.current_version(spark, f"{folder}/table").select("user_id", "event_id")
+    newest = [F.col("ts").desc(), F.col("event_id").desc()]
+    jobs.run_batches(stream, jobs.store_latest(f"{folder}/table", ["user_id"], newest), f"{folder}/progress")
+    return jobs.latest_rows(spark, f"{folder}/table", ["user_id"], newest).select("user_id", "event_id")
 
 
 @query("""SELECT CAST(ts AS DATE) + CAST(event_id % 9 = 0 AS INT) * 3 AS day, count(*) AS "rows", count(*) FILTER (WHERE event_id % 9 = 0) AS late_rows FROM events
