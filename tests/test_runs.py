@@ -74,9 +74,9 @@ def test_breakdown(two_runs):
 
 
 def test_token_costs(spark):
-    calls = spark.createDataFrame([("a", "us.claude-haiku-4-5", 1_000_000, 0), ("a", "us.claude-sonnet-4-6", 0, 1_000_000), ("b", "unknown", 5, 0), ("c", "unknown", 0, 0)],
+    calls = spark.createDataFrame([("a", "eu.small-model", 1_000_000, 0), ("a", "eu.large-model", 0, 1_000_000), ("b", "unknown", 5, 0), ("c", "unknown", 0, 0)],
                                   "case_id string, model_id string, input_tokens long, output_tokens long")
-    assert {r.case_id: r.cost_usd for r in runs.token_costs(calls).collect()} == {"a": 16.0, "b": None, "c": 0.0}
+    assert {r.case_id: r.cost_usd for r in runs.token_costs(calls, (("small-model", 1.0, 5.0), ("large-model", 3.0, 15.0))).collect()} == {"a": 16.0, "b": None, "c": 0.0}
 
 
 def test_blocked_labels(spark):

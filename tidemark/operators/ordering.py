@@ -56,32 +56,22 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                    totals: Mapping[str, Column]) -> DataFrame:
     """Inclusive running sums per key along `order`; a key of any size spreads over several slices."""
     keys = list(keys)
-    prepared = df.withColumns({name: value for name, value in totals.items()})
+    # One never-null key column: windows, slice sums and the join below then share one partitioning, and a null key
+    # is a key like any other.
+    key = F.struct(*keys) if keys else F.lit(0)
+    prepared = df.withColumns({**totals, "_key": key})
     laid = range_layout(prepared, [*(F.col(k).asc() for k in keys), *order])
-    within = Window.partitionBy(_SLICE, *keys).orderBy(_OFFSET).rowsBetween(Window.unboundedPreceding, 0)
-    slice_sums = laid.groupBy(_SLICE, *keys).agg(*[F.sum(n).alias(f"_sum_{n}") for n in totals])
+    on = [_SLICE, "_key"]
+    within = Window.partitionBy(*on).orderBy(_OFFSET).rowsBetween(Window.unboundedPreceding, 0)
+    slice_sums = laid.groupBy(*on).agg(*[F.sum(n).alias(f"_sum_{n}") for n in totals])
     # At most one row per slice and key: a key contributes as many rows as the slices it spans.
-    earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(_SLICE)
-    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    starts = slice_sums.select(
-        _SLICE, *keys, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in totals]
-    )
-    local = laid.withColumns({f"_run_{n}": F.sum(n).over(within) for n in totals})
+    earlier = Window.partitionBy("_key").orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = slice_sums.select(*on, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in totals])
     if not keys:
         starts = F.broadcast(starts)  # one row per range partition
-    on = [_SLICE, *keys]
-    if keys:  # key columns may be null: match them null-safely
-        starts = starts.select(*[F.col(c).alias(f"_k_{c}") for c in on], *[f"_start_{n}" for n in totals])
-        cond = F.lit(True)
-        for c in on:
-            cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        joined = local.join(starts, cond)
-    else:
-        joined = local.join(starts, on)
+    local = laid.withColumns({f"_run_{n}": F.sum(n).over(within) for n in totals})
     kept = [c for c in df.columns if c not in totals]
-    return joined.select(
-        *kept, *[(F.col(f"_run_{n}") + F.col(f"_start_{n}")).alias(n) for n in totals]
-    )
+    return local.join(starts, on).select(*kept, *[(F.col(f"_run_{n}") + F.col(f"_start_{n}")).alias(n) for n in totals])
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float],
@@ -136,7 +126,8 @@ def average_rank(df: DataFrame, value: str, name: str, ascending: bool = True) -
 
 def spearman(df: DataFrame, left: str, right: str, name: str = "spearman") -> DataFrame:
     """Rank correlation: the correlation of the two average ranks."""
-    both = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right)
+    # two columns, read once per rank and once per join
+    both = cut_lineage(df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right))
     ranked = average_rank(average_rank(both, left, "_rank_left"), right, "_rank_right")
     return ranked.agg(F.corr("_rank_left", "_rank_right").alias(name))
 

@@ -14,8 +14,6 @@ from tidemark.operators.ordering import exact_quantiles, running_totals
 ERRORS = ("model_error", "guardrail_error")
 WATCHED_TAGS = ("safety", "false-block-trap", "false-sensitive-trap", "paraphrase")
 KEY = ["suite", "case_id"]
-# model family (part of the model id), USD per million input and output tokens
-PRICES = (("claude-haiku-4-5", 1.0, 5.0), ("claude-sonnet-4-6", 3.0, 15.0))
 
 
 def is_error(actual: Column) -> Column:
@@ -147,8 +145,9 @@ def config_changes(a: DataFrame, b: DataFrame, config: str = "config") -> DataFr
     return changed.unionByName(lonely, allowMissingColumns=True)
 
 
-def token_costs(calls: DataFrame, prices: Sequence[tuple] = PRICES) -> DataFrame:
-    """Cost per case from its calls; null when a call that used tokens has no price."""
+def token_costs(calls: DataFrame, prices: Sequence[tuple]) -> DataFrame:
+    """Cost per case from its calls; null when a call that used tokens has no price. `prices` lists model family (part
+    of the model id) and USD per million input and output tokens."""
     table = small_table(calls.sparkSession, prices, "_family string, _in double, _out double")
     used = calls.where((F.col("input_tokens") > 0) | (F.col("output_tokens") > 0))
     priced = used.join(table, F.contains(F.col("model_id"), F.col("_family")), "left")

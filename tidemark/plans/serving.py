@@ -42,6 +42,7 @@ class ItemSpec:
             raise ValueError(f"{self.table} would write {sorted(stray | barred)}")
 
 
+# The attributes each table serves, and the columns it leaves out on purpose.
 SPECS = {s.table: s for s in (
     ItemSpec(
         "customer_360",

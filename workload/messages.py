@@ -201,9 +201,9 @@ def run_cost_and_latency(spark, sf_dir):
 def token_costs(spark, sf_dir):
     """A conversation's turns as calls of two priced models and one without a price."""
     c = read(spark, sf_dir, "conversations")
-    model = F.when(F.col("role") == "user", "us.claude-haiku-4-5-v1").when(F.col("role") == "assistant", "us.claude-sonnet-4-6-v1").otherwise("unpriced")
+    model = F.when(F.col("role") == "user", "eu.small-model-v1").when(F.col("role") == "assistant", "eu.large-model-v1").otherwise("unpriced")
     calls = c.select(F.col("conv_id").cast("string").alias("case_id"), model.alias("model_id"), F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens"))
-    return runs.token_costs(calls)
+    return runs.token_costs(calls, (("small-model", 1.0, 5.0), ("large-model", 3.0, 15.0)))
 
 
 @query("""WITH s AS (SELECT doc_id, quality AS y, n_chars AS v FROM labels JOIN documents USING (doc_id)),

@@ -253,7 +253,8 @@ def single_feature_aucs(spark, sf_dir):
     SELECT id, round((a + b) / 2, 6) AS rule_ranks FROM k""")
 def recency_frequency_ranks(spark, sf_dir):
     """The mean of two percentile ranks with averaged ties."""
-    return models.rule_scores(labelled(spark, sf_dir)).select("id", F.round("rule_ranks", 6).alias("rule_ranks"))
+    rows = cut_lineage(labelled(spark, sf_dir))  # each rank reads it twice
+    return models.rule_scores(rows).select("id", F.round("rule_ranks", 6).alias("rule_ranks"))
 
 
 @query(f"""{bank.SNAPSHOTS_SQL}, k AS (SELECT rank() OVER (ORDER BY txn_count_180d) + (count(*) OVER (PARTITION BY txn_count_180d) - 1) / 2.0 AS a,
