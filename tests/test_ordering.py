@@ -160,3 +160,23 @@ def test_replication_gate():
     metrics.within_tolerance({"a": 0.50001}, {"a": 0.5})
     with pytest.raises(ValueError, match="reproduce"):
         metrics.within_tolerance({"a": 0.51}, {"a": 0.5})
+
+
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 0), (None, 2.0, 1), (None, 4.0, 0), (None, 9.0, 1)], "k string, v double, y int")
+    assert {r.k: r.m for r in exact_quantiles(df, "v", {"m": 0.5}, ["k"]).collect()} == {"a": 2.0, None: 4.0}
+    assert {r.k for r in metrics.best_f1_threshold(df, "v", "y", ["k"]).collect()} == {"a", None}
+    assert {r.k: r.positives for r in metrics.ranking_quality(df, "v", "y", ["k"]).collect()} == {"a": 1, None: 2}
+
+
+def test_one_group_of_a_third_of_the_rows_is_spread(spark):
+    """Two hundred thousand rows, a third of them in one group and on one score: results stay exact."""
+    df = spark.range(200_000).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 1000).cast("string")).alias("k"),
+        F.when(F.col("id") % 3 == 0, 0.5).otherwise((F.col("id") * 7919 % 10007) / 10007).alias("s"), (F.col("id") % 2).cast("int").alias("y"))
+    tiers = {r.tier: r["count"] for r in share_tiers(df, "s", "id", 0.2, 0.3).groupBy("tier").count().collect()}
+    assert tiers == {"high": 40_000, "medium": 60_000, "low": 100_000}
+    hot = exact_quantiles(df.where("k = 'hot'"), "id", {"m": 0.5}).first().m
+    assert {r.k: r.m for r in exact_quantiles(df, "id", {"m": 0.5}, ["k"]).where("k = 'hot'").collect()} == {"hot": hot}
+    newest = {r.k: r.id for r in latest_per_key(df, ["k"], [F.col("id").desc()]).where("k = 'hot'").collect()}
+    assert newest == {"hot": 199_998}

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import global_row_number, running_totals, unit_draw
+from tidemark.operators.ordering import global_row_number, join_by_group, running_totals, unit_draw
 
 
 def score_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -38,10 +38,9 @@ def ranking_quality(df: DataFrame, score: str, label: str, keys: Sequence[str] =
 def best_f1_threshold(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """The score threshold with the largest F1; of equal ones the lowest."""
     keys = list(keys)
-    curve = score_curve(df, score, label, keys).withColumn("_all", F.lit(0))
-    on = [*keys, "_all"]
-    totals = df.withColumn("_all", F.lit(0)).groupBy(*on).agg(F.count_if(F.col(label) == 1).alias("_positives"))
-    joined = curve.join(totals if keys else F.broadcast(totals), on)  # without keys: a single row
+    curve = score_curve(df, score, label, keys)
+    totals = curve.groupBy(*keys).agg(F.sum("pos").alias("_positives"))
+    joined = join_by_group(curve, totals, keys) if keys else curve.withColumn("_positives", totals.scalar())
     f1 = F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("_positives"))
     best = F.max(F.struct(F.round(f1, 12).alias("f1"), (-F.col("score")).alias("low"))).alias("_best")
     return joined.withColumn("_f1", f1).groupBy(*keys).agg(best).select(

@@ -74,6 +74,14 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return local.join(starts, on).select(*kept, *[(F.col(f"_run_{n}") + F.col(f"_start_{n}")).alias(n) for n in totals])
 
 
+def join_by_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on group keys where null is a group like any other: the keys meet as one struct, which is never
+    null and hashes like the key of running_totals."""
+    rest = [c for c in right.columns if c not in keys]
+    side = right.select(F.struct(*keys).alias("_key"), *rest)
+    return left.withColumn("_key", F.struct(*keys)).join(side, "_key").drop("_key")
+
+
 def exact_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float],
                     keys: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated quantiles per key, one column per entry of `probabilities`.
@@ -83,12 +91,7 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     scanned = running_totals(counted, keys, [F.col(value).asc()], {"_upto": F.col("_n")})
-    if keys:
-        scanned = scanned.join(sizes, keys)
-    else:
-        scanned = scanned.withColumn("_all", F.lit(0)).join(
-            F.broadcast(sizes.withColumn("_all", F.lit(0))), "_all"  # a single row
-        )
+    scanned = join_by_group(scanned, sizes, keys) if keys else scanned.withColumn("_size", sizes.scalar())
     picks = []
     for name, p in probabilities.items():
         at = F.lit(float(p)) * (F.col("_size") - 1)
@@ -116,10 +119,9 @@ def average_rank(df: DataFrame, value: str, name: str, ascending: bool = True) -
     counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
     direction = F.col(value).asc() if ascending else F.col(value).desc()
     scanned = running_totals(counted, [], [direction], {"_upto": F.col("_n")})
-    size = F.broadcast(counted.agg(F.sum("_n").alias("_size")).withColumn("_all", F.lit(0)))  # a single row
-    ranks = scanned.withColumn("_all", F.lit(0)).join(size, "_all").select(
-        F.col(value).alias("_value"),
-        ((F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_size")).alias(name),
+    size = counted.agg(F.sum("_n")).scalar()
+    ranks = scanned.select(
+        F.col(value).alias("_value"), ((F.col("_upto") - (F.col("_n") - 1) / 2) / size).alias(name)
     )
     return df.join(ranks, F.col(value) == F.col("_value"), "left").drop("_value")
 

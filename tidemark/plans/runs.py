@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.lookups import small_table
-from tidemark.operators.ordering import exact_quantiles, running_totals
+from tidemark.operators.ordering import exact_quantiles, join_by_group, running_totals
 
 # Fixed values.
 ERRORS = ("model_error", "guardrail_error")
@@ -81,7 +81,7 @@ def nearest_rank(df: DataFrame, value: str, share: float, keys: Sequence[str], n
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     place = F.greatest(F.lit(1), F.ceil(F.lit(share).cast("decimal(8,6)") * F.col("_size")))
-    upto = running_totals(counted, keys, [F.col(value).asc()], {"_upto": F.col("_n")}).join(sizes, list(keys))
+    upto = join_by_group(running_totals(counted, keys, [F.col(value).asc()], {"_upto": F.col("_n")}), sizes, keys)
     return upto.where(F.col("_upto") >= place).groupBy(*keys).agg(F.min(value).alias(name))
 
 
