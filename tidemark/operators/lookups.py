@@ -30,7 +30,8 @@ def attach(df: DataFrame, dimension: DataFrame, on: Mapping[str, str], take: Map
         condition = equal if condition is None else condition & equal
         missing = missing | F.col(left).isNull()
     if spread_nulls:
-        spread = F.when(missing, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(NULL_SPREAD))).otherwise(F.lit(0))
+        hashable = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+        spread = F.when(missing, 1 + F.pmod(F.xxhash64(*hashable), F.lit(NULL_SPREAD))).otherwise(F.lit(0))
         df = df.withColumn("_spread", spread)
         side = side.withColumn("_no_spread", F.lit(0).cast("bigint"))
         condition = condition & (F.col("_spread") == F.col("_no_spread"))

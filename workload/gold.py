@@ -208,10 +208,10 @@ def text_slugs(spark, sf_dir):
     return spread(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", strings.slug(F.col("text")).alias("slug"))
 
 
-@query(r"""SELECT doc_id, nullif(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '') AS city_key FROM documents WHERE lang <> 'xx'""")
+@query(r"""SELECT doc_id, nullif(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '') AS city_key FROM documents""")
 def accent_free_keys(spark, sf_dir):
     """C08, over whole texts."""
-    return spread(read(spark, sf_dir, "documents", "doc_id", "text", "lang")).where("lang <> 'xx'").select("doc_id", strings.city_key(F.col("text")).alias("city_key"))
+    return spread(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", strings.city_key(F.col("text")).alias("city_key"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%m/%Y') AS expires, strftime(o_orderdate, '%Y-%m') AS year_month, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS utc,

@@ -31,20 +31,22 @@ def folder(spark):
 # ---- Deliveries and cleaning ----
 
 def delivered_customers(spark, sf_dir, root):
-    """The customer table delivered twice as CSV with blanks, padded texts and numbers that do not parse."""
+    """The customer table delivered as CSV with blanks, padded texts and numbers that do not parse, and a second delivery
+    that corrects one segment."""
     c = read(spark, sf_dir, "customer")
     segment = F.when(F.col("c_custkey") % 7 == 0, " NaN ").when(F.col("c_custkey") % 7 == 1, F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).otherwise(F.col("c_mktsegment"))
     balance = F.when(F.col("c_custkey") % 5 == 0, "oops").otherwise(F.col("c_acctbal").cast("string"))
     nation = F.concat(F.col("c_nationkey").cast("string"), F.lit(".0"))
-    first = c.select(F.col("c_custkey").cast("string"), "c_name", nation.alias("c_nationkey"), balance.alias("c_acctbal"), segment.alias("c_mktsegment"))
+    first = c.select(F.col("c_custkey").cast("string"), "c_name", nation.alias("c_nationkey"), balance.alias("c_acctbal"), segment.alias("c_mktsegment"),
+                     (F.col("c_mktsegment") == "BUILDING").alias("corrected"))
     readers.ingest(first, root, CUSTOMER, "2024-01-01")
-    readers.ingest(first.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.lit("1.5")), root, CUSTOMER, "2024-01-02")
+    readers.ingest(first.where("corrected").withColumn("c_acctbal", F.lit("1.5")), root, CUSTOMER, "2024-01-02")
     return readers.read_bronze(spark, root, CUSTOMER)
 
 
-@query("""SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN 1.5 WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
-    CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS dq_copies,
-    CASE WHEN c_custkey % 2 = 0 THEN DATE '2024-01-02' ELSE DATE '2024-01-01' END AS ingest_date FROM customer""")
+@query("""SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.5 WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
+    CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS dq_copies,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN DATE '2024-01-02' ELSE DATE '2024-01-01' END AS ingest_date FROM customer""")
 def delivered_and_deduplicated(spark, sf_dir):
     """Strict-header CSV, cleaning and typing, the newest delivery per key."""
     kept = deduplicated(delivered_customers(spark, sf_dir, folder(spark)), CUSTOMER, CATALOG)
@@ -188,7 +190,7 @@ def zone_tables(spark, sf_dir):
     features = o.groupBy(F.col("o_custkey").alias("customer_id")).agg(F.count("*").alias("txn_count_90d")).select(
         "customer_id", F.lit("2001-08-01").cast("date").alias("as_of_date"), "txn_count_90d", F.lit(0.0).alias("txn_amount_usd_90d"), F.lit(0).alias("foreign_txn_count_90d"), *spends)
     li = bank.lines(spark, sf_dir)
-    supplier = read(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0")
+    supplier = read(spark, sf_dir, "supplier").where("s_acctbal > 3000")
     interactions = li.select("customer_id", (F.col("l_partkey") % 100).alias("agent_id"), F.col("shipped").alias("interaction_date"),
                              F.concat_ws(":", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("num").cast("string"), F.lpad(F.col("l_partkey").cast("string"), 12, "0")).alias("interaction_id"),
                              none.alias("interaction_type"), F.col("flag").alias("channel"), none.alias("contact_reason"), F.lit(True).alias("was_resolved"), F.lit(False).alias("requires_followup"), F.col("delivered").alias("was_escalated"))
@@ -198,7 +200,7 @@ def zone_tables(spark, sf_dir):
 
 @query("""WITH line AS (SELECT o_custkey AS cid, CAST(l_shipdate AS DATE) AS shipped, l_partkey % 100 AS agent, lpad(l_orderkey::VARCHAR, 12, '0') || ':' || l_linenumber || ':' || lpad(l_partkey::VARCHAR, 12, '0') AS iid
       FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
-    a AS (SELECT cid, max({'d': shipped, 'i': iid, 'n': s_name}).n AS name FROM line JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON s_suppkey = agent GROUP BY 1),
+    a AS (SELECT cid, max({'d': shipped, 'i': iid, 'n': s_name}).n AS name FROM line JOIN (SELECT * FROM supplier WHERE s_acctbal > 3000) ON s_suppkey = agent GROUP BY 1),
     p AS (SELECT o_custkey AS cid, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'P') AS overdue FROM orders GROUP BY 1)
     SELECT c_custkey AS customer_id, lower(c_name[1]) || '***@mail.test' AS email_masked, '****' || right(lpad(c_custkey::VARCHAR, 10, '3'), 4) AS mobile_phone_masked, coalesce(p.n, 0) AS products, coalesce(overdue, 0) AS overdue,
       a.name || ' Z.' AS agent_name, p.n AS txn_count_90d FROM customer LEFT JOIN a ON a.cid = c_custkey LEFT JOIN p ON p.cid = c_custkey""")
@@ -293,10 +295,9 @@ def published_partitions(spark, sf_dir):
     return spark.read.parquet(path).select("customer_id", "as_of_date", "orders")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
-    concat_ws(',', CASE WHEN c_custkey % 5 = 0 THEN 'required_missing' END, CASE WHEN c_custkey % 5 <> 0 AND NOT (c_acctbal >= 0) THEN 'out_of_range' END,
-      CASE WHEN NOT (c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')) AND c_custkey % 7 <> 0 THEN 'not_allowed' END, CASE WHEN c_custkey % 7 = 0 THEN 'x' END) AS dq_reasons FROM customer
-    WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END, concat_ws(',', 'required_missing', CASE WHEN c_custkey % 5 <> 0 AND NOT (c_acctbal >= 0) THEN 'out_of_range' END) FROM customer WHERE c_custkey % 7 = 0""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS c_acctbal, concat_ws(',',
+      CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 'required_missing' END, CASE WHEN c_custkey % 5 <> 0 AND c_acctbal < 0 THEN 'out_of_range' END,
+      CASE WHEN c_custkey % 7 <> 0 AND NOT (c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')) THEN 'not_allowed' END) AS dq_reasons FROM customer""")
 def streamed_ingest(spark, sf_dir):
     """Delivered CSV files as a stream, typed and flagged as they arrive."""
     root = folder(spark)
@@ -324,7 +325,7 @@ def blocking_policies(spark, sf_dir):
     return read(spark, sf_dir, "labels").select("doc_id", F.array_join(runs.blocked_labels(F.array(one, one)), ",").alias("policies"))
 
 
-@query("""WITH a AS (SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE p_partkey % 9 <> 1), b AS (SELECT p_partkey, p_brand, p_type, p_size + CAST(p_partkey % 3 = 0 AS INT) AS p_size FROM part WHERE p_partkey % 11 <> 1),
+@query("""WITH a AS (SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE p_brand <> 'Brand#2'), b AS (SELECT p_partkey, p_brand, p_type, p_size + CAST(p_partkey % 3 = 0 AS INT) AS p_size FROM part WHERE p_brand <> 'Brand#17'),
     x AS (SELECT 'part-' || p_partkey || '.brand' AS path, p_brand AS v FROM a UNION ALL SELECT 'part-' || p_partkey || '.box.size', p_size::VARCHAR FROM a UNION ALL SELECT 'part-' || p_partkey || '.box.kinds', '["' || p_type || '","' || p_size || '"]' FROM a),
     y AS (SELECT 'part-' || p_partkey || '.brand' AS path, p_brand AS v FROM b UNION ALL SELECT 'part-' || p_partkey || '.box.size', p_size::VARCHAR FROM b UNION ALL SELECT 'part-' || p_partkey || '.box.kinds', '["' || p_type || '","' || p_size || '"]' FROM b)
     SELECT path, CASE WHEN path LIKE '%.kinds' THEN 'list changed' ELSE 'changed' END AS change, x.v AS old, y.v AS new FROM x JOIN y USING (path) WHERE x.v <> y.v
@@ -338,8 +339,8 @@ def configuration_changes(spark, sf_dir):
         inner = F.to_json(F.struct(F.col("p_brand").alias("brand"), box.alias("box")))
         return df.select(F.concat(F.lit('{"part-'), F.col("p_partkey").cast("string"), F.lit('":'), inner, F.lit("}")).alias("config"))
 
-    a = side(p.where("p_partkey % 9 <> 1"), F.col("p_size"))
-    b = side(p.where("p_partkey % 11 <> 1"), F.col("p_size") + (F.col("p_partkey") % 3 == 0).cast("int"))
+    a = side(p.where("p_brand <> 'Brand#2'"), F.col("p_size"))
+    b = side(p.where("p_brand <> 'Brand#17'"), F.col("p_size") + (F.col("p_partkey") % 3 == 0).cast("int"))
     return runs.config_changes(a, b).select("path", "change", "old", "new")
 
 

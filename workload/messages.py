@@ -120,13 +120,12 @@ def document_languages(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", text.reply_language(F.col("text")).alias("language"))
 
 
-@query("""SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12,2))::VARCHAR AS loose FROM orders WHERE o_orderkey % 3 = 0
-    UNION ALL SELECT o_orderkey, '' FROM orders WHERE o_orderkey % 3 <> 0""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(12,2))::VARCHAR ELSE '' END AS loose FROM orders""")
 def ungrounded_figures(spark, sf_dir):
-    """Replies quote an order's price with either decimal mark; a third of the sources hold another one."""
+    """Replies quote an order's price with a point, sources hold it with a comma; a third hold another one."""
     o = spread(read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"))
     price = F.format_string("%.2f", "o_totalprice")
-    reply = F.concat(F.lit("Tu pedido suma "), F.when(F.col("o_orderkey") % 2 == 0, price).otherwise(price), F.lit(" en total"))
+    reply = F.concat(F.lit("Tu pedido suma "), price, F.lit(" en total"))
     source = F.when(F.col("o_orderkey") % 3 == 0, F.lit("total 1.000.000,55")).otherwise(F.concat(F.lit("total "), F.translate(price, ".", ",")))
     return o.select("o_orderkey", F.array_join(text.ungrounded(reply, source), ",").alias("loose"))
 
@@ -140,11 +139,12 @@ def reply_compliance(spark, sf_dir):
 
 # ---- Evaluation runs: labels as expected answers, two rules over the documents as two runs ----
 CASES_SQL = """d AS (SELECT doc_id, source, lang, n_chars, CAST(quality AS VARCHAR) AS expected FROM labels JOIN documents USING (doc_id)),
-    ra AS (SELECT *, CASE WHEN doc_id % 41 = 0 THEN 'model_error' ELSE CAST(n_chars > 400 AS INT)::VARCHAR END AS actual FROM d WHERE doc_id % 53 <> 1),
-    rb AS (SELECT *, CASE WHEN doc_id % 43 = 0 THEN 'model_error' ELSE CAST(n_chars > 700 AS INT)::VARCHAR END AS actual FROM d WHERE doc_id % 59 <> 1)"""
+    ra AS (SELECT *, CASE WHEN doc_id % 41 = 0 THEN 'model_error' ELSE CAST(n_chars > 400 AS INT)::VARCHAR END AS actual FROM d WHERE source <> 'src7'),
+    rb AS (SELECT *, CASE WHEN doc_id % 43 = 0 THEN 'model_error' ELSE CAST(n_chars > 700 AS INT)::VARCHAR END AS actual FROM d WHERE source <> 'src11')"""
 
 
 def run_cases(spark, sf_dir, error_every, missing, least):
+    """The labels as cases of one run; the documents of one source were not part of it."""
     d = read(spark, sf_dir, "labels", "doc_id", "quality").join(read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars"), "doc_id")
     actual = F.when(F.col("doc_id") % error_every == 0, "model_error").otherwise((F.col("n_chars") > least).cast("int").cast("string"))
     expected = F.col("quality").cast("string")
@@ -152,17 +152,17 @@ def run_cases(spark, sf_dir, error_every, missing, least):
     measured = F.struct((F.col("doc_id") % 4 + 1).alias("requests"), n.alias("input_tokens"), (n % 90).alias("output_tokens"), (n * least / 100.0).alias("latency_ms"),
                         (F.col("doc_id") % 3).alias("retries"), (F.col("doc_id") % 10 == 0).alias("fallback_used"),
                         F.when((F.col("lang") != "de") | (F.lit(least) == 400), n / 1000.0).alias("cost_usd"))
-    kept = d.where(F.col("doc_id") % missing != 1)
+    kept = d.where(F.col("source") != missing)
     return kept.select(F.col("lang").alias("suite"), F.col("doc_id").cast("string").alias("case_id"), (actual == expected).alias("passed"), expected.alias("expected"),
                        actual.alias("actual"), F.array(F.col("source")).alias("tags"), F.struct(F.array().cast("array<string>").alias("policies"), measured.alias("metrics")).alias("detail"))
 
 
 def run_a(spark, sf_dir):
-    return run_cases(spark, sf_dir, 41, 53, 400)
+    return run_cases(spark, sf_dir, 41, "src7", 400)
 
 
 def run_b(spark, sf_dir):
-    return run_cases(spark, sf_dir, 43, 59, 700)
+    return run_cases(spark, sf_dir, 43, "src11", 700)
 
 
 @query(f"""WITH {CASES_SQL}, g AS (SELECT lang AS suite, NULL AS tag, expected, actual FROM ra UNION ALL SELECT lang, source, expected, actual FROM ra)
