@@ -5,13 +5,55 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, token_counts, token_files
+from tidemark.llm import decontamination, line_dedup, packing, quality_model, simhash, token_counts, token_files
 from tidemark.llm.common import shared_folder, table
 from tidemark.llm.registry import query
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
+LINES = "list_filter(string_split(text, chr(10)), x -> trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')"
+
+
+@query(f"""WITH own AS (SELECT source, doc_id, unnest(list_distinct(list_transform({LINES},
+    x -> trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS line FROM documents),
+total AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+drop_ AS (SELECT own.source, list(line) AS lines FROM (SELECT source, line, count(*) AS pages FROM own GROUP BY ALL) own
+    JOIN total ON own.source IS NOT DISTINCT FROM total.source WHERE pages >= 5 AND pages > 0.05 * n GROUP BY own.source),
+kept AS (SELECT doc_id, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)),
+    x -> NOT list_contains(coalesce(drop_.lines, []::VARCHAR[]), trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS kept
+    FROM documents LEFT JOIN drop_ ON documents.source IS NOT DISTINCT FROM drop_.source)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM kept""")
+def op1_line_dedup(spark, sf_dir):
+    """Every document without the lines that more than 5 % of its source's documents (5 at least) hold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    cleaned = line_dedup.without_boilerplate(docs, "source", "text", max_ratio=0.05, min_pages=5, counts=("n_lines", "n_dropped"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query()
+def op2_quality_model(spark, sf_dir):
+    """A score of every document by a model of labels.quality that never saw the labels held out here."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.learn(docs, table(spark, sf_dir, "labels"), "quality", max_rows=20_000)
+    scores = quality_model.with_scores(docs, model)
+    return scores.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op3_decontamination(spark, sf_dir):
+    """Words of every document that stand in a 13-word window of a test item, and the items."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, coverage=20)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.col("longest").alias("longest_match"))
+
+
+@query()
+def op5_simhash(spark, sf_dir):
+    """Fingerprint of 3-word shingles and component at 2 or fewer differing bits of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, size=3)
+
+
 @query()
 def op6_token_files(spark, sf_dir):
     """Every document's ids, followed by id 1, from Arrow files of 2048-token sequences in ascending doc_id."""
