@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, line_dedup, packing, quality_model, simhash, token_counts, token_files
+from tidemark.llm import decontamination, licenses, line_dedup, packing, quality_model, quality_rules, secrets, simhash, token_counts, token_files
 from tidemark.llm.common import shared_folder, table
 from tidemark.llm.registry import query
 
@@ -48,6 +48,17 @@ def op3_decontamination(spark, sf_dir):
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.col("longest").alias("longest_match"))
 
 
+@query()
+def op4_secrets(spark, sf_dir):
+    """Spans of secrets in every document, by the base patterns and by the character models."""
+    docs = table(spark, sf_dir, "documents")
+    ratios = secrets.log_ratios(secrets.labelled_samples(docs, max_samples=5_000))
+    found = secrets.find_secrets(docs, ratios, min_ratio=12.0)
+    base = secrets.spans_text(F.col("base"))
+    return found.select("doc_id", *(secrets.count_of(F.col("base"), k).alias(f"n_{kind}") for k, (kind, _, _) in enumerate(secrets.BASE)),
+                        F.sha2(base, 256).alias("base_sha256"), secrets.spans_text(F.array_sort(F.concat("base", "model"))).alias("spans"))
+
+
 @query()
 def op5_simhash(spark, sf_dir):
     """Fingerprint of 3-word shingles and component at 2 or fewer differing bits of every document."""
@@ -60,6 +71,19 @@ def op6_token_files(spark, sf_dir):
     return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), WORDS, end_id=1)
 
 
+@query()
+def op7_licenses(spark, sf_dir):
+    """License phrases and texts in every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), threshold=0.9)
+    base = F.transform("base", lambda b: b["label"])
+    starts = F.transform("base", lambda b: b["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min(starts).cast("bigint").alias("first_word"),
+        F.array_max(starts).cast("bigint").alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, "labels")), ",").alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.col("containment")).alias("score"))
+
+
 @query()
 def op8_token_counts(spark, sf_dir):
     """Bytes and tokens of every document by way of a digest cache, which is empty when the query starts."""
@@ -71,3 +95,9 @@ def op8_token_counts(spark, sf_dir):
 def op9_best_fit_packing(spark, sf_dir):
     """Every document's pieces of at most 2048 tokens, each in a slot of a sequence."""
     return packing.pack(table(spark, sf_dir, "documents"), BYTES, end_id=0)
+
+
+@query()
+def op10_quality_rules(spark, sf_dir):
+    """Measures of every document, the base rule, and the verdict of thresholds per language and source."""
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
