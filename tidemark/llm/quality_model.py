@@ -188,11 +188,11 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([rows.column("label"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], ["label", *FEATURES])
 
 
-def scored(batches: Iterator[pa.RecordBatch], model: AdditiveModel, text: str, drop: bool) -> Iterator[pa.RecordBatch]:
+def scored(batches: Iterator[pa.RecordBatch], model: AdditiveModel, text: str, drop: bool, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts in text_slices(batch, text):
             score = model.score(np.array([features_of(t) for t in texts]))
-            yield (rows.drop_columns([text]) if drop else rows).append_column("score", pa.array(score))
+            yield (rows.drop_columns([text]) if drop else rows).append_column(name, pa.array(score))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000, id: str = "doc_id", text: str = "text") -> AdditiveModel:
@@ -207,9 +207,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return fit(table[list(FEATURES)].to_numpy(float), table["label"].to_numpy(float))
 
 
-def with_scores(docs: DataFrame, model: AdditiveModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and `score` of every row."""
+def with_scores(docs: DataFrame, model: AdditiveModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns and the score of every row."""
     kinds, drop = dict(docs.dtypes), text not in keep
     rows = docs.select(*[c for c in keep if c != text], text)
-    out = ", ".join([*(f"`{c}` {kinds[c]}" for c in rows.columns if c != text or not drop), "score double"])
-    return in_arrow(rows, lambda batches: scored(batches, model, text, drop), out)
+    out = ", ".join([*(f"`{c}` {kinds[c]}" for c in rows.columns if c != text or not drop), f"{name} double"])
+    return in_arrow(rows, lambda batches: scored(batches, model, text, drop, name), out)

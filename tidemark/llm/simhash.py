@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_arrow, stored, text_slices
+from tidemark.llm.common import in_arrow, null_safe_key, stored, text_slices
 
 SAMPLE = 20_000  # fingerprints that steer partitions and thresholds
 MAX_ROUNDS = 60
@@ -60,7 +60,7 @@ def fingerprinted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
     for batch in batches:
         for rows, texts in text_slices(batch, "text"):
             prints = np.array([fingerprint(t, size) for t in texts], np.uint64)
-            yield pa.record_batch([rows.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield rows.drop_columns(["text"]).append_column("fp", pa.array(prints.view(np.int64)))
 
 
 def bits_of(prints: np.ndarray) -> np.ndarray:
@@ -227,18 +227,36 @@ def components(pairs: DataFrame) -> DataFrame:
     raise RuntimeError(f"components are not settled after {MAX_ROUNDS} rounds")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`id`, `fingerprint` (16 hex digits) and `component_id` of every row."""
-    named = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+def classed(docs: DataFrame, radius: int, size: int, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with `doc_id`, the text's keys and `fp`; and for every fingerprint that is linked or repeated its component's `root` and `component_id`."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    named = docs.select(F.col(id).alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2"))
     kind = dict(named.dtypes)["doc_id"]
-    rows = stored(in_arrow(named, lambda batches: fingerprinted(batches, size), f"doc_id {kind}, fp bigint"), "fingerprints")
+    rows = stored(in_arrow(named, lambda batches: fingerprinted(batches, size), f"doc_id {kind}, h1 bigint, h2 bigint, fp bigint"), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
     tree = components(links(prints.select("fp"), radius))
-    grouped = stored(prints.join(tree, prints["fp"] == tree["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")), "members")
-    smallest = grouped.where("linked").groupBy("root").agg(F.min("first").alias("smallest"))
-    member = grouped.where("linked").join(smallest, "root").select("fp", F.col("smallest").alias("component_id"))
-    alone = grouped.where("NOT linked AND n > 1").select("fp", F.col("first").alias("component_id"))
-    # Stored sides without an aggregate above their shuffle: AQE can split the fingerprint of a much copied text.
-    classes = stored(member.union(alone), "classes")
+    grouped = stored(prints.join(tree, prints["fp"] == tree["node"], "left").select("fp", "first", "n", "root"), "members")
+    linked = grouped.where("root IS NOT NULL")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    alone = grouped.where("root IS NULL AND n > 1").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
+    # Stored, so that no aggregate stands above its shuffle: AQE can split the fingerprint of a much copied text.
+    return rows, stored(linked.join(smallest, "root").select("fp", "root", "component_id").union(alone), "classes")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`id`, `fingerprint` (16 hex digits) and `component_id` of every row."""
+    rows, classes = classed(docs, radius, size, id, text)
     return rows.join(classes, "fp", "left").select(F.col("doc_id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                        F.coalesce("component_id", "doc_id").alias("component_id"))
+                                                   F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one row of every component: the smallest id (null last), then the smallest text keys; of rows that repeat, one."""
+    rows, classes = classed(docs, radius, size, id, text)
+    rooted = rows.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("r"))
+    chosen = first.select(null_safe_key(F.col("r.doc_id")).alias("_near_id"), F.col("r.h1").alias("_near_1"), F.col("r.h2").alias("_near_2"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.withColumns({"_near_id": null_safe_key(F.col(id)), "_near_1": F.xxhash64(whole), "_near_2": F.xxhash64(F.lit(1), whole)})
+    keys = ["_near_id", "_near_1", "_near_2"]
+    return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).drop(*keys)
