@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_arrow, text_slices
+from tidemark.llm.common import in_arrow, stored, text_slices
 from tidemark.llm.tokens import cut_of, encoder
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
@@ -64,6 +64,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id: str = "doc_id", tex
     misses = keyed.select("digest", "text").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
     (in_arrow(misses, lambda batches: counted(batches, path), "digest binary, n_tokens bigint")
      .select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache))
-    # Two writers may have added one digest: the counts are equal.
-    counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Two writers may have added one digest: the counts are equal. Stored, so that no aggregate stands above the shuffle of the
+    # join and AQE can split a much copied digest.
+    counts = stored(read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.drop("text").join(counts, "digest").select(F.col("id").alias(id), "n_bytes", "n_tokens")
