@@ -1,7 +1,7 @@
 """Token ids in Arrow files of fixed-size lists, read back by position without copying.
 
 The stream of ids, every document followed by its end id, is cut into sequences of `length`. A file holds record batches
-of two fixed-size-list columns, `ids` and `mask` (1 where there is a token, 0 in the padding behind the file's last one),
+of two fixed-size-list columns, `ids` and `mask` (true where there is a token, false in the padding behind the file's last one),
 so sequence k of a file is found by its number alone. Beside each token file lies an index file with the documents in it:
 `doc_id`, `start` (ids before it in this file) and `n_tokens`. Files follow each other in ascending `doc_id`.
 
@@ -45,7 +45,7 @@ class TokenFile:
     """Appends ids to an Arrow file, whole sequences at a time."""
 
     def __init__(self, sink, kind: pa.DataType, length: int):
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.writer, self.kind, self.length = ipc.new_file(sink, self.schema), kind, length
         self.rest, self.n_tokens = np.zeros(0, kind.to_pandas_dtype()), 0
 
@@ -59,9 +59,8 @@ class TokenFile:
         self.rest = ids[whole:]
 
     def batch(self, ids: np.ndarray, real: int):
-        mask = np.ones(len(ids), np.uint8)
-        mask[real:] = 0
-        self.writer.write_batch(pa.record_batch([lists(ids, self.kind, self.length), lists(mask, pa.uint8(), self.length)], schema=self.schema))
+        mask = np.arange(len(ids)) < real
+        self.writer.write_batch(pa.record_batch([lists(ids, self.kind, self.length), lists(mask, pa.bool_(), self.length)], schema=self.schema))
 
     def close(self):
         if len(self.rest):
@@ -146,7 +145,9 @@ def read_token_files(manifest: DataFrame, length: int = 2048) -> DataFrame:
     """A row per document from the files: `start` counts the ids of all documents before it, over all files."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     offsets = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_before"))
-    rows = in_arrow(manifest.select("file", "part").repartition("part"), lambda batches: read_part(batches, length), ROWS)
+    # As many tasks as files: left to itself, the planner would read all of them in one, as the manifest is small.
+    spread = manifest.select("file", "part").repartition(max(1, manifest.count()), "part")
+    rows = in_arrow(spread, lambda batches: read_part(batches, length), ROWS)
     return rows.join(offsets, "part").select("doc_id", (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
 
 
