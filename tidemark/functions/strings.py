@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,3 +71,33 @@ def short_name(first: Column, last: Column) -> Column:
 def pseudonym(value: Column, length: int = 10) -> Column:
     """The first hex digits of SHA-256: stable, and not the id."""
     return F.left(F.sha2(value.cast("string"), 256), F.lit(length))
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(values: Column, block: int = 256) -> Column:
+    """Inclusive running sums of an array of int, by sums of blocks: each adds one block at most and the blocks before it."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, v: a + v)
+    which = lambda i: F.floor(i / block).cast("int")
+
+    def with_blocks(v: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), which(F.size(v) - 1)), lambda b: total(F.slice(v, b * block + 1, F.lit(block))))
+        return bind(sums, lambda s: F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (
+            total(F.slice(s, F.lit(1), which(i))) + total(F.slice(v, which(i) * block + 1, i % block + 1)))))
+
+    return bind(values, with_blocks)
+
+
+def places(text: Column, pattern: str) -> Column:
+    """start and end, in code points, of every match of a pattern that never matches nothing: running sums of the lengths of
+    matches and of the gaps between them."""
+    def found(matches: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda gap, match: F.length(gap) + F.length(match))
+        rows = bind(running_sums(steps), lambda ends: F.zip_with(matches, ends, lambda match, end: F.struct((end - F.length(match)).alias("start"), end.alias("end"))))
+        none = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
+        return F.when(F.size(matches) == 0, none).otherwise(rows.cast("array<struct<start:int,end:int>>"))
+
+    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.lookups import small_table
 from tidemark.operators.ordering import exact_quantiles, join_by_group, running_totals
 
 # Fixed values.
@@ -111,11 +110,20 @@ def side_by_side(metrics: DataFrame, names: Sequence[str] = ("requests", "input_
     return out.withColumn("change", F.when(F.col("old") != 0, (F.col("new") - F.col("old")) / F.col("old")))
 
 
-def flattened(config: Column, depth: int = 6) -> Column:
-    """A nested JSON object as a map of dotted paths to leaf texts; lists are leaves, an empty object is one too."""
+def nesting(df: DataFrame, config: str) -> int:
+    """How deep the deepest object of a JSON column is nested: one small job over the headers."""
+    bare = F.regexp_replace(config, r'"(?:[^"\\]|\\.)*"', "")  # braces inside names and texts do not count
+    steps = F.transform(F.regexp_extract_all(bare, F.lit(r"[{}]"), F.lit(0)), lambda c: F.when(c == "{", 1).otherwise(-1))
+    level = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, s: F.struct(
+        (a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most")), lambda a: a["most"])
+    return df.agg(F.max(level)).first()[0] or 0
+
+
+def flattened(config: Column, depth: int) -> Column:
+    """A JSON object nested up to `depth` as a map of dotted paths to leaf texts; lists are leaves, an empty object is one too."""
     as_map = lambda text: F.from_json(text, "map<string,string>")
     entries = F.transform(F.map_entries(as_map(config)), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
-    for _ in range(depth):
+    for _ in range(depth - 1):
         entries = F.flatten(F.transform(entries, lambda e: F.when(
             e["value"].startswith("{") & (F.size(as_map(e["value"])) > 0),
             F.transform(F.map_entries(as_map(e["value"])), lambda i: F.struct(F.concat(e["path"], F.lit("."), i["key"]).alias("path"), i["value"].alias("value"))),
@@ -131,7 +139,8 @@ def config_changes(a: DataFrame, b: DataFrame, config: str = "config") -> DataFr
     both = in_a.join(in_b, "section", "full_outer")
     lonely = both.where("_a IS NULL OR _b IS NULL").select(
         F.col("section").alias("path"), F.when(F.col("_b").isNull(), "only in A").otherwise("only in B").alias("change"))
-    paths = lambda df, name: df.select(F.inline(flattened(F.col(config)))).withColumnRenamed("value", name)
+    depth = max(nesting(a, config), nesting(b, config))
+    paths = lambda df, name: df.select(F.inline(flattened(F.col(config), depth))).withColumnRenamed("value", name)
     shared = both.where("_a AND _b").select("section")
     within = lambda df, name: paths(df, name).withColumn("section", F.substring_index("path", ".", 1)).join(shared, "section", "left_semi").drop("section").withColumn(f"_has_{name}", F.lit(True))
     joined = within(a, "old").join(within(b, "new"), "path", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")) | F.col("_has_old").isNull() | F.col("_has_new").isNull())
@@ -147,12 +156,16 @@ def config_changes(a: DataFrame, b: DataFrame, config: str = "config") -> DataFr
 
 def token_costs(calls: DataFrame, prices: Sequence[tuple]) -> DataFrame:
     """Cost per case from its calls; null when a call that used tokens has no price. `prices` lists model family (part
-    of the model id) and USD per million input and output tokens."""
-    table = small_table(calls.sparkSession, prices, "_family string, _in double, _out double")
-    used = calls.where((F.col("input_tokens") > 0) | (F.col("output_tokens") > 0))
-    priced = used.join(table, F.contains(F.col("model_id"), F.col("_family")), "left")
+    of the model id) and USD per million input and output tokens; the first family that an id holds is the one billed."""
+    def price(k: int) -> Column:
+        chosen = F.lit(None).cast("double")
+        for row in reversed(prices):
+            chosen = F.when(F.contains(F.col("model_id"), F.lit(row[0])), F.lit(float(row[k]))).otherwise(chosen)
+        return chosen
+
+    used = calls.where((F.col("input_tokens") > 0) | (F.col("output_tokens") > 0)).withColumns({"_in": price(1), "_out": price(2)})
     cost = (F.col("input_tokens") * F.col("_in") + F.col("output_tokens") * F.col("_out")) / 1_000_000
-    sums = priced.groupBy("case_id").agg(F.when(F.count_if(F.col("_in").isNull()) == 0, F.round(F.sum(cost), 6)).alias("cost_usd"), F.lit(True).alias("_used"))
+    sums = used.groupBy("case_id").agg(F.when(F.count_if(F.col("_in").isNull()) == 0, F.round(F.sum(cost), 6)).alias("cost_usd"), F.lit(True).alias("_used"))
     every = calls.select("case_id").distinct().join(sums, "case_id", "left")
     return every.select("case_id", F.when(F.col("_used").isNull(), F.lit(0.0)).otherwise(F.col("cost_usd")).alias("cost_usd"))
 

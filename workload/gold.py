@@ -17,7 +17,7 @@ from tidemark.sources import sinks
 from tidemark.sources.readers import read_columns
 from workload import bankview as bank
 from workload.registry import query
-from workload.tables import PRIORITIES, read, spread
+from workload.tables import PRIORITIES, read
 
 # ---- A daily rate table derived from the days orders were placed on ----
 # One unit of a currency in dollars drifts with the day; a direct rate is the quotient, a little off on some days.
@@ -205,13 +205,13 @@ def masked_customers(spark, sf_dir):
     (SELECT doc_id, text AS left_words FROM documents)""")
 def text_slugs(spark, sf_dir):
     """C07, over whole texts."""
-    return spread(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", strings.slug(F.col("text")).alias("slug"))
+    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", strings.slug(F.col("text")).alias("slug"))
 
 
 @query(r"""SELECT doc_id, nullif(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '') AS city_key FROM documents""")
 def accent_free_keys(spark, sf_dir):
     """C08, over whole texts."""
-    return spread(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", strings.city_key(F.col("text")).alias("city_key"))
+    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", strings.city_key(F.col("text")).alias("city_key"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%m/%Y') AS expires, strftime(o_orderdate, '%Y-%m') AS year_month, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS utc,

@@ -20,7 +20,7 @@ from tidemark.streaming import jobs
 from workload import bankview as bank
 from workload import quality
 from workload.registry import query
-from workload.tables import CATALOG, CUSTOMER, LINEITEM, ORDERS, read, spread
+from workload.tables import CATALOG, CUSTOMER, LINEITEM, ORDERS, read
 
 
 def folder(spark):

@@ -15,11 +15,11 @@ from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.readers import read_run as runs_reader
 from tidemark.streaming import jobs
 from workload.registry import query
-from workload.tables import read, spread
+from workload.tables import read
 
 def texts(spark, sf_dir):
-    """Whole documents. Text work is heavy per row, so a table of fewer splits than cores is spread first."""
-    return spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+    """Whole documents."""
+    return read(spark, sf_dir, "documents", "doc_id", "text")
 
 
 RUN = r"(?:(S/|R\$|US\$|\$|€|\b(?:USD|PEN|BRL|EUR|COP|CLP|MXN))\s?)?(\d(?:[ .-]?\d){7,})"
@@ -33,16 +33,37 @@ def long_numbers_in_documents(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", F.size(text.long_numbers(F.col("text"))).alias("numbers"))
 
 
-@query()
+# Fixed values of these queries: a secret in each form a customer may write it, and what is left of it.
+SECRETS = (
+    ("MI CONTRASEÑA ES Secreta123, gracias", "MI CONTRASEÑA ES [REDACTED], gracias"), ("el CÓDIGO: 9931", "el CÓDIGO: [REDACTED]"),
+    ("tarjeta 4111\u00a01111\u00a01111\u00a01111 fin", "tarjeta [REDACTED] fin"), ("cuenta １２３４５６７８９", "cuenta [REDACTED]"),
+    ("mi clave es Hunter2! quiero un asesor", "mi clave es [REDACTED]! quiero un asesor"), ("minha senha do app é abc123", "minha senha do app é [REDACTED]"),
+    ("saldo S/ 1.234.567,89 el 2026-10-04", "saldo S/ 1.234.567,89 el 2026-10-04"), ("pin=77; Bearer abc.def", "pin=[REDACTED]; Bearer [REDACTED]"),
+    ("¿Cuál es mi clave?", "¿Cuál es mi clave?"), ("senha abc. token eyJhbGciOi.eyJzdWIi.sig", "senha [REDACTED]. token [REDACTED]"),
+)
+
+
+def _tail_sql(key: str) -> str:
+    return "CASE " + " ".join(f"WHEN {key} % {len(SECRETS)} = {k} THEN '{left}'" for k, (_, left) in enumerate(SECRETS)) + " END"
+
+
+def redacted_tails(df, key: str, *keep):
+    """Whole texts with a secret planted in a last line, redacted: that line."""
+    planted = F.element_at(F.array(*[F.lit(said) for said, _ in SECRETS]), (F.col(key) % len(SECRETS) + 1).cast("int"))
+    out = text.redact(df.withColumn("text", F.concat("text", F.lit("\n"), planted)), "text")
+    return out.select(key, *keep, F.substring_index("text", "\n", -1).alias("tail"))
+
+
+@query(f"SELECT conv_id, turn, {_tail_sql('conv_id')} AS tail FROM conversations")
 def redacted_conversations(spark, sf_dir):
-    """P02, over whole texts: only texts that name a secret reach Python."""
-    return text.redact(read(spark, sf_dir, "conversations"), "text")
+    """P02, over whole texts: accents in upper case, no-break spaces, full-width digits, exempt amounts and dates."""
+    return redacted_tails(read(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
-@query()
+@query(f"SELECT doc_id, {_tail_sql('doc_id')} AS tail FROM documents")
 def redacted_documents(spark, sf_dir):
     """P02, over whole documents."""
-    return text.redact(texts(spark, sf_dir), "text")
+    return redacted_tails(texts(spark, sf_dir), "doc_id")
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g')) AS plain FROM documents""")
@@ -89,7 +110,7 @@ PT_SQL, ES_SQL = _language_sql("message", text.PT_WORDS, text.ES_WORDS, text.PT_
 def messages(spark, sf_dir):
     which = (F.col("o_orderkey") % 10 + 1).cast("int")
     pick = lambda i: F.element_at(F.array(*[F.lit(t[i]) for t in TEMPLATES]), which)
-    o = spread(read(spark, sf_dir, "orders", "o_orderkey"))
+    o = read(spark, sf_dir, "orders", "o_orderkey")
     return o.select("o_orderkey", F.concat(pick(0), F.col("o_orderkey").cast("string")).alias("message"), pick(1).alias("expected"))
 
 
@@ -123,7 +144,7 @@ def document_languages(spark, sf_dir):
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(12,2))::VARCHAR ELSE '' END AS loose FROM orders""")
 def ungrounded_figures(spark, sf_dir):
     """Replies quote an order's price with a point, sources hold it with a comma; a third hold another one."""
-    o = spread(read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"))
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
     price = F.format_string("%.2f", "o_totalprice")
     reply = F.concat(F.lit("Tu pedido suma "), price, F.lit(" en total"))
     source = F.when(F.col("o_orderkey") % 3 == 0, F.lit("total 1.000.000,55")).otherwise(F.concat(F.lit("total "), F.translate(price, ".", ",")))
@@ -199,9 +220,9 @@ def run_cost_and_latency(spark, sf_dir):
 @query("""SELECT conv_id::VARCHAR AS case_id, CASE WHEN bool_or(role = 'system') THEN NULL ELSE round(sum(length(text) * (CASE role WHEN 'user' THEN 1.0 ELSE 3.0 END) + turn * (CASE role WHEN 'user' THEN 5.0 ELSE 15.0 END)) / 1000000, 6) END AS cost_usd
     FROM conversations GROUP BY conv_id""")
 def token_costs(spark, sf_dir):
-    """A conversation's turns as calls of two priced models and one without a price."""
+    """A conversation's turns as calls of two priced models, one of whose ids holds both names, and one without a price."""
     c = read(spark, sf_dir, "conversations")
-    model = F.when(F.col("role") == "user", "eu.small-model-v1").when(F.col("role") == "assistant", "eu.large-model-v1").otherwise("unpriced")
+    model = F.when(F.col("role") == "user", "eu.small-model-of-large-model-v1").when(F.col("role") == "assistant", "eu.large-model-v1").otherwise("unpriced")
     calls = c.select(F.col("conv_id").cast("string").alias("case_id"), model.alias("model_id"), F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens"))
     return runs.token_costs(calls, (("small-model", 1.0, 5.0), ("large-model", 3.0, 15.0)))
 

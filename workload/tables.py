@@ -66,10 +66,3 @@ def reader(spark: SparkSession, sf_dir: str):
 
 def day(column: str):
     return F.to_date(F.col(column))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions for work that is heavy per row, when the source has fewer splits than the cluster has
-    cores. A large table has many splits and is left as it is, so nothing is shuffled at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
