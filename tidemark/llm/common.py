@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 4 << 20  # Python handles texts in slices of about this size, whatever an Arrow batch holds
+SLICE_BYTES = 2 << 20  # Python handles texts in slices of about this size, whatever an Arrow batch holds
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates the words of a text in which A-Z are lower case
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -87,3 +87,4 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordB
         high = max(low + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
         yield batch.slice(low, high - low), texts.slice(low, high - low).to_pylist()
         low = high
+    pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ from array import array
 import numpy as np
 
 END, FIRST, WHOLE = b"\xff", b"\xfe", b"\xfd"  # bytes that UTF-8 never uses
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 MARKS = b",.;:!?|"
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿĀ-įĲ-ɏ]+")  # letters whose small form is one letter; long in every Unicode table
 LETTER = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
@@ -33,7 +33,7 @@ LONG_RUN = re.compile(r"\s\s\s|\s\s\Z")
 _encoders: dict = {}
 
 
-def encoder(path: str, end_ids: tuple[int, ...] = (), limit: int = 1_000_000) -> "TextEncoder":
+def encoder(path: str, end_ids: tuple[int, ...] = (), limit: int = 300_000) -> "TextEncoder":
     """One encoder per worker process, vocabulary and end."""
     key = (path, end_ids, limit)
     if key not in _encoders:
