@@ -25,12 +25,12 @@ NOT_TRANSACTIONAL = ("tenure_days", "products_opened", "sends_180d", "opens_180d
 TRANSACTIONAL = tuple(f for f in FEATURES if f not in NOT_TRANSACTIONAL)
 
 
-def boosted_trees(inputs: Sequence[str] = tuple(FEATURES), label: str = TARGET, **parameters) -> Pipeline:
+def boosted_trees(inputs: Sequence[str] = FEATURES, label: str = TARGET, **parameters) -> Pipeline:
     trees = GBTClassifier(featuresCol="_inputs", labelCol=label, **{**TREES, **parameters})
     return Pipeline(stages=[VectorAssembler(inputCols=list(inputs), outputCol="_inputs"), trees])
 
 
-def single_split_trees(inputs: Sequence[str] = tuple(FEATURES), label: str = TARGET, **parameters) -> Pipeline:
+def single_split_trees(inputs: Sequence[str] = FEATURES, label: str = TARGET, **parameters) -> Pipeline:
     """The additive check: without interactions, how much is lost?"""
     return boosted_trees(inputs, label, **{"maxDepth": 1, **parameters})
 
@@ -39,7 +39,7 @@ def signed_log(column: str) -> str:
     return f"signum({column}) * log1p(abs({column}))"
 
 
-def linear_probe(inputs: Sequence[str] = tuple(FEATURES), label: str = TARGET) -> Pipeline:
+def linear_probe(inputs: Sequence[str] = FEATURES, label: str = TARGET) -> Pipeline:
     """Signed log1p, standardised, logistic regression."""
     logs = ", ".join(f"{signed_log(c)} AS _log_{c}" for c in inputs)
     return Pipeline(stages=[
@@ -96,7 +96,7 @@ def compare_scores(rows: DataFrame, scores: Mapping[str, str], label: str, keys:
 
 
 def ablation(train: DataFrame, valid: DataFrame, without: Sequence[str], label: str = TARGET, build=linear_probe,
-             inputs: Sequence[str] = tuple(FEATURES)) -> DataFrame:
+             inputs: Sequence[str] = FEATURES) -> DataFrame:
     """The same model with and without some features, on the same validation rows."""
     kept = [f for f in inputs if f not in without]
     scored = predict(build(inputs, label).fit(train), valid, "_with")

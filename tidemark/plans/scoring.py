@@ -32,7 +32,7 @@ def all_finite(columns: Sequence[str]) -> Column:
 
 
 def score_customers(customers: DataFrame, rows: DataFrame, scores: DataFrame, as_of: date, model_version: str,
-                    inputs: Sequence[str] = tuple(FEATURES)) -> DataFrame:
+                    inputs: Sequence[str] = FEATURES) -> DataFrame:
     """`rows`: feature rows at this cutoff. `scores`: customer_id, score for them. A customer who registers
     later is not one yet; one without usable inputs gets a reason instead of an invented score."""
     cutoff = F.lit(cutoff_for(as_of))

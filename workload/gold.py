@@ -110,8 +110,7 @@ def products(spark, sf_dir):
     return products_of(bank.lines(spark, sf_dir))
 
 
-def products_of(rows):
-    li = rows.where("num <= 2")
+def products_of(li):
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("l_partkey") % 8 + 1).cast("int"))
     return li.select(
         "customer_id", kind.alias("product_type"), F.when(F.col("delivered"), "Active").otherwise("Closed").alias("product_status"),
@@ -122,7 +121,7 @@ def products_of(rows):
 
 PROD_SQL = bank.sql("line") + f""", p AS (SELECT customer_id, {TYPES!r}[l_partkey % 8 + 1] AS kind, delivered,
     CASE WHEN flag <> 'A' THEN CAST(l_partkey % 100 AS DOUBLE) END AS lim, CASE WHEN flag = 'R' THEN l_partkey % 90 END AS due, flag = 'N' AS app,
-    CASE WHEN num = 1 THEN CAST(l_partkey % 17 AS DOUBLE) END AS rate, l_orderkey % 1000 AS bal FROM line WHERE num <= 2)""".replace("(\'", "[\'").replace("\')[", "\'][")
+    CASE WHEN num = 1 THEN CAST(l_partkey % 17 AS DOUBLE) END AS rate, l_orderkey % 1000 AS bal FROM line)""".replace("(\'", "[\'").replace("\')[", "\'][")
 
 
 @query(f"""{PROD_SQL} SELECT kind AS product_type, count(*) AS n_products, count(DISTINCT customer_id) AS n_customers, round(avg(CAST(delivered AS INT)), 6) AS share_active,

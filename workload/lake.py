@@ -100,7 +100,7 @@ def send_rules(spark, sf_dir):
         k, F.when(F.col("o_orderstatus") == "F", "Sent").otherwise("Blocked").alias("send_status"), (F.col("o_orderstatus") != "O").alias("was_delivered"),
         F.when((F.col("o_orderstatus") == "F") & (k % 4 == 0), None).otherwise(F.lit(False)).alias("was_opened"), (k % 3 == 0).alias("was_clicked"), day.alias("send_date"),
         F.date_add(day, F.when(k % 9 == 0, -1).otherwise(1)).alias("open_date"), F.lit(None).cast("date").alias("click_date"))
-    out = table_rules.campaign_sends(rows)
+    out = table_rules.apply_rules(rows, "campaign_sends")
     return out.select(k, F.col("dq_invalid_undelivered_engagement").alias("undelivered_engagement"), F.coalesce("dq_invalid_event_order", F.lit(False)).alias("event_order"), "was_opened_imputed")
 
 
@@ -113,7 +113,7 @@ def survey_rules(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     kind = F.element_at(F.array(F.lit("CSAT"), F.lit("NPS"), F.lit("CES")), (F.col("p_partkey") % 3 + 1).cast("int"))
     rows = p.select("p_partkey", kind.alias("survey_type"), F.col("p_size").alias("main_score"), F.when(F.col("p_partkey") % 2 == 0, "Promoter").alias("nps_category"))
-    out = table_rules.satisfaction_surveys(rows)
+    out = table_rules.apply_rules(rows, "satisfaction_surveys")
     return out.select("p_partkey", F.col("dq_invalid_score_out_of_range").alias("score_out_of_range"), F.col("dq_invalid_nps_category").alias("nps_category"), F.col("nps_category").alias("category"))
 
 
@@ -125,17 +125,19 @@ def customer_rules(spark, sf_dir):
     k = F.col("c_custkey")
     plus = lambda start, n: F.date_add(F.lit(start).cast("date"), (k % n).cast("int"))
     country = F.when(F.col("c_nationkey") % 3 == 0, "México").when(F.col("c_nationkey") % 3 == 1, "Colombia").otherwise("Elsewhere")
-    out = table_rules.customers(read(spark, sf_dir, "customer").select("c_custkey", plus("2026-01-01", 400).alias("last_updated"), plus("2025-12-01", 70).alias("registration_date"), country.alias("country")))
+    out = table_rules.apply_rules(read(spark, sf_dir, "customer").select("c_custkey", plus("2026-01-01", 400).alias("last_updated"), plus("2025-12-01", 70).alias("registration_date"), country.alias("country")), "customers")
     return out.select("c_custkey", F.col("dq_invalid_last_updated_after_cutoff").alias("late"), F.col("last_updated_clean").alias("clean_day"), F.col("dq_invalid_registration_date").alias("registration"), "income_currency")
 
 
-@query("""SELECT event_id, value < 5 AND event_type <> 'view' AS missing_duration FROM events""")
+@query("""SELECT event_id, value < 5 AND event_type <> 'view' AS missing_duration, user_id IS NULL OR event_id % 6 = 0 AS missing_customer FROM events""")
 def contact_rules(spark, sf_dir):
-    """No duration on a contact that was not written."""
+    """No duration on a contact that was not written, an event without a customer."""
     e = read(spark, sf_dir, "events")
     rows = e.select("event_id", F.when(F.col("event_type") == "view", "Email").otherwise("Call").alias("interaction_type"), F.col("event_type").alias("channel"),
-                    F.when(F.col("value") >= 5, F.col("value")).alias("duration_seconds"), F.lit("x").alias("reason_category"))
-    return table_rules.call_center_interactions(rows).select("event_id", F.col("dq_invalid_missing_duration").alias("missing_duration"))
+                    F.when(F.col("value") >= 5, F.col("value")).alias("duration_seconds"), F.lit("x").alias("reason_category"),
+                    F.when(F.col("event_id") % 6 != 0, F.col("user_id")).alias("customer_id"))
+    out = table_rules.apply_rules(table_rules.apply_rules(rows, "call_center_interactions"), "digital_events")
+    return out.select("event_id", F.col("dq_invalid_missing_duration").alias("missing_duration"), F.col("dq_invalid_missing_customer").alias("missing_customer"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_shipdate, o_orderstatus <> 'P' AND l_returnflag = 'R' AS subject_imputed,
