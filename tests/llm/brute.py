@@ -172,3 +172,28 @@ def quality_base(docs):
         failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
         out.append((d["doc_id"], len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated), failed))
     return out
+
+
+def kept(docs, min_rows, outer=0.005, fence=3.0, gamma=1.01 / 0.99):
+    """Verdicts of the adaptive rules: quantiles by rank over the documents that pass the base rule, in the widest group needed."""
+    import math
+
+    base = quality_base(docs)
+    share = lambda n, of: n / of if of else 0.0
+    measures = [{"word_length": share(b[2], b[1]), "symbol_share": share(b[3], b[2]), "dup_line_share": share(b[4], b[1]), "repeat_share": share(b[5], b[1])} for b in base]
+    bucket = lambda v: 0 if v <= 1e-6 else math.ceil(math.log(v / 1e-6) / math.log(gamma))
+    value = lambda b: 0.0 if b == 0 else 1e-6 * gamma ** b * 2 / (1 + gamma)
+    passed = [k for k, b in enumerate(base) if not b[-1]]
+    out = []
+    for k, d in enumerate(docs):
+        scopes = ([j for j in passed if (docs[j]["lang"], docs[j]["source"]) == (d["lang"], d["source"])], [j for j in passed if docs[j]["lang"] == d["lang"]], passed)
+        rows = next((s for s in scopes if len(s) >= min_rows), passed)
+        ok = not base[k][-1]
+        for m in measures[0]:
+            ordered = sorted(value(bucket(measures[j][m])) for j in rows)
+            at = lambda q: ordered[max(math.ceil(q * len(ordered)), 1) - 1]
+            spread = at(0.75) - at(0.25)
+            ok &= measures[k][m] <= max(at(1 - outer), at(0.75) + fence * spread)
+            ok &= m != "word_length" or measures[k][m] >= min(at(outer), at(0.25) - fence * spread)
+        out.append((d["doc_id"], ok))
+    return out

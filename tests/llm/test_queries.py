@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 
 from tests.llm import brute
-from tidemark.llm import licenses, packing, registry, secrets, simhash
+from tidemark.llm import licenses, packing, quality_model, quality_rules, registry, secrets, simhash
 from tidemark.llm.decontamination import contamination, decontaminated
 
 QUERIES, ORACLES = registry.load()
@@ -190,3 +191,23 @@ def test_op10(spark, folder, planted):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, empty_folder, name):
     assert QUERIES[name](spark, empty_folder).collect() == []
+
+
+@pytest.mark.parametrize("least", [5, 15, 200])
+def test_op10_verdicts(spark, folder, planted, monkeypatch, least):
+    monkeypatch.setattr(quality_rules, "MIN_ROWS", least)
+    want = brute.kept(planted[0], least)
+    assert {w[1] for w in want} == {True, False}
+    check(spark, folder, "op10", ("doc_id", "kept"), want)
+
+
+def test_op2_learns_what_the_labels_mark():
+    rng = random.Random(4)
+    good = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(20, 300))) + "." for _ in range(300)]
+    bad = [" | ".join(t.split(" ")) if k % 4 < 2 else t.upper().replace(" ", "!! ") for k, t in enumerate(good[:100])]
+    x = np.array([quality_model.features_of(t.encode()) for t in good + bad])
+    y = np.array([1.0] * len(good) + [0.0] * len(bad))
+    model = quality_model.fit(x[::2], y[::2])
+    assert ((model.score(x[1::2]) >= 0.3) == y[1::2]).mean() > 0.98
+    assert quality_model.fit(x[:0], y[:0]).score(x[:3]).tolist() == [0.5] * 3
+    assert len(model.pairs) > 0 and 0 <= float(model.score(np.array([quality_model.features_of(b"")]))[0]) <= 1
