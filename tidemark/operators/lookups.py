@@ -7,9 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NULL_SPREAD = 256  # rows without a key are spread over this many hash values
-
-
 def attach(df: DataFrame, dimension: DataFrame, on: Mapping[str, str], take: Mapping[str, str],
            spread_nulls: bool = True) -> DataFrame:
     """Left join to a table that is unique on `on`'s values; `take` maps new column -> dimension column.
@@ -31,7 +28,7 @@ def attach(df: DataFrame, dimension: DataFrame, on: Mapping[str, str], take: Map
         missing = missing | F.col(left).isNull()
     if spread_nulls:
         hashable = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-        spread = F.when(missing, 1 + F.pmod(F.xxhash64(*hashable), F.lit(NULL_SPREAD))).otherwise(F.lit(0))
+        spread = F.when(missing, F.xxhash64(*hashable).bitwiseOR(F.lit(1))).otherwise(F.lit(0))  # never 0 for a row without a key
         df = df.withColumn("_spread", spread)
         side = side.withColumn("_no_spread", F.lit(0).cast("bigint"))
         condition = condition & (F.col("_spread") == F.col("_no_spread"))

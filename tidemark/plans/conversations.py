@@ -115,8 +115,10 @@ def since_opening(df: DataFrame, session: str, order: str, is_opening: Column) -
 
 
 def current_facts(df: DataFrame, session: str, tool: str, at: str, n: int = MAX_FACTS) -> DataFrame:
-    """The latest fact per tool, the most recent ones of a session."""
-    latest = latest_per_key(df, [session, tool], [F.col(at).desc()])
+    """The latest fact per tool, the most recent ones of a session. Facts of one moment are told apart by their content, so a rerun
+    keeps the same one."""
+    content = F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t and "variant" not in t])
+    latest = latest_per_key(df, [session, tool], [F.col(at).desc(), content.desc()])
     return latest_per_key(latest, [session], [F.col(at).desc(), F.col(tool).desc()], n)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,9 @@ from tidemark.operators.ordering import latest_per_key
 from tidemark.plans.conversations import FAILURES_BEFORE_HANDOFF, IDLE_MINUTES, SESSION_DAYS, metric_columns
 
 
-def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """A folder's Parquet files as a stream of arriving files."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def read_stream(spark: SparkSession, folder: str, name: str, schema, files: int = 100) -> DataFrame:
+    """A folder's Parquet files as a stream of arriving files, at most `files` in a trigger."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -81,15 +82,15 @@ def failure_counter(df: DataFrame, session: str, ts: str, turn: str, limit: int
             state.remove()
             return
         streak = state.get[0] if state.exists else 0
-        # what one trigger brought for this session; the source's maxFilesPerTrigger bounds it
+        # what one trigger brought for this session; maxFilesPerTrigger of the source bounds it
         turns = pd.concat(list(batches)).sort_values([ts, turn])
-        counts, handoffs = [], []
-        for failed, neutral in zip(turns["failed"], turns["neutral"]):
-            streak = streak + 1 if failed else streak if neutral else 0
-            handoffs.append(bool(failed) and streak >= limit)
-            if handoffs[-1]:
-                streak = 0
-            counts.append(streak)
+        failed, neutral = (turns[c].fillna(False).to_numpy(bool) for c in ("failed", "neutral"))
+        so_far = np.cumsum(failed)
+        # failures up to the last success; before the first one, those that earlier triggers left are added
+        before = np.maximum.accumulate(np.where(~failed & ~neutral, so_far, -streak))
+        counts = (so_far - before) % limit
+        handoffs = failed & (counts == 0)
+        streak = int(counts[-1])
         newest = int(turns[ts].max().timestamp() * 1000)
         yield pd.DataFrame({session: turns[session], turn: turns[turn], ts: turns[ts], "consecutive_failures": counts, "escalated": handoffs})
         state.update((streak,))

@@ -389,12 +389,12 @@ def arrival_report(spark, sf_dir):
     return arrivals.arrival_report(lagged_events(spark, sf_dir), "events").select("rows", "late_rows", "late_pct", "processed_before_event", "lag_max", "same_day", "one_day", "two_to_seven_days", "lag_p50", "status")
 
 
-@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL),
-    m AS (SELECT *, median(n) OVER (PARTITION BY event_type, dayofweek(day)) AS usual FROM d WHERE event_type = 'error')
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL),
+    m AS (SELECT *, median(n) OVER (PARTITION BY dayofweek(day)) AS usual FROM d)
     SELECT day, n, usual FROM m WHERE n < 0.5 * usual OR n > 2 * usual""".replace("FROM m WHERE n < 0.5 * usual OR n > 2 * usual", "FROM m WHERE n < 0.5 * usual OR n > 2.0 * usual"))
 def unusual_days(spark, sf_dir):
-    """Error counts far from the median of their weekday."""
-    per_day = read(spark, sf_dir, "events").where("event_type = 'error'").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    """Daily counts far from the median of their weekday."""
+    per_day = read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return arrivals.unusual_days(per_day).select("day", "n", "usual")
 
 
@@ -417,15 +417,15 @@ def volume_report(spark, sf_dir):
                       F.array_join("unusual_days", ",").alias("unusual_days"), "rows_filed_on_other_day", "status")
 
 
-DENSE_SQL = """d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL GROUP BY ALL),
+DENSE_SQL = """d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM events WHERE user_id IS NOT NULL GROUP BY ALL),
     k AS (SELECT u.user_id, c.day FROM (SELECT DISTINCT user_id FROM d) u, (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day) c),
     j AS (SELECT k.user_id, k.day, total, d.user_id IS NULL AS imputed FROM k LEFT JOIN d ON d.user_id = k.user_id AND d.day = k.day),
     f AS (SELECT user_id, day, imputed, last_value(total IGNORE NULLS) OVER w AS total, last_value(CASE WHEN NOT imputed THEN day END IGNORE NULLS) OVER w AS last_real
       FROM j WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
-def dense_purchases(spark, sf_dir):
-    held = read(spark, sf_dir, "events").where("event_type = 'purchase' AND user_id IS NOT NULL").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("total"))
+def dense_values(spark, sf_dir):
+    held = read(spark, sf_dir, "events").where("user_id IS NOT NULL").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("total"))
     first, last = F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date")
     grid = rates.calendar_of(held.select("user_id").distinct(), first, last)
     return rates.densify(held, grid, ["user_id", "day"], "day", ["total"], "imputed")
@@ -434,13 +434,13 @@ def dense_purchases(spark, sf_dir):
 @query(f"WITH {DENSE_SQL} SELECT user_id, day, imputed, total FROM f")
 def densified_series(spark, sf_dir):
     """Every user on every day, missing days filled from the day before and marked."""
-    return dense_purchases(spark, sf_dir).select("user_id", "day", "imputed", "total")
+    return dense_values(spark, sf_dir).select("user_id", "day", "imputed", "total")
 
 
 @query(f"WITH {DENSE_SQL} SELECT user_id, max(date_diff('day', last_real, day)) AS longest_fill, count(*) FILTER (WHERE total IS NULL) AS unfilled FROM f GROUP BY 1")
 def longest_filled_runs(spark, sf_dir):
     """D30, H06."""
-    return rates.longest_fill(dense_purchases(spark, sf_dir), ["user_id"], "day", F.col("imputed"), "total")
+    return rates.longest_fill(dense_values(spark, sf_dir), ["user_id"], "day", F.col("imputed"), "total")
 
 
 @query("""SELECT o_orderpriority AS category, count(*) AS orders, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct, round(quantile_cont(o_totalprice, 0.1), 4) AS p10,

@@ -165,7 +165,7 @@ CASES_SQL = """d AS (SELECT doc_id, source, lang, n_chars, CAST(quality AS VARCH
 
 
 def run_cases(spark, sf_dir, error_every, missing, least):
-    """The labels as cases of one run; the documents of one source were not part of it."""
+    """The labels as cases of one run; the documents of a `missing` source were not part of it."""
     d = read(spark, sf_dir, "labels", "doc_id", "quality").join(read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars"), "doc_id")
     actual = F.when(F.col("doc_id") % error_every == 0, "model_error").otherwise((F.col("n_chars") > least).cast("int").cast("string"))
     expected = F.col("quality").cast("string")
@@ -173,7 +173,7 @@ def run_cases(spark, sf_dir, error_every, missing, least):
     measured = F.struct((F.col("doc_id") % 4 + 1).alias("requests"), n.alias("input_tokens"), (n % 90).alias("output_tokens"), (n * least / 100.0).alias("latency_ms"),
                         (F.col("doc_id") % 3).alias("retries"), (F.col("doc_id") % 10 == 0).alias("fallback_used"),
                         F.when((F.col("lang") != "de") | (F.lit(least) == 400), n / 1000.0).alias("cost_usd"))
-    kept = d.where(F.col("source") != missing)
+    kept = d.where(F.col("source") != missing) if missing else d
     return kept.select(F.col("lang").alias("suite"), F.col("doc_id").cast("string").alias("case_id"), (actual == expected).alias("passed"), expected.alias("expected"),
                        actual.alias("actual"), F.array(F.col("source")).alias("tags"), F.struct(F.array().cast("array<string>").alias("policies"), measured.alias("metrics")).alias("detail"))
 
@@ -186,12 +186,13 @@ def run_b(spark, sf_dir):
     return run_cases(spark, sf_dir, 43, "src11", 700)
 
 
-@query(f"""WITH {CASES_SQL}, g AS (SELECT lang AS suite, NULL AS tag, expected, actual FROM ra UNION ALL SELECT lang, source, expected, actual FROM ra)
+@query(f"""WITH {CASES_SQL}, r AS (SELECT *, CASE WHEN doc_id % 41 = 0 THEN 'model_error' ELSE CAST(n_chars > 400 AS INT)::VARCHAR END AS actual FROM d),
+    g AS (SELECT lang AS suite, NULL AS tag, expected, actual FROM r UNION ALL SELECT lang, source, expected, actual FROM r)
     SELECT suite, tag, count(*) FILTER (WHERE expected = actual) AS passed, count(*) FILTER (WHERE actual <> 'model_error') AS scored,
       count(*) FILTER (WHERE actual = 'model_error') AS errors, round(count(*) FILTER (WHERE expected = actual) / nullif(count(*) FILTER (WHERE actual <> 'model_error'), 0), 6) AS pass_rate FROM g GROUP BY ALL""")
 def pass_rates(spark, sf_dir):
     """Per suite and per tag, errors outside the denominator."""
-    return runs.pass_rates(run_a(spark, sf_dir), None).withColumn("pass_rate", F.round("pass_rate", 6))
+    return runs.pass_rates(run_cases(spark, sf_dir, 41, None, 400), None).withColumn("pass_rate", F.round("pass_rate", 6))
 
 
 @query(f"""WITH {CASES_SQL}, j AS (SELECT coalesce(a.lang, b.lang) AS suite, coalesce(a.doc_id, b.doc_id)::VARCHAR AS case_id, coalesce(b.expected, a.expected) AS expected, a.actual AS was, b.actual AS now,

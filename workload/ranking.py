@@ -123,13 +123,13 @@ def ranking_quality(spark, sf_dir):
 
 @query(f"""{EVAL_SQL}, d AS (SELECT customer_id, snapshot_date, category, rel_count AS rel, draw,
         CAST('0x' || substr(md5(customer_id || ':' || snapshot_date || ':' || category || ':' || draw), 1, 8) AS BIGINT) / 4294967296.0 AS u
-        FROM ev, (SELECT unnest(range(5)) AS draw)),
+        FROM ev, (SELECT unnest(range(20)) AS draw)),
     r AS (SELECT *, row_number() OVER (PARTITION BY customer_id, snapshot_date, draw ORDER BY u, category) AS k FROM d), {_ndcg_sql('k', ', draw')},
     m AS (SELECT draw, avg(ndcg) AS ndcg, avg(p1) AS p1, avg(recall) AS recall, avg(hit) AS hit FROM g GROUP BY 1)
     SELECT {MEANS_SQL} FROM m""")
 def random_order_expectation(spark, sf_dir):
     """M07."""
-    return rounded(metrics.random_expectation(evaluation(spark, sf_dir), cat.GROUP, "rel_count", "category", draws=5))
+    return rounded(metrics.random_expectation(evaluation(spark, sf_dir), cat.GROUP, "rel_count", "category", draws=20))
 
 
 @query(f"""{EVAL_SQL}, b AS (SELECT unnest([{', '.join(map(str, cat.BETAS))}]::DOUBLE[]) AS beta),
