@@ -146,7 +146,7 @@ def _nested(value: Column, kind: T.DataType, allowed: Sequence[str]) -> Column:
 
 def build_items(df: DataFrame, spec: ItemSpec, customers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Items (PK, SK, attributes; an absent value is null and left out of the stored form) and the rows that
-    cannot become one, with the reason."""
+    cannot become one, with the reason and what the source calls the row."""
     known = [*spec.left_out, spec.at, spec.ident, "customer_id", *([spec.where] if spec.where else []),
              "bk_branch_id", "bk_transaction_id", "bk_interaction_id", "bk_send_id"]
     unlisted = classify_columns(df, spec.fields, known)
@@ -161,12 +161,13 @@ def build_items(df: DataFrame, spec: ItemSpec, customers: DataFrame | None = Non
         (_nested(F.col(c), types[c], spec.nested[c]) if c in spec.nested else finite(F.col(c), types[c])).alias(f"_v_{c}")
         for c in spec.fields
     ]
-    made = served.select(pk.alias("PK"), sk.alias("SK"), wrong.alias("problem"), *values)
-    made = made.select("PK", "SK", "problem", *[F.col(f"_v_{c}").alias(c) for c in spec.fields])
+    named = dict.fromkeys(c for c in ("customer_id", spec.ident, spec.at, "bk_branch_id", "source_currency", "target_currency") if c in df.columns)
+    made = served.select(pk.alias("PK"), sk.alias("SK"), wrong.alias("problem"), F.to_json(F.struct(*named)).alias("source"), *values)
+    made = made.select("PK", "SK", "problem", "source", *[F.col(f"_v_{c}").alias(c) for c in spec.fields])
     size = F.octet_length(F.to_json(F.struct("PK", "SK", *spec.fields)))
     too_large = F.when(size > MAX_ITEM_BYTES, F.format_string("item is about %d bytes", size))
     made = made.withColumn("problem", F.coalesce("problem", too_large))
-    return made.where("problem IS NULL").drop("problem"), made.where("problem IS NOT NULL").select("PK", "SK", "problem")
+    return made.where("problem IS NULL").drop("problem", "source"), made.where("problem IS NOT NULL").select("PK", "SK", "problem", "source")
 
 
 def item_json(items: DataFrame) -> DataFrame:

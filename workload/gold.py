@@ -475,6 +475,11 @@ def parsed_properties(spark, sf_dir):
     l_orderkey AS campaign_id FROM (WITH """ + bank.SQL["line"].strip() + """ SELECT * FROM line WHERE delivered) s LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON o.o_orderkey = l_orderkey""")
 def delivered_campaigns(spark, sf_dir):
     """Delivered sends with whether their campaign runs on the day."""
+    out = campaigns_shown(spark, sf_dir)
+    return out.select("customer_id", "send_date", F.coalesce("campaign_name", F.lit("")).alias("campaign_name"), F.coalesce("valid_on_as_of", F.lit(False)).alias("valid_on_as_of"), F.col("bk_campaign_id").alias("campaign_id"))
+
+
+def campaigns_shown(spark, sf_dir):
     li = bank.lines(spark, sf_dir)
     none = F.lit(None).cast("string")
     sends = li.select("customer_id", F.col("sent").alias("send_date"), none.alias("send_channel"), none.alias("subject"), F.col("delivered").alias("was_delivered"),
@@ -483,5 +488,20 @@ def delivered_campaigns(spark, sf_dir):
     campaigns = o.select(F.col("o_orderkey").alias("campaign_id"), F.col("o_orderpriority").alias("campaign_name"), none.alias("description"), none.alias("promoted_product"),
                          F.to_date("o_orderdate").alias("start_date"), F.date_add(F.to_date("o_orderdate"), 60).alias("end_date"), none.alias("campaign_status"),
                          none.alias("campaign_objective"), none.alias("target_segment"), none.alias("target_country"))
-    out = zone.delivered_campaigns(sends, campaigns, date(1998, 6, 1))
-    return out.select("customer_id", "send_date", F.coalesce("campaign_name", F.lit("")).alias("campaign_name"), F.coalesce("valid_on_as_of", F.lit(False)).alias("valid_on_as_of"), F.col("bk_campaign_id").alias("campaign_id"))
+    return zone.delivered_campaigns(sends, campaigns, date(1998, 6, 1))
+
+
+@query(f"""WITH {FX_SQL} SELECT DISTINCT 'REF#FX' AS "PK", source_currency || '#' || target_currency AS "SK", max(date)::VARCHAR AS date FROM fxs WHERE date <= DATE '2000-06-30' GROUP BY ALL""")
+def served_rates(spark, sf_dir):
+    """The rates spec, keyed by the pair."""
+    items, _ = serving.build_items(zone.latest_rates(fx(spark, sf_dir), AS_OF.date()), serving.SPECS["fx_latest"])
+    return items.select("PK", "SK", "date")
+
+
+@query("""SELECT DISTINCT 'CUST#' || s.customer_id AS "PK", 'CAMPAIGN#' || strftime(s.sent, '%Y-%m-%dT00:00:00Z') || '#' || s.l_orderkey || ':' || s.num AS "SK", o.o_orderpriority AS campaign_name
+    FROM (WITH """ + bank.SQL["line"].strip() + """ SELECT * FROM line WHERE delivered) s JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON o.o_orderkey = l_orderkey
+    WHERE DATE '1998-06-01' BETWEEN CAST(o.o_orderdate AS DATE) AND CAST(o.o_orderdate AS DATE) + 60""")
+def served_campaigns(spark, sf_dir):
+    """The campaigns spec: only campaigns that run on the day."""
+    items, _ = serving.build_items(campaigns_shown(spark, sf_dir), serving.SPECS["campaigns"])
+    return items.select("PK", "SK", "campaign_name").distinct()

@@ -227,6 +227,10 @@ def recent_contacts(spark, sf_dir):
     SELECT o_custkey AS customer_id, o_orderkey AS bk_transaction_id, round(o_totalprice, 2) AS amount_usd, CASE WHEN o_orderkey % 2 = 0 THEN '****' || right(lpad(o_orderkey::VARCHAR, 16, '4'), 4) END AS product_number_masked FROM k WHERE place <= 20""")
 def recent_transactions(spark, sf_dir):
     """The newest twenty; another customer's card number stays hidden."""
+    return transactions_shown(spark, sf_dir).select("customer_id", "bk_transaction_id", F.round("amount_usd", 2).alias("amount_usd"), "product_number_masked")
+
+
+def transactions_shown(spark, sf_dir):
     from workload.gold import fx
 
     o, none = read(spark, sf_dir, "orders"), F.lit(None).cast("string")
@@ -234,8 +238,7 @@ def recent_transactions(spark, sf_dir):
                  F.lit("USD").alias("currency"), F.lit(None).cast("double").alias("amount_usd"), *[none.alias(c) for c in ("transaction_type", "transaction_category", "channel", "merchant_name", "merchant_category",
                                                                                                                   "transaction_country", "transaction_city", "transaction_status", "response_code")])
     products = o.select(F.col("o_orderkey").alias("product_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(-1).alias("customer_id"), F.lpad(F.col("o_orderkey").cast("string"), 16, "4").alias("product_number"))
-    out = zone.recent_transactions(t, fx(spark, sf_dir), products)
-    return out.select("customer_id", "bk_transaction_id", F.round("amount_usd", 2).alias("amount_usd"), "product_number_masked")
+    return zone.recent_transactions(t, fx(spark, sf_dir), products)
 
 
 # ---- Reports and sinks ----
@@ -349,12 +352,85 @@ def configuration_changes(spark, sf_dir):
 @query("""SELECT o_custkey AS customer_id, o_orderkey AS complaint_id, CAST(o_orderdate AS DATE) AS creation_date, o_orderstatus AS status, o_orderpriority AS bk_priority FROM orders""")
 def complaint_table(spark, sf_dir):
     """Complaints cut to listed columns; a column the source gains is reported and not copied."""
-    o, none = read(spark, sf_dir, "orders"), F.lit(None).cast("string")
-    rows = o.select(F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("complaint_id"), F.to_date("o_orderdate").alias("creation_date"), F.col("o_orderstatus").alias("status"),
-                    F.col("o_orderpriority").alias("priority"), *[none.alias(c) for c in (
-                        "case_type", "category", "subcategory", "reception_channel", "description", "claimed_amount", "currency", "first_response_date", "resolution_date", "closing_date",
-                        "resolution_days", "resolution", "compensation_granted", "affected_product_id", "assigned_agent_id", "sla_breached", "internal_note")])
+    rows = complaint_rows(spark, sf_dir)
     out = zone.customer_complaints(rows)
     if readers.classify_columns(rows, [c.removeprefix("bk_") for c in out.columns]) != ["internal_note"]:
         raise ValueError("an unlisted column was copied")
     return out.select("customer_id", "complaint_id", "creation_date", "status", "bk_priority")
+
+
+def complaint_rows(spark, sf_dir):
+    o, none = read(spark, sf_dir, "orders"), F.lit(None).cast("string")
+    return o.select(F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("complaint_id"), F.to_date("o_orderdate").alias("creation_date"), F.col("o_orderstatus").alias("status"),
+                    F.col("o_orderpriority").alias("priority"), *[none.alias(c) for c in (
+                        "case_type", "category", "subcategory", "reception_channel", "description", "claimed_amount", "currency", "first_response_date", "resolution_date", "closing_date",
+                        "resolution_days", "resolution", "compensation_granted", "affected_product_id", "assigned_agent_id", "sla_breached", "internal_note")])
+
+
+# ---- The seven served tables as items ----
+
+def served(table, frame, *columns):
+    """Items of a table; a row that cannot become one would be missing from the twin's rows."""
+    return serving.build_items(frame, serving.SPECS[table])[0].select("PK", "SK", *columns)
+
+
+UTC_DAY = "strftime(CAST({} AS DATE), '%Y-%m-%dT00:00:00Z')"
+
+
+@query(f"""SELECT 'CUST#' || o_custkey AS "PK", 'COMPLAINT#' || {UTC_DAY.format('o_orderdate')} || '#' || o_orderkey AS "SK", o_orderstatus AS status,
+    CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS creation_date FROM orders""")
+def served_complaints(spark, sf_dir):
+    """The complaints spec."""
+    return served("complaints", zone.customer_complaints(complaint_rows(spark, sf_dir)), "status", "creation_date")
+
+
+@query(f"""WITH line AS (SELECT o_custkey AS cid, CAST(l_shipdate AS DATE) AS day, l_returnflag AS channel, lpad(l_orderkey::VARCHAR, 12, '0') || ':' || l_linenumber || ':' || lpad(l_partkey::VARCHAR, 12, '0') AS id
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey), k AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY day DESC, id DESC) AS place FROM line)
+    SELECT 'CUST#' || cid AS "PK", 'CONTACT#' || {UTC_DAY.format('day')} || '#' || id AS "SK", channel FROM k WHERE place <= 10""")
+def served_contacts(spark, sf_dir):
+    """The contacts spec."""
+    return served("contacts_recent", zone.recent_contacts(zone_tables(spark, sf_dir)[3]), "channel")
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders)
+    SELECT 'CUST#' || o_custkey AS "PK", 'TXN#' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '#' || o_orderkey AS "SK", 'USD' AS currency,
+      CASE WHEN o_orderkey % 2 = 0 THEN '****' || right(lpad(o_orderkey::VARCHAR, 16, '4'), 4) END AS product_number_masked FROM k WHERE place <= 20""")
+def served_transactions(spark, sf_dir):
+    """The transactions spec."""
+    return served("transactions_recent", transactions_shown(spark, sf_dir), "currency", "product_number_masked")
+
+
+@query("""WITH p AS (SELECT o_custkey AS cid, count(*) AS n FROM orders GROUP BY 1)
+    SELECT 'CUST#' || c_custkey AS "PK", 'PROFILE' AS "SK", c_name AS first_name, '2001-08-01' AS as_of_date, coalesce(p.n, -1) AS products FROM customer JOIN p ON p.cid = c_custkey
+    UNION ALL SELECT 'CUST#' || c_custkey, 'PROFILE', c_name, NULL, -1 FROM customer WHERE c_custkey NOT IN (SELECT cid FROM p)""")
+def served_profiles(spark, sf_dir):
+    """The profile spec, with its nested product list cut to what it may show."""
+    items = served("customer_360", zone.customer_360(*zone_tables(spark, sf_dir)), "first_name", "as_of_date", "products")
+    return items.withColumn("products", F.when(F.col("products").isNull(), -1).otherwise(F.size("products")))
+
+
+@query("""SELECT 'REF#BRANCH' AS "PK", lower(replace(n_name, ' ', '_')) || '#' || s_suppkey AS "SK", s_name AS branch_name FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def served_branches(spark, sf_dir):
+    """The branches spec, keyed by city."""
+    none = F.lit(None).cast("string")
+    held = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    other = [none.alias(c) for c in (*zone.BRANCH.plain.split(), *zone.BRANCH.backend.split()) if c not in ("branch_name", "city", "branch_id")]
+    rows = held.select(F.col("s_name").alias("branch_name"), F.col("n_name").alias("city"), F.col("s_suppkey").alias("branch_id"), *other)
+    return served("branches", zone.branch_directory(rows), "branch_name")
+
+
+BROKEN = """CASE WHEN o_orderkey % 50 = 0 THEN 'missing customer_id' WHEN o_orderkey % 49 = 0 THEN 'missing transaction_date'
+    WHEN o_orderkey % 48 = 0 THEN 'bk_transaction_id contains the key separator' WHEN o_orderkey % 1000 = 1 THEN 'item is about n bytes' END"""
+
+
+@query(f"""SELECT {BROKEN} AS problem, o_orderkey AS row_id FROM orders WHERE {BROKEN} IS NOT NULL""")
+def item_problems(spark, sf_dir):
+    """Rows without a customer or a time, with a separator in their key, or too large, each named by its source key."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    given = {"customer_id": F.when(k % 50 != 0, F.col("o_custkey")), "transaction_date": F.when(k % 49 != 0, F.col("o_orderdate")),
+             "transaction_id": F.concat(k.cast("string"), F.when(k % 48 == 0, "#").otherwise("")), "merchant_name": F.when(k % 1000 == 1, F.repeat(F.lit("x"), F.lit(serving.MAX_ITEM_BYTES)))}
+    names = (*zone.TRANSACTION.plain.split(), *zone.TRANSACTION.backend.split())
+    rows = read(spark, sf_dir, "orders").select(*[given.get(c, none).alias(c) for c in names])
+    _, problems = serving.build_items(rows.select(*zone.TRANSACTION.columns()), serving.SPECS["transactions_recent"])
+    row_id = F.regexp_extract(F.get_json_object("source", "$.bk_transaction_id"), "^[0-9]+", 0).cast("bigint")
+    return problems.select(F.regexp_replace("problem", "[0-9]+", "n").alias("problem"), row_id.alias("row_id"))
