@@ -28,10 +28,12 @@ def snapshot_features(spark, sf_dir):
     return rows.select("customer_id", "snapshot_date", *PLAIN, *[F.round(c, 4).alias(c) for c in ROUNDED], "fut_txn_count", feat.TARGET)
 
 
-@query(f"""{bank.SNAPSHOTS_SQL} SELECT count(*) FILTER (WHERE CAST(last_ts_used AS DATE) >= snapshot_date) AS leaking_rows, count(*) AS "rows" FROM rows_""")
+@query(f"""{bank.SNAPSHOTS_SQL} SELECT count(*) FILTER (WHERE CAST(last_ts_used AS DATE) + CASE WHEN customer_id % 10 = 0 THEN 400 ELSE 0 END >= snapshot_date) AS leaking_rows,
+    count(*) AS "rows" FROM rows_""")
 def leakage_audit(spark, sf_dir):
-    """L06."""
-    return feat.leakage(bank.snapshots(spark, sf_dir))
+    """Every tenth customer's rows are made to have seen events of 400 days later."""
+    used = F.col("last_ts_used")
+    return feat.leakage(bank.snapshots(spark, sf_dir).withColumn("last_ts_used", F.when(F.col("customer_id") % 10 == 0, used + F.expr("INTERVAL 400 DAYS")).otherwise(used)))
 
 
 @query(f"""{bank.SNAPSHOTS_SQL} SELECT snapshot_date, count(*) AS customers, round(avg(low_engagement_next_90d), 6) AS prevalence FROM rows_ GROUP BY 1""")
@@ -235,16 +237,18 @@ def recall_at_top(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "lift")})
 
 
-@query(f"""{LABELLED_SQL}, l AS (SELECT 'recency' AS feature, recency::DOUBLE AS v, y FROM m UNION ALL SELECT 'frequency', frequency::DOUBLE, y FROM m
-      UNION ALL SELECT 'blend', s, y FROM m),
+AS_NUMBERS = ", ".join(f"CAST(round({c}, 4) AS DOUBLE) AS {c}" if c in ROUNDED else f"CAST({c} AS DOUBLE) AS {c}" for c in feat.FEATURES)
+
+
+@query(f"""{bank.SNAPSHOTS_SQL}, l AS (UNPIVOT (SELECT low_engagement_next_90d AS y, {AS_NUMBERS} FROM rows_) ON {', '.join(feat.FEATURES)} INTO NAME feature VALUE v),
     g AS (SELECT feature, v, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM l GROUP BY ALL),
     r AS (SELECT *, sum(p) OVER (PARTITION BY feature ORDER BY v DESC) AS tp FROM g),
     a AS (SELECT feature, sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)) AS auc FROM r GROUP BY 1)
     SELECT feature, round(auc, 6) AS roc_auc, round(greatest(auc, 1 - auc), 6) AS oriented FROM a""")
 def single_feature_aucs(spark, sf_dir):
-    """M14."""
-    rows = labelled(spark, sf_dir).select("y", F.col("days_since_last_txn").alias("recency"), (-F.col("txn_count_90d")).alias("frequency"), F.col("s").alias("blend"))
-    out = metrics.feature_aucs(rows, ["recency", "frequency", "blend"], "y")
+    """All 26 features."""
+    rows = bank.snapshots(spark, sf_dir).select(F.col(feat.TARGET).alias("y"), *[F.round(c, 4).alias(c) if c in ROUNDED else F.col(c) for c in feat.FEATURES])
+    out = metrics.feature_aucs(rows, feat.FEATURES, "y")
     return out.select("feature", F.round("roc_auc", 6).alias("roc_auc"), F.round("oriented", 6).alias("oriented"))
 
 
@@ -386,10 +390,11 @@ def ablation_without_products(spark, sf_dir):
     return models.ablation(train, valid, ["products_opened"])
 
 
-@query(f"""{bank.SNAPSHOTS_SQL} SELECT customer_id, snapshot_date, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in PLAIN)} FROM rows_""")
+@query(f"""{bank.SNAPSHOTS_SQL} SELECT customer_id, snapshot_date, {AS_NUMBERS} FROM rows_""")
 def model_matrix(spark, sf_dir):
     """The inputs as doubles."""
-    return feat.model_matrix(bank.snapshots(spark, sf_dir)).select("customer_id", "snapshot_date", *PLAIN)
+    matrix = feat.model_matrix(bank.snapshots(spark, sf_dir))
+    return matrix.select("customer_id", "snapshot_date", *PLAIN, *[F.round(c, 4).alias(c) for c in ROUNDED])
 
 
 @query(f"""{bank.SNAPSHOTS_SQL} SELECT snapshot_date, count(*) AS customers, true AS reproduced FROM rows_ GROUP BY 1""")
