@@ -114,24 +114,35 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn("_place", F.row_number().over(ranked)).where(F.col("_place") <= n).drop("_place")
 
 
+def _shared_ranks(counted: DataFrame, value: str, weight: str, name: str, ascending: bool = True) -> DataFrame:
+    """`_value` and its mean rank, as a share of all rows, for every value of a frame whose rows stand for `weight` rows each."""
+    sizes = counted.groupBy(value).agg(F.sum(weight).alias("_m"))
+    direction = F.col(value).asc() if ascending else F.col(value).desc()
+    scanned = running_totals(sizes, [], [direction], {"_upto": F.col("_m")})
+    size = sizes.agg(F.sum("_m")).scalar()
+    return scanned.select(F.col(value).alias("_value"), ((F.col("_upto") - (F.col("_m") - 1) / 2) / size).alias(name))
+
+
 def average_rank(df: DataFrame, value: str, name: str, ascending: bool = True) -> DataFrame:
     """Rank over all rows with ties sharing their mean rank, as a share of the row count."""
     counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    direction = F.col(value).asc() if ascending else F.col(value).desc()
-    scanned = running_totals(counted, [], [direction], {"_upto": F.col("_n")})
-    size = counted.agg(F.sum("_n")).scalar()
-    ranks = scanned.select(
-        F.col(value).alias("_value"), ((F.col("_upto") - (F.col("_n") - 1) / 2) / size).alias(name)
-    )
+    ranks = _shared_ranks(counted, value, "_n", name, ascending)
     return df.join(ranks, F.col(value) == F.col("_value"), "left").drop("_value")
 
 
 def spearman(df: DataFrame, left: str, right: str, name: str = "spearman") -> DataFrame:
-    """Rank correlation: the correlation of the two average ranks."""
-    # two columns, read once per rank and once per join
-    both = cut_lineage(df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right))
-    ranked = average_rank(average_rank(both, left, "_rank_left"), right, "_rank_right")
-    return ranked.agg(F.corr("_rank_left", "_rank_right").alias(name))
+    """Rank correlation: the correlation of the two average ranks. Equal pairs are counted first, so no value, however frequent,
+    brings its rows to a join."""
+    pairs = cut_lineage(df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(left, right).agg(F.count("*").alias("_n")))
+    ranked = pairs
+    for value, rank in ((left, "_x"), (right, "_y")):
+        ranked = ranked.join(_shared_ranks(pairs, value, "_n", rank), F.col(value) == F.col("_value")).drop("_value")
+    x, y = F.col("_x") - 0.5, F.col("_y") - 0.5  # close to the mean of ranks, so that the sums keep their digits
+    sums = ranked.agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * x).alias("sx"), F.sum(F.col("_n") * y).alias("sy"), F.sum(F.col("_n") * x * y).alias("sxy"),
+                     F.sum(F.col("_n") * x * x).alias("sxx"), F.sum(F.col("_n") * y * y).alias("syy"))
+    together = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    apart = F.sqrt((F.col("sxx") - F.col("sx") ** 2 / F.col("n")) * (F.col("syy") - F.col("sy") ** 2 / F.col("n")))
+    return sums.select(F.try_divide(together, apart).alias(name))
 
 
 def top_fraction(df: DataFrame, score: str, tie: str, fraction: float, name: str = "in_top") -> DataFrame:
