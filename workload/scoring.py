@@ -341,38 +341,82 @@ def model_rows(spark, sf_dir):
     return rows.where(F.col("snapshot_date").isin(*bank.TRAIN)), rows.where(F.col("snapshot_date").isin(*bank.VALID))
 
 
-@query()
+def judged(quality, fitted):
+    """Rows and positives of every score. Rules have their metrics, which SQL gives as well; a fitted model has what must hold for it."""
+    mine = F.col("model").isin(*fitted)
+    shown = [F.when(~mine, F.round(c, 6)).alias(c) for c in ("roc_auc", "pr_auc")]
+    return quality.select("model", "rows", "positives", *shown, (~mine | (F.col("roc_auc") > 0.5)).alias("above_chance"))
+
+
+QUALITY_SQL = """g AS (SELECT model, s, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM l GROUP BY ALL),
+    r AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM g WINDOW w AS (PARTITION BY model ORDER BY s DESC)),
+    q AS (SELECT model, CAST(sum(p + n) AS BIGINT) AS "rows", CAST(sum(p) AS BIGINT) AS positives, round(sum(n * (tp - p / 2.0)) / nullif(sum(p) * sum(n), 0), 6) AS roc_auc,
+      round(sum(p * tp / (tp + fp)) / nullif(sum(p), 0), 6) AS pr_auc FROM r GROUP BY model)"""
+VALID_SQL = f"""{bank.SNAPSHOTS_SQL}, v AS (SELECT low_engagement_next_90d AS y, days_since_last_txn AS rec, txn_count_90d AS freq FROM rows_ WHERE snapshot_date = DATE '2000-01-01'),
+    size_ AS (SELECT count(*) AS "rows", CAST(sum(y) AS BIGINT) AS positives FROM v)"""
+
+
+def _fitted_sql(names, source):
+    return f"""SELECT model, "rows", positives, CAST(NULL AS DOUBLE) AS roc_auc, CAST(NULL AS DOUBLE) AS pr_auc, true AS above_chance
+      FROM (SELECT unnest([{', '.join(f"'{n}'" for n in names)}]) AS model), {source}"""
+
+
+PROBES = ("probe, all features", "probe, transactions")
+
+
+@query(f"""{VALID_SQL}, k AS (SELECT *, ((rank() OVER (ORDER BY rec) + (count(*) OVER (PARTITION BY rec) - 1) / 2.0)
+        + (rank() OVER (ORDER BY freq DESC) + (count(*) OVER (PARTITION BY freq) - 1) / 2.0)) / (2.0 * count(*) OVER ()) AS rk FROM v),
+    l AS (SELECT 'majority' AS model, 0.0::DOUBLE AS s, y FROM k UNION ALL SELECT 'recency', rec::DOUBLE, y FROM k UNION ALL SELECT 'frequency', -freq::DOUBLE, y FROM k
+      UNION ALL SELECT 'ranks', round(rk, 9), y FROM k), {QUALITY_SQL}
+    SELECT *, true AS above_chance FROM q UNION ALL {_fitted_sql(PROBES[:1], 'size_')} UNION ALL SELECT '{PROBES[1]}', "rows", positives, NULL, NULL, NULL FROM size_""")
 def linear_probe_quality(spark, sf_dir):
-    """The linear probe on all and on transaction features, beside the rules."""
+    """The linear probe on all and on transaction features, beside the rules. Nothing is promised for the latter."""
     train, valid = model_rows(spark, sf_dir)
-    scored = models.predict(models.linear_probe().fit(train), models.rule_scores(valid), "probe_all")
+    rules = models.rule_scores(valid).withColumn("rule_ranks", F.round("rule_ranks", 9))
+    scored = models.predict(models.linear_probe().fit(train), rules, "probe_all")
     scored = models.predict(models.linear_probe(models.TRANSACTIONAL).fit(train), scored, "probe_txn")
-    names = {"probe, all features": "probe_all", "probe, transactions": "probe_txn", "majority": "rule_majority",
+    names = {PROBES[0]: "probe_all", PROBES[1]: "probe_txn", "majority": "rule_majority",
              "recency": "rule_recency", "frequency": "rule_frequency", "ranks": "rule_ranks"}
-    return models.compare_scores(scored, names, feat.TARGET)
+    out = judged(models.compare_scores(scored, names, feat.TARGET), PROBES)
+    return out.withColumn("above_chance", F.when(F.col("model") != PROBES[1], F.col("above_chance")))
 
 
-@query()
+TREES = ("boosted trees", "single-split trees")
+
+
+@query(f"{VALID_SQL} {_fitted_sql(TREES, 'size_')}")
 def boosted_tree_quality(spark, sf_dir):
     """Boosted trees against single-split trees (fewer rounds than the tuned model)."""
     train, valid = model_rows(spark, sf_dir)
     few = {"maxIter": 8, "maxDepth": 4}
     scored = models.predict(models.boosted_trees(**few).fit(train), valid, "trees")
     scored = models.predict(models.single_split_trees(maxIter=8).fit(train), scored, "stumps")
-    return models.compare_scores(scored, {"boosted trees": "trees", "single-split trees": "stumps"}, feat.TARGET)
+    return judged(models.compare_scores(scored, dict(zip(TREES, ("trees", "stumps"))), feat.TARGET), TREES)
 
 
-@query()
+CLICKS_SQL = f"""{bank.sql('line')}, {bank.SNAP_SQL},
+    h AS (SELECT customer_id, t, count(*) FILTER (WHERE delivered) AS past, count(*) FILTER (WHERE flag = 'R' AND shipped < t) AS clicks FROM line, snap WHERE sent < t GROUP BY ALL),
+    c AS (SELECT x.t, x.flag, CAST(x.flag = 'R' AS INT) AS y, round(coalesce(clicks / nullif(past, 0), 0), 9) AS past_rate
+      FROM (SELECT line.*, t FROM line, snap WHERE sent >= t AND date_diff('day', t, sent) < 90 AND delivered) x LEFT JOIN h ON h.customer_id = x.customer_id AND h.t = x.t),
+    tr AS (SELECT flag, round(avg(y), 9) AS rate FROM c WHERE t < DATE '2000-01-01' GROUP BY 1),
+    v AS (SELECT c.*, rate FROM c JOIN tr USING (flag) WHERE t = DATE '2000-01-01'),
+    size_ AS (SELECT count(*) AS "rows", CAST(sum(y) AS BIGINT) AS positives FROM v),
+    l AS (SELECT 'channel rate' AS model, rate AS s, y FROM v UNION ALL SELECT 'past click rate', past_rate, y FROM v)"""
+
+
+@query(f"""{CLICKS_SQL}, {QUALITY_SQL} SELECT *, true AS above_chance FROM q UNION ALL {_fitted_sql(("history and channel",), 'size_')}
+    UNION ALL SELECT 'history', "rows", positives, NULL, NULL, NULL FROM size_""")
 def click_probe_quality(spark, sf_dir):
-    """History with and without the channel, and the channel's own rate."""
+    """History with and without the channel, and the channel's own rate. Nothing is promised for history alone."""
     rows = cut_lineage(feat.click_rows(bank.sends(spark, sf_dir), bank.CUTOFFS))
     train = rows.where(F.col("snapshot_date").isin(*bank.TRAIN))
     valid = rows.where(F.col("snapshot_date").isin(*bank.VALID))
-    scored = models.channel_rate_score(train, valid)
+    scored = models.channel_rate_score(train, valid).withColumns({c: F.round(c, 9) for c in ("channel_rate", "past_click_rate")})
     scored = models.predict(models.click_probe(False).fit(train), scored, "history")
     scored = models.predict(models.click_probe(True).fit(train), scored, "history_channel")
-    return models.compare_scores(scored, {"channel rate": "channel_rate", "past click rate": "past_click_rate", "history": "history",
-                                          "history and channel": "history_channel"}, "clicked")
+    out = judged(models.compare_scores(scored, {"channel rate": "channel_rate", "past click rate": "past_click_rate", "history": "history",
+                                                "history and channel": "history_channel"}, "clicked"), ("history", "history and channel"))
+    return out.withColumn("above_chance", F.when(F.col("model") != "history", F.col("above_chance")))
 
 
 @query()
@@ -383,11 +427,14 @@ def permutation_importances(spark, sf_dir):
     return models.permutation_importance(model, valid, ["days_since_last_txn", "txn_count_90d", "txn_count_180d"], feat.TARGET, ["customer_id", "snapshot_date"])
 
 
-@query()
+ABLATED = ("all features", "without products_opened")
+
+
+@query(f"{VALID_SQL} {_fitted_sql(ABLATED, 'size_')}")
 def ablation_without_products(spark, sf_dir):
-    """L20, L23."""
+    """The linear probe with and without a feature."""
     train, valid = model_rows(spark, sf_dir)
-    return models.ablation(train, valid, ["products_opened"])
+    return judged(models.ablation(train, valid, ["products_opened"]), ABLATED)
 
 
 @query(f"""{bank.SNAPSHOTS_SQL} SELECT customer_id, snapshot_date, {AS_NUMBERS} FROM rows_""")
