@@ -29,7 +29,7 @@ from tidemark.llm.tokens import encoder
 
 BATCH_SEQUENCES = 256
 MANIFEST = "file string, part int, n_tokens bigint, n_docs bigint"
-ROWS = "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 bigint"
+ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def id_type(vocabulary: int) -> pa.DataType:
@@ -122,7 +122,7 @@ def slices(reader: ipc.RecordBatchFileReader, length: int, starts: np.ndarray, c
 
 def read_part(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file, part in zip(batch.column("file").to_pylist(), batch.column("part").to_pylist()):
+        for file, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist()):
             files, name = fs.FileSystem.from_uri(file)
             local = isinstance(files, fs.LocalFileSystem)
             open_ = pa.memory_map if local else files.open_input_file
@@ -137,18 +137,17 @@ def read_part(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                         for view in views:
                             crc = zlib.crc32(view.astype("<u4").tobytes(), crc)
                         sums.append(crc)
-                    yield pa.record_batch([rows.column("doc_id"), pa.array(np.full(len(rows), part, np.int32)), pa.array(starts), pa.array(counts),
-                                           pa.array(sums, pa.int64())], ["doc_id", "part", "start", "n_tokens", "ids_crc32"])
+                    yield pa.record_batch([rows.column("doc_id"), pa.array(starts + before), pa.array(counts), pa.array(sums, pa.int64())],
+                                          ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(manifest: DataFrame, length: int = 2048) -> DataFrame:
     """A row per document from the files: `start` counts the ids of all documents before it, over all files."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    offsets = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_before"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    placed = manifest.select("file", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("before"))
     # As many tasks as files: left to itself, the planner would read all of them in one, as the manifest is small.
-    spread = manifest.select("file", "part").repartition(max(1, manifest.count()), "part")
-    rows = in_arrow(spread, lambda batches: read_part(batches, length), ROWS)
-    return rows.join(offsets, "part").select("doc_id", (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
+    spread = placed.repartition(max(1, manifest.count()), "file")
+    return in_arrow(spread, lambda batches: read_part(batches, length), ROWS)
 
 
 def token_file_round_trip(docs: DataFrame, path: str, end_id: int, length: int = 2048) -> DataFrame:
