@@ -200,7 +200,8 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     index = in_arrow(prints, lambda batches: indexed(batches, plan), ENTRIES).withColumnRenamed("fp", "found")
     asked = in_arrow(prints, lambda batches: probes(batches, plan), ENTRIES)
     near = (F.col("fp") != F.col("found")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("found"))) <= radius)
-    same = asked.alias("q").join(index.alias("x"), (F.col("q.part") == F.col("x.part")) & (F.col("q.value") == F.col("x.value")) & near)
+    # Sizes before and after Python look alike to the planner, so it is told not to broadcast.
+    same = asked.alias("q").join(index.alias("x").hint("merge"), (F.col("q.part") == F.col("x.part")) & (F.col("q.value") == F.col("x.value")) & near)
     return same.select(F.least("fp", "found").alias("a"), F.greatest("fp", "found").alias("b")).distinct()
 
 
