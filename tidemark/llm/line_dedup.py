@@ -6,8 +6,8 @@ end; blank lines are never counted nor dropped.
 
 A host of any size spreads: pages are counted by host and line, after each document's own repetitions are gone, with partial
 sums before the shuffle. What is joined back is one row per host with its boilerplate lines: at most the host's lines per page
-divided by `max_ratio`. It is stored first, so that the planner broadcasts it only if it is small; otherwise documents are
-joined by host and a salt, which a third of all rows with one host cannot crowd.
+divided by `max_ratio`. It is broadcast only while all hosts together have no more than BROADCAST_LINES lines, which are counted;
+beyond that documents are joined by host and a salt, which a third of all rows with one host cannot crowd.
 
 A null host is a host of its own; null texts stay null and have no lines; repeated rows count as pages of their own id once
 per row; an empty table gives no row; all columns of `docs` are kept, whatever their names.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import null_safe_key, stored
 
 SALTS = 64
+BROADCAST_LINES = 100_000  # of 16 bytes
 
 
 def line_key(line: Column) -> Column:
@@ -51,10 +52,16 @@ def without_boilerplate(docs: DataFrame, host: str = "source", text: str = "text
                         counts: tuple[str, str] | None = None) -> DataFrame:
     """`docs` with the boilerplate lines gone from `text`; `counts` names two more columns: lines before, and dropped."""
     found = boilerplate(docs, host, text, max_ratio, min_pages)
-    per_host = stored(found.groupBy("_host").agg(F.collect_list(F.struct("h1", "h2")).alias("_drop")), "boilerplate")
-    salted = per_host.select(F.col("_host").alias("_line_host"), "_drop", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_line_salt"))
-    spread = docs.withColumns({"_own_host": null_safe_key(F.col(host)), "_own_salt": F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")})
-    joined = spread.join(salted, (F.col("_own_host") == F.col("_line_host")) & (F.col("_own_salt") == F.col("_line_salt")), "left")
+    found = stored(found, "boilerplate")
+    per_host = found.groupBy(F.col("_host").alias("_line_host")).agg(F.collect_list(F.struct("h1", "h2")).alias("_drop"))
+    spread = docs.withColumn("_own_host", null_safe_key(F.col(host)))
+    same = F.col("_own_host") == F.col("_line_host")
+    if found.count() <= BROADCAST_LINES:
+        joined = spread.join(F.broadcast(per_host), same, "left")
+    else:
+        salted = per_host.withColumn("_line_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = spread.withColumn("_own_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        joined = spread.join(salted.hint("merge"), same & (F.col("_own_salt") == F.col("_line_salt")), "left")
     keep = F.filter(lines_of(F.col(text)), lambda line: ~(has_word(line) & F.array_contains(F.col("_drop"), line_key(line))))
     cleaned = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull() & F.col(text).isNotNull(), keep))
     out = F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))
