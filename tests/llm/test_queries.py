@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 from tests.llm import brute
-from tidemark.llm import licenses, packing, quality_model, quality_rules, registry, secrets, simhash
+from tidemark.llm import licenses, line_dedup, packing, quality_model, quality_rules, registry, secrets, simhash
 from tidemark.llm.decontamination import contamination, decontaminated
 
 QUERIES, ORACLES = registry.load()
@@ -211,3 +211,8 @@ def test_op2_learns_what_the_labels_mark():
     assert ((model.score(x[1::2]) >= 0.3) == y[1::2]).mean() > 0.98
     assert quality_model.fit(x[:0], y[:0]).score(x[:3]).tolist() == [0.5] * 3
     assert len(model.pairs) > 0 and 0 <= float(model.score(np.array([quality_model.features_of(b"")]))[0]) <= 1
+
+
+def test_op1_without_broadcast(spark, folder, planted, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    check(spark, folder, "op1", ("doc_id", "n_lines", "n_dropped", "text"), brute.line_dedup(planted[0]))

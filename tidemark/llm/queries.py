@@ -12,16 +12,16 @@ from tidemark.llm.registry import query
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
-LINES = "list_filter(string_split(text, chr(10)), x -> trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')"
+LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')"
 
 
 @query(f"""WITH own AS (SELECT source, doc_id, unnest(list_distinct(list_transform({LINES},
-    x -> trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS line FROM documents),
+    lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS line FROM documents),
 total AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 drop_ AS (SELECT own.source, list(line) AS lines FROM (SELECT source, line, count(*) AS pages FROM own GROUP BY ALL) own
     JOIN total ON own.source IS NOT DISTINCT FROM total.source WHERE pages >= 5 AND pages > 0.05 * n GROUP BY own.source),
 kept AS (SELECT doc_id, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)),
-    x -> NOT list_contains(coalesce(drop_.lines, []::VARCHAR[]), trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS kept
+    lambda x: NOT list_contains(coalesce(drop_.lines, []::VARCHAR[]), trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS kept
     FROM documents LEFT JOIN drop_ ON documents.source IS NOT DISTINCT FROM drop_.source)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM kept""")
 def op1_line_dedup(spark, sf_dir):
@@ -40,12 +40,23 @@ def op2_quality_model(spark, sf_dir):
     return scores.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query()
+ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {ITEM_WORDS} AS w FROM documents), b AS (SELECT item_id, {ITEM_WORDS} AS w FROM benchmark),
+i AS (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS place FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, place, place + k - 1), ' ') AS win FROM i), sizes AS (SELECT DISTINCT k FROM win),
+p AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS place FROM d, sizes WHERE len(w) >= k),
+hits AS (SELECT doc_id, place, k, item_id FROM (SELECT doc_id, place, k, array_to_string(list_slice(w, place, place + k - 1), ' ') AS win FROM p) JOIN win USING (k, win)),
+n AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(place, place + k)) AS word FROM hits) GROUP BY 1),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS ids FROM hits GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""")
 def op3_decontamination(spark, sf_dir):
     """Words of every document that stand in a 13-word window of a test item, and the items."""
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, coverage=20)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.col("longest").alias("longest_match"))
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 @query()
