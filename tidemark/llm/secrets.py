@@ -84,7 +84,8 @@ def labelled_samples(docs: DataFrame, id: str = "doc_id", text: str = "text", ma
     first = lambda df, *by: df.orderBy(F.xxhash64(F.lit(11), *by), *by).limit(max_samples)
     caught = first(base_values(docs, text).distinct(), "sample")
     digests = first(docs.select(F.base64(F.unhex(F.sha2(F.col(id).cast("string"), 256))).alias("sample")).where("sample IS NOT NULL").distinct(), "sample")
-    some = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).orderBy(F.xxhash64(F.lit(11), "_id"), "_id").limit(max_samples // 10)
+    ids = docs.select(F.col(id).alias("_id")).distinct().orderBy(F.xxhash64(F.lit(11), "_id"), "_id").limit(max_samples // 10)  # without texts
+    some = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id", "left_semi")  # bound: `max_samples` / 10 ids
     words = some.select(F.filter(F.split(F.coalesce("_text", F.lit("")), r"[^A-Za-z]+"), lambda w: F.length(w) >= 4).alias("w"))
     pairs = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.slice(F.col("w"), i + 1, F.lit(3)))).alias("p"))
     pairs = pairs.where(F.size("p") > 0)
