@@ -1,4 +1,4 @@
-"""A corpus pipeline over `documents`: quality, boilerplate lines, near duplicates, benchmark passages, packing.
+"""A corpus pipeline over `documents`: quality, boilerplate lines, near duplicates, near copies, benchmark passages, packing.
 
 Each stage is an operator of tidemark.llm. It works on all that the stage before it kept, is written as Parquet and read again, so a
 lost executor costs at most its own stage. All stages but the last return the columns of `documents`.
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, line_dedup, packing, quality_model, simhash
+from tidemark.llm import decontamination, line_dedup, near_copies, packing, quality_model, simhash
 from tidemark.llm.common import stored, table
 
 LEAST_SCORE = 0.3
@@ -37,6 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.one_of_each(docs, radius=2, size=3).select(*docs.columns)
 
 
+def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents of which the 5-word shingles are to 80 % (Jaccard) those of a document that stays."""
+    return near_copies.without_near_copies(docs, percent=80, size=5).select(*docs.columns)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents of which a 20th or more is benchmark windows, and without such passages in the others."""
     return _resized(decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"), window=13, coverage=20))
@@ -49,7 +54,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_classifier", quality_classifier), ("line_dedup", boilerplate_lines), ("near_duplicates", near_duplicates),
-    ("decontamination", benchmark_decontamination), ("packing", best_fit_packing),
+    ("near_copies", similar_texts), ("decontamination", benchmark_decontamination), ("packing", best_fit_packing),
 ]
 
 # Fitted models, hashes and token ids are beyond SQL: the stages are tested against plain forms.

@@ -1,10 +1,13 @@
 """Every stage against the plain form of its own input."""
 
+import random
+
 import public_tokenizers
 
 import corpus_pipeline
 from tests.llm import brute
 from tests.llm.test_queries import check_layout, rows
+from tidemark.llm import near_copies
 from tidemark.llm.common import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -55,3 +58,35 @@ def test_stages(spark, folder):
 def test_run_gives_the_stages_rows(spark, folder, empty_folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert corpus_pipeline.run(spark, empty_folder).count() == 0
+
+
+def shingles(text, size=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[k:k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def test_no_near_copies_are_left(spark, monkeypatch):
+    """Copies with every 40th to 60th word or so replaced, chains of them, a large group, and texts that share only a passage."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    changed = lambda words, n: [word() if k in places else w for places in [set(rng.sample(range(len(words)), n))] for k, w in enumerate(words)]
+    passage, texts = [word() for _ in range(60)], [None, "", "a b", "a  B", "c d"]
+    for _ in range(15):
+        base = [word() for _ in range(300)]
+        texts += [" ".join(w) for w in (base, changed(base, 3), changed(base, 5), changed(changed(base, 5), 5), changed(base, 40))]
+        texts.append(" ".join(passage + base[:50]))
+    texts += [" ".join(changed(passage * 5, 2)) for _ in range(100)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sets = [shingles(t) for t in texts]
+    copies = [(a, b) for a in range(len(texts)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8]
+    prints = [brute.fingerprint(t) for t in texts]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in copies) > 20
+    for rounds in (1, 3):
+        monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+        kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs.union(docs.limit(9)), "").collect()}
+        assert not [p for p in copies if kept >= set(p)]
+        assert all(any(similarity(sets[k], sets[g]) >= 0.8 for k in kept) for g in set(range(len(texts))) - kept)
