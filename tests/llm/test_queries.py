@@ -216,3 +216,15 @@ def test_op2_learns_what_the_labels_mark():
 def test_op1_without_broadcast(spark, folder, planted, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
     check(spark, folder, "op1", ("doc_id", "n_lines", "n_dropped", "text"), brute.line_dedup(planted[0]))
+
+
+@pytest.mark.parametrize("percent", [5, 15, 20])
+def test_op10_rejects_as_much_as_is_junk(spark, percent):
+    rng = random.Random(percent)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    docs = []
+    for k in range(600):
+        words, junk = [word() for _ in range(120)], k % 100 < percent
+        docs.append((k, " ".join(w + "|" if junk and k % 2 else w * 3 if junk else w for w in words), "en", f"s{k // 300}"))
+    found = quality_rules.apply_rules(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string"))
+    assert {r["doc_id"] for r in found.where("NOT kept").collect()} == {k for k in range(600) if k % 100 < percent}
