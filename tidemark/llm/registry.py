@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("queries",)
+MODULES = ("queries", "vector_queries")
 
 
 def query(sql: str | None = None):
