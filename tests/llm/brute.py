@@ -31,12 +31,14 @@ def crc(ids):
 
 def line_dedup(docs, max_ratio=0.05, min_pages=5):
     strip = " \t\n\x0b\f\r"
-    pages, totals = Counter(), Counter()
-    for d in docs:
-        totals[d["source"]] += 1
-        for line in {x.strip(strip) for x in (d["text"] or "").split("\n")} - {""}:
-            pages[d["source"], line] += 1
-    bad = {k for k, n in pages.items() if n >= min_pages and n > max_ratio * totals[k[0]]}
+    texts = {(d["source"], d["text"]) for d in docs if d["text"] is not None}
+    totals = Counter(source for source, _ in texts)
+    pages = Counter((source, line) for source, text in texts for line in {x.strip(strip) for x in text.split("\n")} - {""})
+    bad = set()
+    for (source, line), n in pages.items():
+        words = len(PLAIN_WORD.findall(line))
+        if n >= (3 if words > 50 else min_pages) and n > max_ratio * totals[source] * min(1, (10 / words) ** 2):
+            bad.add((source, line))
     out = []
     for d in docs:
         lines = [] if d["text"] is None else d["text"].split("\n")
@@ -92,8 +94,8 @@ def fingerprint(text, size=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def simhash(docs, radius=2):
-    prints = [fingerprint(d["text"]) for d in docs]
+def simhash(docs, radius=2, size=3):
+    prints = [fingerprint(d["text"], size) for d in docs]
     parent = list(range(len(docs)))
 
     def root(a):

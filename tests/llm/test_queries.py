@@ -31,6 +31,17 @@ def test_op1(spark, folder, planted):
     assert any(r[2] for r in brute.line_dedup(planted[0]))
 
 
+def test_op1_long_lines_take_fewer_pages(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"w{k}" for k in range(80))
+    texts = [" ".join(f"x{rng.random()}" for _ in range(8)) + (f"\n {passage}" if k < 40 else "\nshort common line" if k < 90 else "") for k in range(1000)]
+    texts += ["one text\ncopied as a whole " + "very often " * 30] * 100
+    docs = [{"doc_id": k, "source": "s", "text": t} for k, t in enumerate(texts)]
+    found = line_dedup.without_boilerplate(spark.createDataFrame([(d["doc_id"], d["source"], d["text"]) for d in docs], "doc_id bigint, source string, text string"), counts=("n", "d"))
+    assert rows(found, "doc_id", "n", "d", "text") == sorted(brute.line_dedup(docs), key=repr)
+    assert [sum(r[2] for r in brute.line_dedup(docs)[low:high]) for low, high in ((0, 40), (40, 90), (1000, 1100))] == [40, 0, 0]
+
+
 def test_op2(spark, folder, planted):
     found = named("op2")(spark, folder).collect()
     assert len(found) == len(planted[0])

@@ -38,6 +38,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each lengthened until no column of `df` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ship_library(spark: SparkSession) -> None:
     """Sends this library to the executors once per application: their Python workers import it."""
     context = spark.sparkContext

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NOT_WORD, WORD_BYTES, in_arrow, lower_ascii, stored, text_slices, words_between
+from tidemark.llm.common import NOT_WORD, WORD_BYTES, in_arrow, lower_ascii, spare_names, stored, text_slices, words_between
 
 BLOCK_WORDS = 100_000
 END = b"\xff"
@@ -241,10 +241,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, coverage:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))
 
 
-def without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def without_spans(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans = batch.column("_hit_spans")
-        rest = batch.drop_columns(["_hit_spans"])
+        spans = batch.column(name)
+        rest = batch.drop_columns([name])
         if spans.null_count < len(batch):
             index = rest.schema.get_field_index("text")
             texts = [cut(t, s) if s else t for t, s in zip(rest.column(index).to_pylist(), spans.to_pylist())]
@@ -265,11 +265,11 @@ def cut(text: str, spans: list[int]) -> str:
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 13, coverage: int = 20) -> DataFrame:
     """`docs` without the documents of which a `coverage`-th is hit, and without the hit spans of the others."""
+    id, one, two, own_1, own_2, spans, much = spare_names(docs, "hit_id", "hit_1", "hit_2", "key_1", "key_2", "hit_spans", "hit_much")
     hits = stored(contamination(docs, items, window, coverage).where("n_hit > 0").select(
-        F.col("doc_id").alias("_hit_id"), F.col("h1").alias("_hit_1"), F.col("h2").alias("_hit_2"), F.col("spans").alias("_hit_spans"),
-        F.col("contaminated").alias("_hit_much")).distinct(), "hits")
+        F.col("doc_id").alias(id), F.col("h1").alias(one), F.col("h2").alias(two), F.col("spans").alias(spans), F.col("contaminated").alias(much)).distinct(), "hits")
     h1, h2 = text_keys(F.coalesce(F.col("text"), F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.col("_key_1") == F.col("_hit_1")) & (F.col("_key_2") == F.col("_hit_2"))
-    joined = docs.withColumns({"_key_1": h1, "_key_2": h2}).join(hits, same, "left")
-    kept = joined.where(~F.coalesce("_hit_much", F.lit(False))).select(*docs.columns, "_hit_spans")
-    return in_arrow(kept, without_spans, docs.schema)
+    same = F.col("doc_id").eqNullSafe(F.col(id)) & (F.col(own_1) == F.col(one)) & (F.col(own_2) == F.col(two))
+    joined = docs.withColumns({own_1: h1, own_2: h2}).join(hits, same, "left")
+    kept = joined.where(~F.coalesce(F.col(much), F.lit(False))).select(*docs.columns, spans)
+    return in_arrow(kept, lambda batches: without_spans(batches, spans), docs.schema)

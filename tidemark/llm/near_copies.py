@@ -5,12 +5,15 @@ random functions: a pair of similarity 0.8 shares none with a chance of 6e-5, le
 sets (64-bit hashes of the shingles). A row goes if a row that stays is similar to it, so no chain of copies drops what resembles
 nothing that is kept; which row of a group stays is drawn by hash.
 
-A row that is first in all its keys stays, and drops those similar to it; after ROUNDS of that, which settle a group of copies of any
-size by comparing each with one row, the few pairs left are compared one by one. Keys of one row are gone at once, and sets are made
-only for rows with a shared key.
+A row that is first in all its keys stays, and drops those similar to it: a group of copies of any size is settled by comparing each
+with one row. Keys of one row are gone at once, and sets are made only for rows with a shared key. What still shares keys after
+ROUNDS of that are mostly texts that have a passage in common and are no copies, and these are told apart without being compared: each
+now gets as keys the rarest shingles of its set, by their count over these rows, just enough of them that two similar sets have one
+in common (a prefix). A passage that many texts share is not among the rarest of any of them, unless it is nearly all of it. The same
+rounds follow on these keys, and last, pairs of the few rows left whose lengths and places in the prefixes allow for the similarity.
 
 Null texts and texts without words are never near copies; texts shorter than a shingle are one shingle. Repeated rows are one row. An
-empty table gives no row.
+empty table gives no row. All columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,14 +65,16 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def keyed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts in text_slices(batch, "text"):
-            nodes, keys = [], []
+            nodes, sizes, keys = [], [], []
             for node, text in zip(rows.column("node").to_pylist(), texts):
                 hashes = shingle_set(text, size)
                 if len(hashes):
                     nodes.append(node)
+                    sizes.append(len(hashes))
                     keys.append(band_keys(hashes))
             found = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), BANDS))], ["key", "node"])
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), BANDS)), pa.array(np.repeat(np.array(sizes, np.int32), BANDS))],
+                                  ["key", "node", "n"])
 
 
 def with_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -79,18 +84,24 @@ def with_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield pa.record_batch([rows.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
+def close_sizes(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b).cast("bigint") >= percent * F.greatest(a, b).cast("bigint")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (first, node) whose sets have a Jaccard similarity of at least `percent`."""
+    """The pairs (first, node) whose sets have a Jaccard similarity of at least `percent`. The nodes' sets come first: where thousands of
+    pairs have one `first`, their rows are then large enough for AQE to split."""
     left = sets.select(F.col("node").alias("first"), F.col("shingles").alias("_a"))
-    both = pairs.join(left.hint("merge"), "first").join(sets.withColumnRenamed("shingles", "_b").hint("merge"), "node")
+    both = pairs.join(sets.withColumnRenamed("shingles", "_b").hint("merge"), "node").join(left.hint("merge"), "first")
     a, b = F.size("_a").cast("bigint"), F.size("_b").cast("bigint")
     common = F.size(F.array_intersect("_a", "_b"))
-    return both.where((100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * common >= percent * (a + b))).select("first", "node")
+    return both.where(close_sizes(a, b, percent) & ((100 + percent) * common >= percent * (a + b))).select("first", "node")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """`key`, `node` and the key's `first` node, for keys of two nodes or more."""
-    firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("_last")).where("first != _last").drop("_last")
+    """The rows of keys of two nodes or more, with the key's `first` node and its size `first_n`."""
+    firsts = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("_f"), F.max("node").alias("_last")).where("_f.node != _last")
+    firsts = firsts.select("key", F.col("_f.node").alias("first"), F.col("_f.n").alias("first_n"))
     return stored(keys.join(stored(firsts, "firsts").hint("merge"), "key"), "shared")
 
 
@@ -98,20 +109,53 @@ def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     return rows.join(gone.select(F.col("node").alias(column)), column, "left_anti")
 
 
-def dropped_nodes(keys: DataFrame, sets_of, percent: int) -> DataFrame:
-    """`node` of every row that goes."""
-    shared = shared_keys(keys)
-    sets = stored(sets_of(shared.select("node").distinct()), "sets")
-    dropped = []
+def settled(shared: DataFrame, sets: DataFrame, percent: int, dropped: list[DataFrame]) -> DataFrame:
+    """What still shares keys after ROUNDS rounds; what goes in them is added to `dropped`."""
+    kept = [c for c in shared.columns if c not in ("first", "first_n")]
     for _ in range(ROUNDS):
         staying = stored(shared.groupBy("node").agg(F.max(F.col("first") != F.col("node")).alias("later")).where("NOT later").select("node"), "staying")
-        pairs = shared.where("first != node").join(staying.select(F.col("node").alias("first")).hint("merge"), "first", "left_semi")
-        gone = stored(similar(stored(pairs.select("first", "node").distinct(), "pairs"), sets, percent).select("node").distinct(), "gone")
+        asked = shared.where(F.col("first") != F.col("node")).where(close_sizes(F.col("n"), F.col("first_n"), percent)).select("first", "node").distinct()
+        pairs = asked.join(staying.select(F.col("node").alias("first")).hint("merge"), "first", "left_semi")
+        gone = stored(similar(stored(pairs, "pairs"), sets, percent).select("node").distinct(), "gone")
         dropped.append(gone)
         # A row that stays has been compared with all that share a key with it.
-        shared = shared_keys(without(without(shared.select("key", "node"), gone, "node"), staying, "node"))
-    pairs = shared.select("key", F.col("node").alias("first")).join(shared.select("key", "node"), "key").where("first < node").select("first", "node").distinct()
-    edges = stored(similar(stored(pairs, "pairs"), sets, percent), "edges")
+        shared = shared_keys(without(without(shared.select(*kept), gone, "node"), staying, "node"))
+    return shared
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """`key`, `node`, its set's size `n` and the key's place `at` for the rarest shingles of every set that other sets have too: of n
+    shingles as many that a set with `percent` of them has one of these."""
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    counts = stored(each.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "counts")
+    often = each.join(counts.hint("merge"), "key")
+    lists = often.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "key"))).alias("common"))
+    # Shingles of one set alone come first and are no keys.
+    alone, length = F.col("n") - F.size("common"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    numbered = lists.select("node", "n", F.posexplode(F.slice("common", 1, F.greatest(length - alone, F.lit(0)).cast("int"))).alias("k", "c"), alone.alias("alone"))
+    return stored(numbered.select(F.col("c.key").alias("key"), "node", "n", (F.col("alone") + F.col("k")).alias("at")), "prefixes")
+
+
+def candidates(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (first, node) that share a key of their prefixes and can be similar: by their sizes, and by what is left of both sets from there on."""
+    left = shared.select("key", F.col("node").alias("first"), F.col("n").alias("_n"), F.col("at").alias("_at"))
+    wanted = percent * (F.col("n") + F.col("_n")).cast("bigint")
+    rest = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")).cast("bigint")
+    # Before the first shared key nothing is shared: where it is not the first, another key gives the pair.
+    possible = (F.col("first") < F.col("node")) & close_sizes(F.col("n"), F.col("_n"), percent) & ((100 + percent) * rest >= wanted)
+    right = shared.select("key", "node", "n", "at").alias("r")
+    return left.join(right, (left["key"] == F.col("r.key")) & possible).select("first", "node").distinct()
+
+
+def dropped_nodes(keys: DataFrame, sets_of, percent: int) -> DataFrame:
+    """`node` of every row that goes."""
+    shared = shared_keys(keys)
+    sets = stored(sets_of(shared.select("node").distinct()), "sets")
+    dropped: list[DataFrame] = []
+    shared = settled(shared, sets, percent, dropped)
+    sets = stored(sets.join(shared.select("node").distinct(), "node", "left_semi"), "sets")
+    shared = settled(shared_keys(prefixes(sets, percent)), sets, percent, dropped)
+    edges = stored(similar(stored(candidates(shared, percent), "pairs"), sets, percent), "edges")
     while not edges.isEmpty():
         staying = edges.select(F.col("first").alias("node")).distinct().join(edges.select("node").distinct(), "node", "left_anti")
         gone = stored(edges.join(staying.select(F.col("node").alias("first")), "first", "left_semi").select("node").distinct(), "gone")
@@ -128,12 +172,13 @@ def without_near_copies(docs: DataFrame, percent: int = 80, size: int = 5, id: s
     whole = F.coalesce(F.col(text), F.lit(""))
     node: Column = F.xxhash64(null_safe_key(F.col(id)), whole)
     named = docs.select(node.alias("node"), whole.alias("text"))
-    keys = stored(in_arrow(named, lambda batches: keyed(batches, size), "key bigint, node bigint"), "keys")
+    keys = stored(in_arrow(named, lambda batches: keyed(batches, size), "key bigint, node bigint, n int"), "keys")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         some = named.join(nodes, "node", "left_semi")
         return in_arrow(some, lambda batches: with_sets(batches, size), "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
-    gone = stored(dropped_nodes(keys, sets_of, percent).select(F.col("node").alias("_near_node")), "near_copies")
-    marked = docs.withColumn("_near_node", node)
-    return marked.join(gone, "_near_node", "left_anti").dropDuplicates(["_near_node"]).drop("_near_node")
+    gone = stored(dropped_nodes(keys, sets_of, percent).select(F.col("node").alias("gone")), "near_copies")
+    # The row in one struct: its columns can have any names.
+    packed = docs.select(node.alias("node"), F.struct(*docs.columns).alias("row"))
+    return packed.join(gone, F.col("node") == F.col("gone"), "left_anti").dropDuplicates(["node"]).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

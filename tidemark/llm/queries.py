@@ -15,17 +15,20 @@ WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.pa
 LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')"
 
 
-@query(f"""WITH own AS (SELECT source, doc_id, unnest(list_distinct(list_transform({LINES},
-    lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS line FROM documents),
-total AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-drop_ AS (SELECT own.source, list(line) AS lines FROM (SELECT source, line, count(*) AS pages FROM own GROUP BY ALL) own
-    JOIN total ON own.source IS NOT DISTINCT FROM total.source WHERE pages >= 5 AND pages > 0.05 * n GROUP BY own.source),
+BARE = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(f"""WITH own AS (SELECT source, text, unnest(list_distinct(list_transform({LINES}, lambda x: {BARE}))) AS line FROM documents),
+total AS (SELECT source, count(DISTINCT text) AS n FROM documents GROUP BY source),
+counted AS (SELECT source, line, count(DISTINCT text) AS pages, len(string_split_regex(line, '[\\x20\\x09-\\x0D]+')) AS words FROM own GROUP BY source, line),
+drop_ AS (SELECT c.source, list(line) AS lines FROM counted c JOIN total ON c.source IS NOT DISTINCT FROM total.source
+    WHERE pages >= CASE WHEN words > 50 THEN 3 ELSE 5 END AND pages > 0.05 * n * least(1, (10.0 / words) ** 2) GROUP BY c.source),
 kept AS (SELECT doc_id, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)),
-    lambda x: NOT list_contains(coalesce(drop_.lines, []::VARCHAR[]), trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS kept
+    lambda x: NOT list_contains(coalesce(drop_.lines, []::VARCHAR[]), {BARE})) AS kept
     FROM documents LEFT JOIN drop_ ON documents.source IS NOT DISTINCT FROM drop_.source)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM kept""")
 def op1_line_dedup(spark, sf_dir):
-    """Every document without the lines that more than 5 % of its source's documents (5 at least) hold."""
+    """Every document without the lines that more than 5 % of its source's texts (5 at least) hold; long lines take fewer."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cleaned = line_dedup.without_boilerplate(docs, "source", "text", max_ratio=0.05, min_pages=5, counts=("n_lines", "n_dropped"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", "text")

@@ -256,8 +256,9 @@ def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, id: str = "doc_
     rows, classes = classed(docs, radius, size, id, text)
     rooted = rows.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("r"))
-    chosen = first.select(null_safe_key(F.col("r.doc_id")).alias("_near_id"), F.col("r.h1").alias("_near_1"), F.col("r.h2").alias("_near_2"))
+    chosen = first.select(null_safe_key(F.col("r.doc_id")).alias("key"), F.col("r.h1").alias("h1"), F.col("r.h2").alias("h2"))
     whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns({"_near_id": null_safe_key(F.col(id)), "_near_1": F.xxhash64(whole), "_near_2": F.xxhash64(F.lit(1), whole)})
-    keys = ["_near_id", "_near_1", "_near_2"]
-    return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    # The row in one struct: its columns can have any names.
+    packed = docs.select(F.struct(*docs.columns).alias("row"), null_safe_key(F.col(id)).alias("key"), F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2"))
+    keys = ["key", "h1", "h2"]
+    return packed.join(chosen, keys, "left_semi").dropDuplicates(keys).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
