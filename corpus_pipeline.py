@@ -1,4 +1,4 @@
-"""A corpus pipeline over `documents`: quality, boilerplate lines, near duplicates, near copies, benchmark passages, packing.
+"""A corpus pipeline over `documents`: quality, boilerplate lines, near duplicates, benchmark passages, packing.
 
 Each stage is an operator of tidemark.llm. It works on all that the stage before it kept, is written as Parquet and read again, so a
 lost executor costs at most its own stage. All stages but the last return the columns of `documents`.
@@ -24,7 +24,8 @@ def _resized(docs: DataFrame) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model of labels.quality scores at least LEAST_SCORE."""
     model = quality_model.learn(docs, table(spark, sf_dir, "labels"), "quality", max_rows=20_000)
-    return quality_model.with_scores(docs, model, keep=tuple(docs.columns), name="_quality").where(F.col("_quality") >= LEAST_SCORE).select(*docs.columns)
+    name = "".join(docs.columns) + "_score"  # no column of theirs
+    return quality_model.with_scores(docs, model, keep=tuple(docs.columns), name=name).where(F.col(name) >= LEAST_SCORE).select(*docs.columns)
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +34,9 @@ def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by fingerprints that differ in at most 2 bits."""
-    return simhash.one_of_each(docs, radius=2, size=3).select(*docs.columns)
-
-
-def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents of which the 5-word shingles are to 80 % (Jaccard) those of a document that stays."""
-    return near_copies.without_near_copies(docs, percent=80, size=5).select(*docs.columns)
+    """One document of each group of near duplicates: first that of the smallest id of those linked by fingerprints of 5-word shingles that
+    differ in at most 2 bits; of those left, none of which the shingles are to 80 % (Jaccard) those of a document that stays."""
+    return near_copies.without_near_copies(simhash.one_of_each(docs, radius=2, size=5), percent=80, size=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +51,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_classifier", quality_classifier), ("line_dedup", boilerplate_lines), ("near_duplicates", near_duplicates),
-    ("near_copies", similar_texts), ("decontamination", benchmark_decontamination), ("packing", best_fit_packing),
+    ("decontamination", benchmark_decontamination), ("packing", best_fit_packing),
 ]
 
 # Fitted models, hashes and token ids are beyond SQL: the stages are tested against plain forms.
