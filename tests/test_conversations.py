@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config.bank import BANK
+from tidemark.operators import sketches
 from tidemark.plans import conversations as conv
 from tidemark.sources import readers
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, stateful
 
 START = datetime.datetime(2026, 1, 1, 8)
 
@@ -80,9 +81,67 @@ def test_streamed_streaks_over_several_batches(spark, turns, tmp_path):
     folder = str(tmp_path / "in")
     write_files(spark, turns, folder, 4)
     stream = spark.readStream.schema(LAYOUT).option("maxFilesPerTrigger", 1).parquet(folder)
-    jobs.run_available(jobs.failure_counter(stream, "user", "ts", "id"), str(tmp_path / "out"), str(tmp_path / "progress"))
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert {r.id: (r.consecutive_failures, r.escalated) for r in out.collect()} == brute_streaks(turns)
+    for file in range(3):  # the same stream goes on from its checkpoint
+        out = stateful.count_failures(stream, "user", "ts", "id", str(tmp_path / "out"), str(tmp_path / "progress"))
+        assert {r.id: (r.consecutive_failures, r.escalated) for r in out.collect()} == brute_streaks(arrived(spark, folder))
+        if file < 2:
+            late = [(5000 + 300 * file + k, "hot", max(r[2] for r in turns) + datetime.timedelta(minutes=30 * (file + 1), seconds=7 * (k % 250)), k % 3 > 0, k % 7 == 0) for k in range(300)]
+            spark.createDataFrame(late, LAYOUT).coalesce(1).write.mode("append").parquet(folder)
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert 0 < written.count() < out.count()
+
+
+def arrived(spark, folder):
+    return [(r.id, r.user, r.ts, r.failed, r.neutral) for r in spark.read.parquet(folder).collect()]
+
+
+def test_sessions_end_when_their_state_is_forgotten(spark, turns, tmp_path):
+    """In one batch or in many, the same sessions end: those whose last turn is longer ago than they are kept."""
+    keep = datetime.timedelta(minutes=60)
+    at = max(r[2] for r in turns).replace(microsecond=0)
+    rows = turns + [(9000 + k, "hot", at - datetime.timedelta(minutes=k // 3 * 2), k % 2 > 0, False) for k in range(300)]
+    runs = {}
+    for _, user, ts, *_ in sorted(rows, key=lambda r: r[2]):
+        mine = runs.setdefault(user, [])
+        if mine and ts - mine[-1][-1] <= keep:
+            mine[-1].append(ts)
+        else:
+            mine.append([ts])
+    last = max(r[2] for r in rows)
+    horizon = last.replace(microsecond=last.microsecond // 1000 * 1000) - datetime.timedelta(minutes=10)
+    want = sorted((u, r[0], r[-1], len(r)) for u, mine in runs.items() if u is not None for r in mine if r[-1] + keep < horizon)
+    for parts in (1, 4):
+        folder = str(tmp_path / f"in{parts}")
+        write_files(spark, rows, folder, parts)
+        stream = spark.readStream.schema(LAYOUT).option("maxFilesPerTrigger", 1).parquet(folder).where("user IS NOT NULL")
+        ended = stateful.end_sessions(stream, "user", "ts", "id", str(tmp_path / f"out{parts}"), str(tmp_path / f"progress{parts}"), 60)
+        assert sorted((r.user, r.first_turn, r.last_turn, r.turns) for r in ended.collect()) == want
+    assert len(want) > 5
+
+
+def test_chunks_that_overlap_come_out_in_order():
+    counter = stateful.FailureCounter("s", "t", "n", 60, 2)
+
+    class Slots(dict):
+        keys = dict.keys
+        getValue, removeKey = dict.get, dict.pop
+
+        def updateValue(self, slot, value):
+            self[slot] = value
+
+    class Handle:
+        timers: list = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    counter.pending, counter.handle = Slots(), Handle()
+    rng = random.Random(1)
+    turns = [(rng.randrange(10_000), k, False, False) for k in range(500)]
+    for low in range(0, 500, 60):
+        counter.put(sorted(turns[low:low + 60]))
+    assert list(counter.in_order(7_000)) == sorted(t for t in turns if t[0] < 7_000)
+    assert list(counter.in_order(99_999)) == sorted(t for t in turns if t[0] >= 7_000) and not counter.pending
 
 
 def test_streamed_sessions_equal_batch(spark, turns, tmp_path):
@@ -93,6 +152,19 @@ def test_streamed_sessions_equal_batch(spark, turns, tmp_path):
     got = sorted((r.user, r.session_start, r.session_end, r.events) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     closed = max(r[2] for r in turns) - datetime.timedelta(minutes=10)
     assert got == [s for s in brute_sessions(turns, 45) if s[2] + datetime.timedelta(minutes=45) <= closed]
+    still = [(r.user, r.session_start, r.session_end, r.events) for r in jobs.open_sessions(spark, str(tmp_path / "progress"), "user").collect()]
+    assert still and sorted(got + still) == brute_sessions(turns, 45)
+
+
+def test_sketches_merge_within_their_error(spark):
+    n = 200_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("v"), F.timestamp_seconds(F.col("id") * 13).alias("at"))
+    minutes = rows.groupBy(F.date_trunc("minute", "at").alias("at")).agg(F.count("*").alias("n"), sketches.sketch("v", 200).alias("s"))
+    days = sketches.rolled_up(sketches.rolled_up(minutes, "at", "hour", "s", ["n"]), "at", "year", "s", ["n"])
+    got = days.select("n", *sketches.quantile_columns("s", "v", (1, 50, 99))).collect()
+    assert sum(r.n for r in got) == n and len(got) == 1
+    assert all(abs(getattr(got[0], f"v_p{p}") / n - p / 100) < sketches.rank_error(200) for p in (1, 50, 99))
+    assert rows.where("v < 0").agg(sketches.sketch("v").alias("s")).select(sketches.quantile("s", 0.5).alias("q")).first().q is None
 
 
 def test_streamed_keep_latest_over_several_batches(spark, turns, tmp_path):

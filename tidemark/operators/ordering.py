@@ -52,26 +52,32 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "posit
     return numbered.select(*df.columns, (F.col("_start") + F.col(_OFFSET) + 1).alias(name), *extra)
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                   totals: Mapping[str, Column]) -> DataFrame:
-    """Inclusive running sums per key along `order`; a key of any size spreads over several slices."""
-    keys = list(keys)
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], totals: Mapping[str, Column],
+                   marks: Mapping[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """Inclusive running sums per key along `order`; a key of any size spreads over several slices. An entry of `marks`, a total of values
+    that are not negative and a condition, gives that total as it was at the latest row that meets the condition (null before one)."""
+    keys, marks = list(keys), marks or {}
     # One never-null key column: windows, slice sums and the join below then share one partitioning, and a null key
     # is a key like any other.
     key = F.struct(*keys) if keys else F.lit(0)
-    prepared = df.withColumns({**totals, "_key": key})
+    prepared = df.withColumns({**totals, **{f"_met_{n}": met for n, (_, met) in marks.items()}, "_key": key})
     laid = range_layout(prepared, [*(F.col(k).asc() for k in keys), *order])
     on = [_SLICE, "_key"]
     within = Window.partitionBy(*on).orderBy(_OFFSET).rowsBetween(Window.unboundedPreceding, 0)
-    slice_sums = laid.groupBy(*on).agg(*[F.sum(n).alias(f"_sum_{n}") for n in totals])
+    local = laid.withColumns({f"_run_{n}": F.sum(n).over(within) for n in totals})
+    # A total never falls, so the latest one is the largest.
+    at_mark = {n: F.when(F.col(f"_met_{n}"), F.col(f"_run_{t}")) for n, (t, _) in marks.items()}
+    local = local.withColumns({f"_at_{n}": F.max(c).over(within) for n, c in at_mark.items()}) if marks else local
+    slice_sums = local.groupBy(*on).agg(*[F.sum(n).alias(f"_sum_{n}") for n in totals], *[F.max(f"_at_{n}").alias(f"_last_{n}") for n in marks])
     # At most one row per slice and key: a key contributes as many rows as the slices it spans.
     earlier = Window.partitionBy("_key").orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    starts = slice_sums.select(*on, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in totals])
+    starts = slice_sums.select(*on, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in totals], *(f"_last_{n}" for n in marks))
+    starts = starts.withColumns({f"_from_{n}": F.max(F.col(f"_start_{t}") + F.col(f"_last_{n}")).over(earlier) for n, (t, _) in marks.items()}) if marks else starts
     if not keys:
         starts = F.broadcast(starts)  # one row per range partition
-    local = laid.withColumns({f"_run_{n}": F.sum(n).over(within) for n in totals})
     kept = [c for c in df.columns if c not in totals]
-    return local.join(starts, on).select(*kept, *[(F.col(f"_run_{n}") + F.col(f"_start_{n}")).alias(n) for n in totals])
+    return local.join(starts, on).select(*kept, *[(F.col(f"_run_{n}") + F.col(f"_start_{n}")).alias(n) for n in totals],
+                                         *[F.coalesce(F.col(f"_at_{n}") + F.col(f"_start_{t}"), F.col(f"_from_{n}")).alias(n) for n, (t, _) in marks.items()])
 
 
 def join_by_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

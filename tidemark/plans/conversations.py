@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import latest_per_key, running_totals
+from tidemark.operators.sketches import quantile, sketch
 
 # Fixed values.
 IDLE_MINUTES = 10
@@ -40,35 +41,45 @@ def sessions(df: DataFrame, user: str, ts: str, idle_minutes: int = IDLE_MINUTES
 
 
 def failure_streaks(df: DataFrame, session: str, order: Sequence[Column], failed: Column, neutral: Column,
-                    limit: int = FAILURES_BEFORE_HANDOFF) -> DataFrame:
+                    limit: int = FAILURES_BEFORE_HANDOFF, start: Column | None = None) -> DataFrame:
     """consecutive_failures after each turn, and whether the turn hands off. A failure adds one, a success resets, a
-    neutral turn changes nothing, a handoff resets. Running totals are taken over range slices, so a session of
-    any length spreads over tasks."""
+    neutral turn changes nothing, a handoff resets; `start` is what a session begins with. Running totals are taken over range slices,
+    so a session of any length spreads over tasks; the failures before the last success come along as a running maximum."""
     fails = F.coalesce(failed, F.lit(False))
     success = ~fails & ~F.coalesce(neutral, F.lit(False))
     # `_failed`/`_success` are per-turn marks, `_fails`/`_wins` how many so far in the session
     marked = df.withColumns({"_failed": fails.cast("int"), "_success": success.cast("int")})
-    counted = running_totals(marked, [session], order, {"_fails": F.col("_failed"), "_wins": F.col("_success")})
-    # failures before an island's first turn are the largest count at any success so far: a success does not add one
-    at_reset = counted.groupBy(session, "_wins").agg(F.min(F.when(F.col("_success") == 1, F.col("_fails"))).alias("_before"))
-    joined = counted.join(at_reset, [session, "_wins"])
-    inside = F.col("_fails") - F.coalesce("_before", F.lit(0))
+    # a success does not add a failure, so what counts before a turn is the total at the latest success
+    counted = running_totals(marked, [session], order, {"_fails": F.col("_failed")}, {"_before": ("_fails", F.col("_success") == 1)})
+    inside = F.col("_fails") - F.coalesce("_before", -start if start is not None else F.lit(0))
     hands_off = (F.col("_failed") == 1) & (inside % limit == 0)
-    return joined.withColumns({"consecutive_failures": (inside % limit).cast("int"), "escalated": hands_off}).drop(
-        "_failed", "_success", "_fails", "_wins", "_before")
+    return counted.withColumns({"consecutive_failures": (inside % limit).cast("int"), "escalated": hands_off}).drop("_failed", "_success", "_fails", "_before")
 
 
 def turn_metrics(df: DataFrame, ts: str, window: str = "5 minutes", keys: Sequence[str] = ()) -> DataFrame:
-    """Turns, failures, escalations, blocks and fallbacks per window; latency quantiles and mean requests and tokens."""
-    return df.groupBy(F.window(F.col(ts), window).alias("window"), *keys).agg(*metric_columns())
+    """Turns, failures, escalations, blocks and fallbacks per window; latency as a mergeable sketch and its quantiles; mean requests and tokens."""
+    return with_figures(df.groupBy(F.window(F.col(ts), window).alias("window"), *keys).agg(*metric_columns()))
+
+
+# What every window keeps, and the type of its one buffer in a stream's state.
+METRIC_BUFFERS = ("turns bigint, failed bigint, escalated bigint, blocked bigint, fallback bigint, latency binary, latency_max double, "
+                  "requests_n bigint, requests_sum bigint, input_n bigint, input_sum bigint, output_n bigint, output_sum bigint")
 
 
 def metric_columns() -> list[Column]:
+    means = [c for name, column in (("requests", "model_requests"), ("input", "input_tokens"), ("output", "output_tokens"))
+             for c in (F.count(column).alias(f"{name}_n"), F.sum(F.col(column).cast("bigint")).alias(f"{name}_sum"))]
     return [
         F.count("*").alias("turns"), F.count_if("failed").alias("failed"), F.count_if("escalated").alias("escalated"),
         F.count_if(F.col("status") == "blocked").alias("blocked"), F.count_if("fallback_used").alias("fallback"),
-        F.percentile_approx("latency_ms", [0.5, 0.95], 10000).alias("latency"), F.max("latency_ms").alias("latency_max"),
-        F.avg("model_requests").alias("requests"), F.avg("input_tokens").alias("input_tokens"), F.avg("output_tokens").alias("output_tokens")]
+        sketch("latency_ms").alias("latency"), F.max("latency_ms").alias("latency_max"), *means]
+
+
+def with_figures(windows: DataFrame) -> DataFrame:
+    """Quantiles and means of windows that hold sketches and sums; the sketch stays, for longer windows."""
+    means = {name: F.col(f"{part}_sum") / F.col(f"{part}_n") for name, part in (("requests", "requests"), ("input_tokens", "input"), ("output_tokens", "output"))}
+    figured = windows.withColumns({**means, "latency_p50": quantile("latency", 0.5), "latency_p95": quantile("latency", 0.95)})
+    return figured.drop(*(f"{p}_{k}" for p in ("requests", "input", "output") for k in ("n", "sum")))
 
 
 def by_engine_and_status(df: DataFrame) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.config.model import Catalog, TableSpec
 from tidemark.functions.cleaning import clean
@@ -17,7 +14,7 @@ from tidemark.operators.contracts import FLAG, compile_checks
 from tidemark.operators.dedup import any_null
 from tidemark.operators.flags import fold_validity
 from tidemark.operators.ordering import latest_per_key
-from tidemark.plans.conversations import FAILURES_BEFORE_HANDOFF, IDLE_MINUTES, SESSION_DAYS, metric_columns
+from tidemark.plans.conversations import IDLE_MINUTES, METRIC_BUFFERS, metric_columns
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema, files: int = 100) -> DataFrame:
@@ -37,10 +34,21 @@ def sessions(df: DataFrame, user: str, ts: str, idle_minutes: int = IDLE_MINUTES
     ).select(user, F.col("_s.start").alias("session_start"), "session_end", "events")
 
 
+def open_sessions(spark: SparkSession, checkpoint: str, user: str) -> DataFrame:
+    """The sessions that `sessions` has not closed yet, as they stand."""
+    rows = state_of(spark, checkpoint)
+    return rows.select(f"key.{user}", F.col("value.session_window.start").alias("session_start"), F.col("value.max").alias("session_end"), F.col("value.count").alias("events"))
+
+
 def turn_metrics(df: DataFrame, ts: str, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     return with_event_time(df, ts, delay).groupBy(F.window(ts, window).alias("window")).agg(*metric_columns())
 
 
+def open_metrics(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The windows that `turn_metrics` has not closed yet, as they stand."""
+    return open_windows(spark, checkpoint, METRIC_BUFFERS)
+
+
 def late_marked(df: DataFrame, ts: str, arrived: str, late_after_days: int = 1) -> DataFrame:
     """Late rows are marked and kept: the mark compares arrival with event time, no watermark drops them."""
     lag = F.datediff(F.to_date(arrived), F.to_date(ts))
@@ -53,6 +61,28 @@ def late_counts(df: DataFrame, ts: str, arrived: str, window: str = "1 day", del
     return marked.groupBy(F.window("_arrived", window).alias("window")).agg(F.count("*").alias("rows"), F.count_if("is_late").alias("late_rows"))
 
 
+LATE_BUFFERS = "rows bigint, late_rows bigint"
+
+
+def open_late_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    return open_windows(spark, checkpoint, LATE_BUFFERS)
+
+
+# ---- What the watermark has not closed when a stream stops ----
+
+def state_of(spark: SparkSession, checkpoint: str, variable: str | None = None) -> DataFrame:
+    """The state of a stream's one stateful operator after its last batch, or one variable of it."""
+    reader = spark.read.format("statestore")
+    return (reader.option("stateVarName", variable) if variable else reader).load(checkpoint)
+
+
+def open_windows(spark: SparkSession, checkpoint: str, buffers: str) -> DataFrame:
+    """`window` and the aggregates of the windows still in the state: `buffers` names them in their order, each with the type of its one
+    buffer (an average has two, so sums and counts are kept instead)."""
+    rows = state_of(spark, checkpoint)
+    return rows.select("key.window", F.col("value").cast(f"struct<{buffers.replace(' ', ':').replace(',:', ', ')}>").alias("v")).select("window", "v.*")
+
+
 def quota_alarms(df: DataFrame, ts: str, requests: str, per_minute: float, delay: str = "2 minutes") -> DataFrame:
     counted = with_event_time(df, ts, delay).groupBy(F.window(ts, "1 minute").alias("window")).agg(F.sum(requests).alias("requests"))
     return counted.where(F.col("requests") > per_minute).select(F.col("window.start").alias("minute"), "requests")
@@ -63,43 +93,6 @@ def first_arrivals(df: DataFrame, key: list[str], ts: str, delay: str) -> DataFr
     return with_event_time(df, ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-# ---- Failure counter with state ----
-
-STREAK_STATE = "failures int"
-
-
-def failure_counter(df: DataFrame, session: str, ts: str, turn: str, limit: int = FAILURES_BEFORE_HANDOFF, delay: str = "10 minutes",
-                    keep_days: int = SESSION_DAYS) -> DataFrame:
-    """consecutive_failures after every turn of a stream with columns failed and neutral; state ends after
-    `keep_days` without a turn. Each batch of a session is ordered by time before it is counted; the counter
-    itself is one integer, whatever the session's length."""
-    kinds = dict(df.dtypes)
-    output = f"{session} {kinds[session]}, {turn} {kinds[turn]}, {ts} timestamp, consecutive_failures int, escalated boolean"
-    retention = keep_days * 24 * 3600 * 1000
-
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        streak = state.get[0] if state.exists else 0
-        # what one trigger brought for this session; maxFilesPerTrigger of the source bounds it
-        turns = pd.concat(list(batches)).sort_values([ts, turn])
-        failed, neutral = (turns[c].fillna(False).to_numpy(bool) for c in ("failed", "neutral"))
-        so_far = np.cumsum(failed)
-        # failures up to the last success; before the first one, those that earlier triggers left are added
-        before = np.maximum.accumulate(np.where(~failed & ~neutral, so_far, -streak))
-        counts = (so_far - before) % limit
-        handoffs = failed & (counts == 0)
-        streak = int(counts[-1])
-        newest = int(turns[ts].max().timestamp() * 1000)
-        yield pd.DataFrame({session: turns[session], turn: turns[turn], ts: turns[ts], "consecutive_failures": counts, "escalated": handoffs})
-        state.update((streak,))
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + retention)
-
-    timed = with_event_time(df, ts, delay)
-    return timed.groupBy(session).applyInPandasWithState(count, output, STREAK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 # ---- Incremental ingest ----
 
 def row_flags(df: DataFrame, spec: TableSpec, catalog: Catalog) -> DataFrame:

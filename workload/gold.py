@@ -383,10 +383,12 @@ def arrival_lags(spark, sf_dir):
 
 @query(f"""WITH {LAG_SQL} SELECT count(*) AS "rows", count(*) FILTER (WHERE lag > 1) AS late_rows, round(100.0 * count(*) FILTER (WHERE lag > 1) / count(lag), 3) AS late_pct,
     count(*) FILTER (WHERE lag < 0) AS processed_before_event, max(lag) AS lag_max, count(*) FILTER (WHERE lag = 0) AS same_day, count(*) FILTER (WHERE lag = 1) AS one_day,
-    count(*) FILTER (WHERE lag BETWEEN 2 AND 7) AS two_to_seven_days, quantile_disc(lag, 0.5) AS lag_p50, 'warn' AS status FROM l""")
+    count(*) FILTER (WHERE lag BETWEEN 2 AND 7) AS two_to_seven_days, count(*) FILTER (WHERE lag BETWEEN 8 AND 30) AS eight_to_thirty_days, count(*) FILTER (WHERE lag > 30) AS over_thirty_days,
+    CAST(quantile_disc(lag, 0.5) AS BIGINT) AS lag_p50, CAST(quantile_disc(lag, 0.9) AS BIGINT) AS lag_p90, CAST(quantile_disc(lag, 0.99) AS BIGINT) AS lag_p99, 'warn' AS status FROM l""")
 def arrival_report(spark, sf_dir):
     """G02, G05."""
-    return arrivals.arrival_report(lagged_events(spark, sf_dir), "events").select("rows", "late_rows", "late_pct", "processed_before_event", "lag_max", "same_day", "one_day", "two_to_seven_days", "lag_p50", "status")
+    return arrivals.arrival_report(lagged_events(spark, sf_dir), "events").select("rows", "late_rows", "late_pct", "processed_before_event", "lag_max", "same_day", "one_day", "two_to_seven_days",
+        "eight_to_thirty_days", "over_thirty_days", "lag_p50", "lag_p90", "lag_p99", "status")
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL),

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.functions.strings import normalized
-from tidemark.operators import metrics
+from tidemark.operators import metrics, sketches
 from tidemark.plans import conversations as conv
 from tidemark.plans import runs
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.readers import read_run as runs_reader
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, stateful
 from workload.registry import query
 from workload.tables import read
 
@@ -270,7 +270,14 @@ def failure_streaks(spark, sf_dir):
 
 
 METRIC_SQL = """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, count(*) AS turns, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'signup') AS escalated,
-    count(*) FILTER (WHERE event_type = 'view') AS blocked, count(*) FILTER (WHERE value > 20) AS fallback, max(value) AS latency_max, round(avg(event_id % 7), 6) AS requests FROM events GROUP BY 1"""
+    count(*) FILTER (WHERE event_type = 'view') AS blocked, count(*) FILTER (WHERE value > 20) AS fallback, max(value) AS latency_max, quantile_disc(value, 0.5) AS latency_p50, quantile_disc(value, 0.95) AS latency_p95,
+    round(avg(event_id % 7), 6) AS requests, round(avg(event_id % 100), 6) AS input_tokens, round(avg(event_id % 30), 6) AS output_tokens FROM events GROUP BY 1"""
+FIGURES = ("requests", "input_tokens", "output_tokens")
+
+
+def metric_rows(windows):
+    return windows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "turns", "failed", "escalated", "blocked", "fallback", "latency_max", "latency_p50", "latency_p95",
+                          *(F.round(c, 6).alias(c) for c in FIGURES))
 
 
 def turn_log(spark, sf_dir):
@@ -283,9 +290,8 @@ def turn_log(spark, sf_dir):
 
 @query(METRIC_SQL)
 def five_minute_metrics(spark, sf_dir):
-    """G35, K02, batch form."""
-    out = conv.turn_metrics(turn_log(spark, sf_dir), "ts")
-    return out.select(F.col("window.start").alias("start"), "turns", "failed", "escalated", "blocked", "fallback", "latency_max", F.round("requests", 6).alias("requests"))
+    """G35, K02, batch form: quantiles from a mergeable sketch per window."""
+    return metric_rows(conv.turn_metrics(turn_log(spark, sf_dir), "ts"))
 
 
 @query("""SELECT event_type AS engine, CASE WHEN event_type = 'view' THEN 'blocked' ELSE 'answered' END AS status, count(*) AS turns, round(avg(value), 6) AS avg_ms, round(avg(event_id % 7), 6) AS requests,
@@ -354,39 +360,73 @@ def _work_folder(spark):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-@query("WITH " + SESSION_SQL.format(m=240) + """ SELECT user_id, session_start, session_end, events FROM n
-    WHERE session_end + INTERVAL 240 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+@query("WITH " + SESSION_SQL.format(m=240) + " SELECT user_id, session_start, session_end, events FROM n")
 def streamed_sessions(spark, sf_dir):
-    """Sessions the watermark has closed equal the batch form's."""
+    """The sessions that the watermark has closed, and those still open in the stream's state."""
     folder = _work_folder(spark)
     s = jobs.sessions(event_stream(spark, sf_dir).where("user_id IS NOT NULL"), "user_id", "ts", 240)
     jobs.run_available(s, f"{folder}/out", f"{folder}/progress")
-    out = spark.read.parquet(f"{folder}/out")
+    out = spark.read.schema(s.schema).parquet(f"{folder}/out").unionByName(jobs.open_sessions(spark, f"{folder}/progress", "user_id"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@query(f"SELECT * FROM ({METRIC_SQL}) WHERE start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
-def streamed_metrics(spark, sf_dir):
-    """Closed five-minute windows equal the batch form's."""
+def streamed_windows(spark, sf_dir):
+    """Five-minute windows of the turns as a stream: those it has written, and those open in its state."""
     folder = _work_folder(spark)
     stream = event_stream(spark, sf_dir)
     columns = stream.select(
         "event_id", "ts", (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "signup").alias("escalated"),
         F.when(F.col("event_type") == "view", "blocked").otherwise("answered").alias("status"), (F.col("value") > 20).alias("fallback_used"), F.col("value").alias("latency_ms"),
         (F.col("event_id") % 7).alias("model_requests"), (F.col("event_id") % 100).alias("input_tokens"), (F.col("event_id") % 30).alias("output_tokens"))
-    jobs.run_available(jobs.turn_metrics(columns, "ts"), f"{folder}/out", f"{folder}/progress")
-    out = spark.read.parquet(f"{folder}/out")
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "turns", "failed", "escalated", "blocked", "fallback", "latency_max", F.round("requests", 6).alias("requests"))
+    windows = jobs.turn_metrics(columns, "ts")
+    jobs.run_available(windows, f"{folder}/out", f"{folder}/progress")
+    return spark.read.schema(windows.schema).parquet(f"{folder}/out").unionByName(jobs.open_metrics(spark, f"{folder}/progress"))
+
+
+@query(METRIC_SQL)
+def streamed_metrics(spark, sf_dir):
+    """The stream's five-minute windows equal the batch form's."""
+    return metric_rows(conv.with_figures(streamed_windows(spark, sf_dir)))
+
+
+@query(" UNION ALL ".join(f"""SELECT '{unit}' AS level, date_trunc('{unit}', ts)::TIMESTAMP AS start, count(*) AS turns, quantile_disc(value, 0.5) AS latency_p50,
+    quantile_disc(value, 0.95) AS latency_p95, quantile_disc(value, 0.99) AS latency_p99 FROM events GROUP BY 2""" for unit in ("hour", "day")))
+def latency_levels(spark, sf_dir):
+    """Latency quantiles of hours and days, from the sketches of the stream's five-minute windows alone. A level's sketch is exact up to
+    sketches.SKETCH_K turns."""
+    windows = streamed_windows(spark, sf_dir).select(F.col("window.start").alias("start"), "turns", "latency")
+    hours = sketches.rolled_up(windows, "start", "hour", "latency", ["turns"])
+    levels = [rows.select(F.lit(unit).alias("level"), F.col("start").cast("timestamp_ntz").alias("start"), "turns", *sketches.quantile_columns("latency", "latency", (50, 95, 99)))
+              for unit, rows in (("hour", hours), ("day", sketches.rolled_up(hours, "start", "day", "latency", ["turns"])))]
+    return levels[0].unionByName(levels[1])
+
+
+def turn_stream(spark, sf_dir):
+    return event_stream(spark, sf_dir).where("user_id IS NOT NULL").select(
+        "event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "view").alias("neutral"))
 
 
 @query(f"WITH {STREAK_SQL} SELECT event_id, CAST(k % 2 AS INT) AS consecutive_failures, failed AND k % 2 = 0 AS escalated FROM f")
 def streamed_failure_streaks(spark, sf_dir):
-    """The stateful counter equals the batch form."""
+    """The stateful counter, with the turns that still wait for the watermark, equals the batch form."""
     folder = _work_folder(spark)
-    stream = event_stream(spark, sf_dir).where("user_id IS NOT NULL").select(
-        "event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "view").alias("neutral"))
-    jobs.run_available(jobs.failure_counter(stream, "user_id", "ts", "event_id"), f"{folder}/out", f"{folder}/progress")
-    return spark.read.parquet(f"{folder}/out").select("event_id", "consecutive_failures", "escalated")
+    counted = stateful.count_failures(turn_stream(spark, sf_dir), "user_id", "ts", "event_id", f"{folder}/out", f"{folder}/progress")
+    return counted.select("event_id", "consecutive_failures", "escalated")
+
+
+KEEP_MINUTES = 16 * 60
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL {KEEP_MINUTES} MINUTE, true) AS fresh
+      FROM events WHERE user_id IS NOT NULL),
+    s AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
+    SELECT user_id, min(ts) AS first_turn, max(ts) AS last_turn, count(*) AS turns FROM s GROUP BY user_id, k
+    HAVING max(ts) + INTERVAL {KEEP_MINUTES} MINUTE < date_trunc('milliseconds', (SELECT max(ts) FROM events WHERE user_id IS NOT NULL)) - INTERVAL 10 MINUTE""")
+def streamed_retention(spark, sf_dir):
+    """The sessions that the stream's state has forgotten, sixteen hours after their last turn."""
+    folder = _work_folder(spark)
+    ended = stateful.end_sessions(turn_stream(spark, sf_dir), "user_id", "ts", "event_id", f"{folder}/out", f"{folder}/progress", KEEP_MINUTES)
+    return ended.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_turn", "last_turn")})
 
 
 @query("""SELECT user_id, max({'t': ts, 'e': event_id}).e AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY 1""")
@@ -399,16 +439,15 @@ def streamed_keep_latest(spark, sf_dir):
     return jobs.latest_rows(spark, f"{folder}/table", ["user_id"], newest).select("user_id", "event_id")
 
 
-@query("""SELECT CAST(ts AS DATE) + CAST(event_id % 9 = 0 AS INT) * 3 AS day, count(*) AS "rows", count(*) FILTER (WHERE event_id % 9 = 0) AS late_rows FROM events
-    GROUP BY 1 HAVING CAST(CAST(ts AS DATE) + CAST(event_id % 9 = 0 AS INT) * 3 AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(CAST(ts AS DATE) + CAST(event_id % 9 = 0 AS INT) * 3) FROM events) - INTERVAL 10 MINUTE""".replace(
-        "GROUP BY 1 HAVING CAST(CAST(ts AS DATE) + CAST(event_id % 9 = 0 AS INT) * 3 AS TIMESTAMP) + INTERVAL 1 DAY", "GROUP BY 1 HAVING any_value(CAST(ts AS DATE) + CAST(event_id % 9 = 0 AS INT) * 3) + INTERVAL 1 DAY"))
+@query("""SELECT CAST(ts AS DATE) + CAST(event_id % 9 = 0 AS INT) * 3 AS day, count(*) AS "rows", count(*) FILTER (WHERE event_id % 9 = 0) AS late_rows FROM events GROUP BY 1""")
 def streamed_late_counts(spark, sf_dir):
-    """Late rows are counted when they arrive, not dropped."""
+    """Late rows are counted when they arrive, not dropped; the days still open come from the stream's state."""
     folder = _work_folder(spark)
     arrived = F.date_add(F.to_date("ts"), F.when(F.col("event_id") % 9 == 0, 3).otherwise(0)).cast("timestamp")
-    stream = event_stream(spark, sf_dir).withColumn("arrived", arrived)
-    jobs.run_available(jobs.late_counts(stream, "ts", "arrived"), f"{folder}/out", f"{folder}/progress")
-    return spark.read.parquet(f"{folder}/out").select(F.to_date("window.start").alias("day"), "rows", "late_rows")
+    counts = jobs.late_counts(event_stream(spark, sf_dir).withColumn("arrived", arrived), "ts", "arrived")
+    jobs.run_available(counts, f"{folder}/out", f"{folder}/progress")
+    out = spark.read.schema(counts.schema).parquet(f"{folder}/out").unionByName(jobs.open_late_counts(spark, f"{folder}/progress"))
+    return out.select(F.to_date("window.start").alias("day"), "rows", "late_rows")
 
 
 @query("SELECT event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
