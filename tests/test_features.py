@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,41 @@ def test_model_reloads(spark, tmp_path):
     assert drops["a"] > 0.2 > abs(drops["b"])
 
 
+def test_permutation_importance_equals_brute_force(spark):
+    """Every deal by hand: rows in hash order, values moved by the bijection, scored and ranked again."""
+    from tests.test_ordering import brute_ap
+
+    rows = spark.range(300).select("id", *[F.round(F.rand(i) * 10, 1).alias(c) for i, c in enumerate(("a", "b", "c"))]).withColumn("y", (F.col("a") + F.col("b") > 9).cast("int"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    features = ["a", "b", "c"]
+    model = models.linear_probe(features, "y").fit(rows)
+    got = {r.feature: r.pr_auc_drop for r in models.permutation_importance(model, rows, features, "y", ["id"], repeats=3).collect()}
+    listed = sorted((r.asDict() for r in rows.collect()), key=lambda r: hashlib.md5(f"7:{r['id']}".encode()).hexdigest())
+    deals = models.shuffles(len(listed), features, 3, "7")
+    variants = [(-1, r) for r in listed]
+    for k, (feature, _, factor, shift) in enumerate(deals):
+        source = [(factor * p + shift) % len(listed) for p in range(len(listed))]
+        assert sorted(source) == list(range(len(listed)))
+        variants += [(k, {**r, feature: listed[s][feature]}) for r, s in zip(listed, source)]
+    scored = models.predict(model, spark.createDataFrame([(k, r["id"], r["a"], r["b"], r["c"], r["y"]) for k, r in variants], "k int, id long, a double, b double, c double, y int")).toPandas()
+    quality = {k: brute_ap(part.score.to_numpy(), part.y.to_numpy()) for k, part in scored.groupby("k")}
+    for f in features:
+        drops = [quality[-1] - quality[k] for k, d in enumerate(deals) if d[0] == f]
+        assert got[f] == pytest.approx(sum(drops) / 3)
+
+
+def test_compared_scores_have_their_metrics(spark):
+    from tests.test_ordering import brute_ap, brute_auc
+
+    rows = spark.range(500).select("id", *[(F.rand(i) * 10).alias(c) for i, c in enumerate(("a", "b"))]).withColumn("y", (F.col("a") + F.rand(5) * 4 > 7).cast("int"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    scored = models.predict(models.boosted_trees(["a", "b"], "y", maxIter=5, minInstancesPerNode=5).fit(rows), rows, "trees")
+    scored = models.predict(models.linear_probe(["a"], "y").fit(rows), scored, "probe")
+    local = scored.toPandas()
+    for r in models.compare_scores(scored, {"trees": "trees", "probe": "probe"}, "y").collect():
+        assert (r.roc_auc, r.pr_auc) == pytest.approx((brute_auc(local[r.model].to_numpy(), local.y.to_numpy()), brute_ap(local[r.model].to_numpy(), local.y.to_numpy())))
+
+
 def test_schedule_and_split():
     from tidemark.functions.calendar import chronological_split, label_overlap_days, snapshot_schedule
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics
+from tidemark.operators import metrics, resampling
 from tidemark.operators.lookups import attach, latest_before
 from tidemark.operators.ordering import (average_rank, exact_quantiles, global_row_number, hash_ordered_sample, latest_per_key,
                                          running_totals, share_tiers, spearman, tier_thresholds, top_fraction)
@@ -140,13 +140,29 @@ def test_best_threshold_and_top(skewed):
 def test_bootstrap_covers_the_difference(skewed):
     df, _ = skewed
     better = df.withColumn("good", F.col("y") + F.col("score") / 2)
-    gains = metrics.bootstrap_differences(better, "id", "y", "good", "score", 30)
+    gains = resampling.bootstrap_differences(better, "id", "y", "good", "score", 30)
     assert gains.count() == 30
     row = metrics.interval(gains, ["pr_auc_gain", "roc_auc_gain"]).first()
     truth = 1 - metrics.ranking_quality(df, "score", "y").first().roc_auc
     assert row.roc_auc_gain_low <= truth <= row.roc_auc_gain_high + 1e-9 and row.pr_auc_gain_mean > 0
 
 
+def test_bootstrap_equals_weighted_metrics(skewed):
+    """Every resample by brute force: each row as often as its weight says."""
+    df, rows = skewed
+    better = df.withColumn("good", F.col("y") + F.round(F.col("score"), 1))
+    got = {r.resample: (r.roc_auc_gain, r.pr_auc_gain) for r in resampling.bootstrap_differences(better.repartition(5), "id", "y", "good", "score", 6).collect()}
+    ids, score, y = [str(r[0]) for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    drawn = resampling.weights(ids, 6)
+    assert abs(drawn.mean() - 1) < 0.05 and sorted(got) == list(range(6))
+    good = {r.id: r.good for r in better.select("id", "good").collect()}
+    good = np.array([good[r[0]] for r in rows])
+    for b in range(6):
+        often = np.repeat(np.arange(len(rows)), drawn[:, b])
+        want = [f(good[often], y[often]) - f(score[often], y[often]) for f in (brute_auc, brute_ap)]
+        assert got[b] == pytest.approx(want)
+
+
 def test_ndcg_by_hand(spark):
     rows = [("g", "a", 1, 0), ("g", "b", 2, 2), ("g", "c", 3, 1), ("g", "d", 4, 1)]
     df = spark.createDataFrame(rows, "g string, c string, rank int, rel int")

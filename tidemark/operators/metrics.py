@@ -83,36 +83,6 @@ def feature_aucs(df: DataFrame, features: Sequence[str], label: str) -> DataFram
         "feature", "roc_auc", F.greatest(F.col("roc_auc"), 1 - F.col("roc_auc")).alias("oriented"))
 
 
-def poisson_weight(draw: Column) -> Column:
-    """A Poisson(1) count from a uniform draw. Draws have 32 bits, and 13 has a chance far below 2 ** -32: 12 is the last that
-    a draw can reach."""
-    total, term, out = 0.0, 0.36787944117144233, F.lit(12)
-    steps = []
-    for k in range(12):
-        total += term
-        steps.append((total, k))
-        term /= k + 1
-    for upper, k in reversed(steps):
-        out = F.when(draw < upper, F.lit(k)).otherwise(out)
-    return out
-
-
-def bootstrap_differences(df: DataFrame, ident: str, label: str, first: str, second: str, resamples: int) -> DataFrame:
-    """Per resample: the paired differences in PR-AUC and ROC-AUC between two scores. Every row gets a Poisson(1)
-    weight per resample, drawn from its id, so both scores see the same resample; weights are summed per score
-    before anything is sorted."""
-    resampled = df.select(ident, label, first, second, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    weighted = resampled.withColumn("_w", poisson_weight(unit_draw(F.col(ident), F.col("resample")))).where("_w > 0")
-    pairs = F.array(F.struct(F.lit("first").alias("side"), F.col(first).cast("double").alias("score")),
-                    F.struct(F.lit("second").alias("side"), F.col(second).cast("double").alias("score")))
-    long = weighted.select("resample", label, "_w", F.inline(pairs))
-    quality = ranking_quality(long, "score", label, ["side", "resample"], F.col("_w"))
-    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    return quality.groupBy("resample").agg(
-        (side("first", "pr_auc") - side("second", "pr_auc")).alias("pr_auc_gain"),
-        (side("first", "roc_auc") - side("second", "roc_auc")).alias("roc_auc_gain"))
-
-
 def interval(differences: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean and 95 % percentile interval of each column; one row per resample goes in."""
     aggregates = []

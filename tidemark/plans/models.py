@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Mapping, Sequence
 from datetime import date
 
@@ -104,27 +106,52 @@ def ablation(train: DataFrame, valid: DataFrame, without: Sequence[str], label:
     return compare_scores(scored, {"all features": "_with", "without " + ", ".join(without): "_without"}, label)
 
 
+def shuffles(rows: int, features: Sequence[str], repeats: int, seed: str) -> list[tuple[str, int, int, int]]:
+    """(feature, repeat, factor, shift): position p of the rows takes the feature from position (factor * p + shift) mod rows, which is
+    a bijection as the factor has no divisor in common with the number of rows. Positions are drawn by hash, so neighbours are strangers."""
+    out = []
+    for feature in features:
+        for repeat in range(repeats):
+            drawn = int(hashlib.md5(f"{seed}:{feature}:{repeat}".encode()).hexdigest(), 16)
+            factor = drawn % rows
+            while math.gcd(factor, rows) != 1:
+                factor = (factor + 1) % rows if rows > 1 else 1
+            out.append((feature, repeat, factor, drawn // rows % rows))
+    return out
+
+
 def permutation_importance(model: PipelineModel, rows: DataFrame, features: Sequence[str], label: str, ident: Sequence[str],
-                           seed: str = "7") -> DataFrame:
-    """PR-AUC lost when a feature's values are dealt out at random. The values are numbered in one hash order, the
-    rows in another, and joined on the number, so nothing is collected."""
+                           seed: str = "7", repeats: int = 1) -> DataFrame:
+    """PR-AUC lost when a feature's values are dealt out anew, the mean over `repeats`. Rows are numbered once, by hash; each value goes to
+    the row that a keyed bijection on the numbers names, and all variants are scored in one pass."""
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in ident])
     base = rows.withColumn("_id", key)
-    order = lambda tag: [F.md5(F.concat_ws(":", F.lit(tag), F.lit(seed), F.col("_id"))), F.col("_id")]
-    numbered = global_row_number(base, order("rows"), "_n")
-    dealt = global_row_number(base.select("_id", *features), order("values"), "_n")
-    dealt = dealt.select("_n", *[F.col(f).alias(f"_p_{f}") for f in features])
-    joined = cut_lineage(numbered.join(dealt, "_n"))  # read once per feature
-    out = None
-    variants = [("(none)", joined)] + [(f, joined.withColumn(f, F.col(f"_p_{f}"))) for f in features]
-    for name, variant in variants:
-        scored = predict(model, variant.select(*rows.columns), "_score")
-        part = scored.select(F.lit(name).alias("feature"), label, "_score")
-        out = part if out is None else out.unionByName(part)
-    quality = ranking_quality(out, "_score", label, ["feature"]).select("feature", "pr_auc")
-    whole = quality.where("feature = '(none)'").select(F.col("pr_auc").alias("_whole"), F.lit(1).alias("_one"))
-    return quality.where("feature <> '(none)'").withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").select(  # one row
-        "feature", (F.col("_whole") - F.col("pr_auc")).alias("pr_auc_drop"))
+    order = [F.md5(F.concat_ws(":", F.lit(seed), F.col("_id"))), F.col("_id")]
+    numbered = cut_lineage(global_row_number(base.drop("_id").withColumn("_id", key), order, "_n", "_rows").drop("_id"))
+    first = numbered.select("_rows").first()
+    if first is None:
+        return rows.sparkSession.createDataFrame([], "feature string, pr_auc_drop double")
+    deals = shuffles(first["_rows"], features, repeats, seed)
+    # One entry per feature and repeat: the row's own position and the value it takes there.
+    taken = F.array(*[F.struct(F.lit(k).alias("deal"), ((F.col("_n") - 1) * F.lit(a).cast("decimal(20,0)") + F.lit(b)).alias("_from")) for k, (_, _, a, b) in enumerate(deals)])
+    asked = numbered.select("_n", F.inline(taken)).select("_n", "deal", (F.col("_from") % first["_rows"] + 1).cast("bigint").alias("_from"))
+    source = F.array(*[F.col(f).cast("double") for f in features])
+    values = numbered.select(F.col("_n").alias("_from"), source.alias("_values"))
+    at = F.element_at(F.array(*[F.lit(features.index(f) + 1) for f, *_ in deals]), F.col("deal") + 1)
+    dealt = asked.join(values, "_from").select("_n", "deal", F.element_at("_values", at).alias("_value"))
+    plain = numbered.select("_n", F.lit(-1).alias("deal"), F.lit(None).cast("double").alias("_value"))
+    stacked = numbered.join(dealt.unionByName(plain), "_n")
+    kinds = dict(rows.dtypes)
+    for k, feature in enumerate(features):
+        mine = [i for i, d in enumerate(deals) if d[0] == feature]
+        stacked = stacked.withColumn(feature, F.when(F.col("deal").isin(mine), F.col("_value").cast(kinds[feature])).otherwise(F.col(feature)))
+    scored = predict(model, stacked.select("deal", *rows.columns), "_score")
+    # One row per deal.
+    quality = ranking_quality(scored, "_score", label, ["deal"]).select("deal", "pr_auc")
+    names = rows.sparkSession.createDataFrame([(k, d[0]) for k, d in enumerate(deals)], "deal int, feature string")
+    whole = quality.where("deal = -1").select(F.col("pr_auc").alias("_whole"), F.lit(1).alias("_one"))
+    dropped = quality.join(F.broadcast(names), "deal").withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one")
+    return dropped.groupBy("feature").agg(F.avg(F.col("_whole") - F.col("pr_auc")).alias("pr_auc_drop"))
 
 
 def reload_difference(model: PipelineModel, path: str, rows: DataFrame, ident: Sequence[str]) -> float:

@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, ordering
+from tidemark.operators import metrics, ordering, resampling
 from tidemark.plans import features as feat
 from tidemark.plans import models, scoring, serving
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
@@ -298,15 +298,12 @@ def activity_dispersion(spark, sf_dir):
     return spread.join(F.broadcast(marks), "one").select(*[F.round(c, 6).alias(c) for c in ("mean", "dispersion", "p50", "p90")])  # one row each
 
 
-BOOT = 20
-BOOT_STEPS, _total, _term = [], 0.0, 0.36787944117144233
-for _k in range(12):
-    _total += _term
-    BOOT_STEPS.append(f"WHEN u < {_total!r} THEN {_k}")
-    _term /= _k + 1
+BOOT = 500
+BOOT_STEPS = [f"WHEN u < {step!r} THEN {k}" for k, step in enumerate(resampling.poisson_steps())]
 
 
-@query(f"""{LABELLED_SQL}, d AS (SELECT *, b, CAST('0x' || substr(md5(id || ':' || b), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM m, (SELECT unnest(range({BOOT})) AS b) WHERE snapshot_date = DATE '2000-01-01'),
+@query(f"""{LABELLED_SQL}, d AS (SELECT *, b, CAST('0x' || substr(md5(id || ':' || (b // 4)), CAST(1 + 8 * (b % 4) AS INT), 8) AS BIGINT) / 4294967296.0 AS u
+      FROM m, (SELECT unnest(range({BOOT})) AS b) WHERE snapshot_date = DATE '2000-01-01'),
     w AS (SELECT *, CASE {' '.join(BOOT_STEPS)} ELSE 12 END AS w FROM d),
     l AS (SELECT b, 1 AS side, s AS v, y, w FROM w WHERE w > 0 UNION ALL SELECT b, 2, recency::DOUBLE, y, w FROM w WHERE w > 0),
     g AS (SELECT b, side, v, sum(w * y) AS p, sum(w * (1 - y)) AS n FROM l GROUP BY ALL),
@@ -315,9 +312,9 @@ for _k in range(12):
     x AS (SELECT b, max(pr) FILTER (WHERE side = 1) - max(pr) FILTER (WHERE side = 2) AS pr_auc_gain, max(roc) FILTER (WHERE side = 1) - max(roc) FILTER (WHERE side = 2) AS roc_auc_gain FROM q GROUP BY 1)
     SELECT {', '.join(f"round(avg({c}), 6) AS {c}_mean, round(quantile_cont({c}, 0.025), 6) AS {c}_low, round(quantile_cont({c}, 0.975), 6) AS {c}_high" for c in ('pr_auc_gain', 'roc_auc_gain'))} FROM x""")
 def paired_bootstrap(spark, sf_dir):
-    """Poisson weights drawn from ids, so the interval is repeatable."""
+    """500 resamples by Poisson weights drawn from ids, so the interval is repeatable."""
     rows = labelled(spark, sf_dir).where("snapshot_date = '2000-01-01'")
-    gains = metrics.bootstrap_differences(rows, "id", "y", "s", "days_since_last_txn", BOOT)
+    gains = resampling.bootstrap_differences(rows, "id", "y", "s", "days_since_last_txn", BOOT)
     out = metrics.interval(gains, ["pr_auc_gain", "roc_auc_gain"])
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
@@ -341,57 +338,49 @@ def model_rows(spark, sf_dir):
     return rows.where(F.col("snapshot_date").isin(*bank.TRAIN)), rows.where(F.col("snapshot_date").isin(*bank.VALID))
 
 
-def judged(quality, fitted):
-    """Rows and positives of every score. Rules have their metrics, which SQL gives as well; a fitted model has what must hold for it."""
-    mine = F.col("model").isin(*fitted)
-    shown = [F.when(~mine, F.round(c, 6)).alias(c) for c in ("roc_auc", "pr_auc")]
-    return quality.select("model", "rows", "positives", *shown, (~mine | (F.col("roc_auc") > 0.5)).alias("above_chance"))
+def judged(quality):
+    """Rows, positives and metrics of every score."""
+    return quality.select("model", "rows", "positives", *(F.round(c, 6).alias(c) for c in ("roc_auc", "pr_auc")))
 
 
 QUALITY_SQL = """g AS (SELECT model, s, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM l GROUP BY ALL),
     r AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM g WINDOW w AS (PARTITION BY model ORDER BY s DESC)),
     q AS (SELECT model, CAST(sum(p + n) AS BIGINT) AS "rows", CAST(sum(p) AS BIGINT) AS positives, round(sum(n * (tp - p / 2.0)) / nullif(sum(p) * sum(n), 0), 6) AS roc_auc,
       round(sum(p * tp / (tp + fp)) / nullif(sum(p), 0), 6) AS pr_auc FROM r GROUP BY model)"""
-VALID_SQL = f"""{bank.SNAPSHOTS_SQL}, v AS (SELECT low_engagement_next_90d AS y, days_since_last_txn AS rec, txn_count_90d AS freq FROM rows_ WHERE snapshot_date = DATE '2000-01-01'),
-    size_ AS (SELECT count(*) AS "rows", CAST(sum(y) AS BIGINT) AS positives FROM v)"""
+VALID_SQL = f"""{bank.SNAPSHOTS_SQL}, v AS (SELECT low_engagement_next_90d AS y, days_since_last_txn AS rec, txn_count_90d AS freq FROM rows_ WHERE snapshot_date = DATE '2000-01-01')"""
+RULES = {"majority": "rule_majority", "recency": "rule_recency", "frequency": "rule_frequency", "ranks": "rule_ranks"}
 
 
-def _fitted_sql(names, source):
-    return f"""SELECT model, "rows", positives, CAST(NULL AS DOUBLE) AS roc_auc, CAST(NULL AS DOUBLE) AS pr_auc, true AS above_chance
-      FROM (SELECT unnest([{', '.join(f"'{n}'" for n in names)}]) AS model), {source}"""
-
-
-PROBES = ("probe, all features", "probe, transactions")
+def ruled(valid):
+    return models.rule_scores(valid).withColumn("rule_ranks", F.round("rule_ranks", 9))
 
 
 @query(f"""{VALID_SQL}, k AS (SELECT *, ((rank() OVER (ORDER BY rec) + (count(*) OVER (PARTITION BY rec) - 1) / 2.0)
         + (rank() OVER (ORDER BY freq DESC) + (count(*) OVER (PARTITION BY freq) - 1) / 2.0)) / (2.0 * count(*) OVER ()) AS rk FROM v),
     l AS (SELECT 'majority' AS model, 0.0::DOUBLE AS s, y FROM k UNION ALL SELECT 'recency', rec::DOUBLE, y FROM k UNION ALL SELECT 'frequency', -freq::DOUBLE, y FROM k
-      UNION ALL SELECT 'ranks', round(rk, 9), y FROM k), {QUALITY_SQL}
-    SELECT *, true AS above_chance FROM q UNION ALL {_fitted_sql(PROBES[:1], 'size_')} UNION ALL SELECT '{PROBES[1]}', "rows", positives, NULL, NULL, NULL FROM size_""")
+      UNION ALL SELECT 'ranks', round(rk, 9), y FROM k), {QUALITY_SQL} SELECT * FROM q""")
+def rule_quality(spark, sf_dir):
+    """The rules a model must beat."""
+    _, valid = model_rows(spark, sf_dir)
+    return judged(models.compare_scores(ruled(valid), RULES, feat.TARGET))
+
+
+@query()
 def linear_probe_quality(spark, sf_dir):
-    """The linear probe on all and on transaction features, beside the rules. Nothing is promised for the latter."""
+    """The linear probe on all and on transaction features, beside the rules."""
     train, valid = model_rows(spark, sf_dir)
-    rules = models.rule_scores(valid).withColumn("rule_ranks", F.round("rule_ranks", 9))
-    scored = models.predict(models.linear_probe().fit(train), rules, "probe_all")
+    scored = models.predict(models.linear_probe().fit(train), ruled(valid), "probe_all")
     scored = models.predict(models.linear_probe(models.TRANSACTIONAL).fit(train), scored, "probe_txn")
-    names = {PROBES[0]: "probe_all", PROBES[1]: "probe_txn", "majority": "rule_majority",
-             "recency": "rule_recency", "frequency": "rule_frequency", "ranks": "rule_ranks"}
-    out = judged(models.compare_scores(scored, names, feat.TARGET), PROBES)
-    return out.withColumn("above_chance", F.when(F.col("model") != PROBES[1], F.col("above_chance")))
+    return judged(models.compare_scores(scored, {"probe, all features": "probe_all", "probe, transactions": "probe_txn", **RULES}, feat.TARGET))
 
 
-TREES = ("boosted trees", "single-split trees")
-
-
-@query(f"{VALID_SQL} {_fitted_sql(TREES, 'size_')}")
+@query()
 def boosted_tree_quality(spark, sf_dir):
-    """Boosted trees against single-split trees (fewer rounds than the tuned model)."""
+    """The tuned boosted trees against single-split trees of as many rounds."""
     train, valid = model_rows(spark, sf_dir)
-    few = {"maxIter": 8, "maxDepth": 4}
-    scored = models.predict(models.boosted_trees(**few).fit(train), valid, "trees")
-    scored = models.predict(models.single_split_trees(maxIter=8).fit(train), scored, "stumps")
-    return judged(models.compare_scores(scored, dict(zip(TREES, ("trees", "stumps"))), feat.TARGET), TREES)
+    scored = models.predict(models.boosted_trees().fit(train), valid, "trees")
+    scored = models.predict(models.single_split_trees().fit(train), scored, "stumps")
+    return judged(models.compare_scores(scored, {"boosted trees": "trees", "single-split trees": "stumps"}, feat.TARGET))
 
 
 CLICKS_SQL = f"""{bank.sql('line')}, {bank.SNAP_SQL},
@@ -400,41 +389,50 @@ CLICKS_SQL = f"""{bank.sql('line')}, {bank.SNAP_SQL},
       FROM (SELECT line.*, t FROM line, snap WHERE sent >= t AND date_diff('day', t, sent) < 90 AND delivered) x LEFT JOIN h ON h.customer_id = x.customer_id AND h.t = x.t),
     tr AS (SELECT flag, round(avg(y), 9) AS rate FROM c WHERE t < DATE '2000-01-01' GROUP BY 1),
     v AS (SELECT c.*, rate FROM c JOIN tr USING (flag) WHERE t = DATE '2000-01-01'),
-    size_ AS (SELECT count(*) AS "rows", CAST(sum(y) AS BIGINT) AS positives FROM v),
     l AS (SELECT 'channel rate' AS model, rate AS s, y FROM v UNION ALL SELECT 'past click rate', past_rate, y FROM v)"""
 
 
-@query(f"""{CLICKS_SQL}, {QUALITY_SQL} SELECT *, true AS above_chance FROM q UNION ALL {_fitted_sql(("history and channel",), 'size_')}
-    UNION ALL SELECT 'history', "rows", positives, NULL, NULL, NULL FROM size_""")
-def click_probe_quality(spark, sf_dir):
-    """History with and without the channel, and the channel's own rate. Nothing is promised for history alone."""
+def click_rows(spark, sf_dir):
+    """Training rows, and validation rows with the scores that need no model."""
     rows = cut_lineage(feat.click_rows(bank.sends(spark, sf_dir), bank.CUTOFFS))
     train = rows.where(F.col("snapshot_date").isin(*bank.TRAIN))
     valid = rows.where(F.col("snapshot_date").isin(*bank.VALID))
-    scored = models.channel_rate_score(train, valid).withColumns({c: F.round(c, 9) for c in ("channel_rate", "past_click_rate")})
+    return train, models.channel_rate_score(train, valid).withColumns({c: F.round(c, 9) for c in ("channel_rate", "past_click_rate")})
+
+
+CLICK_RULES = {"channel rate": "channel_rate", "past click rate": "past_click_rate"}
+
+
+@query(f"{CLICKS_SQL}, {QUALITY_SQL} SELECT * FROM q")
+def click_rule_quality(spark, sf_dir):
+    """The channel's own rate and the customer's past rate as scores."""
+    return judged(models.compare_scores(click_rows(spark, sf_dir)[1], CLICK_RULES, "clicked"))
+
+
+@query()
+def click_probe_quality(spark, sf_dir):
+    """History with and without the channel, beside the rules."""
+    train, scored = click_rows(spark, sf_dir)
     scored = models.predict(models.click_probe(False).fit(train), scored, "history")
     scored = models.predict(models.click_probe(True).fit(train), scored, "history_channel")
-    out = judged(models.compare_scores(scored, {"channel rate": "channel_rate", "past click rate": "past_click_rate", "history": "history",
-                                                "history and channel": "history_channel"}, "clicked"), ("history", "history and channel"))
-    return out.withColumn("above_chance", F.when(F.col("model") != "history", F.col("above_chance")))
+    return judged(models.compare_scores(scored, {**CLICK_RULES, "history": "history", "history and channel": "history_channel"}, "clicked"))
 
 
 @query()
 def permutation_importances(spark, sf_dir):
-    """M13."""
+    """All features, three deals each, on the tuned boosted trees."""
     train, valid = model_rows(spark, sf_dir)
-    model = models.linear_probe(models.TRANSACTIONAL).fit(train)
-    return models.permutation_importance(model, valid, ["days_since_last_txn", "txn_count_90d", "txn_count_180d"], feat.TARGET, ["customer_id", "snapshot_date"])
-
+    drops = models.permutation_importance(models.boosted_trees().fit(train), valid, feat.FEATURES, feat.TARGET, ["customer_id", "snapshot_date"], repeats=3)
+    return drops.withColumn("pr_auc_drop", F.round("pr_auc_drop", 6))
 
-ABLATED = ("all features", "without products_opened")
 
-
-@query(f"{VALID_SQL} {_fitted_sql(ABLATED, 'size_')}")
+@query()
 def ablation_without_products(spark, sf_dir):
-    """The linear probe with and without a feature."""
+    """The linear probe and the boosted trees with and without a feature."""
     train, valid = model_rows(spark, sf_dir)
-    return judged(models.ablation(train, valid, ["products_opened"]), ABLATED)
+    built = {"linear probe": models.linear_probe, "boosted trees": models.boosted_trees}
+    parts = [judged(models.ablation(train, valid, ["products_opened"], build=build)).withColumn("build", F.lit(name)) for name, build in built.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"""{bank.SNAPSHOTS_SQL} SELECT customer_id, snapshot_date, {AS_NUMBERS} FROM rows_""")
