@@ -115,7 +115,8 @@ def settled(shared: DataFrame, sets: DataFrame, percent: int, dropped: list[Data
     for _ in range(ROUNDS):
         staying = stored(shared.groupBy("node").agg(F.max(F.col("first") != F.col("node")).alias("later")).where("NOT later").select("node"), "staying")
         asked = shared.where(F.col("first") != F.col("node")).where(close_sizes(F.col("n"), F.col("first_n"), percent)).select("first", "node").distinct()
-        pairs = asked.join(staying.select(F.col("node").alias("first")).hint("merge"), "first", "left_semi")
+        # Stored, so that nothing stands above the join and AQE can split a `first` of many rows.
+        pairs = stored(asked, "asked").join(staying.select(F.col("node").alias("first")).hint("merge"), "first", "left_semi")
         gone = stored(similar(stored(pairs, "pairs"), sets, percent).select("node").distinct(), "gone")
         dropped.append(gone)
         # A row that stays has been compared with all that share a key with it.
