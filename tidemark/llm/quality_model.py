@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,8 @@ from tidemark.llm.common import in_arrow, text_slices
 FEATURES = ("words", "mean_word", "long_words", "short_words", "unique_words", "top_word", "repeats", "bigrams", "upper", "digits",
             "symbols", "exclaims", "pipes", "stops", "commas", "others", "lines", "mean_line", "unique_lines", "packed", "marked_words", "upper_words")
 BINS, GRID = 32, 8
-PART = 1 << 20  # bytes of a text that statistics of repetition are taken over at a time
+PART = 1 << 20  # bytes of a text that are split into words at a time
+BLANK = re.compile(rb"[ \t-\r]")
 LETTERS = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
@@ -38,31 +38,47 @@ def share(n: float, of: float) -> float:
     return n / of if of else 0.0
 
 
+def parts_of(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about PART bytes that end at a blank."""
+    low = 0
+    while low < len(text):
+        blank = BLANK.search(text, low + PART) if low + PART < len(text) else None
+        high = blank.end() if blank else len(text)
+        yield text[low:high]
+        low = high
+
+
 def features_of(text: bytes) -> list[float]:
-    """FEATURES of one text. Repetition is taken part by part and averaged over long texts, so memory stays bounded."""
+    """FEATURES of one text. Words and pairs of words are counted over the whole text by their hashes; the words themselves are held part by
+    part, so memory is a few bytes a word however long the text is."""
     size = len(text)
-    n_words = letters = long_ = short = marked = shouted = 0
-    unique = top = repeats = bigrams = packed = 0.0
-    parts = range(0, size, PART)
-    for low in parts:
-        part = text[low:low + PART]
+    n_words = letters = long_ = short = shouted = repeats = packed = 0
+    hashes, odd, last = [], [], None
+    squeeze = zlib.compressobj(1)
+    for part in parts_of(text):
+        packed += len(squeeze.compress(part))
         words = part.split()
         if not words:
             continue
-        n = len(words)
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        n_words += n
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        n_words += len(words)
         letters += int(lengths.sum())
         long_ += int((lengths > 12).sum())
         short += int((lengths < 3).sum())
-        counts = Counter(words)
-        unique += len(counts)
-        top += max(counts.values())
-        repeats += sum(map(bytes.__eq__, words, words[1:]))
-        bigrams += len(set(zip(words, words[1:])))
-        marked += sum(not w[-1:].isalnum() and w[-1] < 128 for w in counts)
+        repeats += sum(map(bytes.__eq__, words, words[1:])) + (last == words[0])
         shouted += sum(map(bytes.isupper, words))
-        packed += len(zlib.compress(part, 1))
+        hashes.append(np.fromiter(map(hash, words), np.int64, len(words)))
+        odd += {hash(w) for w in set(words) if not w[-1:].isalnum() and w[-1] < 128}
+        last = words[-1]
+    if size:
+        packed += len(squeeze.flush())
+    unique = top = bigrams = marked = 0
+    if n_words:
+        every = np.concatenate(hashes)
+        counts = np.unique(every, return_counts=True)[1]
+        unique, top, marked = len(counts), int(counts.max()), len(set(odd))
+        with np.errstate(over="ignore"):
+            bigrams = len(np.unique(every[:-1] * np.int64(6364136223846793005) + every[1:]))
     lines = [line for line in text.split(b"\n") if line.strip()]
     upper = size - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     digits = size - len(text.translate(None, b"0123456789"))
