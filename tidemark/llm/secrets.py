@@ -125,7 +125,7 @@ def ratio_of(token: Column, table: Column) -> Column:
 
 def find_secrets(docs: DataFrame, ratios: list[float], min_ratio: float = 12.0, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns, `base` and `model` spans (kind: index in BASE; the model's comes behind them). The model adds tokens that
-    touch no base span."""
+    base spans do not cover wholly, whole."""
     model = len(BASE)
     # The text's alias is drawn so that no kept column has it.
     named = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_secret_text"))
@@ -134,7 +134,9 @@ def find_secrets(docs: DataFrame, ratios: list[float], min_ratio: float = 12.0,
 
     def scored(spans: Column) -> Column:
         tokens = F.regexp_extract_all(F.col("_secret_text"), F.lit(CANDIDATE), F.lit(0))
-        free = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        # How far sorted base spans cover a token from its start on.
+        reached = lambda s: F.aggregate("base", s["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+        free = lambda s: reached(s) < s["end"]
         rows = F.zip_with(spans, tokens, lambda s, t: F.when(free(s) & (ratio_of(t, table) >= min_ratio), s))
         return F.filter(rows, lambda s: s.isNotNull())
 
