@@ -1,7 +1,9 @@
 """License texts by an exact set-similarity join with templates.
 
-A block of a text (by default a line) matches a template if it holds at least `threshold` of the template's different words.
-Only words of some template can count, so blocks are reduced to these, ordered from rare to frequent over all blocks. With
+A block of a text matches a template if it holds at least `threshold` of the template's different words. Blocks are windows of consecutive
+words, whatever lines they stand in: twice as long as the longest template, one beginning every such length, so that any run of words
+as long as a template lies in one of them whole.
+Only words of some template can count, so blocks are reduced to these, ordered from rare to frequent by the texts that hold them. With
 n = ceil(threshold * template size):
 
 * length: a block with fewer than n such words cannot match;
@@ -9,7 +11,7 @@ n = ceil(threshold * template size):
 * position: at a shared word, fewer than n words left on either side rule the pair out;
 * what remains is verified on the whole sets.
 
-Templates are a parameter of a few kilobytes; blocks are only split off where they hold a word of a template's prefix. Base phrases
+Templates are a parameter of a few kilobytes; only blocks that hold a word of a template's prefix leave their text. Base phrases
 are found beside that, by place. Null texts have no words. Repeated rows each keep their row, an empty table gives no row, and only
 the named columns are read.
 """
@@ -84,13 +86,14 @@ def with_base(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
                         *(F.when(F.col("_maybe"), phrase_places(F.col("_words"), p)).otherwise(none).alias(f"_p{k}") for k, (p, _) in enumerate(PHRASES)))
 
 
-def matches(docs: DataFrame, keep: list[str], text: str, threshold: float, block: str, templates=TEMPLATES) -> DataFrame:
+def matches(docs: DataFrame, keep: list[str], text: str, threshold: float, templates=TEMPLATES) -> DataFrame:
     """`keep`, `label` and `containment` for every pair of a block and a template that it matches."""
     spark = docs.sparkSession
     sets = [(label, sorted(set(word_list(t)))) for label, t in templates]
     vocabulary = sorted({w for _, words in sets for w in words})
-    blocks = docs.select(*keep, F.explode(F.split(lower_ascii(F.coalesce(F.col(text), F.lit(""))), block)).alias("_block"))
-    counted = blocks.select(F.explode(F.array_intersect(words_between(F.col("_block"), NOT_WORD), constant(vocabulary))).alias("w")).groupBy("w").count()
+    stride = max(len(word_list(t)) for _, t in templates)
+    texts = docs.select(*keep, words_of(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+    counted = texts.select(F.explode(F.array_intersect("_words", constant(vocabulary))).alias("w")).groupBy("w").count()
     seen = {r["w"]: r["count"] for r in counted.collect()}  # at most one row per word of the templates
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
@@ -103,8 +106,11 @@ def matches(docs: DataFrame, keep: list[str], text: str, threshold: float, block
             rows.append((number, label, w, place, len(words), need, words))
     least = min(r[5] for r in rows)
     sides = spark.createDataFrame(rows, "template int, label string, word string, t_place int, t_size int, need int, t_words array<string>")
-    held = blocks.select(*keep, F.array_intersect(constant(order), words_between(F.col("_block"), NOT_WORD)).alias("_held"))  # in the order of `order`
-    some = held.where((F.size("_held") >= least) & F.arrays_overlap("_held", constant(sorted(prefixes, key=rank.get))))
+    asked, some_words = constant(order), constant(sorted(prefixes, key=rank.get))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size("_words") - 1, F.lit(0)) / stride).cast("int"))
+    held = F.transform(starts, lambda k: F.array_intersect(asked, F.slice(F.col("_words"), k * stride + 1, F.lit(2 * stride))))  # in the order of `order`
+    enough = F.filter(held, lambda words: (F.size(words) >= least) & F.arrays_overlap(words, some_words))
+    some = texts.where(F.arrays_overlap("_words", some_words)).select(*keep, F.explode(enough).alias("_held"))
     prefix = F.slice(F.col("_held"), F.lit(1), F.size("_held") - least + 1)
     probes = some.select(*keep, "_held", F.size("_held").alias("_size"), F.posexplode(prefix).alias("_place", "word"))
     # Broadcast bound: the templates' prefixes, a parameter.
@@ -115,13 +121,13 @@ def matches(docs: DataFrame, keep: list[str], text: str, threshold: float, block
     return pairs.where(common >= F.col("need")).select(*keep, "label", (common / F.col("t_size")).alias("containment"))
 
 
-def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.9, block: str = "\n") -> DataFrame:
+def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.9) -> DataFrame:
     """`id`, `n_words`, `base` (label, start) in order of start, `labels` of the join, sorted, and their best `containment`."""
     whole = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(id).alias("_id"), F.xxhash64(whole).alias("_h1"), F.xxhash64(F.lit(1), whole).alias("_h2"), F.col(text).alias("_text"))
     keys = ["_id", "_h1", "_h2"]
     based = with_base(keyed, keys, "_text")
-    found = matches(keyed, keys, "_text", threshold, block).groupBy(*keys).agg(
+    found = matches(keyed, keys, "_text", threshold).groupBy(*keys).agg(
         F.array_sort(F.collect_set("label")).alias("labels"), F.max("containment").alias("containment"))
     other = found.select(*(F.col(k).alias(f"{k}_found") for k in keys), "labels", "containment")
     same = F.col("_id").eqNullSafe(F.col("_id_found")) & (F.col("_h1") == F.col("_h1_found")) & (F.col("_h2") == F.col("_h2_found"))
