@@ -152,12 +152,13 @@ def license_base(docs):
 
 
 def template_labels(text, templates, threshold=0.9):
-    labels = set()
-    for block in low(text).split("\n"):
-        words = set(BENCH_WORD.findall(block))
+    labels, words = set(), BENCH_WORD.findall(low(text))
+    longest = max(len(BENCH_WORD.findall(low(t))) for _, t in templates)
+    for at in range(0, max(len(words), 1), longest):
+        block = set(words[at:at + 2 * longest])
         for label, template in templates:
             own = set(BENCH_WORD.findall(low(template)))
-            if len(own & words) >= threshold * len(own) - 1e-9:
+            if len(own & block) >= threshold * len(own) - 1e-9:
                 labels.add(label)
     return labels
 
@@ -176,7 +177,7 @@ def quality_base(docs):
     return out
 
 
-def kept(docs, min_rows, outer=0.005, fence=3.0, gamma=1.01 / 0.99):
+def kept(docs, min_rows, fence=3.0, widen=6.0, gamma=1.01 / 0.99):
     """Verdicts of the adaptive rules: quantiles by rank over the documents that pass the base rule, in the widest group needed."""
     import math
 
@@ -195,7 +196,9 @@ def kept(docs, min_rows, outer=0.005, fence=3.0, gamma=1.01 / 0.99):
             ordered = sorted(value(bucket(measures[j][m])) for j in rows)
             at = lambda q: ordered[max(math.ceil(q * len(ordered)), 1) - 1]
             spread = at(0.75) - at(0.25)
-            ok &= measures[k][m] <= max(at(1 - outer), at(0.75) + fence * spread)
-            ok &= m != "word_length" or measures[k][m] >= min(at(outer), at(0.25) - fence * spread)
+            floor = {"word_length": 0.5, "symbol_share": 0.02, "dup_line_share": 0.05, "repeat_share": 0.2}[m]
+            reach = max(fence * spread, floor) * (1 + widen / math.sqrt(len(ordered)))
+            ok &= measures[k][m] <= at(0.75) + reach
+            ok &= m != "word_length" or measures[k][m] >= at(0.25) - reach
         out.append((d["doc_id"], ok))
     return out

@@ -1,6 +1,10 @@
 """Every query against its plain form on planted rows, and on empty tables."""
 
+import math
 import random
+import textwrap
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -43,10 +47,31 @@ def test_op1_long_lines_take_fewer_pages(spark):
 
 
 def test_op2(spark, folder, planted):
-    found = named("op2")(spark, folder).collect()
-    assert len(found) == len(planted[0])
-    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in found)
-    assert len({r["held_out"] for r in found}) == 2
+    """Every row's score added up by hand from the fitted tables, and who was held out."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.learn(docs, labels, "quality", max_rows=20_000)
+    want = []
+    for d in planted[0]:
+        values = quality_model.features_of((d["text"] or "").encode())
+        bins = [sum(v >= e for e in edges) for v, edges in zip(values, model.edges)]
+        logit = model.intercept + sum(t[b] for t, b in zip(model.tables, bins)) + sum(t[model.coarse[a][bins[a]]][model.coarse[b][bins[b]]] for a, b, t in model.pairs)
+        score = 1 / (1 + math.exp(-logit))
+        want.append((d["doc_id"], d["doc_id"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 5 == 0, round(score, 9), int(score >= 0.3)))
+    found = [(r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in named("op2")(spark, folder).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert len({w[1] for w in want}) == 2 and len({w[3] for w in want}) == 2
+
+
+def test_op2_features_of_long_texts_are_those_of_the_whole(monkeypatch):
+    text = ("\n".join(f"Word{k % 700}, and {k % 13} {'X' * (k % 5)} same same line." for k in range(4000)) + " é").encode()
+    whole = quality_model.features_of(text)
+    words = text.split()
+    assert whole[4:8] == pytest.approx([len(set(words)) / len(words), max(Counter(words).values()) / len(words), sum(a == b for a, b in zip(words, words[1:])) / len(words),
+                                        len(set(zip(words, words[1:]))) / (len(words) - 1)])
+    for part in (1000, 64 << 10):
+        monkeypatch.setattr(quality_model, "PART", part)
+        assert quality_model.features_of(text) == whole
+        assert len(list(quality_model.parts_of(text))) > 1 and b"".join(quality_model.parts_of(text)) == text
 
 
 def test_op3(spark, folder, planted):
@@ -83,6 +108,16 @@ def test_op4(spark, folder, planted):
             assert int(span.split(":")[1]) < int(span.split(":")[2])
 
 
+def test_op4_scores_tokens_that_base_spans_cover_in_part(spark):
+    """A prefixed key with a run of hex digits in it, one that is such a run, one in an assignment, and a plain identifier."""
+    ratios = [1.0] * secrets.ASCII**2
+    texts = ["key sk_live_0123456789abcdef0123Zq8Xr0Lm end", "0123456789abcdef0123456789", "token=0123456789abcdefABCDEFGH01", "short 0123456789abcdef x", "free Zq8Xr0LmZq8Xr0LmZq8Xr0Lm"]
+    found = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), ratios).orderBy("doc_id").collect()
+    spans = [[texts[k][s["start"]:s["end"]] for s in r["model"]] for k, r in enumerate(found)]
+    assert spans == [["sk_live_0123456789abcdef0123Zq8Xr0Lm"], [], ["token=0123456789abcdefABCDEFGH01"][:0], [], ["Zq8Xr0LmZq8Xr0LmZq8Xr0Lm"]]
+    assert [len(r["base"]) for r in found] == [1, 1, 2, 1, 0]
+
+
 def test_many_matches_in_one_text(spark):
     text = "é password=abcdefghijkl " * 700
     found = secrets.base_spans(__import__("pyspark.sql.functions", fromlist=["x"]).col("text"))
@@ -149,6 +184,20 @@ def test_op7(spark, folder, planted):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+@pytest.mark.parametrize("width", [24, 40, 70])
+def test_op7_finds_templates_over_line_breaks(spark, width):
+    rng = random.Random(width)
+    filler = lambda n: " ".join(rng.choice(["la", "casa", "grande", "verde", "sol"]) for _ in range(n))
+    texts = []
+    for _, template in licenses.TEMPLATES:
+        body = f"{filler(rng.randint(0, 90))} {template} {filler(rng.randint(0, 60))}"
+        texts.append("\n".join(("# " if width == 40 else "") + line for line in textwrap.wrap(body, width, break_on_hyphens=False)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: set(r["labels"]) for r in licenses.scan(docs).collect()}
+    assert all(label in found[k] for k, (label, _) in enumerate(licenses.TEMPLATES))
+    assert found == {k: brute.template_labels(t, licenses.TEMPLATES) for k, t in enumerate(texts)}
+
+
 def test_op8(spark, folder, planted):
     check(spark, folder, "op8", ("doc_id", "n_bytes", "n_tokens", "over_limit"), brute.token_counts(planted[0], WORDS))
 

@@ -5,8 +5,8 @@ quantiles are within `ACCURACY` of the value. Sketches merge by adding counts, s
 source of any size included, and a group too small to speak for itself takes the sketch of its language or of all documents.
 A measure fails beyond the outer fence of its group: `FENCE` interquartile ranges from the quartiles, and `FLOOR` at least, so that a
 measure that is the same nearly everywhere does not fail by a trifle. Quartiles hold while less than a quarter of a group is junk on a
-side, and the share that fails grows with the junk. Quartiles of fewer than `FENCE_ROWS` rows, which only a whole table that small
-leaves, say too little: there a measure must be beyond an outer quantile as well, so next to nothing fails. Thresholds are one row per group, stored before the join: the planner broadcasts them only if
+side, and the share that fails grows with the junk. Quartiles of n rows are off by about a range / sqrt(n): the reach of the fence is wider
+by WIDEN / sqrt(n) of itself, at every n. Thresholds are one row per group, stored before the join: the planner broadcasts them only if
 they are small.
 
 Null texts have no words and fail the base rule. Null languages and sources are groups of their own. Repeated rows each keep their row;
@@ -25,7 +25,7 @@ from tidemark.llm.common import BLANKS, null_safe_key, stored, words_between
 SYMBOLS = r"[^#*$%&|<>]+"
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-OUTER, FENCE, MIN_ROWS, FENCE_ROWS = 0.005, 3.0, 200, 200
+FENCE, WIDEN, MIN_ROWS = 3.0, 6.0, 200
 FLOOR = {"word_length": 0.5, "symbol_share": 0.02, "dup_line_share": 0.05, "repeat_share": 0.2}
 # Measures and the sides on which they can fail.
 MEASURES = {
@@ -106,7 +106,7 @@ def thresholds(rows: DataFrame, lang: str, source: str) -> DataFrame:
     """A row per language and source: `low_<measure>` and `high_<measure>`."""
     keyed = rows.withColumns({"_lang": null_safe_key(F.col(lang)), "_source": null_safe_key(F.col(source))})
     own = stored(sketches(keyed, ["_lang", "_source"]), "sketches")
-    wanted = {"far_low": OUTER, "low": 0.25, "high": 0.75, "far_high": 1 - OUTER}
+    wanted = {"low": 0.25, "high": 0.75}
     group = F.concat_ws("\x00", "_lang", "_source")
     scopes = [("group", own.withColumn("scope", group)), ("lang", own.withColumn("scope", F.col("_lang"))), ("all", own.withColumn("scope", F.lit("all")))]
     levels = [quantiles(merged(frame, ["scope"]), "scope", wanted).withColumn("level", F.lit(name)) for name, frame in scopes]
@@ -121,10 +121,9 @@ def thresholds(rows: DataFrame, lang: str, source: str) -> DataFrame:
     chosen = F.when(F.col("_group_q.total") >= MIN_ROWS, F.col("_group_q")).when(F.col("_lang_q.total") >= MIN_ROWS, F.col("_lang_q")).otherwise(F.col("_all_q"))
     spread = F.col("q.high") - F.col("q.low")
     floor = F.element_at(F.create_map(*(F.lit(v) for pair in FLOOR.items() for v in pair)), F.col("measure"))
-    reach, enough = F.greatest(FENCE * spread, floor), F.col("q.total") >= FENCE_ROWS
+    reach = F.greatest(FENCE * spread, floor) * (1 + WIDEN / F.sqrt("q.total"))
     bounds = best.select("_lang", "_source", "measure", chosen.alias("q")).select(
-        "_lang", "_source", "measure", F.when(enough, F.col("q.low") - reach).otherwise(F.least("q.far_low", F.col("q.low") - FENCE * spread)).alias("low"),
-        F.when(enough, F.col("q.high") + reach).otherwise(F.greatest("q.far_high", F.col("q.high") + FENCE * spread)).alias("high"))
+        "_lang", "_source", "measure", (F.col("q.low") - reach).alias("low"), (F.col("q.high") + reach).alias("high"))
     wide = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m, sides in MEASURES.items() for side in sides]
     return stored(bounds.groupBy("_lang", "_source").agg(*wide), "thresholds")
 
