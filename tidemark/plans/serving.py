@@ -207,6 +207,7 @@ CATEGORY_WORDS = (
 )
 _SAFE_ES = "Según tu relación y actividad reciente con el banco."
 _SAFE_PT = "Com base no seu relacionamento e na sua atividade recente com o banco."
+# ---- Fixed values: the texts of one bank's illustrative offers ----
 # strategy, offer id, language, title, description ({category} is filled in), reason
 OFFERS = (
     ("onboarding", "demo-welcome-points", "es", "Bono de bienvenida",

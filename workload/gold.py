@@ -52,13 +52,12 @@ def daily_rates(spark, sf_dir):
 
 
 @query(f"""WITH {FX_SQL},
-    tri AS (SELECT l.date, l.source_currency AS s, r.target_currency AS t, min(l.exchange_rate * r.exchange_rate) AS lo, max(l.exchange_rate * r.exchange_rate) AS hi
-      FROM fxs l JOIN fxs r ON l.date = r.date AND l.target_currency = r.source_currency AND l.source_currency <> r.target_currency GROUP BY ALL)
-    SELECT a.date, a.source_currency, a.target_currency, NOT (a.buy_rate <= a.exchange_rate AND a.exchange_rate <= a.sell_rate) AS rate_order,
-      abs(a.exchange_rate * b.exchange_rate - 1) > pow(1.02, 2) - 1 AS inverse_rate,
-      greatest(abs(lo / a.exchange_rate - 1), abs(hi / a.exchange_rate - 1)) > pow(1.02, 3) - 1 AS cross_rate
-    FROM fxs a JOIN fxs b ON b.date = a.date AND b.source_currency = a.target_currency AND b.target_currency = a.source_currency
-    JOIN tri ON tri.date = a.date AND s = a.source_currency AND t = a.target_currency""")
+    p AS MATERIALIZED (SELECT date, source_currency AS s, target_currency AS t, exchange_rate AS r, buy_rate, sell_rate FROM fxs),
+    d AS MATERIALIZED (SELECT date, list({{'s': s, 't': t, 'r': r}}) AS legs FROM p GROUP BY date)
+    SELECT date, s AS source_currency, t AS target_currency, NOT (buy_rate <= r AND r <= sell_rate) AS rate_order,
+      len(list_filter(legs, lambda x: x.s = t AND x.t = s AND abs(r * x.r - 1) > pow(1.02, 2) - 1)) > 0 AS inverse_rate,
+      len(list_filter(legs, lambda x: x.s = s AND x.t <> t AND len(list_filter(legs, lambda y: y.s = x.t AND y.t = t AND abs(x.r * y.r / r - 1) > pow(1.02, 3) - 1)) > 0)) > 0 AS cross_rate
+    FROM p JOIN d USING (date)""")
 def rate_consistency(spark, sf_dir):
     """Order, there-and-back and detours through a third currency."""
     out = rates.consistency_flags(fx(spark, sf_dir), ["date", "source_currency", "target_currency"], "exchange_rate", config.FX_NOISE, "buy_rate", "sell_rate")

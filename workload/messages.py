@@ -141,16 +141,35 @@ def document_languages(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", text.reply_language(F.col("text")).alias("language"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(12,2))::VARCHAR ELSE '' END AS loose FROM orders""")
+PRICE_SQL = "CAST(o_totalprice AS DECIMAL(12,2))::VARCHAR"
+
+
+@query(f"""SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 3 = 0 THEN {PRICE_SQL} END, CASE WHEN o_orderkey % 5 = 0 THEN '7,65' END) AS loose FROM orders""")
 def ungrounded_figures(spark, sf_dir):
-    """Replies quote an order's price with a point, sources hold it with a comma; a third hold another one."""
+    """Replies quote an order's price with a point and a rate to two places, sources hold the price with a comma and the rate with fifteen
+    decimals; a third hold another price, a fifth a rate that rounds to another figure."""
     o = read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
     price = F.format_string("%.2f", "o_totalprice")
-    reply = F.concat(F.lit("Tu pedido suma "), price, F.lit(" en total"))
-    source = F.when(F.col("o_orderkey") % 3 == 0, F.lit("total 1.000.000,55")).otherwise(F.concat(F.lit("total "), F.translate(price, ".", ",")))
+    reply = F.concat(F.lit("Tu pedido suma "), price, F.lit(" en total, a 7,65"))
+    rate = F.when(F.col("o_orderkey") % 5 == 0, F.lit(" a 7.644999999999999")).otherwise(F.lit(" a 7.645000000000001"))
+    source = F.concat(F.when(F.col("o_orderkey") % 3 == 0, F.lit("total 1.000.000,55")).otherwise(F.concat(F.lit("total "), F.translate(price, ".", ","))), rate)
     return o.select("o_orderkey", F.array_join(text.ungrounded(reply, source), ",").alias("loose"))
 
 
+@query(f"""SELECT o_orderkey, o_orderkey % 4 <> 0 AS holds_price, true AS holds_status, o_orderkey % 4 <> 0 OR o_orderstatus = 'P' AS holds_any FROM orders""")
+def facts_in_replies(spark, sf_dir):
+    """Whether a reply holds an order's price as a figure of any form, its status as text whatever case and accents, or one of both. A fourth of
+    the replies name another price, and of these only some a status of their own."""
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus")
+    price = F.when(F.col("o_orderkey") % 4 == 0, F.lit("77,77")).otherwise(F.translate(F.format_number("o_totalprice", 2), ",.", ".,"))
+    status = F.when(F.col("o_orderstatus") == "P", F.lit("PENDIENTE según revisión")).otherwise(F.lit("cerrado"))
+    reply = F.concat(F.lit("Pedido "), status, F.lit(" por "), price)
+    known = F.when(F.col("o_orderstatus") == "P", F.lit("Pendiente Segun Revision")).otherwise(F.lit("CERRADO"))
+    alternatives = F.array(F.col("o_totalprice").cast("string"), F.lit("pendiente"))
+    return o.select("o_orderkey", text.holds_number(reply, F.col("o_totalprice")).alias("holds_price"), text.holds_text(reply, known).alias("holds_status"),
+                    text.holds_any(reply, alternatives).alias("holds_any"))
+
+
 @query(r"""SELECT doc_id, NOT (regexp_matches(text, '\d') OR regexp_matches(text, '(?i)[%$€£]|\b(usd|eur|brl|mxn|cop|ars|pen|soles?|pesos?|reais|dolares?)\b')
     OR regexp_matches(strip_accents(lower(text)), '\b(riesgo|risco|probabilidad|probabilidade|puntaje|pontuacao|score|modelo|churn|abandono|inactividad|inatividade|predic|previs)')) AS complies FROM documents""")
 def reply_compliance(spark, sf_dir):
