@@ -24,7 +24,8 @@ def spark():
 def lake(spark, tmp_path_factory):
     """A small delivered lake with one planted case per rule, taken through silver once."""
     from tests.lake import write_lake
-    from tidemark.plans.silver import QualityGateError, run_silver
+    from tidemark.operators.gates import QualityGateError
+    from tidemark.plans.silver import run_silver
 
     root = str(tmp_path_factory.mktemp("spark-lake"))
     write_lake(root)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tests.lake import write_rates
 from tidemark.config.bank import BANK
+from tidemark.operators.gates import QualityGateError
 from tidemark.plans.silver import deduplicated, run_silver
 from tidemark.sources.readers import ingest, read_bronze, read_report
 
@@ -140,8 +141,11 @@ def test_reports(spark, lake):
 def test_gate_fails_after_reports(spark, tmp_path):
     skip = {(f"2024-03-0{d}", "USD", "COP") for d in range(1, 5)}
     write_rates(str(tmp_path), skip, {})
-    with pytest.raises(Exception, match="USD->COP .4 days filled"):
+    with pytest.raises(QualityGateError, match=r"filled_days USD->COP \(4 > 3\)"):
         run_silver(spark, str(tmp_path), ["daily_exchange_rates"])
+    verdicts = {(r.gate, r.subject): (r.measured, r.status) for r in read_report(spark, str(tmp_path), "silver", "gates").collect()}
+    assert len(verdicts) == 24 and verdicts["filled_days", "USD->COP"] == (4.0, "fail")
+    assert {v for k, v in verdicts.items() if k != ("filled_days", "USD->COP")} == {(0.0, "ok")}
     assert read_report(spark, str(tmp_path), "silver", "rules").count() > 0
 
 

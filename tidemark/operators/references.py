@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config.model import Reference, TableSpec
+from tidemark.operators.gates import Gate, share_gate
 from tidemark.operators.lookups import attach
 from tidemark.operators.reports import percent
 
@@ -108,11 +109,10 @@ def reference_status(note: Column, checked: Column, share: Column) -> Column:
     )
 
 
-def orphan_gate(report: DataFrame) -> list[str]:
-    """The failures of a reference report; at most one row per configured reference reaches the driver."""
-    bad = report.where("status = 'fail'").select("child_table", "child_column", "orphan_pct").collect()
-    names = sorted(f"{r.child_table}.{r.child_column} ({r.orphan_pct}%)" for r in bad)
-    return [f"Orphans above {ORPHAN_FAIL_PCT}% in {', '.join(names)}"] if names else []
+def orphan_gates(spec: TableSpec) -> list[Gate]:
+    """At most ORPHAN_FAIL_PCT percent of the checked rows of a reference may be orphans; known broken references are not gated."""
+    return [share_gate("orphans", f"{spec.name}.{r.column}", F.col(f"dq_invalid_orphan_{r.parent}"), ORPHAN_FAIL_PCT, F.col(r.column).isNotNull() if r.optional else F.lit(True))
+            for r in spec.references if not r.known_broken]
 
 
 def fill_word(df: DataFrame, column: str, word: str, value: Column) -> DataFrame:

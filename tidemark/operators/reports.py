@@ -21,12 +21,13 @@ REPORT_SCHEMAS = {
     "contracts": "table string, category string, error_type string, column string, check string, error string, "
                  "run_at string",
     "arrivals": "table string, rows long, rows_with_lag long, late_rows long, late_pct double, "
-                "processed_before_event long, lag_p50 int, lag_p90 int, lag_p99 int, lag_max int, same_day long, "
+                "processed_before_event long, lag_p50 long, lag_p90 long, lag_p99 long, lag_max int, same_day long, "
                 "one_day long, two_to_seven_days long, eight_to_thirty_days long, over_thirty_days long, "
                 "status string, run_at string",
     "volumes": "table string, raw_rows long, silver_rows long, expected_rows long, vs_expected_pct double, "
                "file_days long, missing_days long, missing_day_list array<string>, unusual_days array<string>, "
                "rows_filed_on_other_day long, status string, run_at string",
+    "gates": "gate string, subject string, measured double, allowed double, checked_rows long, status string, run_at string",
     "exclusions": "table string, rows_in long, rows_excluded long, excluded_by_reason map<string,long>, "
                   "run_at string",
 }

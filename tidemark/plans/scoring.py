@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.gates import Gate, none_gate
 from tidemark.operators.ordering import exact_quantiles, share_tiers, tier_thresholds
 from tidemark.plans.features import FEATURES, SNAPSHOT, cutoff_for
 from tidemark.session import cut_lineage
@@ -58,25 +59,35 @@ def score_customers(customers: DataFrame, rows: DataFrame, scores: DataFrame, as
         F.coalesce("_tier", fallback).alias("risk_tier"), "reason_code")
 
 
-def invariant_violations(scores: DataFrame) -> DataFrame:
-    """One row: how many rows break each rule a score table must keep."""
+def invariants() -> dict[str, Column]:
+    """What must hold for every row of a score table."""
     model, fallback = F.col("model_eligible"), ~F.col("model_eligible")
     expected = F.lit(None).cast("string")
     for name, tier in FALLBACK_TIERS.items():
         expected = F.when(F.col("reason_code") == name, tier).otherwise(expected)
+    return {
+        "model_score_not_probability": fallback | F.col("risk_score").between(0, 1),
+        "model_tier_or_reason": fallback | (F.col("risk_tier").isin(*MODEL_TIERS) & F.col("reason_code").isNull()),
+        "fallback_with_score": model | F.col("risk_score").isNull(), "fallback_tier_disagrees": model | (F.col("risk_tier") == expected),
+        "source_disagrees": (F.col("scoring_source") == "model") == model}
+
+
+def invariant_violations(scores: DataFrame) -> DataFrame:
+    """One row: how many rows break each rule a score table must keep."""
     fails = lambda c: F.count_if(~F.coalesce(c, F.lit(False)))
-    counted = scores.agg(
-        F.count("*").alias("rows"),
-        fails(fallback | F.col("risk_score").between(0, 1)).alias("model_score_not_probability"),
-        fails(fallback | (F.col("risk_tier").isin(*MODEL_TIERS) & F.col("reason_code").isNull())).alias("model_tier_or_reason"),
-        fails(model | F.col("risk_score").isNull()).alias("fallback_with_score"),
-        fails(model | (F.col("risk_tier") == expected)).alias("fallback_tier_disagrees"),
-        fails((F.col("scoring_source") == "model") == model).alias("source_disagrees"), F.lit(1).alias("_one"))
+    counted = scores.agg(F.count("*").alias("rows"), *(fails(rule).alias(name) for name, rule in invariants().items()), F.lit(1).alias("_one"))
     repeated = scores.groupBy("customer_id").agg(F.count("*").alias("_n")).where("_n > 1").agg(
         F.count("*").alias("repeated_customers"), F.lit(1).alias("_one"))
     return counted.join(F.broadcast(repeated), "_one").drop("_one")  # one row each
 
 
+def score_gates(model_version: str, as_of: date) -> list[Gate]:
+    """The rules of a score table as gates of the job that publishes it, and that all its rows are of one model version and day."""
+    other = lambda column, value: F.count_if(~F.col(column).eqNullSafe(F.lit(value)))
+    return [none_gate("invariant", name, ~rule) for name, rule in invariants().items()] + [
+        Gate("other_version", model_version, other("model_version", model_version), 0), Gate("other_day", str(as_of), other("as_of_date", as_of), 0)]
+
+
 def validate_scores(scores: DataFrame, model_version: str | None = None, as_of: date | None = None) -> None:
     """Raises on columns, invariants, or more than one model version or date."""
     if tuple(scores.columns) != SCORE_COLUMNS:

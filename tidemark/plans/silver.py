@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config.bank import BANK, FX_MAX_FILLED_DAYS
+from tidemark.config.bank import BANK, CURRENCIES, FX_MAX_FILLED_DAYS
 from tidemark.config.model import Catalog, TableSpec
 from tidemark.functions.cleaning import clean
 from tidemark.operators import contracts, references, reports
 from tidemark.operators.arrivals import add_arrival_lag, arrival_report, session_start, volume_report
 from tidemark.operators.dedup import duplicate_report, keep_latest, latest_order
 from tidemark.operators.flags import fold_validity
-from tidemark.operators.rates import gap_gate
+from tidemark.operators.gates import as_report, enforce, write_through
+from tidemark.operators.rates import gap_gates
 from tidemark.plans.table_rules import apply_rules
 from tidemark.sources.readers import read_bronze, read_table
 from tidemark.sources.sinks import append_report, rewrite
 
 
-class QualityGateError(RuntimeError):
-    """Raised after all tables and reports are written, when a gate failed."""
-
-
 def deduplicated(raw: DataFrame, spec: TableSpec, catalog: Catalog = BANK) -> DataFrame:
     """Typed rows, one per key. Compared after cleaning, so two spellings of nothing are not a conflict."""
     return newest_rows(clean(raw, spec), spec, catalog)
@@ -112,7 +109,7 @@ def run_silver(spark: SparkSession, root: str, tables: Iterable[str] | None = No
             traded = read("transactions")
 
     found: dict[str, list[DataFrame]] = {n: [] for n in ("duplicates", "rules", "foreign_keys", "contracts", "arrivals", "volumes")}
-    failures: list[str] = []
+    verdicts: list[tuple] = []
     for name in order:
         spec = catalog[name]
         raw = typed.get(name)
@@ -120,7 +117,12 @@ def run_silver(spark: SparkSession, root: str, tables: Iterable[str] | None = No
             raw = delivered(name)
         kept = traded if name == "transactions" and traded is not None else newest_rows(raw, spec, catalog)
         built = build_table(kept, spec, catalog, read, traded if name == "products" else None)
-        rewrite(built, f"{root}/silver/{name}/", spec.partition_by or None, f"{database}.{name}" if database else None)
+        gates = references.orphan_gates(spec)
+        if name == "daily_exchange_rates":
+            built, more = gap_gates(built, list(itertools.permutations(CURRENCIES, 2)), catalog.start, catalog.end, FX_MAX_FILLED_DAYS)
+            gates += more
+        verdicts += write_through(built, gates, lambda df, spec=spec: rewrite(
+            df, f"{root}/silver/{spec.name}/", spec.partition_by or None, f"{database}.{spec.name}" if database else None), drop=["_fill_run"])
 
         written = read(name)
         found["duplicates"].append(duplicate_report(written, name))
@@ -131,14 +133,11 @@ def run_silver(spark: SparkSession, root: str, tables: Iterable[str] | None = No
         if "arrival_lag_days" in written.columns:
             found["arrivals"].append(arrival_report(written, name))
         found["volumes"].append(volume_report(raw, written, name, catalog.start, catalog.end, spec.expected_rows))
-        if name == "daily_exchange_rates":
-            failures += gap_gate(written, catalog.start, catalog.end, FX_MAX_FILLED_DAYS)
 
     # one file-backed frame per table: each report is a union of small aggregates, written without collecting
     for name, parts in found.items():
         for part in parts:
             append_report(part, f"{root}/silver/_{name}/")
-    if found["foreign_keys"]:
-        failures = references.orphan_gate(reduce(DataFrame.unionByName, found["foreign_keys"])) + failures
-    if failures:
-        raise QualityGateError(" | ".join(failures))
+    if verdicts:
+        append_report(as_report(spark, verdicts), f"{root}/silver/_gates/")
+    enforce(verdicts)

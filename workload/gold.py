@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
+from itertools import permutations
 
 from pyspark.sql import functions as F
 
 from tidemark.config import bank as config
 from tidemark.functions import calendar, strings
-from tidemark.operators import arrivals, rates
+from tidemark.operators import arrivals, gates, rates
 from tidemark.operators.lookups import latest_before, map_value
 from tidemark.operators.ordering import exact_quantiles
 from tidemark.plans import gold, serving, table_rules, zone
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, ensure_checkpoint_dir
 from tidemark.sources import sinks
 from tidemark.sources.readers import read_columns
 from workload import bankview as bank
@@ -64,6 +66,31 @@ def rate_consistency(spark, sf_dir):
     return out.select("date", "source_currency", "target_currency", *[F.col(f"dq_invalid_{c}").alias(c) for c in ("rate_order", "inverse_rate", "cross_rate")])
 
 
+GAP_SQL = f"""{FX_SQL}, g AS (SELECT date, source_currency AS s, target_currency AS t FROM fxs WHERE NOT (source_currency = 'ARS' AND target_currency = 'USD' AND date_diff('day', DATE '1995-01-01', date) % 20 BETWEEN 3 AND 7)
+      AND NOT (source_currency = 'MXN' AND target_currency = 'COP' AND date_diff('day', DATE '1995-01-01', date) % 11 BETWEEN 4 AND 5)),
+    c AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY))::DATE AS date),
+    d AS (SELECT c.date, p.s, p.t, g.date AS real FROM c CROSS JOIN (SELECT DISTINCT s, t FROM g) p LEFT JOIN g ON g.date = c.date AND g.s = p.s AND g.t = p.t),
+    r AS (SELECT *, date_diff('day', max(real) OVER (PARTITION BY s, t ORDER BY date), date) AS run,
+      real IS NULL AND date < (SELECT min(date) FROM g WHERE g.s = d.s AND g.t = d.t) AS unfilled FROM d),
+    m AS (SELECT s || '->' || t AS subject, coalesce(max(run), 0)::DOUBLE AS run, CAST(count(*) FILTER (WHERE unfilled) AS DOUBLE) AS unfilled FROM r GROUP BY 1)"""
+
+
+@query(f"""WITH {GAP_SQL} SELECT 'filled_days' AS gate, subject, run AS measured, 3.0::DOUBLE AS allowed, CASE WHEN run > 3 THEN 'fail' ELSE 'ok' END AS status FROM m
+    UNION ALL SELECT 'unfilled_days', subject, unfilled, 0.0::DOUBLE, CASE WHEN unfilled > 0 THEN 'fail' ELSE 'ok' END FROM m""")
+def gated_rates(spark, sf_dir):
+    """A year of rates with gaps in two pairs, filled and written through the gate on filled days; one pair fails."""
+    age = F.datediff("date", F.lit("1995-01-01").cast("date"))
+    pair = lambda a, b: (F.col("source_currency") == a) & (F.col("target_currency") == b)
+    held = fx(spark, sf_dir).where(~(pair("ARS", "USD") & (age % 20).between(3, 7)) & ~(pair("MXN", "COP") & (age % 11).between(4, 5)))
+    held = held.drop("exchange_rate_imputed").withColumns({"source": F.lit("desk"), "dq_invalid_missing_key": F.lit(False), "dq_copies": F.lit(1), "dq_versions": F.lit(1)})
+    year = ("1996-01-01", "1996-12-31")
+    filled = rates.fill_rate_calendar(held, tuple(VALUE), *year)
+    filled, wanted = rates.gap_gates(filled, list(permutations(VALUE, 2)), *year, config.FX_MAX_FILLED_DAYS)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rates-{uuid.uuid4().hex}"
+    found = gates.write_through(filled, wanted, lambda df: df.write.parquet(f"{folder}/rates"), f"{folder}/gates", drop=["_fill_run"])
+    return gates.as_report(spark, found).drop("checked_rows")
+
+
 @query(f"""WITH {FX_SQL} SELECT source_currency, target_currency, date, round(buy_rate, 9) AS buy_rate FROM fxs
     QUALIFY row_number() OVER (PARTITION BY source_currency, target_currency ORDER BY date DESC) = 1 AND true""".replace("FROM fxs", "FROM fxs WHERE date <= DATE '2000-06-30'"))
 def latest_rates(spark, sf_dir):

@@ -12,7 +12,7 @@ from tidemark.functions import cleaning
 from tidemark.operators import arrivals, contracts, dedup, flags, ordering, references, reports
 from tidemark.operators.lookups import map_value
 from tidemark.plans import features as feat
-from tidemark.plans import models, runs, serving, table_rules, zone
+from tidemark.plans import models, runs, serving, silver, table_rules, zone
 from tidemark.plans.silver import deduplicated
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import readers, sinks
@@ -434,3 +434,91 @@ def item_problems(spark, sf_dir):
     _, problems = serving.build_items(rows.select(*zone.TRANSACTION.columns()), serving.SPECS["transactions_recent"])
     row_id = F.regexp_extract(F.get_json_object("source", "$.bk_transaction_id"), "^[0-9]+", 0).cast("bigint")
     return problems.select(F.regexp_replace("problem", "[0-9]+", "n").alias("problem"), row_id.alias("row_id"))
+
+
+# ---- Table rules on rows whose columns follow from a key ----
+
+OBJECTIVES, NAMED = dict(config.CAMPAIGN_OBJECTIVES), dict(config.CAMPAIGN_PRODUCTS)
+CODES = (*OBJECTIVES, "ZZZ"), (*NAMED, "QQ")
+
+
+def _pick(values, n):
+    return "CASE " + " ".join(f"WHEN p_partkey % {len(values)} = {k} THEN {v}" for k, v in enumerate(values)) + " END" if n == 0 else \
+        "CASE " + " ".join(f"WHEN (p_partkey // {n}) % {len(values)} = {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+def _looked_up(column, mapping):
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items() if v) + " END"
+
+
+CAMPAIGN_SQL = f"""c AS (SELECT p_partkey, {_pick([f"'{c}'" for c in CODES[0]], 0)} AS oc, {_pick([f"'{c}'" for c in CODES[1]], 6)} AS pc,
+      DATE '2024-01-10' + CAST(p_partkey % 500 AS INT) AS started, p_partkey % 7 = 0 AS odd_month, p_partkey % 11 = 0 AS short FROM part),
+    n AS (SELECT *, {_looked_up('oc', OBJECTIVES)} AS objective, {_looked_up('pc', NAMED)} AS product, started + 40 AS ended,
+      started + CASE WHEN p_partkey % 13 = 0 THEN 90 ELSE 20 END AS named_day FROM c),
+    k AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'Retention' ELSE objective END AS stated_objective,
+      CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 'Seguro' ELSE product END AS stated_product, CASE WHEN p_partkey % 2 = 0 THEN 'given' END AS stated_text,
+      CASE WHEN NOT odd_month THEN date_trunc('month', named_day)::DATE END AS month FROM n)"""
+
+
+@query(f"""WITH {CAMPAIGN_SQL} SELECT p_partkey, oc AS objective_code, pc AS product_code, month AS campaign_month, CASE WHEN NOT short THEN CAST(p_partkey AS INT) END AS campaign_seq,
+    short OR odd_month OR objective IS NULL OR pc = 'QQ' AS wrong_name,
+    coalesce(NOT (month BETWEEN date_trunc('month', started) AND date_trunc('month', ended)), false) OR coalesce(stated_product <> product, false) OR coalesce(stated_objective <> objective, false) AS name_mismatch,
+    coalesce(stated_objective, objective) AS campaign_objective, stated_objective IS NULL AND objective IS NOT NULL AS campaign_objective_imputed,
+    coalesce(stated_product, product) AS promoted_product, stated_product IS NULL AND product IS NOT NULL AS promoted_product_imputed,
+    coalesce(stated_text, 'Campaña de ' || lower(coalesce(stated_objective, objective)) || ' para ' || coalesce(stated_product, product)) AS description,
+    stated_text IS NULL AND coalesce(stated_objective, objective) IS NOT NULL AND coalesce(stated_product, product) IS NOT NULL AS description_imputed FROM k""")
+def campaign_rules(spark, sf_dir):
+    """What a campaign's name says, names that say nothing or something else, and objective, product and description filled from it."""
+    p = read(spark, sf_dir, "part", "p_partkey")
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("p_partkey") / n) % len(values) + 1).cast("int"))
+    hit = lambda n: F.col("p_partkey") % n == 0
+    rows = p.withColumns({"oc": at(CODES[0], 1), "pc": at(CODES[1], 6), "start_date": F.date_add(F.lit("2024-01-10").cast("date"), (F.col("p_partkey") % 500).cast("int"))})
+    month = F.when(hit(7), "Foo2025").otherwise(F.date_format(F.date_add("start_date", F.when(hit(13), 90).otherwise(20)), "MMMyyyy"))
+    rows = rows.withColumns({
+        "end_date": F.date_add("start_date", 40), "campaign_name": F.concat_ws("_", F.lit("CMP"), "oc", "pc", month, F.when(~hit(11), F.col("p_partkey").cast("string"))),
+        "campaign_objective": F.when(hit(3), None).when(hit(5), "Retention").otherwise(map_value(OBJECTIVES, F.col("oc"))),
+        "promoted_product": F.when(hit(4), None).when(hit(17), "Seguro").otherwise(map_value({k: v for k, v in NAMED.items() if v}, F.col("pc"))), "description": F.when(hit(2), "given")})
+    out = table_rules.apply_rules(rows, "marketing_campaigns")
+    return out.select("p_partkey", "objective_code", "product_code", "campaign_month", "campaign_seq", F.col("dq_invalid_campaign_name").alias("wrong_name"),
+                      F.coalesce("dq_invalid_name_mismatch", F.lit(False)).alias("name_mismatch"),
+                      *(c for n in ("campaign_objective", "promoted_product", "description") for c in (n, f"{n}_imputed")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_shipdate, l_linenumber % 4 = 0 AS other_caller, o_orderstatus = 'F' AND l_linenumber % 3 = 0 AS other_owner,
+    CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) + 30 AS before_opening FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+def parent_contradictions(spark, sf_dir):
+    """A survey of another customer than the call it is about, a transaction of another customer than its product's, or before that was opened."""
+    li, o = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate"), read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    asked = joined.withColumns({"_caller": F.col("o_custkey"), "customer_id": F.col("o_custkey") + F.when(F.col("l_linenumber") % 4 == 0, 1).otherwise(0)})
+    asked = silver.cross_table(asked, "satisfaction_surveys", None)
+    traded = asked.withColumns({"customer_id": F.col("o_custkey"), "_owner": F.when((F.col("o_orderstatus") == "F") & (F.col("l_linenumber") % 3 == 0), -1).otherwise(F.col("o_custkey")),
+                                "_opened": F.date_add(F.to_date("o_orderdate"), 30), "transaction_date": F.col("l_shipdate")})
+    out = silver.cross_table(traded, "transactions", None)
+    return out.select("l_orderkey", "l_linenumber", "l_shipdate", F.col("dq_invalid_interaction_customer_mismatch").alias("other_caller"),
+                      F.col("dq_invalid_product_owner_mismatch").alias("other_owner"), F.col("dq_invalid_before_product_opening").alias("before_opening"))
+
+
+@query("""SELECT event_id, event_id % 5 = 0 AS corrupt, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 4 AS INT) END AS account_numbers,
+    CASE WHEN event_id % 5 <> 0 AND event_id % 3 <> 0 THEN CAST(event_id % 6 AS INT) END AS dates, CASE WHEN event_id % 5 <> 0 THEN CAST(round(value) AS INT) END AS amounts,
+    CASE WHEN event_id % 5 <> 0 THEN event_type END AS products FROM events""")
+def parsed_entities(spark, sf_dir):
+    """A transcript's entities from their JSON, and texts that are none."""
+    e = read(spark, sf_dir, "events", "event_id", "event_type", "value")
+    given = F.to_json(F.struct((F.col("event_id") % 4).alias("account_numbers"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 6).alias("dates"),
+                               F.round("value").cast("int").alias("amounts"), F.col("event_type").alias("products")))
+    rows = e.withColumn("mentioned_entities", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{broken: "), given)).otherwise(given))
+    out = table_rules.apply_rules(rows, "call_transcripts")
+    return out.select("event_id", F.col("dq_invalid_entities_json").alias("corrupt"), *(F.col(f"entities_{n}").alias(n) for n in ("account_numbers", "dates", "amounts", "products")))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 3 = 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 7 = 0) AS amount_usd_imputed, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice WHEN o_orderkey % 2 = 0 THEN 0.0
+      WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS amount_usd, o_orderkey % 9 = 0 AS misplaced FROM orders""")
+def usd_amounts(spark, sf_dir):
+    """Dollar rows whose dollar amount is written as 0 or not at all take their own, and places outside their country."""
+    o, key = read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"), F.col("o_orderkey")
+    rows = o.withColumns({"currency": F.when(key % 3 == 0, "USD").otherwise("MXN"), "amount": F.col("o_totalprice"),
+                          "amount_usd": F.when(key % 2 == 0, 0.0).when(key % 7 != 0, F.col("o_totalprice")), "transaction_country": F.lit("México"),
+                          "latitude": F.when(key % 9 == 0, 60.0).otherwise(19.4), "longitude": F.lit(-99.1)})
+    out = table_rules.apply_rules(rows, "transactions")
+    return out.select("o_orderkey", "amount_usd_imputed", "amount_usd", F.col("dq_invalid_location").alias("misplaced"))

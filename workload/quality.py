@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tidemark.operators import contracts, dedup, flags, references, reports
+from tidemark.operators import contracts, dedup, flags, gates, references, reports
 from tidemark.operators.ordering import latest_per_key
 from tidemark.config.model import Reference
+from tidemark.session import ensure_checkpoint_dir
 from workload.registry import query
 from workload.tables import CATALOG, CUSTOMER, LABELS, LINEITEM, ORDERS, PART, SUPPLIER, read, reader
 
@@ -276,3 +279,21 @@ def latest_orders_per_customer(spark, sf_dir):
     newest = [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
     return latest_per_key(read(spark, sf_dir, "orders"), ["o_custkey"], newest, 10).select(
         "o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"), "o_totalprice")
+
+
+GATE_LIMITS = {"out_of_range": 10.0, "not_allowed": 90.0, "before_order": 0.0}
+
+
+@query(f"""{CHECKED_SQL}, m AS (SELECT unnest([
+      {{'gate': 'orphans', 'subject': 'lineitem.l_orderkey', 'n': count(*) FILTER (WHERE orphan_orders), 'rows': count(*), 'allowed': 5.0}},
+      {{'gate': 'orphans', 'subject': 'lineitem.l_partkey', 'n': count(*) FILTER (WHERE orphan_part), 'rows': count(*), 'allowed': 5.0}},
+      {{'gate': 'orphans', 'subject': 'lineitem.l_suppkey', 'n': count(*) FILTER (WHERE orphan_supplier), 'rows': count(l_suppkey), 'allowed': 5.0}},
+      {', '.join(f"{{'gate': 'rule', 'subject': '{c}', 'n': count(*) FILTER (WHERE {c}), 'rows': count(*), 'allowed': {limit}}}" for c, limit in GATE_LIMITS.items())}]) AS g FROM checked),
+    p AS (SELECT g.gate AS gate, g.subject AS subject, round(100.0 * g.n / g.rows, 3)::DOUBLE AS measured, g.allowed::DOUBLE AS allowed, g.rows AS checked_rows FROM m)
+    SELECT *, CASE WHEN measured > allowed THEN 'fail' ELSE 'ok' END AS status FROM p""")
+def gated_lines(spark, sf_dir):
+    """The lines are written through gates on orphans and rules, measured by the job that writes; some fail, and their report is there."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    wanted = references.orphan_gates(LINEITEM) + [gates.share_gate("rule", c, F.col(f"dq_invalid_{c}"), limit) for c, limit in GATE_LIMITS.items()]
+    found = gates.write_through(checked_lines(spark, sf_dir), wanted, lambda df: df.write.parquet(f"{folder}/lines"), f"{folder}/gates")
+    return gates.as_report(spark, found)

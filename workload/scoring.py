@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, ordering, resampling
+from tidemark.operators import gates, metrics, ordering, resampling
 from tidemark.plans import features as feat
 from tidemark.plans import models, scoring, serving
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
@@ -108,11 +108,48 @@ def scored_customers(spark, sf_dir):
     return scores(spark, sf_dir).withColumn("risk_score", F.round("risk_score", 6))
 
 
-@query(f"""{SCORED_SQL} SELECT count(*) AS "rows", 0 AS model_score_not_probability, 0 AS model_tier_or_reason, 0 AS fallback_with_score,
-    0 AS fallback_tier_disagrees, 0 AS source_disagrees, 0 AS repeated_customers FROM scored""")
+BROKEN_SQL = f"""{SCORED_SQL}, b AS (SELECT customer_id, as_of_date, model_eligible, reason_code, CASE WHEN customer_id % 31 = 0 THEN 'rule-v0' ELSE model_version END AS model_version,
+    CASE WHEN customer_id % 7 = 0 THEN 'model' ELSE scoring_source END AS scoring_source, CASE WHEN customer_id % 11 = 0 THEN 1.5 ELSE risk_score END AS risk_score,
+    CASE WHEN customer_id % 13 = 0 THEN 'unknown' ELSE risk_tier END AS risk_tier FROM scored),
+    f AS (SELECT *, CASE reason_code WHEN 'no_eligible_txn_365d' THEN 'high' WHEN 'insufficient_history_new_customer' THEN 'new_customer' ELSE 'unknown' END AS expected FROM b),
+    v AS (SELECT count(*) AS "rows", count(*) FILTER (WHERE model_eligible AND NOT risk_score BETWEEN 0 AND 1) AS model_score_not_probability,
+      count(*) FILTER (WHERE model_eligible AND risk_tier NOT IN ('high', 'medium', 'low')) AS model_tier_or_reason,
+      count(*) FILTER (WHERE NOT model_eligible AND risk_score IS NOT NULL) AS fallback_with_score, count(*) FILTER (WHERE NOT model_eligible AND risk_tier <> expected) AS fallback_tier_disagrees,
+      count(*) FILTER (WHERE (scoring_source = 'model') <> model_eligible) AS source_disagrees, count(*) FILTER (WHERE model_version <> 'rule-v1') AS other_version FROM f)"""
+
+
+def broken_scores(spark, sf_dir):
+    """The scores with rules broken in some customers' rows: their source, score, tier or version."""
+    hit = lambda n: F.col("customer_id") % n == 0
+    return scores(spark, sf_dir).withColumns({
+        "model_version": F.when(hit(31), "rule-v0").otherwise(F.col("model_version")), "scoring_source": F.when(hit(7), "model").otherwise(F.col("scoring_source")),
+        "risk_score": F.when(hit(11), 1.5).otherwise(F.col("risk_score")), "risk_tier": F.when(hit(13), "unknown").otherwise(F.col("risk_tier"))})
+
+
+@query(f"""{BROKEN_SQL} SELECT "rows", model_score_not_probability, model_tier_or_reason, fallback_with_score, fallback_tier_disagrees, source_disagrees,
+    CAST((SELECT count(*) FROM scored WHERE customer_id % 17 = 0) AS BIGINT) AS repeated_customers FROM (SELECT * REPLACE ("rows" + (SELECT count(*) FROM scored WHERE customer_id % 17 = 0) AS "rows",
+      model_score_not_probability + (SELECT count(*) FROM f WHERE customer_id % 17 = 0 AND model_eligible AND NOT risk_score BETWEEN 0 AND 1) AS model_score_not_probability,
+      model_tier_or_reason + (SELECT count(*) FROM f WHERE customer_id % 17 = 0 AND model_eligible AND risk_tier NOT IN ('high', 'medium', 'low')) AS model_tier_or_reason,
+      fallback_with_score + (SELECT count(*) FROM f WHERE customer_id % 17 = 0 AND NOT model_eligible AND risk_score IS NOT NULL) AS fallback_with_score,
+      fallback_tier_disagrees + (SELECT count(*) FROM f WHERE customer_id % 17 = 0 AND NOT model_eligible AND risk_tier <> expected) AS fallback_tier_disagrees,
+      source_disagrees + (SELECT count(*) FROM f WHERE customer_id % 17 = 0 AND (scoring_source = 'model') <> model_eligible) AS source_disagrees) FROM v)""")
 def score_invariants(spark, sf_dir):
-    """L14, L25."""
-    return scoring.invariant_violations(scores(spark, sf_dir))
+    """The rows that break each rule, with rules broken and every seventeenth customer's row repeated."""
+    rows = broken_scores(spark, sf_dir)
+    return scoring.invariant_violations(rows.union(rows.where("customer_id % 17 = 0")))
+
+
+GATED = ("model_score_not_probability", "model_tier_or_reason", "fallback_with_score", "fallback_tier_disagrees", "source_disagrees")
+
+
+@query(f"""{BROKEN_SQL}, m AS (SELECT unnest([{', '.join(f"{{'gate': 'invariant', 'subject': '{n}', 'n': {n}}}" for n in GATED)}, {{'gate': 'other_version', 'subject': 'rule-v1', 'n': other_version}},
+      {{'gate': 'other_day', 'subject': '1999-12-31', 'n': 0}}]) AS g FROM v)
+    SELECT g.gate AS gate, g.subject AS subject, CAST(g.n AS DOUBLE) AS measured, 0.0::DOUBLE AS allowed, CASE WHEN g.n > 0 THEN 'fail' ELSE 'ok' END AS status FROM m""")
+def gated_scores(spark, sf_dir):
+    """Publishing the broken scores; the job that writes them measures every rule, one model version and one day, and its verdicts are kept."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
+    found = gates.write_through(broken_scores(spark, sf_dir), scoring.score_gates("rule-v1", AS_OF), lambda df: df.write.parquet(f"{folder}/scores"), f"{folder}/gates")
+    return gates.as_report(spark, found).drop("checked_rows")
 
 
 @query(f"{SCORED_SQL} SELECT scoring_source, risk_tier, reason_code, count(*) AS customers FROM scored GROUP BY ALL")
