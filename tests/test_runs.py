@@ -67,6 +67,23 @@ def test_config_changes(two_runs):
     assert got == {"router.model": ("changed", None, None), "router.extra": ("added", None, None), "tools.list": ("list changed", "c", "a"), "old": ("only in A", None, None)}
 
 
+def test_settings_of_any_depth(spark):
+    """Twelve levels, lists, empty objects, names with dots and quotes, and numbers as they are."""
+    deep = leaf = {}
+    for k in range(11):
+        leaf[f"k{k}"] = {"n": k, "next": {}} if k % 2 else {"next": {}}
+        leaf = leaf[f"k{k}"]["next"]
+    leaf.update(end=True, kinds=["a", {"b": 1}], none=None, text='{"not": "an object"}', **{"a.b": 1.5})
+    other = json.loads(json.dumps(deep).replace('"end": true', '"end": false'))
+    a, b = (spark.createDataFrame([(json.dumps(c),)], "config string") for c in (deep, other))
+    got = {r.path: r.value for r in runs.leaves(a, "config").collect()}
+    prefix = ".next.".join(f"k{k}" for k in range(11)) + ".next."
+    assert got == {**{".next.".join(f"k{j}" for j in range(k + 1)) + ".n": str(k) for k in range(1, 11, 2)}, prefix + "end": "true", prefix + "kinds": '["a",{"b":1}]',
+                   prefix + "none": None, prefix + "text": '{"not": "an object"}', prefix + "a.b": "1.5"}
+    changed = runs.config_changes(a, b).collect()
+    assert [(r.path, r.change, r.old, r.new) for r in changed] == [(prefix + "end", "changed", "true", "false")]
+
+
 def test_breakdown(two_runs):
     got = {(r.suite, r.label): (r.passed, r.cases) for r in runs.breakdown(two_runs[0][1]).collect()}
     assert got == {("chat", "tag=safety"): (3, 6), ("gone", "tag=safety"): (2, 2)}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
 from tidemark.operators.ordering import exact_quantiles, join_by_group, running_totals
 
 # Fixed values.
@@ -110,25 +111,18 @@ def side_by_side(metrics: DataFrame, names: Sequence[str] = ("requests", "input_
     return out.withColumn("change", F.when(F.col("old") != 0, (F.col("new") - F.col("old")) / F.col("old")))
 
 
-def nesting(df: DataFrame, config: str) -> int:
-    """How deep the deepest object of a JSON column is nested: one small job over the headers."""
-    bare = F.regexp_replace(config, r'"(?:[^"\\]|\\.)*"', "")  # braces inside names and texts do not count
-    steps = F.transform(F.regexp_extract_all(bare, F.lit(r"[{}]"), F.lit(0)), lambda c: F.when(c == "{", 1).otherwise(-1))
-    level = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, s: F.struct(
-        (a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most")), lambda a: a["most"])
-    return df.agg(F.max(level)).first()[0] or 0
-
-
-def flattened(config: Column, depth: int) -> Column:
-    """A JSON object nested up to `depth` as a map of dotted paths to leaf texts; lists are leaves, an empty object is one too."""
-    as_map = lambda text: F.from_json(text, "map<string,string>")
-    entries = F.transform(F.map_entries(as_map(config)), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
-    for _ in range(depth - 1):
-        entries = F.flatten(F.transform(entries, lambda e: F.when(
-            e["value"].startswith("{") & (F.size(as_map(e["value"])) > 0),
-            F.transform(F.map_entries(as_map(e["value"])), lambda i: F.struct(F.concat(e["path"], F.lit("."), i["key"]).alias("path"), i["value"].alias("value"))),
-        ).otherwise(F.array(F.struct(e["path"].alias("path"), e["value"].alias("value"))))))
-    return entries
+def leaves(df: DataFrame, config: str) -> DataFrame:
+    """`path` (dotted) and `value` (text) of every leaf of JSON objects nested to any depth: what is no object, an empty object too. One pass per
+    level, over the entries that are objects still."""
+    frontier, found = df.select(F.lit(None).cast("string").alias("path"), F.parse_json(config).alias("_object")), None
+    while found is None or not frontier.isEmpty():
+        entries = frontier.select("path", F.explode(F.col("_object").cast("map<string,variant>")).alias("_key", "_value"))
+        named = entries.select(F.concat_ws(".", "path", "_key").alias("path"), "_value", F.schema_of_variant("_value").alias("_kind"))
+        level = cut_lineage(named.withColumn("_nested", F.coalesce(F.col("_kind").startswith("OBJECT<") & (F.col("_kind") != "OBJECT<>"), F.lit(False))))
+        flat = level.where("NOT _nested").select("path", F.col("_value").cast("string").alias("value"))
+        found = flat if found is None else found.unionByName(flat)
+        frontier = level.where("_nested").select("path", F.col("_value").alias("_object"))
+    return found
 
 
 def config_changes(a: DataFrame, b: DataFrame, config: str = "config") -> DataFrame:
@@ -139,8 +133,7 @@ def config_changes(a: DataFrame, b: DataFrame, config: str = "config") -> DataFr
     both = in_a.join(in_b, "section", "full_outer")
     lonely = both.where("_a IS NULL OR _b IS NULL").select(
         F.col("section").alias("path"), F.when(F.col("_b").isNull(), "only in A").otherwise("only in B").alias("change"))
-    depth = max(nesting(a, config), nesting(b, config))
-    paths = lambda df, name: df.select(F.inline(flattened(F.col(config), depth))).withColumnRenamed("value", name)
+    paths = lambda df, name: leaves(df, config).withColumnRenamed("value", name)
     shared = both.where("_a AND _b").select("section")
     within = lambda df, name: paths(df, name).withColumn("section", F.substring_index("path", ".", 1)).join(shared, "section", "left_semi").drop("section").withColumn(f"_has_{name}", F.lit(True))
     joined = within(a, "old").join(within(b, "new"), "path", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")) | F.col("_has_old").isNull() | F.col("_has_new").isNull())

@@ -333,8 +333,9 @@ def blocking_policies(spark, sf_dir):
 @query("""WITH a AS (SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE p_brand <> 'Brand#2'), b AS (SELECT p_partkey, p_brand, p_type, p_size + CAST(p_partkey % 3 = 0 AS INT) AS p_size FROM part WHERE p_brand <> 'Brand#17'),
     x AS (SELECT 'part-' || p_partkey || '.brand' AS path, p_brand AS v FROM a UNION ALL SELECT 'part-' || p_partkey || '.box.size', p_size::VARCHAR FROM a UNION ALL SELECT 'part-' || p_partkey || '.box.kinds', '["' || p_type || '","' || p_size || '"]' FROM a),
     y AS (SELECT 'part-' || p_partkey || '.brand' AS path, p_brand AS v FROM b UNION ALL SELECT 'part-' || p_partkey || '.box.size', p_size::VARCHAR FROM b UNION ALL SELECT 'part-' || p_partkey || '.box.kinds', '["' || p_type || '","' || p_size || '"]' FROM b)
-    SELECT path, CASE WHEN path LIKE '%.kinds' THEN 'list changed' ELSE 'changed' END AS change, x.v AS old, y.v AS new FROM x JOIN y USING (path) WHERE x.v <> y.v
-    UNION ALL SELECT 'part-' || p_partkey, 'only in B', NULL, NULL FROM b WHERE p_partkey NOT IN (SELECT p_partkey FROM a) UNION ALL SELECT 'part-' || p_partkey, 'only in A', NULL, NULL FROM a WHERE p_partkey NOT IN (SELECT p_partkey FROM b)""")
+    SELECT path, CASE WHEN path LIKE '%.kinds' THEN 'list changed' ELSE 'changed' END AS change, x.v AS old, y.v AS new, CASE WHEN path LIKE '%.kinds' THEN json_extract_string(y.v, '$[1]') END AS items_added,
+      CASE WHEN path LIKE '%.kinds' THEN json_extract_string(x.v, '$[1]') END AS items_removed FROM x JOIN y USING (path) WHERE x.v <> y.v
+    UNION ALL SELECT 'part-' || p_partkey, 'only in B', NULL, NULL, NULL, NULL FROM b WHERE p_partkey NOT IN (SELECT p_partkey FROM a) UNION ALL SELECT 'part-' || p_partkey, 'only in A', NULL, NULL, NULL, NULL FROM a WHERE p_partkey NOT IN (SELECT p_partkey FROM b)""")
 def configuration_changes(spark, sf_dir):
     """Nested settings of two runs flattened to paths and compared; one settings object per part."""
     p = read(spark, sf_dir, "part")
@@ -346,7 +347,7 @@ def configuration_changes(spark, sf_dir):
 
     a = side(p.where("p_brand <> 'Brand#2'"), F.col("p_size"))
     b = side(p.where("p_brand <> 'Brand#17'"), F.col("p_size") + (F.col("p_partkey") % 3 == 0).cast("int"))
-    return runs.config_changes(a, b).select("path", "change", "old", "new")
+    return runs.config_changes(a, b).select("path", "change", "old", "new", "items_added", "items_removed")
 
 
 @query("""SELECT o_custkey AS customer_id, o_orderkey AS complaint_id, CAST(o_orderdate AS DATE) AS creation_date, o_orderstatus AS status, o_orderpriority AS bk_priority FROM orders""")
