@@ -80,6 +80,13 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                                          *[F.coalesce(F.col(f"_at_{n}") + F.col(f"_start_{t}"), F.col(f"_from_{n}")).alias(n) for n, (t, _) in marks.items()])
 
 
+def pages(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int, name: str = "page") -> DataFrame:
+    """`df` with the page (from 0) its row is on when every key's rows are laid out in `order`, `rows` to a page. Pages are contiguous, and a key of
+    any size spreads over tasks."""
+    numbered = running_totals(df, keys, order, {"_row_of_key": F.lit(1)})
+    return numbered.withColumn(name, F.floor((F.col("_row_of_key") - 1) / rows).cast("int")).drop("_row_of_key")
+
+
 def join_by_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on group keys where null is a group like any other: the keys meet as one struct, which is never
     null and hashes like the key of running_totals."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import latest_per_key, running_totals
+from tidemark.operators.ordering import latest_per_key, pages, running_totals
 from tidemark.operators.sketches import quantile, sketch
 
 # Fixed values.
@@ -15,7 +15,7 @@ IDLE_MINUTES = 10
 FAILURES_BEFORE_HANDOFF = 2
 MAX_TURNS, MAX_FACTS = 20, 10
 SESSION_DAYS, HANDOFF_DAYS = 7, 30
-PART_TURNS = 1000  # turns per transcript row
+PART_TURNS = 1000  # turns on a page of a transcript
 
 
 def sessions(df: DataFrame, user: str, ts: str, idle_minutes: int = IDLE_MINUTES) -> DataFrame:
@@ -104,11 +104,9 @@ def unexpired(df: DataFrame, ts: str, days: int, now: Column) -> DataFrame:
 
 
 def transcripts(df: DataFrame, session: str, number: str, role: str, text: str, per_row: int = PART_TURNS) -> DataFrame:
-    """Each conversation as text in turn order. A long one continues in numbered parts, so none is cut and none has
-    to fit one row."""
-    part = F.floor(F.col(number) / per_row).cast("int")
+    """Each conversation as text in turn order, in parts that follow each other, so none is cut and none has to fit one row."""
     turn = F.struct(F.col(number).alias("n"), F.col(role).alias("role"), F.col(text).alias("text"))
-    listed = df.withColumn("part", part).groupBy(session, "part").agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
+    listed = pages(df, [session], [F.col(c).asc() for c in (number, role, text)], per_row, "part").groupBy(session, "part").agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
     lines = F.transform("_turns", lambda t: F.concat(t["role"], F.lit(": "), t["text"]))
     return listed.select(session, "part", F.size("_turns").alias("turns"), F.array_join(lines, "\n").alias("transcript"))
 

@@ -22,7 +22,7 @@ CONTACT_DETAILS = frozenset(("customer_id", "email_masked", "mobile_phone_masked
 
 @dataclass(frozen=True)
 class ItemSpec:
-    """What one table serves. `prefix`, `at` and `ident` build an event key; without them `pk`/`sk` do."""
+    """What one table serves. `prefix`, `at` and `ident` build an event key, `prefix` and `number` that of a page; without them `pk`/`sk` do."""
 
     table: str
     fields: tuple[str, ...]
@@ -31,6 +31,7 @@ class ItemSpec:
     prefix: str = ""
     at: str = ""
     ident: str = ""
+    number: str = ""
     nested: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     where: str = ""
 
@@ -43,6 +44,8 @@ class ItemSpec:
 
 
 # The attributes each table serves, and the columns it leaves out on purpose.
+SERVED_PRODUCT = ("product_type", "product_number_masked", "currency", "current_balance", "credit_limit", "interest_rate", "opening_date", "expires",
+                  "product_status", "opening_channel", "has_linked_app", "last_transaction_date", "bk_is_overdue")
 SPECS = {s.table: s for s in (
     ItemSpec(
         "customer_360",
@@ -50,11 +53,10 @@ SPECS = {s.table: s for s in (
          "products", "as_of_date", "txn_count_90d", "txn_amount_usd_90d", "foreign_txn_count_90d", "spend_usd_entertainment",
          "spend_usd_food", "spend_usd_health", "spend_usd_other", "spend_usd_services", "spend_usd_transport", "agent_name",
          "agent_specialty", "agent_languages"),
-        ("products_part", "email_masked", "mobile_phone_masked", "agent_email", "bk_segment", "bk_registration_branch_id",
+        ("products_pages", "email_masked", "mobile_phone_masked", "agent_email", "bk_segment", "bk_registration_branch_id",
          "bk_agent_id", "bk_agent_status"),
-        nested={"products": ("product_type", "product_number_masked", "currency", "current_balance", "credit_limit",
-                             "interest_rate", "opening_date", "expires", "product_status", "opening_channel",
-                             "has_linked_app", "last_transaction_date", "bk_is_overdue")}),
+        nested={"products": SERVED_PRODUCT}),
+    ItemSpec("customer_products", ("products",), prefix="PRODUCTS", number="page", nested={"products": SERVED_PRODUCT}),
     ItemSpec(
         "transactions_recent",
         ("transaction_date", "transaction_type", "transaction_category", "amount", "currency", "amount_usd", "channel",
@@ -101,11 +103,9 @@ def item_keys(spec: ItemSpec) -> tuple[Column, Column, Column]:
         ident, wrong = key_part(F.col("customer_id"), "customer_id")
         pk = F.concat(F.lit("CUST#"), ident)
         if not spec.prefix:
-            profile = F.lit("PROFILE")
-            if "products" in spec.nested:  # a product list too long for one item continues in numbered ones
-                profile = F.when(F.coalesce("products_part", F.lit(0)) == 0, profile).otherwise(
-                    F.concat(F.lit("PROFILE#"), F.col("products_part").cast("string")))
-            return pk, profile, wrong
+            return pk, F.lit("PROFILE"), wrong
+        if spec.number:
+            return pk, F.concat_ws("#", F.lit(spec.prefix), F.col(spec.number).cast("string")), wrong
         event, wrong_event = key_part(F.col(spec.ident), spec.ident)
         when = utc_text(F.col(spec.at).cast("timestamp"))
         wrong_time = F.when(F.col(spec.at).isNull(), F.lit(f"missing {spec.at}"))
@@ -147,7 +147,7 @@ def _nested(value: Column, kind: T.DataType, allowed: Sequence[str]) -> Column:
 def build_items(df: DataFrame, spec: ItemSpec, customers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Items (PK, SK, attributes; an absent value is null and left out of the stored form) and the rows that
     cannot become one, with the reason and what the source calls the row."""
-    known = [*spec.left_out, spec.at, spec.ident, "customer_id", *([spec.where] if spec.where else []),
+    known = [*spec.left_out, spec.at, spec.ident, spec.number, "customer_id", *([spec.where] if spec.where else []),
              "bk_branch_id", "bk_transaction_id", "bk_interaction_id", "bk_send_id"]
     unlisted = classify_columns(df, spec.fields, known)
     if unlisted:
@@ -170,6 +170,15 @@ def build_items(df: DataFrame, spec: ItemSpec, customers: DataFrame | None = Non
     return made.where("problem IS NULL").drop("problem", "source"), made.where("problem IS NOT NULL").select("PK", "SK", "problem", "source")
 
 
+def all_items(built: tuple[DataFrame, DataFrame], table: str) -> DataFrame:
+    """The items of build_items, or an error that names the table and a row when any row cannot become one: a load never goes on without it."""
+    items, bad = built
+    first = bad.orderBy("PK", "SK", "problem").first()
+    if first is not None:
+        raise ValueError(f"{table}: {first['problem']} ({first['source']})")
+    return items
+
+
 def item_json(items: DataFrame) -> DataFrame:
     """The stored form: absent attributes are not in the text at all."""
     rest = [c for c in items.columns if c not in ("PK", "SK")]

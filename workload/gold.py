@@ -250,12 +250,13 @@ def date_texts(spark, sf_dir):
                     F.concat(F.lit("month "), F.trunc(ts, "month").cast("string")).alias("month"))
 
 
-@query("""SELECT o_custkey, string_agg(o_orderkey || ':' || CAST(o_orderdate AS DATE), ',' ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS orders, 0 AS orders_part FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, string_agg(o_orderkey || ':' || CAST(o_orderdate AS DATE), ',' ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS orders, page
+    FROM (SELECT *, CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) - 1) // 7 AS INT) AS page FROM orders) GROUP BY o_custkey, page""")
 def nested_orders(spark, sf_dir):
-    """D31's neighbour G19: a sorted list of structs per customer; a list too long for a row would continue in further rows."""
-    lists = zone.nested_list(read(spark, sf_dir, "orders"), "o_custkey", F.struct(F.to_date("o_orderdate").alias("day"), "o_orderkey"), "orders")
+    """A sorted list of structs per customer, in pages of seven."""
+    lists = zone.nested_list(read(spark, sf_dir, "orders"), "o_custkey", F.struct(F.to_date("o_orderdate").alias("day"), "o_orderkey"), "orders", 7)
     text = F.transform("orders", lambda e: F.concat_ws(":", e["o_orderkey"].cast("string"), e["day"].cast("string")))
-    return lists.select("o_custkey", F.array_join(text, ",").alias("orders"), "orders_part")
+    return lists.select("o_custkey", F.array_join(text, ",").alias("orders"), "page")
 
 
 ITEM = serving.ItemSpec("orders_recent", ("amount", "status", "opened"), prefix="TXN", at="opened", ident="bk_transaction_id")
@@ -265,7 +266,7 @@ def order_items(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("opened"), F.col("o_orderkey").alias("bk_transaction_id"),
         F.when(F.col("o_orderstatus") == "P", float("nan")).otherwise(F.col("o_totalprice")).alias("amount"), F.col("o_orderpriority").alias("status"))
-    return serving.build_items(o, ITEM)[0]
+    return serving.all_items(serving.build_items(o, ITEM), "orders_recent")
 
 
 @query("""SELECT 'CUST#' || o_custkey AS "PK", 'TXN#' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '#' || o_orderkey AS "SK",
@@ -522,7 +523,7 @@ def campaigns_shown(spark, sf_dir):
 @query(f"""WITH {FX_SQL} SELECT DISTINCT 'REF#FX' AS "PK", source_currency || '#' || target_currency AS "SK", max(date)::VARCHAR AS date FROM fxs WHERE date <= DATE '2000-06-30' GROUP BY ALL""")
 def served_rates(spark, sf_dir):
     """The rates spec, keyed by the pair."""
-    items, _ = serving.build_items(zone.latest_rates(fx(spark, sf_dir), AS_OF.date()), serving.SPECS["fx_latest"])
+    items = serving.all_items(serving.build_items(zone.latest_rates(fx(spark, sf_dir), AS_OF.date()), serving.SPECS["fx_latest"]), "fx_latest")
     return items.select("PK", "SK", "date")
 
 
@@ -531,5 +532,5 @@ def served_rates(spark, sf_dir):
     WHERE DATE '1998-06-01' BETWEEN CAST(o.o_orderdate AS DATE) AND CAST(o.o_orderdate AS DATE) + 60""")
 def served_campaigns(spark, sf_dir):
     """The campaigns spec: only campaigns that run on the day."""
-    items, _ = serving.build_items(campaigns_shown(spark, sf_dir), serving.SPECS["campaigns"])
+    items = serving.all_items(serving.build_items(campaigns_shown(spark, sf_dir), serving.SPECS["campaigns"]), "campaigns")
     return items.select("PK", "SK", "campaign_name").distinct()

@@ -371,8 +371,8 @@ def complaint_rows(spark, sf_dir):
 # ---- The seven served tables as items ----
 
 def served(table, frame, *columns):
-    """Items of a table; a row that cannot become one would be missing from the twin's rows."""
-    return serving.build_items(frame, serving.SPECS[table])[0].select("PK", "SK", *columns)
+    """Items of a table; a row that cannot become one stops the query."""
+    return serving.all_items(serving.build_items(frame, serving.SPECS[table]), table).select("PK", "SK", *columns)
 
 
 UTC_DAY = "strftime(CAST({} AS DATE), '%Y-%m-%dT00:00:00Z')"
@@ -401,13 +401,15 @@ def served_transactions(spark, sf_dir):
     return served("transactions_recent", transactions_shown(spark, sf_dir), "currency", "product_number_masked")
 
 
-@query("""WITH p AS (SELECT o_custkey AS cid, count(*) AS n FROM orders GROUP BY 1)
-    SELECT 'CUST#' || c_custkey AS "PK", 'PROFILE' AS "SK", c_name AS first_name, '2001-08-01' AS as_of_date, coalesce(p.n, -1) AS products FROM customer JOIN p ON p.cid = c_custkey
-    UNION ALL SELECT 'CUST#' || c_custkey, 'PROFILE', c_name, NULL, -1 FROM customer WHERE c_custkey NOT IN (SELECT cid FROM p)""")
+@query("""WITH q AS (SELECT *, '****' || right(lpad(o_orderkey::VARCHAR, 16, '4'), 4) AS masked FROM orders),
+    p AS (SELECT o_custkey AS cid, string_agg(o_orderpriority || ':' || masked || ':' || strftime(o_orderdate, '%m/%Y') || ':' || o_orderstatus || ':' || CAST(o_orderstatus = 'P' AS VARCHAR), ','
+      ORDER BY o_orderpriority, masked, o_totalprice, o_orderdate) AS products FROM q GROUP BY 1)
+    SELECT 'CUST#' || c_custkey AS "PK", 'PROFILE' AS "SK", c_name AS first_name, CASE WHEN p.cid IS NOT NULL THEN '2001-08-01' END AS as_of_date, p.products FROM customer LEFT JOIN p ON p.cid = c_custkey""")
 def served_profiles(spark, sf_dir):
-    """The profile spec, with its nested product list cut to what it may show."""
+    """The profile spec, with its nested product list cut to what it may show."""
     items = served("customer_360", zone.customer_360(*zone_tables(spark, sf_dir)), "first_name", "as_of_date", "products")
-    return items.withColumn("products", F.when(F.col("products").isNull(), -1).otherwise(F.size("products")))
+    shown = F.transform("products", lambda p: F.concat_ws(":", *(p[c].cast("string") for c in ("product_type", "product_number_masked", "expires", "product_status", "bk_is_overdue"))))
+    return items.withColumn("products", F.array_join(shown, ","))
 
 
 @query("""SELECT 'REF#BRANCH' AS "PK", lower(replace(n_name, ' ', '_')) || '#' || s_suppkey AS "SK", s_name AS branch_name FROM supplier JOIN nation ON n_nationkey = s_nationkey""")

@@ -338,10 +338,11 @@ def kept_by_retention(spark, sf_dir):
     return conv.unexpired(turn_log(spark, sf_dir), "ts", conv.SESSION_DAYS, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("event_id")
 
 
-@query(r"""SELECT conv_id, CAST(floor(turn / 1000) AS INT) AS part, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY ALL""")
+@query(r"""SELECT conv_id, part, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS transcript
+    FROM (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // 4 AS INT) AS part FROM conversations) GROUP BY conv_id, part""")
 def conversation_transcripts(spark, sf_dir):
-    """Whole texts in turn order."""
-    return conv.transcripts(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    """Whole texts in turn order, four turns to a part."""
+    return conv.transcripts(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", 4)
 
 
 @query("""WITH o AS (SELECT *, max(CASE WHEN role = 'user' AND turn % 4 = 0 THEN turn END) OVER (PARTITION BY conv_id) AS start FROM conversations),

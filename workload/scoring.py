@@ -169,12 +169,17 @@ def score_summary(spark, sf_dir):
     return s.select("customers", "model_eligible", *[F.round(n, 6).alias(n) for n in names])
 
 
-@query(f"""{SCORED_SQL} SELECT 'CUST#' || customer_id AS "PK", 'ENGAGEMENT_RISK' AS "SK", model_version, '1999-12-31' AS as_of_date, model_eligible,
-    scoring_source, round(risk_score, 6) AS risk_score, risk_tier, reason_code FROM scored""")
+@query(f"""{SCORED_SQL}, r AS (SELECT * REPLACE (CASE WHEN customer_id % 19 = 0 THEN NULL WHEN NOT model_eligible AND customer_id % 3 = 0 THEN 0.5 ELSE risk_score END AS risk_score) FROM scored),
+    p AS (SELECT *, CASE WHEN model_eligible AND risk_score IS NULL THEN 'model row without a score' WHEN NOT model_eligible AND risk_score IS NOT NULL THEN 'fallback row with a score' END AS problem FROM r)
+    SELECT 'CUST#' || customer_id AS "PK", 'ENGAGEMENT_RISK' AS "SK", problem, CASE WHEN problem IS NULL THEN model_version END AS model_version, CASE WHEN problem IS NULL THEN '1999-12-31' END AS as_of_date,
+      CASE WHEN problem IS NULL THEN model_eligible END AS model_eligible, CASE WHEN problem IS NULL THEN scoring_source END AS scoring_source, CASE WHEN problem IS NULL THEN round(risk_score, 6) END AS risk_score,
+      CASE WHEN problem IS NULL THEN risk_tier END AS risk_tier, CASE WHEN problem IS NULL THEN reason_code END AS reason_code FROM p""")
 def risk_items(spark, sf_dir):
-    """Key-value items of the score table."""
-    good, _ = serving.risk_items(scores(spark, sf_dir))
-    return good.withColumn("risk_score", F.round("risk_score", 6))
+    """Key-value items of the score table, and the rows that cannot be one: some scores are missing, some fallbacks have one."""
+    key = F.col("customer_id")
+    rows = scores(spark, sf_dir).withColumn("risk_score", F.when(key % 19 == 0, None).when(~F.col("model_eligible") & (key % 3 == 0), 0.5).otherwise(F.col("risk_score")))
+    good, bad = serving.risk_items(rows)
+    return good.withColumns({"risk_score": F.round("risk_score", 6), "problem": F.lit(None).cast("string")}).unionByName(bad, allowMissingColumns=True)
 
 
 @query(f"""{SCORED_SQL} SELECT customer_id, CASE WHEN scoring_source = 'model' THEN CASE risk_tier WHEN 'high' THEN 'retention' WHEN 'medium' THEN 'engagement'
