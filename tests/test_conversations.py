@@ -8,7 +8,7 @@ from tidemark.config.bank import BANK
 from tidemark.operators import sketches
 from tidemark.plans import conversations as conv
 from tidemark.sources import readers
-from tidemark.streaming import jobs, stateful
+from tidemark.streaming import jobs, latest, stateful
 
 START = datetime.datetime(2026, 1, 1, 8)
 
@@ -171,15 +171,37 @@ def test_streamed_keep_latest_over_several_batches(spark, turns, tmp_path):
     folder = str(tmp_path / "in")
     write_files(spark, turns, folder, 3)
     stream = spark.readStream.schema(LAYOUT).option("maxFilesPerTrigger", 1).parquet(folder).select("user", "id", "ts")
-    newest, table = [F.col("ts").desc(), F.col("id").desc()], str(tmp_path / "table")
-    jobs.run_batches(stream, jobs.store_latest(table, ["user"], newest), str(tmp_path / "progress"))
+    newest = [F.col("ts").desc(), F.col("id").desc()]
+    table, store = latest.keep_latest(spark, str(tmp_path / "table"), ["user"], newest, stream.schema, buckets=4)
+    assert table.read().count() == 0
+    jobs.run_batches(stream, store, str(tmp_path / "progress"))
     want = {}
     for i, user, ts, *_ in sorted(turns, key=lambda r: (r[2], r[0])):
         want[user] = i
-    assert {r.user: r.id for r in jobs.latest_rows(spark, table, ["user"], newest).collect()} == want
-    jobs.compact(spark, table, str(tmp_path / "compacted"), ["user"], newest)
-    assert {r.user: r.id for r in jobs.latest_rows(spark, str(tmp_path / "compacted"), ["user"], newest).collect()} == want
-    assert spark.read.parquet(str(tmp_path / "compacted")).count() == len(want)
+    assert {r.user: r.id for r in table.read().collect()} == want and table.read().count() == len(want)
+    assert table.versions() == [0, 1, 2]
+
+
+def test_keep_latest_store_replays_a_batch_and_serves_readers_meanwhile(spark, tmp_path):
+    layout, at = "user string, id long, ts timestamp", lambda m: START + datetime.timedelta(minutes=m)
+    rows = lambda *r: spark.createDataFrame(list(r), layout)
+    table, store = latest.keep_latest(spark, str(tmp_path / "table"), ["user"], [F.col("ts").desc(), F.col("id").desc()], rows(("a", 1, at(0))).schema, buckets=8)
+    shown = lambda: {r.user: r.id for r in table.read().collect()}
+    store(rows(*((f"u{k}", k, at(k)) for k in range(30)), ("a", 100, at(5))), 0)
+    first = table.manifest()
+    reader = table.read()
+    store(rows(("a", 101, at(9)), ("a", 99, at(1))), 1)
+    moved = {b for b, f in table.manifest().items() if first.get(b) != f}
+    assert shown()["a"] == 101 and len(shown()) == 31 and len(moved) == 1  # one bucket is rewritten
+    assert {r.user: r.id for r in reader.collect()}["a"] == 100  # who began before goes on with what there was
+    before = shown()
+    store(rows(("a", 101, at(9)), ("a", 99, at(1))), 1)  # the batch again, after a failure
+    assert shown() == before and table.versions() == [0, 1]
+    # a batch that fails before its manifest leaves the table as it is, whatever it has written
+    rows(("a", 7, at(99))).write.parquet(str(tmp_path / "table/data/version=2/bucket=0"))
+    assert shown() == before
+    store(rows(("a", 102, at(10))), 2)
+    assert shown()["a"] == 102 and len(table.superseded(keep=1)) == 2 and not set(table.superseded(keep=1)) & set(table.manifest().values())
 
 
 def test_streamed_delivery_is_flagged(spark, lake, tmp_path):

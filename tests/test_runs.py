@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from tidemark.config.bank import BANK
 from tidemark.operators.contracts import findings, render_markdown
 from tidemark.operators.reports import problems_first, summary_view
 from tidemark.plans import runs
+from tidemark.sources.item_sink import ItemSink
 from tidemark.sources import readers, sinks
 from tidemark.sources.readers import classify_columns
 
@@ -163,3 +165,71 @@ def test_put_items_sends_batches_without_nulls(spark, tmp_path):
     batches = [json.loads(f.read_text()) for f in tmp_path.iterdir()]
     assert sum(map(len, batches)) == 60 and max(map(len, batches)) == 25
     assert all(("v" in i) == (int(i["PK"]) % 2 == 0) for b in batches for i in b)
+
+
+class FolderClient:
+    """A store of one file per item for the sink's tests: it refuses every third item once, and fails a task half way once."""
+
+    def __init__(self, options):
+        self.folder, self.fail = Path(options["folder"]), options.get("fail") == "once"
+
+    def put(self, items, load):
+        left = []
+        for item in items:
+            path = self.folder / f"{item['PK']}-{item['SK']}.json"
+            refused = self.folder / f"{path.name}.refused"
+            if int(item["SK"]) % 3 == 0 and not refused.exists():
+                refused.touch()
+                left.append(item)
+            elif not path.exists() or json.loads(path.read_text())["load"] != load:
+                with open(self.folder / "puts.log", "a") as log:
+                    log.write(f"{path.name}\n")
+                path.write_text(json.dumps({"load": load, "item": item}))
+        if self.fail and len(items) < 5 and not (self.folder / "failed").exists():
+            (self.folder / "failed").touch()
+            raise RuntimeError("the connection is lost after a put")
+        return left
+
+    def finish(self, load, count):
+        with open(self.folder / "loads.log", "a") as log:
+            log.write(f"{load} {count}\n")
+
+    def abandon(self, load):
+        (self.folder / "abandoned").write_text(load)
+
+
+def items_of(spark, n):
+    return spark.range(n).select(F.lit("P").alias("PK"), F.col("id").cast("string").alias("SK"), F.when(F.col("id") % 2 == 0, "even").alias("kind"),
+                                 F.struct(F.col("id").alias("n"), F.lit(None).cast("string").alias("none")).alias("inner"))
+
+
+def test_items_are_put_once_though_tasks_repeat(spark, tmp_path):
+    spark.dataSource.register(ItemSink)
+    write = lambda folder, **more: items_of(spark, 63).repartition(3).write.format("items").options(client="tests.test_runs:FolderClient", folder=str(folder), load="l1", batch="10", **more).mode("append")
+    write(tmp_path).save()
+    write(tmp_path).save()  # the whole load again
+    puts = (tmp_path / "puts.log").read_text().split()
+    assert len(puts) == len(set(puts)) == 63 and (tmp_path / "loads.log").read_text().split() == ["l1", "63"] * 2
+    stored = {p.stem: json.loads(p.read_text())["item"] for p in tmp_path.glob("P-*.json")}
+    assert stored["P-4"] == {"PK": "P", "SK": "4", "kind": "even", "inner": {"n": 4}} and "kind" not in stored["P-5"]
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    with pytest.raises(Exception, match="connection is lost"):
+        write(broken, fail="once").save()
+    assert (broken / "abandoned").read_text() == "l1"
+    write(broken, fail="once").save()  # the driver tries again: what had been put before stays as it is
+    puts = (broken / "puts.log").read_text().split()
+    assert len(puts) == len(set(puts)) == 63 and (broken / "loads.log").read_text().split() == ["l1", "63"]
+
+
+def test_items_of_a_stream(spark, tmp_path):
+    spark.dataSource.register(ItemSink)
+    source, store = str(tmp_path / "in"), tmp_path / "store"
+    store.mkdir()
+    for k in range(2):
+        items_of(spark, 20 + k).where(f"SK >= {k * 20}").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(items_of(spark, 1).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream.writeStream.format("items").options(client="tests.test_runs:FolderClient", folder=str(store), checkpointLocation=str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    puts = (store / "puts.log").read_text().split()
+    assert len(puts) == len(set(puts)) == 21
+    assert sorted((store / "loads.log").read_text().splitlines()) == ["stream/0 20", "stream/1 1"]

@@ -13,7 +13,6 @@ from tidemark.functions.cleaning import clean
 from tidemark.operators.contracts import FLAG, compile_checks
 from tidemark.operators.dedup import any_null
 from tidemark.operators.flags import fold_validity
-from tidemark.operators.ordering import latest_per_key
 from tidemark.plans.conversations import IDLE_MINUTES, METRIC_BUFFERS, metric_columns
 
 
@@ -111,26 +110,6 @@ def ingest(stream: DataFrame, spec: TableSpec, catalog: Catalog) -> DataFrame:
     return row_flags(clean(stream, spec), spec, catalog)
 
 
-def store_latest(path: str, key: list[str], order: list) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer for a table with one row per key. A batch writes only its own newest rows, into a folder
-    named after the batch, so its cost does not grow with the table, and a replayed batch replaces itself."""
-
-    def store(batch: DataFrame, number: int) -> None:
-        latest_per_key(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return store
-
-
-def latest_rows(spark: SparkSession, path: str, key: list[str], order: list) -> DataFrame:
-    """The table as of now: the newest row per key over the stored batches."""
-    return latest_per_key(spark.read.parquet(path).drop("batch"), key, order)
-
-
-def compact(spark: SparkSession, path: str, target: str, key: list[str], order: list) -> None:
-    """Writes the newest rows as the first batch of a new folder, from which the stream goes on."""
-    latest_rows(spark, path, key, order).write.mode("overwrite").parquet(f"{target}/batch=-1")
-
-
 def run_available(df: DataFrame, target: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Processes what has arrived into Parquet and stops: the same query then runs on the next delivery."""
     query = df.writeStream.outputMode(mode).format("parquet").option("path", target).option("checkpointLocation", checkpoint)

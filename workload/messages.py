@@ -13,7 +13,7 @@ from tidemark.plans import conversations as conv
 from tidemark.plans import runs
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.readers import read_run as runs_reader
-from tidemark.streaming import jobs, stateful
+from tidemark.streaming import jobs, latest, stateful
 from workload.registry import query
 from workload.tables import read
 
@@ -451,12 +451,13 @@ def streamed_retention(spark, sf_dir):
 
 @query("""SELECT user_id, max({'t': ts, 'e': event_id}).e AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY 1""")
 def streamed_keep_latest(spark, sf_dir):
-    """Each batch stores its newest rows; a read gives one row per key."""
+    """Each batch rewrites the buckets it touches; a read gives one row per key."""
     folder = _work_folder(spark)
     stream = event_stream(spark, sf_dir).where("user_id IS NOT NULL").select("user_id", "event_id", "ts")
     newest = [F.col("ts").desc(), F.col("event_id").desc()]
-    jobs.run_batches(stream, jobs.store_latest(f"{folder}/table", ["user_id"], newest), f"{folder}/progress")
-    return jobs.latest_rows(spark, f"{folder}/table", ["user_id"], newest).select("user_id", "event_id")
+    table, store = latest.keep_latest(spark, f"{folder}/table", ["user_id"], newest, stream.schema)
+    jobs.run_batches(stream, store, f"{folder}/progress")
+    return table.read().select("user_id", "event_id")
 
 
 @query("""SELECT CAST(ts AS DATE) + CAST(event_id % 9 = 0 AS INT) * 3 AS day, count(*) AS "rows", count(*) FILTER (WHERE event_id % 9 = 0) AS late_rows FROM events GROUP BY 1""")
