@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import ranked_groups
@@ -136,10 +136,11 @@ def blend_rank(rows: DataFrame, beta, extra: Sequence[str] = ()) -> DataFrame:
     return rows.withColumn("rank_blend", F.row_number().over(order))
 
 
-def best_beta(tuning: DataFrame, relevance: str = "rel_count") -> float:
-    """The beta with the best NDCG on tuning snapshots, the smaller one on ties; one value reaches the driver."""
-    curve = blend_curve(tuning, relevance)
-    return curve.orderBy(F.col("ndcg").desc(), F.col("beta").asc()).first()["beta"]
+def tuned_blend(rows: DataFrame, tuning: Column, relevance: str = "rel_count") -> DataFrame:
+    """One row: the beta with the best NDCG on the tuning rows (to nine decimals; of equal ones the smallest), its NDCG there, and on all other rows."""
+    best = blend_curve(rows.where(tuning), relevance).select(F.max(F.struct(F.round("ndcg", 9).alias("tuning_ndcg"), (-F.col("beta")).alias("low"))).alias("b"))
+    chosen = best.select((-F.col("b.low")).alias("beta"), "b.tuning_ndcg")  # one row
+    return blend_curve(rows.where(~tuning), relevance).join(F.broadcast(chosen), "beta").select("beta", "tuning_ndcg", "ndcg")
 
 
 # ---- Diagnostics ----

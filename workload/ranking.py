@@ -142,6 +142,18 @@ def popularity_blend_curve(spark, sf_dir):
     return cat.blend_curve(evaluation(spark, sf_dir), "rel_count").withColumn("ndcg", F.round("ndcg", 6))
 
 
+@query(f"""{EVAL_SQL}, b AS (SELECT unnest([{', '.join(map(str, cat.BETAS))}]::DOUBLE[]) AS beta),
+    s AS (SELECT ev.*, beta, txn_count_180d + beta * coalesce(global_count_share_90d, 0) AS score FROM ev, b),
+    r AS (SELECT customer_id, snapshot_date, beta, category, rel_count AS rel, row_number() OVER (PARTITION BY customer_id, snapshot_date, beta
+        ORDER BY score DESC, global_count_share_90d DESC NULLS LAST, category) AS k FROM s), {_ndcg_sql('k', ', beta')},
+    c AS (SELECT beta, avg(ndcg) FILTER (WHERE snapshot_date < DATE '{CUTS[-1]}') AS tuning, avg(ndcg) FILTER (WHERE snapshot_date >= DATE '{CUTS[-1]}') AS ndcg FROM g GROUP BY 1)
+    SELECT beta, round(tuning, 6) AS tuning_ndcg, round(ndcg, 6) AS ndcg FROM c ORDER BY round(tuning, 9) DESC, beta LIMIT 1""")
+def tuned_popularity_blend(spark, sf_dir):
+    """The blend tuned on all snapshots but the last, and what it gives there."""
+    out = cat.tuned_blend(evaluation(spark, sf_dir), F.col("snapshot_date") < F.lit(CUTS[-1]))
+    return out.select("beta", *(F.round(c, 6).alias(c) for c in ("tuning_ndcg", "ndcg")))
+
+
 @query(f"""{EVAL_SQL}, r AS (SELECT customer_id, snapshot_date, category, rank_spend90, rank_popularity, rel_count AS rel FROM ev),
     i AS (SELECT *, row_number() OVER (PARTITION BY customer_id, snapshot_date ORDER BY rel DESC, category) AS ideal FROM r),
     g AS (SELECT customer_id, snapshot_date, sum(CASE WHEN rank_spend90 <= 3 THEN (pow(2, rel) - 1) / log2(rank_spend90 + 1) ELSE 0 END)

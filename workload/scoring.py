@@ -477,6 +477,18 @@ def ablation_without_products(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query(f"""{bank.SNAPSHOTS_SQL}, all_ AS (SELECT customer_id, count(*) AS total FROM line WHERE num = 2 GROUP BY 1),
+    e AS (SELECT r.snapshot_date, r.products_opened AS known, coalesce(total, 0) AS total, low_engagement_next_90d AS y FROM rows_ r LEFT JOIN all_ USING (customer_id))
+    SELECT snapshot_date, CAST(sum(total) AS BIGINT) AS products, CAST(sum(total - known) AS BIGINT) AS opened_after, round(sum(total - known) / sum(total), 6) AS opened_after_share,
+      round(corr(known, y), 6) AS known_correlation, round(corr(total, y), 6) AS total_correlation FROM e GROUP BY 1""")
+def products_opened_after(spark, sf_dir):
+    """The share of products that the cutoff hides, and how the label goes with what is known and with all."""
+    rows = cut_lineage(bank.snapshots(spark, sf_dir))
+    opened = bank.lines(spark, sf_dir).where("num = 2").select("customer_id")
+    out = feat.opened_after(opened, rows)
+    return out.select("snapshot_date", "products", "opened_after", *(F.round(c, 6).alias(c) for c in ("opened_after_share", "known_correlation", "total_correlation")))
+
+
 @query(f"""{bank.SNAPSHOTS_SQL} SELECT customer_id, snapshot_date, {AS_NUMBERS} FROM rows_""")
 def model_matrix(spark, sf_dir):
     """The inputs as doubles."""
