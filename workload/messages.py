@@ -66,6 +66,15 @@ def redacted_documents(spark, sf_dir):
     return redacted_tails(texts(spark, sf_dir), "doc_id")
 
 
+@query()
+def redacted_texts(spark, sf_dir):
+    """Every document and turn with a planted last line, redacted and returned whole."""
+    planted = lambda key: F.element_at(F.array(*[F.lit(said) for said, _ in SECRETS]), (F.col(key) % len(SECRETS) + 1).cast("int"))
+    docs = texts(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), F.concat("text", F.lit("\n"), planted("doc_id")).alias("text"))
+    said = read(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("bigint").alias("turn"), F.concat("text", F.lit("\n"), planted("conv_id")).alias("text"))
+    return text.redact(docs.unionByName(said), "text")
+
+
 @query(r"""SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g')) AS plain FROM documents""")
 def normalized_documents(spark, sf_dir):
     """C09, over whole texts."""
