@@ -6,12 +6,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import chronological_split, snapshot_schedule
 from tidemark.operators import metrics
 from tidemark.plans import category as cat
+from tidemark.plans import features as feat
 from workload import bankview as bank
 from workload.registry import query
-from workload.tables import PRIORITIES
+from workload.tables import PRIORITIES, read
 
 HORIZON = 180
 CUTS = (date(1998, 1, 1), date(1999, 7, 1))
@@ -228,15 +228,10 @@ def target_stability(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS z FROM orders),
-    d AS (SELECT unnest(generate_series(date_trunc('month', a), date_trunc('month', z), INTERVAL 3 MONTH))::DATE AS snapshot_date, a, z FROM e)
-    SELECT snapshot_date, CASE WHEN snapshot_date <= DATE '1998-12-31' THEN 'train' WHEN snapshot_date <= DATE '1999-12-31' THEN 'validation' ELSE 'test' END AS split,
-      snapshot_date + 90 AS label_window_end FROM d WHERE date_diff('day', a, snapshot_date) >= 180 AND snapshot_date + 90 <= z""")
+    d AS (SELECT unnest(generate_series(date_trunc('year', a), date_trunc('month', z), INTERVAL 3 MONTH))::DATE AS snapshot_date, a, z FROM e),
+    p AS (SELECT snapshot_date, CASE WHEN snapshot_date <= DATE '1998-12-31' THEN 'train' WHEN snapshot_date <= DATE '1999-12-31' THEN 'validation' ELSE 'test' END AS split,
+      snapshot_date + 95 AS label_window_end FROM d WHERE date_diff('day', a, snapshot_date) >= 180 AND snapshot_date + 95 <= z)
+    SELECT *, EXISTS (SELECT 1 FROM p q WHERE q.snapshot_date > p.snapshot_date AND q.split <> p.split AND p.label_window_end > q.snapshot_date) AS reaches_into_next FROM p""")
 def snapshot_plan(spark, sf_dir):
-    """Quarter starts with full history and label window, split chronologically. The two ends come from
-    the data; the plan itself is a few dates."""
-    ends = bank.spend(spark, sf_dir).sparkSession.read.parquet(f"{sf_dir}/orders.parquet").agg(
-        F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("z")).first()
-    dates = snapshot_schedule(ends.a, ends.z, 90, 180, every_months=3)
-    parts = chronological_split(dates, date(1998, 12, 31), date(1999, 12, 31), 90)
-    rows = [(d, name) for name, days in parts.items() for d in days]
-    return spark.createDataFrame(rows, "snapshot_date date, split string").withColumn("label_window_end", F.date_add("snapshot_date", 90))
+    """Quarter starts with full history and label window, split chronologically; a window of 95 days reaches into the next quarter."""
+    return feat.snapshot_plan(read(spark, sf_dir, "orders", "o_orderdate"), "o_orderdate", 95, 180, 3, date(1998, 12, 31), date(1999, 12, 31))
