@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from tidemark.config import bank as config
 from tidemark.functions import calendar, strings
-from tidemark.operators import arrivals, gates, rates
+from tidemark.operators import arrivals, gates, rates, reports
 from tidemark.operators.lookups import latest_before, map_value
 from tidemark.operators.ordering import exact_quantiles
 from tidemark.plans import gold, serving, table_rules, zone
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
 from tidemark.sources import sinks
-from tidemark.sources.readers import read_columns
+from tidemark.sources.readers import read_columns, read_report
 from workload import bankview as bank
-from workload.registry import query
+from workload import quality
+from workload.registry import ORACLES, query
 from workload.tables import PRIORITIES, read
 
 # ---- A daily rate table derived from the days orders were placed on ----
@@ -437,13 +438,17 @@ def unusual_days(spark, sf_dir):
       CAST((SELECT sum(moved) FROM d) AS BIGINT) AS rows_filed_on_other_day, 'warn' AS status""")
 def volume_report(spark, sf_dir):
     """Deliveries per file day against the calendar and the dictionary."""
+    out = delivered_volumes(spark, sf_dir)
+    return out.select("table", "raw_rows", "expected_rows", "vs_expected_pct", "file_days", "missing_days", F.array_join("missing_day_list", ",").alias("missing_day_list"),
+                      F.array_join("unusual_days", ",").alias("unusual_days"), "rows_filed_on_other_day", "status")
+
+
+def delivered_volumes(spark, sf_dir):
     e = read(spark, sf_dir, "events", "event_id", "ts")
     path = F.concat(F.lit("lake/events/"), F.date_format("ts", "'year='yyyy'/month='MM'/day='dd"), F.lit("/part.csv"))
     moved = F.date_add(F.to_date("ts"), F.when(F.col("event_id") % 29 == 0, 1).otherwise(0))
     raw = e.withColumns({"_source_file": path, "process_date": moved.cast("string")})
-    out = arrivals.volume_report(raw, e, "events", "2024-01-01", "2024-02-05", 12000)
-    return out.select("table", "raw_rows", "expected_rows", "vs_expected_pct", "file_days", "missing_days", F.array_join("missing_day_list", ",").alias("missing_day_list"),
-                      F.array_join("unusual_days", ",").alias("unusual_days"), "rows_filed_on_other_day", "status")
+    return arrivals.volume_report(raw, e, "events", "2024-01-01", "2024-02-05", 12000)
 
 
 DENSE_SQL = """d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM events WHERE user_id IS NOT NULL GROUP BY ALL),
@@ -534,3 +539,27 @@ def served_campaigns(spark, sf_dir):
     """The campaigns spec: only campaigns that run on the day."""
     items = serving.all_items(serving.build_items(campaigns_shown(spark, sf_dir), serving.SPECS["campaigns"]), "campaigns")
     return items.select("PK", "SK", "campaign_name").distinct()
+
+
+def _first_ten_sql(days):
+    return f"CASE WHEN {days} <> '' THEN ' (' || array_to_string(list_slice(string_split({days}, ','), 1, 10), ', ') || ')' ELSE '' END"
+
+
+@query(f"""WITH fk AS ({ORACLES['foreign_key_report']}), co AS ({ORACLES['contract_findings']}), ar AS ({ORACLES['arrival_report']}), vo AS ({ORACLES['volume_report']})
+    SELECT 'foreign_keys' AS report, child_table AS table_name, 'foreign_key' AS check_type, child_column || ' -> ' || parent_table AS check_name, orphan_rows AS failing_rows, checked_rows AS total_rows,
+      orphan_pct AS failing_pct, status, note AS detail FROM fk
+    UNION ALL SELECT 'contracts', "table", 'contract_finding', "column" || ': ' || "check", NULL, NULL, NULL, 'fail', error FROM co
+    UNION ALL SELECT 'arrivals', 'events', 'late_arrival', 'late_rows', late_rows, "rows", late_pct, CASE WHEN late_rows > 0 THEN 'warn' ELSE 'ok' END,
+      'lag p50 ' || lag_p50 || ', p90 ' || lag_p90 || ', p99 ' || lag_p99 || ', max ' || lag_max || ' days' FROM ar
+    UNION ALL SELECT 'volumes', 'events', 'volume', 'volume', NULL, raw_rows, NULL, status, raw_rows || ' raw rows vs ' || expected_rows || ' in the dictionary (' || vs_expected_pct || '%); ' || missing_days
+      || ' days without a file' || {_first_ten_sql('missing_day_list')} || '; ' || CASE WHEN unusual_days = '' THEN 0 ELSE len(string_split(unusual_days, ',')) END || ' unusual days' || {_first_ten_sql('unusual_days')}
+      || '; ' || rows_filed_on_other_day || ' rows filed under another day' FROM vo""")
+def report_view(spark, sf_dir):
+    """The reports on references, contracts, arrivals and volumes, appended as JSON, read back and seen in one shape."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    found = {"foreign_keys": quality.foreign_key_report(spark, sf_dir), "contracts": quality.contract_findings(spark, sf_dir),
+             "arrivals": arrivals.arrival_report(lagged_events(spark, sf_dir), "events"), "volumes": delivered_volumes(spark, sf_dir)}
+    for name, df in found.items():
+        sinks.append_report(df, f"{root}/silver/_{name}")
+    view = reports.summary_view({n: read_report(spark, root, "silver", n) for n in found})
+    return view.select("report", "table_name", "check_type", "check_name", "failing_rows", "total_rows", "failing_pct", "status", "detail")

@@ -180,10 +180,12 @@ def unique_and_allowed_customers(spark, sf_dir):
            CASE WHEN "check" = 'not_unique' THEN 'DUPLICATES' ELSE 'DATAFRAME_CHECK' END AS error_type, "column", "check",
            CASE "check" WHEN 'not_allowed' THEN 'one of ECONOMY, SMALL, PROMO' WHEN 'out_of_range' THEN '1 to 40'
                 ELSE 'unique(p_name)' END AS error
-    FROM c WHERE n > 0""")
+    FROM c WHERE n > 0 UNION ALL VALUES ('part', 'SCHEMA', 'COLUMN_NOT_IN_DATAFRAME', 'p_brand', 'column_in_dataframe', 'column ''p_brand'' not in dataframe'),
+      ('part', 'SCHEMA', 'WRONG_DATATYPE', 'p_size', 'dtype(''int'')', 'expected column ''p_size'' to have type int, got bigint')""")
 def contract_findings(spark, sf_dir):
-    """The failed checks of a table, types included."""
-    return contracts.findings(read(spark, sf_dir, "part"), PART, CATALOG)
+    """The failed checks of a table that lacks a column and has another of a wrong type."""
+    parts = read(spark, sf_dir, "part").drop("p_brand").withColumn("p_size", F.col("p_size").cast("bigint"))
+    return contracts.findings(parts, PART, CATALOG)
 
 
 @query("""SELECT count(*) AS "rows", count(*) FILTER (WHERE s_name IS NULL) AS "required_missing:s_name",
