@@ -263,11 +263,14 @@ def nested_orders(spark, sf_dir):
 ITEM = serving.ItemSpec("orders_recent", ("amount", "status", "opened"), prefix="TXN", at="opened", ident="bk_transaction_id")
 
 
-def order_items(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(
+def orders_to_serve(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("opened"), F.col("o_orderkey").alias("bk_transaction_id"),
         F.when(F.col("o_orderstatus") == "P", float("nan")).otherwise(F.col("o_totalprice")).alias("amount"), F.col("o_orderpriority").alias("status"))
-    return serving.all_items(serving.build_items(o, ITEM), "orders_recent")
+
+
+def order_items(spark, sf_dir):
+    return serving.all_items(serving.build_items(orders_to_serve(spark, sf_dir), ITEM), "orders_recent")
 
 
 @query("""SELECT 'CUST#' || o_custkey AS "PK", 'TXN#' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '#' || o_orderkey AS "SK",
@@ -563,3 +566,32 @@ def report_view(spark, sf_dir):
         sinks.append_report(df, f"{root}/silver/_{name}")
     view = reports.summary_view({n: read_report(spark, root, "silver", n) for n in found})
     return view.select("report", "table_name", "check_type", "check_name", "failing_rows", "total_rows", "failing_pct", "status", "detail")
+
+
+@query(f"""WITH {FX_SQL}, l AS (SELECT source_currency, target_currency, max(date) AS date, arg_max(buy_rate, date) AS buy_rate FROM fxs WHERE date <= DATE '2000-06-30' GROUP BY ALL)
+    SELECT 'from USD' AS asked, source_currency, target_currency, date, round(buy_rate, 9) AS buy_rate FROM l WHERE source_currency = 'USD'
+    UNION ALL SELECT 'to MXN', source_currency, target_currency, date, round(buy_rate, 9) FROM l WHERE target_currency = 'MXN'
+    UNION ALL SELECT 'COP to USD', source_currency, target_currency, date, round(buy_rate, 9) FROM l WHERE source_currency = 'COP' AND target_currency = 'USD'""")
+def rates_asked_for(spark, sf_dir):
+    """Public rates by base, by quote and of one pair; nothing of the backend is in them."""
+    held = cut_lineage(zone.latest_rates(fx(spark, sf_dir), AS_OF.date()))
+    asked = {"from USD": ("USD", None), "to MXN": (None, "MXN"), "COP to USD": ("COP", "USD")}
+    parts = [serving.exchange_rates(held, *pair).withColumn("asked", F.lit(name)) for name, pair in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("asked", "source_currency", "target_currency", "date", F.round("buy_rate", 9).alias("buy_rate"))
+
+
+@query("SELECT DISTINCT n_name AS city FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 <> 0")
+def cities_with_branches(spark, sf_dir):
+    """Where there are branches; a branch without a city counts nowhere."""
+    held = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return serving.cities_with_branches(held.withColumn("city", F.when(F.col("s_suppkey") % 3 != 0, F.col("n_name"))))
+
+
+@query("""WITH c AS (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 LIMIT 40),
+    k AS (SELECT * FROM orders WHERE o_custkey IN (SELECT o_custkey FROM c) AND CAST('0x' || substr(md5(CAST(o_custkey AS VARCHAR)), 1, 8) AS BIGINT) % 4 = 1)
+    SELECT 'CUST#' || o_custkey AS "PK", 'TXN#' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '#' || o_orderkey AS "SK", CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS amount FROM k""")
+def items_of_some_customers(spark, sf_dir):
+    """A load of the first forty customers, of which one shard of four."""
+    o = sinks.shard(orders_to_serve(spark, sf_dir), "customer_id", 4, 1)
+    some = serving.first_customers(orders_to_serve(spark, sf_dir), 40)
+    return serving.all_items(serving.build_items(o, ITEM, some), "orders_recent").select("PK", "SK", "amount")

@@ -202,17 +202,20 @@ CATEGORY_OF = dict(zip(serving.NAMED_CATEGORIES, ("1-URGENT", "2-HIGH", "3-MEDIU
       ELSE 'generic_loyalty' END AS strategy FROM scored)
     SELECT s.customer_id, strategy, CASE WHEN strategy NOT IN ('onboarding', 'generic_loyalty') THEN best END AS category,
       CASE strategy WHEN 'onboarding' THEN 'demo-welcome-points' WHEN 'win_back' THEN 'demo-comeback-triple-points' WHEN 'retention' THEN 'demo-loyalty-double-points'
-        WHEN 'engagement' THEN 'demo-extra-points' WHEN 'standard_loyalty' THEN 'demo-partner-benefits' ELSE 'demo-program-points' END AS offer_id
-    FROM s LEFT JOIN best b ON b.customer_id = s.customer_id""")
+        WHEN 'engagement' THEN 'demo-extra-points' WHEN 'standard_loyalty' THEN 'demo-partner-benefits' ELSE 'demo-program-points' END AS offer_id,
+      title AS offer_title, replace(said, '{{category}}', CASE WHEN strategy NOT IN ('onboarding', 'generic_loyalty') THEN coalesce(' de ' || word, '') ELSE '' END) AS offer_description, reason AS customer_safe_reason
+    FROM s LEFT JOIN best b ON b.customer_id = s.customer_id
+    JOIN (VALUES {', '.join(f"('{o[0]}', '{o[2]}', '{o[3]}', '{o[4]}', '{o[5]}')" for o in serving.OFFERS)}) o(of, lang, title, said, reason) ON of = strategy AND lang = CASE WHEN s.customer_id % 2 = 0 THEN 'es' ELSE 'pt' END
+    LEFT JOIN (VALUES {', '.join(f"('{c}', 'es', '{es}'), ('{c}', 'pt', '{pt}')" for c, es, pt in serving.CATEGORY_WORDS)}) w(cat, wl, word) ON cat = best AND wl = lang""")
 def next_benefits(spark, sf_dir):
-    """The catalogue benefit with the top category of the last 90 days."""
+    """The catalogue benefit in the customer's language, with the top category of the last 90 days in its text."""
     recent = bank.spend(spark, sf_dir).where((F.to_date("ts") > "1999-10-02") & (F.to_date("ts") <= "1999-12-31"))
     usd = F.col("amount_usd").cast("decimal(18,2)")
     spent = recent.groupBy("customer_id").agg(
         *[F.coalesce(F.sum(F.when(F.col("category") == p, usd)), F.lit(0)).cast("double").alias(f"spend_usd_{c}") for c, p in CATEGORY_OF.items()])
     risk = scores(spark, sf_dir).join(spent, "customer_id", "left")
     language = F.when(F.col("customer_id") % 2 == 0, "es").otherwise("pt")
-    return serving.benefits(risk.withColumn("language", language)).select("customer_id", "strategy", "category", "offer_id")
+    return serving.benefits(risk.withColumn("language", language)).select("customer_id", "strategy", "category", "offer_id", "offer_title", "offer_description", "customer_safe_reason")
 
 
 # ---- Metrics ----
