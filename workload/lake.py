@@ -525,3 +525,15 @@ def usd_amounts(spark, sf_dir):
                           "latitude": F.when(key % 9 == 0, 60.0).otherwise(19.4), "longitude": F.lit(-99.1)})
     out = table_rules.apply_rules(rows, "transactions")
     return out.select("o_orderkey", "amount_usd_imputed", "amount_usd", F.col("dq_invalid_location").alias("misplaced"))
+
+
+@query("""SELECT event_id, event_type, value, CAST(ts AS DATE) AS filed, DATE '2024-02-01' AS ingest_date FROM events""")
+def daily_delivery(spark, sf_dir):
+    """A delivery in year=, month= and day= folders, read back with the day of each row's file."""
+    from tidemark.config.model import table
+
+    spec = table("events", "event_id", "event_id:long! event_type! value:double ts:timestamp_ntz!")
+    root = folder(spark)
+    readers.ingest(read(spark, sf_dir, "events"), root, spec, "2024-02-01", daily_by="ts")
+    out = cleaning.clean(readers.read_bronze(spark, root, spec), spec)
+    return out.select("event_id", "event_type", "value", arrivals.file_day(F.col("_source_file")).alias("filed"), "ingest_date")
