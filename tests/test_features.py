@@ -100,7 +100,7 @@ def test_population_gate(tables):
 
 def test_model_reloads(spark, tmp_path):
     rows = spark.range(400).select("id", *[(F.rand(i) * 10).alias(c) for i, c in enumerate(("a", "b"))]).withColumn("y", (F.col("a") > 5).cast("int"))
-    model = models.linear_probe(["a", "b"], "y").fit(rows)
+    model = models.fitted(models.linear_probe(["a", "b"], "y"), rows)
     assert models.reload_difference(model, str(tmp_path / "model"), rows, ["id"]) == 0.0
     quality = models.compare_scores(models.predict(model, rows), {"probe": "score"}, "y").first()
     assert quality.roc_auc > 0.98
@@ -115,7 +115,7 @@ def test_permutation_importance_equals_brute_force(spark):
     rows = spark.range(300).select("id", *[F.round(F.rand(i) * 10, 1).alias(c) for i, c in enumerate(("a", "b", "c"))]).withColumn("y", (F.col("a") + F.col("b") > 9).cast("int"))
     rows = spark.createDataFrame(rows.collect(), rows.schema)
     features = ["a", "b", "c"]
-    model = models.linear_probe(features, "y").fit(rows)
+    model = models.fitted(models.linear_probe(features, "y"), rows)
     got = {r.feature: r.pr_auc_drop for r in models.permutation_importance(model, rows, features, "y", ["id"], repeats=3).collect()}
     listed = sorted((r.asDict() for r in rows.collect()), key=lambda r: hashlib.md5(f"7:{r['id']}".encode()).hexdigest())
     deals = models.shuffles(len(listed), features, 3, "7")
@@ -136,8 +136,8 @@ def test_compared_scores_have_their_metrics(spark):
 
     rows = spark.range(500).select("id", *[(F.rand(i) * 10).alias(c) for i, c in enumerate(("a", "b"))]).withColumn("y", (F.col("a") + F.rand(5) * 4 > 7).cast("int"))
     rows = spark.createDataFrame(rows.collect(), rows.schema)
-    scored = models.predict(models.boosted_trees(["a", "b"], "y", maxIter=5, minInstancesPerNode=5).fit(rows), rows, "trees")
-    scored = models.predict(models.linear_probe(["a"], "y").fit(rows), scored, "probe")
+    scored = models.predict(models.fitted(models.boosted_trees(["a", "b"], "y", maxIter=5, minInstancesPerNode=5), rows), rows, "trees")
+    scored = models.predict(models.fitted(models.linear_probe(["a"], "y"), rows), scored, "probe")
     local = scored.toPandas()
     for r in models.compare_scores(scored, {"trees": "trees", "probe": "probe"}, "y").collect():
         assert (r.roc_auc, r.pr_auc) == pytest.approx((brute_auc(local[r.model].to_numpy(), local.y.to_numpy()), brute_ap(local[r.model].to_numpy(), local.y.to_numpy())))
@@ -153,3 +153,16 @@ def test_schedule_and_split():
     assert label_overlap_days(days, 91) == 1
     with pytest.raises(ValueError, match="reaches into"):
         chronological_split(days, datetime.date(2025, 4, 1), datetime.date(2025, 10, 1), 120)
+
+
+def test_models_predict_after_a_gated_write(spark, tmp_path):
+    """Observing a write leaves the session with what cannot be sent to tasks; a model must not need it."""
+    from tidemark.operators import gates
+
+    rows = spark.range(200).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    found = gates.write_through(rows, [gates.share_gate("rule", "y", F.col("y") == 1, 10.0), gates.none_gate("rule", "id", F.col("id") < 0)],
+                                lambda df: df.write.parquet(str(tmp_path / "rows")), str(tmp_path / "report"))
+    assert [(f[1], f[2], f[5]) for f in found] == [("y", 50.0, "fail"), ("id", 0.0, "ok")] and spark.read.parquet(str(tmp_path / "rows")).count() == 200
+    with pytest.raises(gates.QualityGateError, match="rule y"):
+        gates.enforce(found)
+    assert models.predict(models.fitted(models.linear_probe(["a"], "y"), rows), rows).where("score BETWEEN 0 AND 1").count() == 200

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.metrics import ranking_quality
 from tidemark.operators.ordering import average_rank, global_row_number
 from tidemark.plans.features import FEATURES, TARGET
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, ensure_checkpoint_dir
 
 # The tuned parameters that Spark's trees can express.
 TREES = {"maxIter": 77, "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 50, "featureSubsetStrategy": "0.8",
@@ -66,6 +67,14 @@ def click_probe(with_channel: bool, numbers: Sequence[str] = ("past_delivered",
     return Pipeline(stages=stages)
 
 
+def fitted(pipeline: Pipeline, rows: DataFrame) -> PipelineModel:
+    """A fitted model as it is saved. A model straight from the fit holds its training summary and with that the session, which cannot go to tasks once
+    the session has observed a write (`gates`); a saved one is only its parameters."""
+    path = f"{ensure_checkpoint_dir(rows.sparkSession).rstrip('/')}/fitted-{uuid.uuid4().hex}"
+    pipeline.fit(rows).write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def channel_rate_score(train: DataFrame, rows: DataFrame) -> DataFrame:
     """The channel's click rate on training rows as a score; 0 for a channel never seen. One row per channel."""
     rates = train.groupBy("send_channel").agg(F.avg("clicked").alias("channel_rate"))
@@ -101,8 +110,8 @@ def ablation(train: DataFrame, valid: DataFrame, without: Sequence[str], label:
              inputs: Sequence[str] = FEATURES) -> DataFrame:
     """The same model with and without some features, on the same validation rows."""
     kept = [f for f in inputs if f not in without]
-    scored = predict(build(inputs, label).fit(train), valid, "_with")
-    scored = predict(build(kept, label).fit(train), scored, "_without")
+    scored = predict(fitted(build(inputs, label), train), valid, "_with")
+    scored = predict(fitted(build(kept, label), train), scored, "_without")
     return compare_scores(scored, {"all features": "_with", "without " + ", ".join(without): "_without"}, label)
 
 

@@ -414,8 +414,8 @@ def rule_quality(spark, sf_dir):
 def linear_probe_quality(spark, sf_dir):
     """The linear probe on all and on transaction features, beside the rules."""
     train, valid = model_rows(spark, sf_dir)
-    scored = models.predict(models.linear_probe().fit(train), ruled(valid), "probe_all")
-    scored = models.predict(models.linear_probe(models.TRANSACTIONAL).fit(train), scored, "probe_txn")
+    scored = models.predict(models.fitted(models.linear_probe(), train), ruled(valid), "probe_all")
+    scored = models.predict(models.fitted(models.linear_probe(models.TRANSACTIONAL), train), scored, "probe_txn")
     return judged(models.compare_scores(scored, {"probe, all features": "probe_all", "probe, transactions": "probe_txn", **RULES}, feat.TARGET))
 
 
@@ -423,8 +423,8 @@ def linear_probe_quality(spark, sf_dir):
 def boosted_tree_quality(spark, sf_dir):
     """The tuned boosted trees against single-split trees of as many rounds."""
     train, valid = model_rows(spark, sf_dir)
-    scored = models.predict(models.boosted_trees().fit(train), valid, "trees")
-    scored = models.predict(models.single_split_trees().fit(train), scored, "stumps")
+    scored = models.predict(models.fitted(models.boosted_trees(), train), valid, "trees")
+    scored = models.predict(models.fitted(models.single_split_trees(), train), scored, "stumps")
     return judged(models.compare_scores(scored, {"boosted trees": "trees", "single-split trees": "stumps"}, feat.TARGET))
 
 
@@ -458,8 +458,8 @@ def click_rule_quality(spark, sf_dir):
 def click_probe_quality(spark, sf_dir):
     """History with and without the channel, beside the rules."""
     train, scored = click_rows(spark, sf_dir)
-    scored = models.predict(models.click_probe(False).fit(train), scored, "history")
-    scored = models.predict(models.click_probe(True).fit(train), scored, "history_channel")
+    scored = models.predict(models.fitted(models.click_probe(False), train), scored, "history")
+    scored = models.predict(models.fitted(models.click_probe(True), train), scored, "history_channel")
     return judged(models.compare_scores(scored, {**CLICK_RULES, "history": "history", "history and channel": "history_channel"}, "clicked"))
 
 
@@ -467,7 +467,7 @@ def click_probe_quality(spark, sf_dir):
 def permutation_importances(spark, sf_dir):
     """All features, three deals each, on the tuned boosted trees."""
     train, valid = model_rows(spark, sf_dir)
-    drops = models.permutation_importance(models.boosted_trees().fit(train), valid, feat.FEATURES, feat.TARGET, ["customer_id", "snapshot_date"], repeats=3)
+    drops = models.permutation_importance(models.fitted(models.boosted_trees(), train), valid, feat.FEATURES, feat.TARGET, ["customer_id", "snapshot_date"], repeats=3)
     return drops.withColumn("pr_auc_drop", F.round("pr_auc_drop", 6))
 
 
@@ -505,9 +505,9 @@ def replicated_model(spark, sf_dir):
     rows = cut_lineage(bank.snapshots(spark, sf_dir))
     train, valid = rows.where(F.col("snapshot_date").isin(*bank.TRAIN)), rows.where(F.col("snapshot_date").isin(*bank.VALID))
     inputs = ("days_since_last_txn", "txn_count_90d")
-    model = models.linear_probe(inputs).fit(train)
+    model = models.fitted(models.linear_probe(inputs), train)
     gap = models.reload_difference(model, f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}", valid, ["customer_id", "snapshot_date"])
-    reported, again = (models.compare_scores(models.predict(m, valid), {"probe": "score"}, feat.TARGET).first() for m in (model, models.linear_probe(inputs).fit(train)))
+    reported, again = (models.compare_scores(models.predict(m, valid), {"probe": "score"}, feat.TARGET).first() for m in (model, models.fitted(models.linear_probe(inputs), train)))
     pick = lambda r: {k: r[k] for k in ("pr_auc", "roc_auc") if r[k] is not None}
     metrics.within_tolerance(pick(again), pick(reported))
     counts = rows.groupBy("snapshot_date").agg(F.count("*").alias("customers"))
