@@ -22,12 +22,13 @@ def session_start(df: DataFrame, session: str, ts: str, name: str) -> DataFrame:
     return attach(df, first, {session: session}, {name: "_first"})
 
 
-def add_arrival_lag(df: DataFrame, anchor: str, starts_at: str, processed: str = "process_date") -> DataFrame:
+def add_arrival_lag(df: DataFrame, anchor: str, starts_at: str, processed: str = "process_date", either_day: bool = True) -> DataFrame:
     """business_date of the anchor, days from it to `processed`, whether that is late, and the flag for a row
-    processed before its day. An event exactly at the day's start may belong to either day."""
+    processed before its day. With `either_day` an event in the second of the day's start may belong to the day before too; without it
+    the day begins there for every event."""
     at, done = F.col(anchor), F.col(processed)
     day = business_day(at, starts_at)
-    on_the_dot = (seconds_of_day(at) == clock_seconds(starts_at)) & (done == F.date_sub(day, 1))
+    on_the_dot = F.lit(either_day) & (seconds_of_day(at) == clock_seconds(starts_at)) & (done == F.date_sub(day, 1))
     lag = F.datediff(done, F.col("business_date"))
     return (
         df.withColumn("business_date", F.when(on_the_dot, F.date_sub(day, 1)).otherwise(day))
