@@ -120,6 +120,17 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float
     return found.select(*keys, *out)
 
 
+def nearest_ranks(counted: DataFrame, value: str, weight: str, percents: Sequence[int], keys: Sequence[str], prefix: str, total: str = "rows") -> DataFrame:
+    """Per key the least values whose share of values at or below them is at least so many per cent, and the sum of the weights, from a frame
+    whose rows stand for `weight` rows each. Nulls count as rows and are not values; no task ever holds a key's values."""
+    keys = list(keys)
+    scanned = running_totals(counted, keys, [F.col(value).asc()], {"_upto": F.when(F.col(value).isNotNull(), F.col(weight)).otherwise(0)})
+    sizes = scanned.groupBy(*keys).agg(F.max("_upto").alias("_size"))
+    place = lambda p: F.floor((F.col("_size") * p + 99) / F.lit(100).cast("decimal(3,0)"))
+    picks = [F.min(F.when(F.col("_upto") >= place(p), F.col(value))).alias(f"{prefix}_p{p}") for p in percents]
+    return join_by_group(scanned, sizes, keys).groupBy(*keys).agg(F.sum(weight).alias(total), *picks)
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first `n` rows per key. Spark plans a group limit on both sides of the shuffle, so a hot key
     ships at most `n` rows per map task."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import latest_per_key, pages, running_totals
+from tidemark.operators.ordering import latest_per_key, nearest_ranks, pages, running_totals
 from tidemark.operators.sketches import quantile, sketch
 
 # Fixed values.
@@ -82,6 +82,26 @@ def with_figures(windows: DataFrame) -> DataFrame:
     return figured.drop(*(f"{p}_{k}" for p in ("requests", "input", "output") for k in ("n", "sum")))
 
 
+def latency_counts(df: DataFrame, ts: str, window: str = "5 minutes", latency: str = "latency_ms") -> DataFrame:
+    """How often each latency occurs in each window. Counts of parts add up to those of the whole and to those of longer windows, so quantiles
+    taken from them are exact at any size, where a sketch is up to its parameter."""
+    return df.groupBy(F.window(F.col(ts), window)["start"].alias("start"), F.col(latency).alias("latency")).agg(F.count("*").alias("turns"))
+
+
+def with_exact_quantiles(windows: DataFrame, counts: DataFrame, percents: Sequence[int] = (50, 95)) -> DataFrame:
+    """Windows with the quantiles of their latency counts instead of those of their sketch."""
+    summed = counts.groupBy("start", "latency").agg(F.sum("turns").alias("turns"))
+    found = nearest_ranks(summed, "latency", "turns", percents, ["start"], "latency", "_turns").drop("_turns")
+    return windows.drop(*(f"latency_p{p}" for p in percents)).withColumn("start", F.col("window.start")).join(found, "start", "left").drop("start")
+
+
+def latency_levels(counts: DataFrame, units: Sequence[str], percents: Sequence[int]) -> DataFrame:
+    """Turns and latency quantiles of the longer windows that hold the counted ones."""
+    levels = F.array(*[F.struct(F.lit(u).alias("level"), F.date_trunc(u, "start").alias("start")) for u in units])
+    summed = counts.select("latency", "turns", F.inline(levels)).groupBy("level", "start", "latency").agg(F.sum("turns").alias("turns"))
+    return nearest_ranks(summed, "latency", "turns", percents, ["level", "start"], "latency", "turns")
+
+
 def by_engine_and_status(df: DataFrame) -> DataFrame:
     return df.groupBy("engine", "status").agg(
         F.count("*").alias("turns"), F.avg("latency_ms").alias("avg_ms"), F.avg("model_requests").alias("requests"),

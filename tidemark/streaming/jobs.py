@@ -13,7 +13,7 @@ from tidemark.functions.cleaning import clean
 from tidemark.operators.contracts import FLAG, compile_checks
 from tidemark.operators.dedup import any_null
 from tidemark.operators.flags import fold_validity
-from tidemark.plans.conversations import IDLE_MINUTES, METRIC_BUFFERS, metric_columns
+from tidemark.plans.conversations import IDLE_MINUTES, METRIC_BUFFERS, latency_counts, metric_columns
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema, files: int = 100) -> DataFrame:
@@ -48,6 +48,19 @@ def open_metrics(spark: SparkSession, checkpoint: str) -> DataFrame:
     return open_windows(spark, checkpoint, METRIC_BUFFERS)
 
 
+def run_latency_counts(df: DataFrame, ts: str, target: str, checkpoint: str) -> DataFrame:
+    """The latency counts of what has arrived. Every batch writes those of its own turns, which add up: no state, nothing is too late, and a batch
+    that is repeated replaces its folder."""
+    at = df.withColumn(ts, F.col(ts).cast("timestamp"))
+
+    def store(batch: DataFrame, number: int) -> None:
+        latency_counts(batch, ts).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    run_batches(at.select(ts, "latency_ms"), store, checkpoint)
+    latency = df.schema["latency_ms"].dataType.simpleString()
+    return df.sparkSession.read.schema(f"start timestamp, latency {latency}, turns bigint").parquet(target)
+
+
 def late_marked(df: DataFrame, ts: str, arrived: str, late_after_days: int = 1) -> DataFrame:
     """Late rows are marked and kept: the mark compares arrival with event time, no watermark drops them."""
     lag = F.datediff(F.to_date(arrived), F.to_date(ts))
