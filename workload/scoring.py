@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import gates, metrics, ordering, resampling
 from tidemark.plans import features as feat
 from tidemark.plans import models, scoring, serving
-from tidemark.session import cut_lineage, ensure_checkpoint_dir
+from tidemark.session import cut_lineage, ensure_checkpoint_dir, stored
 from tidemark.sources.readers import digital_daily
 from workload import bankview as bank
 from workload.registry import query
@@ -379,7 +379,7 @@ def seeded_row_sample(spark, sf_dir):
 # ---- Models (no SQL twin) ----
 
 def model_rows(spark, sf_dir):
-    rows = cut_lineage(bank.snapshots(spark, sf_dir))  # training reads its input many times
+    rows = stored(bank.snapshots(spark, sf_dir), "snapshots")  # training reads its input many times
     return rows.where(F.col("snapshot_date").isin(*bank.TRAIN)), rows.where(F.col("snapshot_date").isin(*bank.VALID))
 
 
@@ -502,7 +502,7 @@ def model_matrix(spark, sf_dir):
 @query(f"""{bank.SNAPSHOTS_SQL} SELECT snapshot_date, count(*) AS customers, true AS reproduced FROM rows_ GROUP BY 1""")
 def replicated_model(spark, sf_dir):
     """A saved model reproduces its predictions, and the metrics of a second fit stay within the tolerance."""
-    rows = cut_lineage(bank.snapshots(spark, sf_dir))
+    rows = stored(bank.snapshots(spark, sf_dir), "snapshots")
     train, valid = rows.where(F.col("snapshot_date").isin(*bank.TRAIN)), rows.where(F.col("snapshot_date").isin(*bank.VALID))
     inputs = ("days_since_last_txn", "txn_count_90d")
     model = models.fitted(models.linear_probe(inputs), train)
