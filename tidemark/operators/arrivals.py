@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import business_day, clock_seconds, seconds_of_day
 from tidemark.operators.lookups import attach
-from tidemark.operators.reports import percent
+from tidemark.operators.reports import percent, rounded
 
 # Fixed values.
 LATE_AFTER_DAYS = 1
@@ -107,7 +107,7 @@ def volume_report(raw: DataFrame, silver_rows: DataFrame, table: str, start: str
         joined = joined.join(F.broadcast(side), "_one")
     daily = F.col("_days") > 0
     empty = F.array().cast("array<string>")
-    off = F.round(F.lit(100.0) * (F.col("raw_rows") / F.lit(expected) - 1), 3) if expected else F.lit(None).cast("double")
+    off = rounded(F.lit(100.0) * (F.col("raw_rows") / F.lit(expected) - 1), 3) if expected else F.lit(None).cast("double")
     out = joined.select(
         F.lit(table).alias("table"), "raw_rows", "silver_rows", F.lit(expected).cast("bigint").alias("expected_rows"),
         off.alias("vs_expected_pct"), F.when(daily, F.col("_days")).alias("file_days"),

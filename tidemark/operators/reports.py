@@ -34,9 +34,16 @@ REPORT_SCHEMAS = {
 CONTRACT_KINDS = ("required_missing", "not_allowed", "out_of_range", "outside_dataset", "date_order", "not_unique")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double to some decimals as SQL engines round it, by the double's own value. `round` with decimals goes by its shortest text, so a half
+    that the double lies just below (8.0025) would go up."""
+    scale = F.lit(10.0 ** digits)
+    return F.round(value * scale) / scale
+
+
 def percent(part: Column, whole: Column) -> Column:
     """100 x part / whole to three decimals; 0 for an empty whole."""
-    return F.coalesce(F.round(F.try_divide(part * F.lit(100.0), whole), 3), F.lit(0.0))
+    return F.coalesce(rounded(F.try_divide(part * F.lit(100.0), whole), 3), F.lit(0.0))
 
 
 def table_counts(df: DataFrame, spec: TableSpec, checks: Sequence = ()) -> DataFrame:
@@ -78,7 +85,7 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counted = df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("nulls")) for c in columns]
     return counted.select("rows", F.inline(F.array(*pairs))).select(
-        "column_name", F.coalesce(F.round(F.try_divide(F.col("nulls") * 100.0, F.col("rows")), 2), F.lit(0.0)).alias("pct_null")
+        "column_name", F.coalesce(rounded(F.try_divide(F.col("nulls") * 100.0, F.col("rows")), 2), F.lit(0.0)).alias("pct_null")
     )
 
 
