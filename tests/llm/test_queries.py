@@ -13,6 +13,7 @@ import pytest
 from tests.llm import brute
 from tidemark.llm import licenses, line_dedup, packing, quality_model, quality_rules, registry, secrets, simhash
 from tidemark.llm.decontamination import contamination, decontaminated
+from tidemark.llm.tokens import TextEncoder
 
 QUERIES, ORACLES = registry.load()
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -288,3 +289,19 @@ def test_op10_rejects_as_much_as_is_junk(spark, percent):
         docs.append((k, " ".join(w + "|" if junk and k % 2 else w * 3 if junk else w for w in words), "en", f"s{k // 300}"))
     found = quality_rules.apply_rules(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string"))
     assert {r["doc_id"] for r in found.where("NOT kept").collect()} == {k for k in range(600) if k % 100 < percent}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_frequent_words_stay_known(name):
+    """Words that keep coming back between ever new ones are encoded once, however full the table gets; ids are the library's."""
+    path = public_tokenizers.path(name)
+    tokens, frequent = TextEncoder(path, (7,), limit=400), [f"often{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(100)]
+    asked, library = [], tokens.library
+    tokens.library = lambda texts: asked.extend(" ".join(texts).split()) or library(texts)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join([*frequent, *(f"rare{letters[k % 26]}{letters[k // 26]}{a}{b}%%" for a in letters for b in "xyzuvw")]) for k in range(30)]
+    for text in texts:
+        ids, counts = tokens.encode([text.encode()] * 2)
+        own = [*tokens.tokenizer.encode(text, add_special_tokens=False).ids, 7]
+        assert ids.tolist() == own * 2 and counts.tolist() == [len(own)] * 2
+    assert asked.count("oftenba") <= 2 and len(tokens.known) < 800

@@ -9,7 +9,8 @@ tokenizer itself always cuts, so that its ids are those of the whole text:
   the end, is split elsewhere; such a text is encoded in one piece;
 * any other tokenizer encodes whole texts.
 
-The table of known words is emptied when it reaches `limit` words: memory is bounded, results do not depend on it.
+When the table of known words reaches `limit`, the half used most stays and the others go, so that a word that keeps coming back is not
+encoded anew: memory is bounded, results do not depend on it.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END, FIRST, WHOLE = b"\xff", b"\xfe", b"\xfd"  # bytes that UTF-8 never uses
 CHUNK = 2 << 20
-MARKS = b",.;:!?|"
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks that no letter goes with; an apostrophe may start a pre-token of letters
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿĀ-įĲ-ɏ]+")  # letters whose small form is one letter; long in every Unicode table
 LETTER = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
+SPLITS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")  # the blanks of bytes.split
 ANY_BLANK = bytes(32 if c in b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f " else 120 for c in range(256))
 OTHER_BLANKS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 LONG_RUN = re.compile(r"\s\s\s|\s\s\Z")
@@ -33,7 +37,7 @@ LONG_RUN = re.compile(r"\s\s\s|\s\s\Z")
 _encoders: dict = {}
 
 
-def encoder(path: str, end_ids: tuple[int, ...] = (), limit: int = 300_000) -> "TextEncoder":
+def encoder(path: str, end_ids: tuple[int, ...] = (), limit: int = 500_000) -> "TextEncoder":
     """One encoder per worker process, vocabulary and end."""
     key = (path, end_ids, limit)
     if key not in _encoders:
@@ -62,6 +66,24 @@ def marks_apart(joined: bytes, between: bytes) -> bytes:
     return np.insert(data, np.repeat(at, len(between)), np.tile(np.frombuffer(between, np.uint8), len(at))).tobytes()
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, ... of all spans, one span after the other."""
+    total = np.cumsum(sizes)
+    return np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+
+
+def distinct(joined: bytes, empty: bool) -> tuple[list[bytes], np.ndarray]:
+    """The different pieces between blanks, and which of them stands at each place; `empty`: with those between two blanks that follow
+    each other. `joined` ends with a blank."""
+    ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).astype(np.int32) + 1
+    offsets = np.concatenate([np.zeros(1, np.int32), ends])
+    pieces = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
+    if not empty:
+        pieces = pieces.filter(pa.array(np.diff(offsets) > 1))
+    found = pieces.dictionary_encode()
+    return pc.binary_slice(found.dictionary, 0, -1).to_pylist(), found.indices.to_numpy()
+
+
 class _Known(dict):
     """Piece -> number; a new piece gets the next number and waits to be encoded."""
 
@@ -99,6 +121,7 @@ class TextEncoder:
     def clear(self):
         self.known = _Known()
         self.pool, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.uses = np.zeros(1, np.int64)
         self.known[END] = 0
         self.add(self.end_ids)
 
@@ -107,6 +130,26 @@ class TextEncoder:
         self.sizes.append(len(ids))
         self.pool.extend(ids)
 
+    def count(self, numbers: np.ndarray):
+        found = np.bincount(numbers, minlength=len(self.known))
+        found[:len(self.uses)] += self.uses
+        self.uses = found
+
+    def forget(self):
+        """Keeps the pieces used most, at most half of `limit`, with half of their uses: what is no longer met goes in time."""
+        names = {number: piece for piece, number in self.known.items() if number and piece[:1] != WHOLE}
+        most = np.argsort(-self.uses, kind="stable")[:self.limit // 2]
+        at = np.array([n for n in most[self.uses[most] > 1].tolist() if n in names], np.int64)
+        sizes, starts = np.frombuffer(self.sizes, np.int64)[at], np.frombuffer(self.starts, np.int64)[at]
+        own, uses = np.frombuffer(self.pool, np.uint32)[spans(starts, sizes)], self.uses[at] // 2
+        self.clear()
+        base = len(self.pool)
+        self.known.update((names[n], k) for k, n in enumerate(at.tolist(), 1))
+        self.pool.frombytes(own.tobytes())
+        self.starts.frombytes((base + np.cumsum(sizes) - sizes).tobytes())
+        self.sizes.frombytes(sizes.tobytes())
+        self.uses = np.concatenate([self.uses, uses])
+
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -134,20 +177,24 @@ class TextEncoder:
     def learn(self, whole: list[bytes]):
         """Encodes the waiting pieces. A word and the marks behind it are separate pre-tokens, so a word with marks is the
         word, itself a known piece, and the marks."""
-        waiting, base = self.known.waiting, len(self.sizes)
+        waiting, base, done = self.known.waiting, len(self.sizes), 0
         joined, words, bare, others, texts = {}, [], [], [], []
-        for piece in waiting:  # grows by the words and marks that are new as well
-            if piece and piece[0] < 0xFD and PLAIN.fullmatch(text := piece.decode("utf-8", "replace")):
-                words.append(self.known[piece])
-                bare.append(text)
-                continue
-            core = piece.rstrip(MARKS)
-            if 0 < len(core) < len(piece) and core[0] < 0xFD and PLAIN.fullmatch(core.decode("utf-8", "replace")):
-                marks = piece[len(core):]
-                joined[self.known[piece]] = self.known[core], self.known[marks if self.cut == "blank" else FIRST + marks]
-            else:
-                others.append(self.known[piece])
-                texts.append(self.raw(piece, whole))
+        while done < len(waiting):  # once more for the words and marks that are new as well
+            # pieces hold no blank, and their first bytes that UTF-8 never uses become no letters
+            fresh = b" ".join(waiting[done:]).decode("utf-8", "replace").split(" ")
+            for number, (piece, text) in enumerate(zip(waiting[done:], fresh), base + done):
+                if PLAIN.fullmatch(text):
+                    words.append(number)
+                    bare.append(text)
+                    continue
+                core = piece.rstrip(MARKS)
+                if 0 < len(core) < len(piece) and PLAIN.fullmatch(core.decode("utf-8", "replace")):
+                    marks = piece[len(core):]
+                    joined[number] = self.known[core], self.known[marks if self.cut == "blank" else FIRST + marks]
+                else:
+                    others.append(number)
+                    texts.append(self.raw(piece, whole))
+            done += len(fresh)
         ids, counts = self.words(bare)
         each = self.library(texts)
         sizes = np.zeros(len(waiting), np.int64)
@@ -167,10 +214,10 @@ class TextEncoder:
         self.known.waiting = []
 
     def pieces(self, texts: list[bytes]):
-        """Lists of pieces, an END after each text; and the texts that are encoded in one piece."""
+        """The different pieces of a chunk and their places, an END after each text; and the texts that are encoded in one piece."""
         if self.cut == "blank":
             joined = (b" " + END + b" ").join(t if b"<" in t or self.special else t.lower() for t in texts) + b" " + END
-            whole, separator = [], None
+            joined, whole = joined.translate(SPLITS), []
         else:
             whole = [t for t in texts if self.cut == "whole" or self.irregular(t)]
             if whole:
@@ -179,25 +226,25 @@ class TextEncoder:
                 joined = (b" " + END + b" ").join(texts)
             else:
                 joined = FIRST + (b" " + END + b" " + FIRST).join(texts)
-            joined, separator = joined.replace(b"\n", b" \n") + b" " + END, b" "
+            joined = joined.replace(b"\n", b" \n") + b" " + END
         if self.cut != "whole":
             joined = marks_apart(joined, b" " if self.cut == "blank" else b" " + FIRST)
-        low = 0
+        low, joined = 0, joined + b" "
         while low < len(joined):
-            high = joined.find(b" ", low + CHUNK)
-            high = len(joined) if high < 0 else high
-            yield joined[low:high].split(separator), whole
-            low = high + 1
+            high = joined.find(b" ", low + CHUNK) + 1 or len(joined)
+            yield *distinct(joined[low:high], self.cut != "blank"), whole
+            low = high
 
     def numbers(self, texts: list[bytes]):
         """Numbers of pieces, chunk by chunk, all known by then."""
-        for pieces, whole in self.pieces(texts):
+        for pieces, places, whole in self.pieces(texts):
             if len(self.known) > self.limit:
-                self.clear()
-            numbers = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+                self.forget()
+            numbers = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[places]
             learnt = self.known.waiting
             if learnt:
                 self.learn(whole)
+            self.count(numbers)
             yield numbers
             if whole:  # their numbers are used once
                 for piece in pieces:
@@ -225,8 +272,7 @@ class TextEncoder:
         for numbers in self.numbers(texts):
             sizes = np.frombuffer(self.sizes, np.int64)[numbers]
             total = np.cumsum(sizes)
-            first = np.frombuffer(self.starts, np.int64)[numbers] - (total - sizes)
-            where = np.repeat(first, sizes) + np.arange(total[-1] if len(total) else 0)
+            where = spans(np.frombuffer(self.starts, np.int64)[numbers], sizes)
             ids.append(np.frombuffer(self.pool, np.uint32)[where] if len(where) else np.zeros(0, np.uint32))
             ends = total[numbers == 0]
             if len(ends):
