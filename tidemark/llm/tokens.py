@@ -137,14 +137,16 @@ class TextEncoder:
 
     def forget(self):
         """Keeps the pieces used most, at most half of `limit`, with half of their uses: what is no longer met goes in time."""
-        names = {number: piece for piece, number in self.known.items() if number and piece[:1] != WHOLE}
         most = np.argsort(-self.uses, kind="stable")[:self.limit // 2]
-        at = np.array([n for n in most[self.uses[most] > 1].tolist() if n in names], np.int64)
+        stays = np.zeros(len(self.uses), bool)
+        stays[most[self.uses[most] > 1]] = True
+        names = [piece for piece, number in self.known.items() if number and stays[number] and piece[:1] != WHOLE]
+        at = np.array([self.known[piece] for piece in names], np.int64)
         sizes, starts = np.frombuffer(self.sizes, np.int64)[at], np.frombuffer(self.starts, np.int64)[at]
         own, uses = np.frombuffer(self.pool, np.uint32)[spans(starts, sizes)], self.uses[at] // 2
         self.clear()
         base = len(self.pool)
-        self.known.update((names[n], k) for k, n in enumerate(at.tolist(), 1))
+        self.known.update(zip(names, range(1, len(names) + 1)))
         self.pool.frombytes(own.tobytes())
         self.starts.frombytes((base + np.cumsum(sizes) - sizes).tobytes())
         self.sizes.frombytes(sizes.tobytes())
